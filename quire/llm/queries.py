@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, urls
+from quire.llm import decontamination, language, mixing, quality, urls
 
 QUERIES = {
+    "op3_language_id": language.op3_language_id,
+    "op10_quality_rules": quality.op10_quality_rules,
+    "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_fair_mix": mixing.op5_fair_mix,
     "op8_url_filter": urls.op8_url_filter,
 }
 ORACLE_SQL = {
+    "op4_decontaminate": decontamination.OP4_SQL,
     "op5_fair_mix": mixing.OP5_SQL,
     "op8_url_filter": urls.OP8_SQL,
 }
