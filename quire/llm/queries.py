@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import decontamination, language, mixing, quality, toxicity, urls
+from quire.llm import decontamination, language, mixing, quality, secrets, toxicity, urls
 
 QUERIES = {
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_language_id": language.op3_language_id,
     "op10_quality_rules": quality.op10_quality_rules,
