@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import decontamination, language, language_model, mixing, quality, secrets, suffix_dedup, toxicity, urls
+from quire.llm import decontamination, language, language_model, mixing, quality, secrets, similar_texts, suffix_dedup, toxicity, urls
 
 QUERIES = {
+    "op2_similar_texts": similar_texts.op2_similar_texts,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_lm_scores": language_model.op7_lm_scores,
     "op9_secret_scan": secrets.op9_secret_scan,

@@ -212,6 +212,21 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text is not predicted toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = flat(batch.column("text"))
+            keep = np.ones(len(batch), bool)
+            for a, b in blocks(off, 1 << 19):
+                if model:
+                    keep[a:b] = model.scores(model.margins(data[off[a] : off[b]], off[a : b + 1] - off[a])) < ToxicityModel.CUT_SCORE
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out_fold():
     return F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
 
