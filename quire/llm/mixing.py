@@ -60,7 +60,7 @@ def mix_sources(
     source's target; all documents are taken in the order of that time until the budget is used.
     Documents are taken whole. The order is found by sums over ranges of it, so that no task holds a source.
 
-    Returns doc_id, size, source_size, target, taken. Null text has size 0; a null source is one of
+    Returns doc_id, source, size, source_size, target, taken. Null text has size 0; a null source is one of
     its own, last; rows of equal doc_id, source and size rank alike and are taken together; a source
     without words, and an empty table, take nothing. Other columns of ``docs`` are dropped.
     """
@@ -92,7 +92,7 @@ def mix_sources(
     else:
         taken = sum((F.when(_key(v, F.lit(e)) <= last, 1).otherwise(0) for e, v in enumerate(turns)), F.lit(0))
     return done.select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "source", "size", "source_size", "target",
         F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("size") * taken).otherwise(0).cast("long").alias("taken"),
     )
 
@@ -138,7 +138,7 @@ def _literal(key) -> Column | None:
 
 
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
 
 
 OP5_SQL = r"""
