@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 
 
-def _best(ids: list, vectors: np.ndarray, k: int):
+def _best(ids: pa.Array, vectors: np.ndarray, k: int):
     """Each batch's k nearest rows of every query; at most k rows a query leave a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +30,7 @@ def _best(ids: list, vectors: np.ndarray, k: int):
                 names = batch.column("id").slice(i, len(part))
                 order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")), d.shape), d), axis=1)[:, :k]
                 q = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q]), names.take(pa.array(order.ravel())), pa.array(d[q, order.ravel()])], names=["query_id", "id", "distance"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), names.take(pa.array(order.ravel())), pa.array(d[q, order.ravel()])], names=["query_id", "id", "distance"])
 
     return run
 
@@ -44,12 +44,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     schema = f"query_id {dict(queries.dtypes)['id']}, id {dict(corpus.dtypes)['id']}, distance double"
-    found = None
+    found = queries.sparkSession.createDataFrame([], schema)
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vector").orderBy("id").toArrow()
+        if not len(part):
+            continue
         vectors = np.array(part.column("vector").to_pylist(), np.float64).reshape(len(part), -1)
-        rows = corpus.select("id", "vector").where("vector is not null").mapInArrow(_best(part.column("id").to_pylist(), vectors, k), schema)
-        found = rows if found is None else found.unionByName(rows)
+        rows = corpus.select("id", "vector").where("vector is not null").mapInArrow(_best(part.column("id").combine_chunks(), vectors, k), schema)
+        found = found.unionByName(rows)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
