@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.kernels import U64
 
-CHUNK, BUCKET = 8 << 20, 16 << 20
+CHUNK, BUCKET = 4 << 20, 4 << 20
 
 
 def chunked(docs: DataFrame, chunks: int, *columns) -> DataFrame:

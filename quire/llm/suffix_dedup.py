@@ -74,7 +74,7 @@ class _Chunk:
         ids = table.column("doc_id").cast(pa.int64()).combine_chunks()
         self.ids = np.where(np.asarray(ids.is_null()), LAST_ID, np.asarray(ids.fill_null(0)))
         parts = []
-        for a, b in blocks(self.off, 1 << 19):
+        for a, b in blocks(self.off, 1 << 18):
             text, place, h, f, padded = anchors(self.data[self.off[a] : self.off[b]], self.off[a : b + 1] - self.off[a])
             start = place - (FRAGMENT * (text + 1)) + self.off[a]  # in the chunk's bytes
             parts.append((text + a, start, h, f))
