@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import chat, consistency, etl, evaluation, qa_pairs, retrieval
-from quire.plans import qa
+from quire import cli
+from quire.functions.tokenizers import resolve_tokenizer, tokenizer
+from quire.plans import grading, qa
 from quire.sources import files
 from quire.streaming import trace
 
@@ -186,3 +188,31 @@ def test_stream_elapsed(spark, tmp_path):
         assert {r["micros"] for r in spark.sql("select * from took").collect()} == {7_000_000}
     finally:
         query.stop()
+
+
+def test_judging(spark):
+    kind = "case_id int, query string, prediction string, true_answers array<string>, examples array<string>"
+    cases = spark.createDataFrame([(1, "q", "p", ["t"], []), (2, "r", "s", ["t", "u"], ["e"])], kind)
+    graded, accuracy = grading.evaluate(cases, chat.EchoModel("So it is. GRADE: CORRECT ({})"), 3)
+    assert {(r["case_id"], r["score"], r["ratio_correct"]) for r in graded.collect()} == {(1, 1, 1.0), (2, 1, 1.0)}
+    assert accuracy.first()["accuracy"] == 1.0
+    assert [r["score"] for r in grading.judge(cases, chat.EchoModel("no idea"), 1).collect()] == [None, None]
+
+
+def test_command(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("TITLE\n\nSome rule.\fNEXT\n\nAnother rule.")
+    cli.build(spark, "parent_document", str(tmp_path / "in"), str(tmp_path / "out"))
+    chunks, vectors = qa.load_index(spark, str(tmp_path / "out"))
+    assert chunks.count() == 2 and vectors.count() == 2
+
+
+def test_tokenizers(spark):
+    row = spark.createDataFrame([("a  bc d",), (None,), ("",)], "t string")
+    assert [r["x"] for r in row.select(tokenizer()(F.col("t")).alias("x")).collect()] == [["a", "bc", "d"], None, []]
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    got = [r["x"] for r in row.select(tokenizer(path)(F.col("t")).alias("x")).collect()]
+    assert "".join(got[0]) == "a  bc d" and got[2] == []
+    assert resolve_tokenizer("p", "http://x", {}) == "p" and resolve_tokenizer(None, "http://big-model", {"big": "b"}) == "b"
+    with pytest.raises(ValueError):
+        resolve_tokenizer(None, None, {})
