@@ -1,7 +1,7 @@
 """Self-consistency: how well each sampled answer agrees with the others of its group.
 
 Responses are rows (group_id, resp_id, text, tokens, logprobs). N-gram vectors are long tables, and
-scores that the reference semantics define over an n x n matrix are computed from column sums.
+scores that are defined over an n x n matrix are computed from column sums.
 """
 
 from __future__ import annotations
