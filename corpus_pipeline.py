@@ -29,6 +29,11 @@ def _as_ids(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("row").alias("doc_id"), "text")
 
 
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows but those gone. The numbers are written first, so that their size is known to the planner: few are sent to all tasks, and texts are only shuffled for many."""
+    return rows.join(durable(gone, "pipeline-gone"), "row", "left_anti").select(*COLUMNS)
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs.select(*COLUMNS), toxicity.train_toxicity(docs, labels))
@@ -40,13 +45,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = similar_texts.link_similar(_as_ids(rows)).select(F.col("doc_id").alias("row"), "class_id")
     named = durable(rows.select("row", "doc_id").join(classes, "row"), "pipeline-classes")
     first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))
-    return rows.join(first, "row", "left_semi").select(*COLUMNS)
+    return _without(rows, named.select("row").join(first, "row", "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _keyed(docs)
     hits = decontamination.benchmark_hits(_as_ids(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(hits.where("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select(*COLUMNS)
+    return _without(rows, hits.where("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
