@@ -2,12 +2,13 @@
 
 A text is a row of units: the white space before a word, the word, and a mark of its end; the last
 unit is the white space and the end of the text. A unit is coded as the bits of a Huffman code of its
-bytes. Each bit is predicted from counts after the unit's last 1, 2 and 3 bytes and after all of it so
-far, hashed with the place in the code; the predictions are mixed in the logistic domain by weights
-that a gate chooses, and refined by a table of what came of such predictions. As a unit's predictions
-depend on it alone, each distinct unit is counted and scored once. The counts are those of all
-training documents; the weights and the refinement learn online, a few bits at a time, on a bounded
-sample of them, whose own occurrences are taken out of the counts that predict them.
+bytes. Each bit is predicted from counts after the text's last 1, 2 and 3 bytes and marks, after all of
+the unit so far, and after that and the unit before, hashed with the place in the code; the predictions
+are mixed in the logistic domain by weights that a gate chooses, and refined by a table of what came of
+such predictions. A unit's predictions depend on it and the unit before, so that a block of texts
+counts and scores each distinct pair of units once. The counts are those of all training documents; the
+weights and the refinement learn online, a few bits at a time, on a bounded sample of them, whose own
+occurrences are taken out of the counts that predict them.
 """
 
 from __future__ import annotations
@@ -20,18 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.exchange import bucket_of, chunked, pack, parts_of, unpack
-from quire.llm.kernels import LOWER, NONSPACE, U64, blocks, flat, owners, prefix_sums, span_hash, words
+from quire.llm.exchange import bucket_slices, chunked, pack, pack_keys, parts_of, unpack, unpack_keys
+from quire.llm.kernels import LOWER, NONSPACE, U64, blocks, flat, mix, owners, prefix_sums, span_hash, words
 from quire.llm.sampling import least_hashed, remainder
 from quire.plans.storage import durable
 
-#: Bytes that UTF-8 never has: the end of a word and the end of a text. Before a unit's first byte stands ``NONE``.
+#: Bytes that UTF-8 never has: the end of a word and the end of a text. Before a text's first byte stands ``NONE``.
 WORD_END, TEXT_END, NONE = 0xFE, 0xFF, 256
 #: Contexts, and slots of a table of counts: a bounded number whatever the corpus.
-ORDERS, SLOT_BITS = 4, 22
+ORDERS, SLOT_BITS = 5, 22
 SLOTS = 1 << SLOT_BITS
 #: Slots of a count table that travel together.
 BLOCK = 1 << 15
+#: Bytes of texts whose pairs of units are put together, and the token of a text's end.
+TOGETHER = 1 << 20
+END_TOKEN = mix(np.array([0xE0F], U64))[0]
 DEPTHS, CLASSES = 8, 4
 CLASS = np.zeros(257, np.int64)
 CLASS[[9, 10, 32]] = 1
@@ -84,12 +88,6 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out, begins, starts, ends, np.searchsorted(starts, own)
 
 
-def ragged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of bytes put together, and their offsets."""
-    off = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
-    return data[np.arange(off[-1]) + np.repeat(starts - off[:-1], ends - starts)], off
-
-
 def marked(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Units with the mark of a word's end, where they are no text's end."""
     n = len(off) - 1
@@ -100,19 +98,54 @@ def marked(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out.astype(np.int64), new if n else off
 
 
-def contexts(sym: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """32-bit hashes of what a unit has before each symbol: the last 1, 2 and 3, and all of it."""
-    place = np.arange(len(sym)) - np.repeat(off[:-1], np.diff(off))
-    out, h = [], np.zeros(len(sym), np.uint32)
-    for k in range(1, ORDERS):
-        last = np.full(len(sym), NONE, np.uint32)
-        last[k:] = sym[:-k] if k < len(sym) else sym[:0]
-        last[place < k] = NONE
-        h = (h + last + np.uint32(1)) * np.uint32(0x2C1B3C6D)
-        h = h ^ (h >> np.uint32(15))
-        out.append(h)
-    so_far = span_hash(prefix_sums(sym), np.repeat(off[:-1], np.diff(off)), np.arange(len(sym)))
-    return [*out, (so_far >> U64(32)).astype(np.uint32)]
+class Stream:
+    """Units of texts with their marks: symbols, the n+1 offsets of units in them and of texts in units, and the hash of the unit before each one (0 at a text's start)."""
+
+    def __init__(self, sym: np.ndarray, off: np.ndarray, own: np.ndarray, prev: np.ndarray, h: np.ndarray):
+        self.sym, self.off, self.own, self.prev, self.h = sym, off, own, prev, h
+
+    @classmethod
+    def of(cls, data: np.ndarray, off: np.ndarray) -> Stream:
+        out, begins, _, ends, own = units(data, off)
+        h = span_hash(prefix_sums(out), begins, ends)
+        prev = np.zeros_like(h)
+        prev[1:] = h[:-1]
+        prev[own[:-1]] = 0
+        return cls(*marked(out, np.concatenate([np.zeros(1, np.int64), ends])), own, prev, h)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First places of the distinct pairs of a unit and the one before, and each unit's pair."""
+        _, first, pair = np.unique(mix(self.h ^ mix(self.prev + U64(1))), return_index=True, return_inverse=True)
+        return first, pair
+
+    def symbols_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the symbols of units, put together, and their offsets."""
+        off = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.off[at + 1] - self.off[at])])
+        return np.arange(off[-1]) + np.repeat(self.off[at] - off[:-1], np.diff(off)), off
+
+    def kinds(self, at: np.ndarray) -> np.ndarray:
+        before = np.full(len(self.sym), NONE)
+        before[1:] = self.sym[:-1]
+        before[self.off[self.own[:-1]]] = NONE
+        return CLASS[before[at]]
+
+    def contexts(self, at: np.ndarray) -> list[np.ndarray]:
+        """32-bit hashes of what stands before symbols: the last 1, 2 and 3 of the text, the unit so far, and that with the unit before."""
+        sym, n = self.sym, len(self.sym)
+        text = self.off[self.own]
+        place = np.arange(n) - np.repeat(text[:-1], np.diff(text))
+        out, h = [], np.zeros(n, np.uint32)
+        for k in range(1, 4):
+            last = np.full(n, NONE, np.uint32)
+            last[k:] = sym[:-k] if k < n else sym[:0]
+            last[place < k] = NONE
+            h = (h + last + np.uint32(1)) * np.uint32(0x2C1B3C6D)
+            h = h ^ (h >> np.uint32(15))
+            out.append(h[at])
+        begins = np.repeat(self.off[:-1], np.diff(self.off))[at]
+        so_far = span_hash(prefix_sums(sym), begins, at)
+        after = mix(so_far ^ np.repeat(self.prev, np.diff(self.off))[at])
+        return [*out, (so_far >> U64(32)).astype(np.uint32), (after >> U64(32)).astype(np.uint32)]
 
 
 def slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -147,20 +180,21 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_counts(code: Code):
-    """Counts of zeros and ones in all slots over distinct units with their numbers, in packed blocks."""
+    """Counts of zeros and ones in all slots over a task's training texts, in packed blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 * SLOTS, np.int64) for _ in range(ORDERS)]
+        counts = [np.zeros(2 * SLOTS, np.uint32) for _ in range(ORDERS)]
         for batch in batches:
-            for text, length, number in zip(batch.column("units"), batch.column("lengths"), batch.column("numbers"), strict=True):
-                data, n = unpack(text.as_py(), np.uint8), unpack(number.as_py(), np.int64)
-                off = np.concatenate([np.zeros(1, np.int64), np.cumsum(unpack(length.as_py(), np.uint32).astype(np.int64))])
-                for a, b in blocks(off, 1 << 18):
-                    sym, o = marked(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                    each = np.repeat(n[a:b], np.diff(o))
-                    for _, at, bit, slots in decisions(code, sym, contexts(sym, o)):
-                        for k in range(ORDERS):
-                            np.add.at(counts[k], slots[k] * np.uint32(2) + bit, each[at])
+            data, off = flat(batch.column("text"))
+            for a, b in blocks(off, TOGETHER):
+                s = Stream.of(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                first, pair = s.pairs()
+                places, o = s.symbols_of(first)
+                each = np.repeat(np.bincount(pair).astype(np.uint32), np.diff(o))
+                for _, at, bit, slots in decisions(code, s.sym[places], s.contexts(places)):
+                    many = each[at]
+                    for k in range(ORDERS):
+                        np.add.at(counts[k], slots[k].astype(np.intp) * 2 + bit, many)
         for k in range(ORDERS):
             for i in range(SLOTS // BLOCK):
                 part = counts[k][2 * i * BLOCK : 2 * (i + 1) * BLOCK]
@@ -176,7 +210,7 @@ def _merge_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     total = np.zeros(2 * BLOCK, np.int64)
     for batch in batches:
         for used, n in zip(batch.column("used"), batch.column("n"), strict=True):
-            total[unpack(used.as_py(), np.uint16)] += unpack(n.as_py(), np.int64)
+            total[unpack(used.as_py(), np.uint16)] += unpack(n.as_py(), np.uint32)
     used = np.flatnonzero(total)
     small = np.minimum(total[used], np.iinfo(np.int32).max).astype(np.int32)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([pack(used.astype(np.uint16))], pa.binary()), pa.array([pack(small)], pa.binary())], names=["k", "block", "used", "n"])
@@ -201,19 +235,15 @@ class MixingModel:
         inputs = inputs.astype(np.float32)
         gate = min(d, DEPTHS - 1) * CLASSES + kind
         z = np.einsum("ij,ij->i", inputs, self.weights[gate])
-        cell = (kind * 4 + min(d, 3)) * self.BINS + np.rint((np.clip(z, -8, 8) + 8) * 2).astype(np.int64)
-        return inputs, gate, z, cell
+        return inputs, gate, z, self._cell(d, kind, z)
 
-    @staticmethod
-    def _kinds(sym: np.ndarray, off: np.ndarray) -> np.ndarray:
-        before = np.full(len(sym), NONE)
-        before[1:] = sym[:-1]
-        before[off[:-1]] = NONE
-        return CLASS[before]
+    def _cell(self, d: int, kind: np.ndarray, z: np.ndarray) -> np.ndarray:
+        return (kind * 4 + min(d, 3)) * self.BINS + np.rint((np.clip(z, -8, 8) + 8) * 2).astype(np.int64)
 
-    def learn(self, counts: list[np.ndarray], sym: np.ndarray, off: np.ndarray, step: int = 512, rate: float = 0.01, refine: float = 0.02) -> None:
+    def learn(self, counts: list[np.ndarray], stream: Stream, step: int = 512, rate: float = 0.01, refine: float = 0.02) -> None:
         """Online: each few bits are predicted with what was learned of those before them, and without their own counts."""
-        kind, ctx = self._kinds(sym, off), contexts(sym, off)
+        sym, every = stream.sym, np.arange(len(stream.sym))
+        kind, ctx = stream.kinds(every), stream.contexts(every)
         for i in range(0, len(sym), step):
             s = slice(i, i + step)
             for d, at, bit, slots in decisions(self.code, sym[s], [c[s] for c in ctx]):
@@ -226,20 +256,39 @@ class MixingModel:
                 np.add.at(self.refined, cell, (refine * miss * 4).astype(np.float32))
 
     def log10(self, sym: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The log10 probability of each unit."""
-        kind, ctx = self._kinds(sym, off), contexts(sym, off)
-        total = np.zeros(len(sym))
-        for d, at, bit, slots in decisions(self.code, sym, ctx):
-            _, _, z, cell = self._predict(d, kind[at], np.stack([self.odds[k][slots[k]] for k in range(ORDERS)], 1))
-            z = (z + self.refined[cell]) * np.float32(0.5)
+        """The log10 probability of each unit as a text's first."""
+        n = len(off) - 1
+        return self.log10_of(Stream(sym, off, np.arange(n + 1), np.zeros(n, U64), np.zeros(n, U64)), np.arange(n))
+
+    def log10_of(self, stream: Stream, chosen: np.ndarray) -> np.ndarray:
+        """The log10 probability of each chosen unit after what stands before it."""
+        if not len(chosen):
+            return np.zeros(0)
+        places, off = stream.symbols_of(chosen)
+        kind, total = stream.kinds(places), np.zeros(len(places))
+        for d, at, bit, slots in decisions(self.code, stream.sym[places], stream.contexts(places)):
+            own, z = kind[at], np.zeros(len(at), np.float32)
+            weights = self.weights[min(d, DEPTHS - 1) * CLASSES :][:CLASSES]
+            for k in range(ORDERS):
+                z += weights[own, k] * self.odds[k][slots[k]]
+            z = (z + self.refined[self._cell(d, own, z)]) * np.float32(0.5)
             z = np.where(bit == 1, z, -z)
-            total[at] -= np.logaddexp(np.float32(0), -z)
-        return np.add.reduceat(total, off[:-1]) / np.log(10) if len(off) > 1 else np.zeros(0)
-
-
-def train_model(vocabulary: DataFrame, texts: DataFrame, code: Code, *, sample: int = 300) -> MixingModel:
-    """Counts of ``vocabulary`` (units, lengths, numbers); at most ``sample`` of the training ``texts``, of least hash, set the weights."""
-    counted = vocabulary.select("units", "lengths", "numbers").mapInArrow(_context_counts(code), "k int, block int, used binary, n binary")
+            total[at] += np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
+        return np.add.reduceat(total, off[:-1]) / np.log(10)
+
+    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text with its end."""
+        out = np.zeros(len(off) - 1)
+        for a, b in blocks(off, TOGETHER):
+            s = Stream.of(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            first, pair = s.pairs()
+            out[a:b] = np.bincount(owners(s.own), self.log10_of(s, first)[pair], minlength=b - a)
+        return out
+
+
+def train_model(texts: DataFrame, code: Code, *, sample: int = 300) -> MixingModel:
+    """Counts of all training ``texts``; at most ``sample`` of them, of least hash, set the weights."""
+    counted = texts.select("text").mapInArrow(_context_counts(code), "k int, block int, used binary, n binary")
     merged = counted.groupBy("k", "block").applyInArrow(_merge_counts, "k int, block int, used binary, n binary").toArrow()  # at most ORDERS * 2 * SLOTS counts
     counts = [np.zeros(2 * SLOTS, np.int32) for _ in range(ORDERS)]
     for k, i, used, n in zip(*(merged.column(c).to_pylist() for c in ("k", "block", "used", "n")), strict=True):
@@ -249,120 +298,73 @@ def train_model(vocabulary: DataFrame, texts: DataFrame, code: Code, *, sample:
     text = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text").orderBy("doc_id", "text").toArrow()
     data, off = flat(text.column("text"))
     for a, b in blocks(off, 1 << 17):
-        out, begins, _, ends, _ = units(data[off[a] : off[b]], off[a : b + 1] - off[a])
-        model.learn(counts, *marked(*ragged(out, begins, ends)))
+        model.learn(counts, Stream.of(data[off[a] : off[b]], off[a : b + 1] - off[a]))
     return model
 
 
-def _chunk_units(data: np.ndarray, off: np.ndarray):
-    """Of a whole chunk: hashes of all units, of their lower-cased words, places of each in its block, and each text's offsets."""
-    h, low, where, offs, parts = [], [], [], [np.zeros(1, np.int64)], []
-    base = 0
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of texts and their offsets, without the ends."""
+    low = LOWER[data]
+    starts, ends, word_off = words(low, off, NONSPACE)
+    return span_hash(prefix_sums(low), starts, ends), word_off
+
+
+def _chunk_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a whole chunk, hashed in blocks."""
+    parts, offs = [], [np.zeros(1, np.int64)]
     for a, b in blocks(off):
-        out, begins, starts, ends, own = units(data[off[a] : off[b]], off[a : b + 1] - off[a])
-        h.append(span_hash(prefix_sums(out), begins, ends))
-        low.append(span_hash(prefix_sums(LOWER[out]), starts, ends))
-        where.append(np.stack([begins + base, starts + base, ends + base]))
-        offs.append(own[1:] + offs[-1][-1])
-        parts.append(out)
-        base += len(out)
-    cat = lambda x, e: np.concatenate(x) if x else e
-    none = np.zeros(0, U64)
-    return cat(h, none), cat(low, none), np.concatenate(where, 1) if where else np.zeros((3, 0), np.int64), np.concatenate(offs), cat(parts, np.zeros(0, np.uint8))
-
-
-def _distinct(h: np.ndarray, low: np.ndarray, buckets: int):
-    """First places of the distinct units in the order of (bucket, unit), each one's bucket, and each unit's place in that order."""
-    bucket = bucket_of(low, buckets).astype(np.int64)
-    order = np.lexsort((h, bucket))
-    new = np.ones(len(h), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    place = np.empty(len(h), np.int64)
-    place[order] = np.cumsum(new) - 1
-    first = order[new]
-    return first, bucket[first], place
-
-
-def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-        if j > i:
-            yield int(bucket[i]), slice(i, j)
-
-
-def _count_units(buckets: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h, low, where, off, data = _chunk_units(*flat(table.column("text")))
-        learn = np.repeat(np.array(table.column("learn").to_pylist(), bool), np.diff(off))
-        first, bucket, place = _distinct(h, low, buckets)
-        counts = np.bincount(place, learn, minlength=len(first)).astype(np.uint32)
-        rows = []
-        for b, s in _runs(bucket):
-            begins, starts, ends = where[:, first[s]]
-            text, _ = ragged(data, begins, ends)
-            rows.append((b, key[0].as_py(), pack(text), pack((ends - begins).astype(np.uint32)), pack((starts - begins).astype(np.uint32)), pack(counts[s])))
-        names, types = ("bucket", "chunk", "units", "lengths", "gaps", "counts"), (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True), types, strict=True)})
+        h, w = _tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        parts.append(h)
+        offs.append(w[1:] + offs[-1][-1])
+    return np.concatenate(parts) if parts else np.zeros(0, U64), np.concatenate(offs)
 
-    return run
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    return np.unique(np.append(h, END_TOKEN))
 
 
-class _Bucket:
-    """The distinct units of a bucket's runs, with their counts and those of their words."""
-
-    def __init__(self, table: pa.Table):
-        lengths = [unpack(x.as_py(), np.uint32).astype(np.int64) for x in table.column("lengths")]
-        self.cuts = np.cumsum([len(x) for x in lengths])[:-1]
-        data = np.concatenate([unpack(x.as_py(), np.uint8) for x in table.column("units")])
-        ends = np.cumsum(np.concatenate(lengths))
-        begins = ends - np.concatenate(lengths)
-        gaps = np.concatenate([unpack(x.as_py(), np.uint32) for x in table.column("gaps")]).astype(np.int64)
-        counts = np.concatenate([unpack(x.as_py(), np.uint32) for x in table.column("counts")])
-        h = np.empty(len(ends), U64)
-        low = np.empty(len(ends), U64)
-        off = np.concatenate([np.zeros(1, np.int64), ends])
-        for a, b in blocks(off):
-            part, o = data[off[a] : off[b]], off[a]
-            h[a:b] = span_hash(prefix_sums(part), begins[a:b] - o, ends[a:b] - o)
-            low[a:b] = span_hash(prefix_sums(LOWER[part]), begins[a:b] + gaps[a:b] - o, ends[a:b] - o)
-        _, first, self.at = np.unique(h, return_index=True, return_inverse=True)
-        self.numbers = np.bincount(self.at, counts).astype(np.int64)
-        _, word = np.unique(low[first], return_inverse=True)
-        by_word = np.bincount(word, self.numbers).astype(np.int64)
-        self.word_counts, self.tokens, self.distinct = by_word[word], int(by_word.sum()), int((by_word > 0).sum())
-        self.data, self.off = ragged(data, begins[first], ends[first])
-
-
-def _merge_units(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    b = _Bucket(table)
-    live = np.flatnonzero(b.numbers)
-    text, off = ragged(b.data, b.off[live], b.off[live + 1])
-    return pa.table({"units": pa.array([pack(text)], pa.binary()), "lengths": pa.array([pack(np.diff(off).astype(np.uint32))], pa.binary()), "numbers": pa.array([pack(b.numbers[live])], pa.binary()), "tokens": pa.array([b.tokens]), "distinct": pa.array([b.distinct])})
-
-
-def _answer_units(model: MixingModel):
+def _count_tokens(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        b = _Bucket(table)
-        score = np.zeros(len(b.numbers), np.float32)
-        for i, j in blocks(b.off, 1 << 18):
-            score[i:j] = model.log10(*marked(b.data[b.off[i] : b.off[j]], b.off[i : j + 1] - b.off[i]))
-        split = lambda x: pa.array([pack(y) for y in np.split(x[b.at], b.cuts)], pa.binary())
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "counts": split(b.word_counts), "scores": split(score)})
+        h, off = _chunk_tokens(*flat(table.column("text")))
+        learn = np.array(table.column("learn").to_pylist(), bool)
+        keys = _distinct(h)
+        counts = np.bincount(np.searchsorted(keys, h), np.repeat(learn, np.diff(off)), minlength=len(keys)).astype(np.uint32)
+        counts[np.searchsorted(keys, END_TOKEN)] += np.uint32(learn.sum())
+        rows = [(b, key[0].as_py(), pack_keys(keys[s]), pack(counts[s])) for b, s in bucket_slices(keys, buckets)]
+        return pa.table(dict(zip(("bucket", "chunk", "keys", "counts"), (pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)), strict=True)))
 
     return run
 
 
-def _score(buckets: int):
+def _sum_tokens(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Answers each run with the counts over all; one more row, of no chunk, has the bucket's totals."""
+    runs = [unpack_keys(x.as_py()) for x in table.column("keys")]
+    counts = [unpack(x.as_py(), np.uint32) for x in table.column("counts")]
+    every, at = np.unique(np.concatenate(runs), return_inverse=True)
+    total = np.bincount(at, np.concatenate(counts)).astype(np.uint64)
+    cuts = np.cumsum([len(r) for r in runs])[:-1]
+    answers = [pack(total[x]) for x in np.split(at, cuts)]
+    n = len(runs)
+    return pa.table({
+        "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int64()), "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), "counts": pa.array([*answers, None], pa.binary()),
+        "tokens": pa.array([0] * n + [int(total.sum())], pa.int64()), "distinct": pa.array([0] * n + [int((total > 0).sum())], pa.int64()),
+    })
+
+
+def _score(model: MixingModel):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
-        h, low, _, off, _ = _chunk_units(*flat(docs.column("text")))
-        _, _, place = _distinct(h, low, buckets)
-        order = pa.array(np.argsort(answers.column("bucket").to_numpy(), kind="stable"))
-        get = lambda name, kind: np.concatenate([unpack(x.as_py(), kind) for x in answers.column(name).take(order)])[place]
-        c, score = get("counts", np.int64), get("scores", np.float32)
-        n, own = len(off) - 1, owners(off)
+        data, off = flat(docs.column("text"))
+        h, word_off = _chunk_tokens(data, off)
+        keys = _distinct(h)
+        order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
+        got = answers.column("counts").take(pa.array(order))
+        c = np.concatenate([unpack(x.as_py(), np.uint64) for x in got]) if len(got) else np.zeros(len(keys), np.uint64)
+        n = len(off) - 1
+        own, mine = owners(word_off), c[np.searchsorted(keys, h)]
+        end = int(c[np.searchsorted(keys, END_TOKEN)])
         return pa.table({
-            "doc_id": docs.column("doc_id"), "learn": docs.column("learn"), "n_tokens": pa.array(np.diff(off)), "n_known": pa.array(np.bincount(own, c > 0, minlength=n).astype(np.int64)),
-            "logs": pa.array(np.bincount(own, np.log10(c + 0.5), minlength=n)), "score": pa.array(np.bincount(own, score, minlength=n)),
+            "doc_id": docs.column("doc_id"), "learn": docs.column("learn"), "n_tokens": pa.array(np.diff(word_off) + 1), "n_known": pa.array(np.bincount(own, mine > 0, minlength=n).astype(np.int64) + (end > 0)),
+            "logs": pa.array(np.bincount(own, np.log10(mine + 0.5), minlength=n) + np.log10(end + 0.5)), "score": pa.array(model.score(data, off)),
         })
 
     return run
@@ -382,13 +384,14 @@ def score_texts(docs: DataFrame, learn, *, sample: int = 300) -> DataFrame:
     code = Code(np.array([seen.get(s, 0) for s in range(256)]))
     chunks, buckets = parts_of(seen.get(256, 0))
     parts = chunked(rows, chunks, "learn")
-    runs = durable(parts.groupBy("chunk").applyInArrow(_count_units(buckets), "bucket long, chunk long, units binary, lengths binary, gaps binary, counts binary"), "lm-runs")
-    vocabulary = durable(runs.groupBy("bucket").applyInArrow(_merge_units, "units binary, lengths binary, numbers binary, tokens long, distinct long"), "lm-units")
-    n, v = vocabulary.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    model = train_model(vocabulary, rows.where("learn"), code, sample=sample)
-    answers = runs.groupBy("bucket").applyInArrow(_answer_units(model), "chunk long, bucket long, counts binary, scores binary")
+    model = train_model(rows.where("learn"), code, sample=sample)
+    runs = parts.groupBy("chunk").applyInArrow(_count_tokens(buckets), "bucket long, chunk long, keys binary, counts binary")
+    sums = durable(runs.groupBy("bucket").applyInArrow(_sum_tokens, "bucket long, chunk long, counts binary, tokens long, distinct long"), "lm-counts")
+    n, v = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     kind = dict(docs.dtypes)["doc_id"]
-    scored = parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(buckets), f"doc_id {kind}, learn boolean, n_tokens long, n_known long, logs double, score double")
+    scored = parts.groupBy("chunk").cogroup(sums.where("chunk is not null").select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(
+        _score(model), f"doc_id {kind}, learn boolean, n_tokens long, n_known long, logs double, score double"
+    )
     each = float(np.log10(n + 0.5 * (v + 1)))
     return scored.select("doc_id", "learn", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * each).alias("base_score"), "score")
 

@@ -216,6 +216,15 @@ def test_it_learns_what_it_reads(spark):
     assert min(got[i] for i in range(1, 40, 2)) > max(got[i] for i in range(0, 40, 2))
 
 
+def test_the_order_of_words_counts(spark):
+    words = "the cat sat on a mat and saw one dog run by".split()
+    swapped = [words[0], *reversed(words[1:])]
+    rows = [(i, " ".join(words * 20) if i else " ".join(swapped * 20)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(df, F.col("doc_id") >= 2, sample=5).collect()}
+    assert got[1] > got[0] + 10
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
