@@ -26,6 +26,8 @@ from quire.plans.storage import durable
 WORDS = 5
 #: Places of a sketch, and the share of them that candidates must have in common: five deviations below 0.8.
 SKETCH, ALIKE = 64, 0.55
+#: The share that makes a member of a large bucket a near copy of its leader, which stands for it.
+NEAR = 0.95
 #: A part of a bucket that one task compares; larger buckets are dealt into parts that share their least members.
 PART, SHARED = 4096, 16
 #: Sets of a group that are compared at once; larger groups are compared block by block.
@@ -143,13 +145,17 @@ def _link(threshold: float):
         starts = np.cumsum(np.append(0, length))
         for b in np.flatnonzero(length > 64):
             rest, label = np.arange(starts[b], starts[b + 1]), np.arange(length[b])
-            while len(rest) > 1:  # a leader's near copies have no links but to what the leader links, too
+            while len(rest) > 1:
                 lead, others = rest[0], rest[1:]
-                linked = others[_links_in(sketches, sizes, threshold, np.full(len(others), lead), others)]
+                same = (sketches[others] == sketches[lead]).mean(1)
+                near = same >= NEAR
+                if near.any():  # what links a near copy is linked to the leader, whatever its size: their sketches differ in as many places more at most
+                    linked = others[same >= ALIKE - (1 - NEAR)]
+                else:
+                    linked = others[_links_in(sketches, sizes, threshold, np.full(len(others), lead), others)]
                 if len(linked):
                     joined = np.unique(label[np.append(linked, lead) - starts[b]])
                     label[np.isin(label, joined)] = joined[0]
-                near = (sketches[others] == sketches[lead]).mean(1) >= 0.95
                 rest = others[~near]
             found.append((ids[starts[b] : starts[b + 1]], ids[starts[b] + label]))
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,19 @@ def test_similar_texts(spark, monkeypatch, small):
     assert rows_of(got, "doc_id", "class_id", "n_links") == brute_links(rows)
 
 
+def test_near_copies_of_a_leader_keep_their_links():
+    """In a large bucket, a set that is too small for the leader is linked to the leader's near copy."""
+    rng = np.random.default_rng(12)
+    leader = rng.integers(0, 256, similar_texts.SKETCH).astype(np.uint8)
+    copy, short = leader.copy(), leader.copy()
+    copy[:3] += 1
+    short[:16] += 3
+    sizes, sketches = [1000] * 66 + [980, 785], [leader] * 66 + [copy, short]
+    table = pa.table({"path": [7] * 68, "part": [0] * 68, "digest": list(range(68)), "n": pa.array(sizes, pa.int32()), "sketch": [s.tobytes() for s in sketches]})
+    found = similar_texts._link(0.8)((), table).to_pydict()
+    assert dict(zip(found["a"], found["b"], strict=True)) == {i: 0 for i in range(1, 68)}
+
+
 def test_similar_texts_of_nothing(spark):
     assert similar_texts.link_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert similar_texts.runs_for(0.9999, 3) >= similar_texts.runs_for(0.99, 3) > 1
