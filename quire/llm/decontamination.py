@@ -160,12 +160,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z lower-cased.
     An item of fewer words, but not none, is one window. Returns doc_id, n_words, n_hit (words in any
     occurrence of a window), n_items, items_sha256 (of the sorted item_ids, comma-joined) and
-    contaminated. Null and empty texts have no words, nulls among item_ids are left out of the list;
+    contaminated. Null and empty texts have no words, an item of null id counts in n_hit and contaminated, but not in n_items and the list;
     each of several rows of one doc_id is judged by itself; other columns are dropped.
     """
     spark = docs.sparkSession
     items = durable(
-        benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+        benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
         .mapInArrow(_item_prints, "item_id string, h long, at int, n int, item_words string"), "decon-items",
     )
     bits = np.zeros(FILTER_BITS, bool)

@@ -69,6 +69,14 @@ def test_decontamination(spark, docs):
     assert decontamination.benchmark_hits(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_by_items_without_id(spark):
+    items = spark.createDataFrame([(None, PASSAGE), ("i1", "green tea")], "item_id string, text string")
+    texts = spark.createDataFrame([(1, f"start {PASSAGE} end"), (2, f"green tea {PASSAGE}"), (3, "nothing")], "doc_id long, text string")
+    n, none = len(PASSAGE.split()), hashlib.sha256(b"").hexdigest()
+    got = rows_of(decontamination.benchmark_hits(texts, items), "doc_id", "n_hit", "items_sha256", "contaminated")
+    assert got == [(1, n, none, True), (2, n + 2, hashlib.sha256(b"i1").hexdigest(), True), (3, 0, none, False)]
+
+
 def test_decontamination_of_random_spans(spark):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(6)]
