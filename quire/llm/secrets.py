@@ -19,9 +19,9 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-#: What the network looks at: runs of 16 or more such characters with a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: What the network looks at: all runs of such characters, from the length of the shortest secret on.
+SHORTEST = min(LEAST.values())
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 #: Characters before a candidate, of it (longer ones are read in pieces), and after it.
 BEFORE, BODY, AFTER = 20, 44, 8
 WIDTH = BEFORE + BODY + AFTER
@@ -42,10 +42,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs that the patterns have not found."""
+    """Runs that the patterns have not found, or not all of."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in taken):
+        at = m.start()
+        for a, b, _ in taken:  # in the order of their starts
+            if a <= at < b:
+                at = b
+        if at < m.end():
             out.append(m.span())
     return out
 
@@ -131,7 +135,7 @@ class CharacterCnn:
             self.scale = max(0.05, self.scale - 0.5 * ((p - y) * z).mean())
             self.shift -= 0.5 * (p - y).mean()
         s = np.sort(self.scores(x)[y > 0])
-        self.cut = float(max(0.5, s[int(len(s) * (1 - recall))])) if len(s) else 1.0
+        self.cut = float(s[int(len(s) * (1 - recall))]) if len(s) else 1.0
 
 
 def made_findings(n: int, seed: int = 7) -> list[tuple[str, int, int, int]]:
@@ -145,19 +149,23 @@ def made_findings(n: int, seed: int = 7) -> list[tuple[str, int, int, int]]:
         lambda: "ghp_" + pick(mixed, 36), lambda: "AIza" + pick(mixed + "_-", 35), lambda: f"xoxb-{pick(digits, 12)}-{pick(mixed, 24)}",
         lambda: "eyJ" + pick(mixed, 18) + "." + pick(mixed + "_-", 40) + "." + pick(mixed + "_-", 30), lambda: pick(mixed + "+/", int(rng.integers(24, 64))),
         lambda: "sk_live_" + pick(mixed, 24), lambda: pick(mixed, int(rng.integers(20, 48))) + "==", lambda: pick(upper + digits, int(rng.integers(20, 40))),
+        lambda: pick(mixed, int(rng.integers(SHORTEST, 24))), lambda: pick(lower + upper, int(rng.integers(SHORTEST, 24))), lambda: word() + "_" + pick("0123456789abcdef", 16) + pick(mixed, 6),
     ]
     harmless = [
         lambda: f"{word()}{pick(digits, 1)}.example.{pick(lower, 3)}", lambda: f"{word()}.{word()}-{pick(digits, 2)}.html", lambda: f"{word()}_{word()}_{word()}_{pick(digits, 2)}",
         lambda: f"20{pick(digits, 2)}-{pick(digits, 2)}-{pick(digits, 2)}T{pick(digits, 2)}-{pick(digits, 2)}-{pick(digits, 2)}", lambda: f"{word()}/{word()}/{word()}{pick(digits, 1)}/{word()}",
         lambda: "-".join(word() for _ in range(4)) + pick(digits, 2), lambda: ".".join(pick(digits, 3) for _ in range(5)), lambda: "-" * int(rng.integers(12, 30)) + pick(digits, 4),
         lambda: f"www.{word()}{word()}.com/{word()}/{pick(digits, 3)}", lambda: word() + word() + word() + word() + word() + pick(digits, 1), lambda: f"v{pick(digits, 1)}.{pick(digits, 2)}.{pick(digits, 2)}-{word()}-{word()}",
+        lambda: word() + word() + word() + word(), lambda: (word() + word() + word()).capitalize() + str(rng.choice(["", ".", "..."])), lambda: (word() + word() + word() + word()).upper(),
+        lambda: "-".join(word() for _ in range(3)), lambda: f"{word()}/{word()}/{word()}.{word()}", lambda: str(rng.choice(list("-=._+/"))) * int(rng.integers(SHORTEST, 60)),
+        lambda: word().capitalize() + word().capitalize() + word().capitalize(),
     ]
     out = []
     for i in range(n):
         label = i % 2
         made = (secret if label else harmless)[int(rng.integers(len(secret if label else harmless)))]()
-        if len(made) < 16:
-            made += "-" + pick(lower, 16 - len(made))
+        if len(made) < SHORTEST:
+            made += ("-" + word() + word() + word())[: max(2, SHORTEST - len(made))]
         left = " ".join(word() for _ in range(4)) + str(rng.choice([" ", " key ", " at ", " in ", ": ", " = ", " \""]))
         text = left + made + str(rng.choice([" ", ". ", "\n", "\" "])) + word()
         out.append((text, len(left), len(left) + len(made), label))

@@ -380,6 +380,25 @@ def test_scan_and_redact(spark, docs, net):
     assert secrets.scan(docs, net).count() == len(EDGES) and secrets.scan(docs.limit(0), net).count() == 0
 
 
+def test_every_candidate_is_scored(net):
+    key = "acme_" + "0123456789abcdef" + "RestQxZ"
+    texts = {"QxZvKpLwRtYbNmHgFdSa": 0, "aB3xK9qLmZ7v": 0, key: 0}
+    for t in texts:
+        text = f"use {t} now"
+        assert secrets.candidates(text, secrets.base_spans(text)) == [(4, 4 + len(t))]
+        assert (4, 4 + len(t), "model") in secrets.all_spans(text, net)
+    assert secrets.candidates("x " + "0123456789abcdef" + " y", secrets.base_spans("x " + "0123456789abcdef" + " y")) == []
+    assert all(secrets.candidates(t, []) for t, *_ in secrets.made_findings(300, seed=5))
+
+
+def test_the_recall_decides_the_cut():
+    net = secrets.CharacterCnn()
+    rng = np.random.default_rng(13)
+    x, y = rng.integers(0, 94, (400, secrets.WIDTH)), (np.arange(400) < 20).astype(float)
+    net.calibrate(x, y, 0.95)
+    assert (net.scores(x[:20]) >= net.cut).mean() >= 0.95
+
+
 def against_sql(spark, tables, name, run):
     con = duckdb.connect()
     for t, df in tables.items():
