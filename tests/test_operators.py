@@ -216,3 +216,9 @@ def test_tokenizers(spark):
     assert resolve_tokenizer("p", "http://x", {}) == "p" and resolve_tokenizer(None, "http://big-model", {"big": "b"}) == "b"
     with pytest.raises(ValueError):
         resolve_tokenizer(None, None, {})
+
+
+def test_multi_vector_queries_are_every_hundredth_document(spark, sf_dir):
+    from quire.queries import QUERIES
+
+    assert {r["query_id"] for r in QUERIES["multi_vector_topk"](spark, sf_dir).select("query_id").collect()} == {0, 100}
