@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from quire.llm.kernels import U64, blocks, flat, mix
 from quire.llm.sampling import remainder
+from quire.plans.storage import durable
 
 SPACE = 0x20
 FOLD = np.full(256, SPACE, np.uint8)
 FOLD[65:91] = np.arange(97, 123)
 FOLD[97:123] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
-#: Positions of the filters, and probes an n-gram: 8 MiB for up to 64 languages, whatever the input's size.
+#: Positions of the filters, and probes an n-gram: 8 MiB for each 64 languages, whatever the input's size.
 POSITIONS, PROBES = 1 << 20, 3
 
 
@@ -59,26 +60,28 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column("lang")
         for a, b in blocks(off, 1 << 18):
             h, owner = grams(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            pairs = np.unique(np.stack([owner.astype(U64), h]), axis=1) if len(h) else np.zeros((2, 0), U64)
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(pairs[0].astype(np.int64) + a)), pa.array(pairs[1].view(np.int64))], names=["lang", "gram"])
+            _, first = np.unique(mix(h ^ mix(owner.astype(U64) + U64(1))), return_index=True)
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(owner[first] + a)), pa.array(h[first].view(np.int64))], names=["lang", "gram"])
 
 
 class LanguageFilters:
-    """``bits[p]`` has bit l set if position p is set in the filter of language l."""
+    """``bits[w, p]`` has bit l set if position p is set in the filter of language 64 * w + l."""
 
     def __init__(self, langs: list[str], bits: np.ndarray):
         self.langs, self.bits = langs, bits
-        self.false = np.array([((bits >> U64(i)) & U64(1)).mean() ** PROBES for i in range(len(langs))])
+        self.false = np.array([((bits[i // 64] >> U64(i % 64)) & U64(1)).mean() ** PROBES for i in range(len(langs))])
 
     def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Corrected counts of n-grams, a row a text and a column a language."""
         h, owner = grams(data, off)
-        mask = np.full(len(h), ~U64(0))
-        for p in places(h):
-            mask &= self.bits[p]
-        n = len(off) - 1
+        at, n, found = places(h), len(off) - 1, []
         total = np.bincount(owner, minlength=n)
-        found = np.stack([np.bincount(owner, (mask >> U64(i)) & U64(1), minlength=n) for i in range(len(self.langs))], 1)
+        for w, word in enumerate(self.bits):
+            mask = np.full(len(h), ~U64(0))
+            for p in at:
+                mask &= word[p]
+            found += [np.bincount(owner, (mask >> U64(i)) & U64(1), minlength=n) for i in range(min(64, len(self.langs) - 64 * w))]
+        found = np.stack(found, 1)
         return np.maximum((found - total[:, None] * self.false) / np.maximum(1 - self.false, 1e-9), 0)
 
 
@@ -86,30 +89,31 @@ def train_filters(docs: DataFrame, *, per_language: int = 1500, min_docs: int =
     """Filters from at most ``per_language`` documents of each language, those of least hash.
 
     A language contains an n-gram that at least ``min_docs`` of its documents have, and a share of them
-    of at least ``min_share`` of the largest share that any language has.
+    of at least ``min_share`` of the largest share that any language has: words of another language in
+    a few texts (names, quotations, wrong labels) are no part of a language. Rows of null lang teach
+    nothing; rows of one doc_id and language are taken together. Any number of languages has room.
     """
     rows = docs.where("lang is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
     # hashes under a bound that about twice as many rows pass first: a language's rows never meet in one task
     bound = rows.groupBy("lang").agg((F.lit(2.0 * per_language + 100) / F.count("*")).alias("share"))
     low = rows.select("lang", "h", "doc_id").join(F.broadcast(bound), "lang").where(F.shiftrightunsigned("h", 1) / F.lit(2.0**63) <= F.col("share"))
     ids = low.withColumn("key", F.shiftrightunsigned("h", 1)).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("r") <= per_language).select("doc_id", "lang")
-    sizes = ids.groupBy("lang").count().orderBy("lang").limit(65).collect()
-    if len(sizes) > 64:
-        raise ValueError("at most 64 languages")
+    ids = durable(ids, "language-ids")
+    sizes = ids.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not sizes:
-        return LanguageFilters([], np.zeros(POSITIONS, U64))
+        return LanguageFilters([], np.zeros((0, POSITIONS), U64))
     spark = docs.sparkSession
     known = spark.createDataFrame([(r["lang"], i, r["count"]) for i, r in enumerate(sizes)], "lang string, i int, n long")
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"])  # at most 64 * per_language ids
+    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"])  # at most per_language ids a language
     counts = sample.select("lang", "text").mapInArrow(_train, "lang string, gram long").groupBy("lang", "gram").count()
     share = counts.where(F.col("count") >= min_docs).join(F.broadcast(known), "lang").withColumn("share", F.col("count") / F.col("n"))
     kept = share.withColumn("top", F.max("share").over(W.partitionBy("gram"))).where(F.col("share") >= min_share * F.col("top"))
     place = F.array(*[F.shiftrightunsigned("gram", 20 * i).bitwiseAND(F.lit(POSITIONS - 1)) for i in range(PROBES)])
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))
-    cells = kept.select(F.explode(place).alias("p"), bit.alias("b")).groupBy("p").agg(F.bit_or("b").alias("b")).toArrow()  # at most POSITIONS rows
-    bits = np.zeros(POSITIONS, np.int64)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i") % 64)
+    cells = kept.select(F.explode(place).alias("p"), F.floor(F.col("i") / 64).cast("int").alias("w"), bit.alias("b")).groupBy("w", "p").agg(F.bit_or("b").alias("b")).toArrow()  # at most POSITIONS rows for each 64 languages
+    bits = np.zeros((-(-len(sizes) // 64), POSITIONS), np.int64)
     if len(cells):
-        bits[cells.column("p").to_numpy()] = cells.column("b").to_numpy()
+        bits[cells.column("w").to_numpy(), cells.column("p").to_numpy()] = cells.column("b").to_numpy()
     return LanguageFilters([r["lang"] for r in sizes], bits.view(U64))
 
 
@@ -146,6 +150,7 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``identify``: null, empty and letterless texts are ``und`` with score 0; rows of null doc_id are not learned from and count as not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     filters = train_filters(docs.where(~held_out & F.col("doc_id").isNotNull()))
