@@ -20,8 +20,9 @@ from quire.llm.kernels import ALNUM, LOWER, U64, blocks, flat, mix, owners, pref
 from quire.plans.storage import durable
 
 WINDOW, GRAM = 10, 5
-#: Bits of the filter of benchmark fingerprints that is sent to all tasks: 1 MiB, whatever the benchmark's size.
-FILTER_BITS = 1 << 23
+#: Bits of the filter of benchmark fingerprints that is sent to all tasks: about 16 a fingerprint, from 128 KiB to 16 MiB.
+#: A larger benchmark (over 8 million fingerprints) fills it more: more fingerprints pass, and the exact join removes them.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 def _kept(hashes: np.ndarray, owner: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +68,23 @@ def _seed(h: np.ndarray, k: int, w: int) -> np.ndarray:
     return mix(h + U64(k * 64 + w))
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(17)) % U64(FILTER_BITS)
+def _filter(items: DataFrame) -> np.ndarray:
+    """Packed bits of all fingerprints; at most MOST_BITS / 64 rows reach the driver."""
+    bits = LEAST_BITS
+    n = items.count()
+    while bits < 16 * n and bits < MOST_BITS:
+        bits *= 2
+    place = F.pmod(F.shiftrightunsigned("h", 17), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = items.select(F.floor(place / 64).cast("int").alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, "<i8")
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint8)
+
+
+def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h >> U64(17)) % U64(8 * len(bits))
+    return (bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0
 
 
 ITEMS = pa.schema([("item_id", pa.string()), ("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("item_words", pa.string())])
@@ -96,10 +112,7 @@ def _item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, ITEMS, strict=True)], schema=ITEMS)
 
 
-PRINTS = pa.schema([
-    ("doc_id", pa.int64()), ("n_words", pa.int64()),
-    ("prints", pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int64()), ("at", pa.int32()), ("words", pa.string())]))),
-])
+PRINTS = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int64()), ("at", pa.int32()), ("words", pa.string())]))
 
 
 def _doc_prints(bits: np.ndarray, short: list[int]):
@@ -114,17 +127,15 @@ def _doc_prints(bits: np.ndarray, short: list[int]):
                 for k, w in [(GRAM, WINDOW - GRAM + 1), *((n, 1) for n in short)]:
                     at, h = _kept(t.hashes, t.owner, k, w)
                     h = _seed(h, k, w)
-                    bit = _bit(h)
-                    hit = (bits[bit >> U64(3)] >> (bit & U64(7)).astype(np.uint8)) & 1 > 0
+                    hit = _in_filter(bits, h)
                     around = WINDOW - k if w > 1 else 0
                     for p, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
                         o = t.owner[p]
                         first = t.word_off[o]
                         lo, hi = max(first, p - around), min(t.word_off[o + 1], p + k + around)
                         prints[o].append((x, int(p - first), int(p - lo), t.joined(lo, hi)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(np.diff(t.word_off), pa.int64()),
-                     pa.array([[dict(zip(("h", "pos", "at", "words"), x, strict=True)) for x in p] for p in prints], PRINTS.field("prints").type)], schema=PRINTS)
+                made = pa.array([[dict(zip(("h", "pos", "at", "words"), x, strict=True)) for x in p] for p in prints], PRINTS)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(t.word_off), pa.int64()), made], names=["doc_id", "n_words", "prints"])
 
     return run
 
@@ -160,22 +171,18 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z lower-cased.
     An item of fewer words, but not none, is one window. Returns doc_id, n_words, n_hit (words in any
     occurrence of a window), n_items, items_sha256 (of the sorted item_ids, comma-joined) and
-    contaminated. Null and empty texts have no words, an item of null id counts in n_hit and contaminated, but not in n_items and the list;
-    each of several rows of one doc_id is judged by itself; other columns are dropped.
+    contaminated. Null and empty texts have no words; an item of null id counts in n_hit and contaminated,
+    but not in n_items and the list; each of several rows of one doc_id, of any type, null or not, is
+    judged by itself; without items nothing is hit; other columns are dropped.
     """
-    spark = docs.sparkSession
     items = durable(
         benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
         .mapInArrow(_item_prints, "item_id string, h long, at int, n int, item_words string"), "decon-items",
     )
-    bits = np.zeros(FILTER_BITS, bool)
-    bit = F.pmod(F.shiftrightunsigned("h", 17), F.lit(FILTER_BITS))  # at most FILTER_BITS rows reach the driver
-    bits[[r[0] for r in items.select(bit.alias("b")).distinct().collect()]] = True
-    short = sorted(r[0] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
-    packed = np.packbits(bits, bitorder="little")
+    short = sorted(r[0] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # under WINDOW rows
     prints = durable(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(_doc_prints(packed, short), "doc_id long, n_words long, prints array<struct<h:long,pos:long,at:int,words:string>>")
+        docs.select("doc_id", "text")
+        .mapInArrow(_doc_prints(_filter(items), short), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, prints array<struct<h:long,pos:long,at:int,words:string>>")
         .withColumn("key", F.monotonically_increasing_id()), "decon-prints",
     )
     found = prints.select("key", F.explode("prints").alias("p")).select("key", "p.*")
@@ -195,6 +202,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``benchmark_hits``: null and empty texts have no words and no hits, repeated rows each have their own."""
     return benchmark_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
