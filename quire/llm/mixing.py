@@ -50,22 +50,27 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     return sources.select("source", "source_size", F.least(cap.cast("double"), F.lit(level) * F.col("weight")).alias("target")), budget
 
 
+def shuffled_by() -> Column:
+    """The md5 of a row's id; of its text where it has no id, so that such rows do not stand together."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit(""))))))
+
+
 def mix_sources(
-    docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2, size: Column | None = None
+    docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2, size: Column | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """How many words of each document a mix of all sources takes.
 
-    Documents of a source queue in an order shuffled by the md5 of their id, ``epochs`` times over.
+    Documents of a source queue in an order shuffled by the md5 of their id, or else text, ``epochs`` times over.
     A document's virtual finish time is the words of its source up to and with it, divided by the
     source's target; all documents are taken in the order of that time until the budget is used.
     Documents are taken whole. The order is found by sums over ranges of it, so that no task holds a source.
 
     Returns doc_id, source, size, source_size, target, taken. Null text has size 0; a null source is one of
-    its own, last; rows of equal doc_id, source and size rank alike and are taken together; a source
-    without words, and an empty table, take nothing. Other columns of ``docs`` are dropped.
+    its own, last; rows of equal doc_id, source and size (without id: and text) rank alike and are taken together; a source
+    without words, and an empty table, take nothing. Columns named in ``carry`` are returned too, others are dropped.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long") if size is None else size
-    base = durable(docs.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")), "mix-base")
+    base = durable(docs.select("doc_id", "source", *carry, size.alias("size"), shuffled_by().alias("h")), "mix-base")
     goals, budget = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
 
     base = base.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % BUCKETS)
@@ -76,10 +81,10 @@ def mix_sources(
         before["source"].alias("s"), before["bucket"].alias("b"), "before", "source_size", "target"
     )
     queue = base.join(starts, base["source"].eqNullSafe(starts["s"]) & (base["bucket"] == starts["b"]))
-    within = W.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last(), "size")
+    within = W.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").cast("string").asc_nulls_last(), "size")
     cum = F.col("before") + F.sum("size").over(within)
     done = durable(
-        queue.select("doc_id", "source", "size", "source_size", "target", "h", cum.alias("cum")), "mix-queue"
+        queue.select("doc_id", "source", *carry, "size", "source_size", "target", "h", cum.alias("cum")), "mix-queue"
     )
 
     turns = [((F.col("cum") + e * F.col("source_size")) / F.col("target")) for e in range(epochs)]
@@ -92,7 +97,7 @@ def mix_sources(
     else:
         taken = sum((F.when(_key(v, F.lit(e)) <= last, 1).otherwise(0) for e, v in enumerate(turns)), F.lit(0))
     return done.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", *carry, "size", "source_size", "target",
         F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("size") * taken).otherwise(0).cast("long").alias("taken"),
     )
 
@@ -101,7 +106,7 @@ def _key(v: Column, epoch: Column) -> Column:
     """The total order of turns; rows that are equal in it are taken together."""
     return F.struct(
         v.alias("v"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"), F.col("h").alias("h"),
-        epoch.cast("int").alias("epoch"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("size").cast("long").alias("size"),
+        epoch.cast("int").alias("epoch"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("size").cast("long").alias("size"),
     )
 
 
@@ -134,17 +139,18 @@ def _last_taken(times: DataFrame, budget: int, most: float) -> Column | None:
 
 
 def _literal(key) -> Column | None:
-    return key and F.struct(*[F.lit(x).cast(t).alias(n) for (n, x), t in zip(key.asDict().items(), ("double", "boolean", "string", "string", "int", "boolean", "long", "long"), strict=True)])
+    return key and F.struct(*[F.lit(x).cast(t).alias(n) for (n, x), t in zip(key.asDict().items(), ("double", "boolean", "string", "string", "int", "boolean", "string", "long"), strict=True)])
 
 
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``mix_sources``: null and empty texts have size 0 and are not taken, null sources are one source, equal rows are taken alike."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
 
 
 OP5_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))) AS h
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 weighed AS (
@@ -159,14 +165,14 @@ level AS (SELECT level FROM levels WHERE level * w <= 2 * source_size ORDER BY s
 goals AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, level.level * w) AS target, budget FROM levels, level),
 queue AS (
   SELECT b.*, g.source_size, g.target, g.budget,
-         sum(b.size) OVER (PARTITION BY b.source ORDER BY b.h, b.doc_id NULLS LAST, b.size) AS cum
+         sum(b.size) OVER (PARTITION BY b.source ORDER BY b.h, CAST(b.doc_id AS VARCHAR) NULLS LAST, b.size) AS cum
   FROM base b JOIN goals g ON b.source IS NOT DISTINCT FROM g.source),
 times AS (
   SELECT *, e AS epoch, (cum + e * source_size)::DOUBLE / target AS v
   FROM queue, (VALUES (0), (1)) t(e) WHERE size > 0 AND target > 0),
 ordered AS (
-  SELECT *, sum(size) OVER (ORDER BY v, source IS NULL, coalesce(source, ''), h, epoch, doc_id NULLS LAST, size) AS upto FROM times),
+  SELECT *, sum(size) OVER (ORDER BY v, source IS NULL, coalesce(source, ''), h, epoch, CAST(doc_id AS VARCHAR) NULLS LAST, size) AS upto FROM times),
 mix AS (SELECT doc_id, source, h, size, count(DISTINCT epoch) AS turns FROM ordered WHERE upto <= floor(budget) GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(m.turns, 0) AS BIGINT) AS taken
-FROM queue q LEFT JOIN mix m ON q.doc_id IS NOT DISTINCT FROM m.doc_id AND q.source IS NOT DISTINCT FROM m.source AND q.size = m.size
+FROM queue q LEFT JOIN mix m ON q.doc_id IS NOT DISTINCT FROM m.doc_id AND q.source IS NOT DISTINCT FROM m.source AND q.size = m.size AND q.h = m.h
 """
