@@ -12,7 +12,7 @@ UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Labels of hosts whose pages the query lists as unwanted.
 LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-#: Bits a listed URL, and the most blocks of 64 bits: the filter is never over 2**20 rows, whatever the list's length.
+#: Bits a listed URL, and the most blocks of 64 bits that are sent to all tasks (16 MiB); a larger filter is dealt by block.
 BITS_PER_URL, MAX_BLOCKS, PROBES = 16, 1 << 20, 5
 
 
@@ -31,9 +31,9 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical(url: Column) -> Column:
-    """One form of a URL's spellings: no scheme, no ``www.``, ``m.`` or ``blog.``, no trailing slash or ``.html``, query or fragment; null without a host."""
-    bare = F.regexp_replace(host(url), r"^(www|m|blog)\.", "")
+def canonical(url: Column, same_site: Sequence[str] = ("www",)) -> Column:
+    """One form of a URL's spellings: no scheme, no leading label of ``same_site``, no trailing slash or ``.html``, query or fragment; null without a host."""
+    bare = F.regexp_replace(host(url), r"^(" + "|".join(same_site) + r")\.", "") if same_site else host(url)
     return F.when(bare != "", F.concat(bare, F.regexp_replace(path(url), r"(\.html|/+)$", "")))
 
 
@@ -60,12 +60,12 @@ def _bits(key: Column) -> Column:
 def bloom_filter(listed: DataFrame) -> tuple[DataFrame, int]:
     """(block, word) rows of a blocked Bloom filter of column ``key``, and the number of its blocks.
 
-    All bits of a key lie in one block of 64, so that a probe is one lookup. There are at most
-    ``MAX_BLOCKS`` rows; over a longer list more URLs pass, and the exact join removes them.
+    All bits of a key lie in one block of 64, so that a probe is one lookup. There are about as many
+    blocks as it takes for ``BITS_PER_URL`` bits a key, however long the list is.
     """
     n = listed.count()
     blocks = 64
-    while blocks * 64 < n * BITS_PER_URL and blocks < MAX_BLOCKS:
+    while blocks * 64 < n * BITS_PER_URL:
         blocks *= 2
     key = F.col("key")
     return listed.select(_block(key, blocks).alias("block"), _bits(key).alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("word")), blocks
@@ -75,8 +75,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     """A verdict on every page: the rule's if one fits, else block if the canonical URL is listed, else allow.
 
     ``listed`` has a column ``url``; nulls and repeats in it count for nothing. Possible hits of the
-    Bloom filter, whose size is bounded, go to an exact join on the canonical URL; all others are
-    settled without a shuffle. Returns page_id, host, path, rule, verdict; a null url has an empty host
+    Bloom filter go to an exact join on the canonical URL. A filter of at most ``MAX_BLOCKS`` blocks is
+    sent to all tasks, so that all other pages are settled without a shuffle; a larger one is dealt by
+    block and meets the pages there. Returns page_id, host, path, rule, verdict; a null url has an empty host
     and path, no rule, and is allowed. Repeated rows stay; other columns are dropped.
     """
     keys = listed.select(canonical(F.col("url")).alias("key")).where("key is not null").distinct()
@@ -85,7 +86,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     rows = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("key"))
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     rows = rows.withColumns({"block": _block(F.col("key"), blocks), "bits": _bits(F.col("key"))})
-    probed = rows.join(F.broadcast(bloom), "block", "left")
+    probed = rows.join(F.broadcast(bloom) if blocks <= MAX_BLOCKS else bloom, "block", "left")
     possible = F.coalesce(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)) & F.col("key").isNotNull() & F.col("fit").isNull()
     probed = probed.withColumn("possible", possible)
     hits = probed.where("possible").join(keys.withColumn("listed", F.lit(True)), "key", "left")
@@ -111,7 +112,7 @@ parts AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM split),
 keyed AS (
-  SELECT *, CASE WHEN regexp_replace(host, '^(www|m|blog)\.', '') <> '' THEN regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(\.html|/+)$', '') END AS key
+  SELECT *, CASE WHEN regexp_replace(host, '^(www)\.', '') <> '' THEN regexp_replace(host, '^(www)\.', '') || regexp_replace(path, '(\.html|/+)$', '') END AS key
   FROM parts),
 listed AS (SELECT DISTINCT key FROM keyed WHERE key IS NOT NULL AND regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.')),
 rules(rule_host, rule_path, says) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
