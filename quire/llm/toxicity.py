@@ -1,12 +1,16 @@
 """Toxicity: a linear classifier of words and word beginnings, regularised by counterfactuals.
 
 Sentences of labelled texts that name an identity are taken again with another identity of the same
-kind in its place, and training penalises the square of the change in score. So a mention by itself
-carries no score, and neutral mentions are not rejected.
+kind in its place; sentences that name none are taken with one put in, which is then swapped, too.
+Training penalises the square of the change in score between the two of a pair, and between a sentence
+with an identity put in and without. So a mention by itself carries no score, and neutral mentions are
+not rejected.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +29,8 @@ LETTERS[: 0x41] = False
 SIZE, BEGINNINGS = 1 << 18, (4, 5, 6, 7)
 #: Texts of fewer words than this count as of so many: a rate over a few words is little evidence.
 LEAST_WORDS = 12
+#: Features of a model: those of most evidence, so that what reaches the driver is bounded for each sampled text.
+MOST_FEATURES = 1 << 14
 #: Interchangeable terms, by kind.
 IDENTITIES: tuple[tuple[str, ...], ...] = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -49,31 +55,99 @@ class _Features:
         self.ids, self.counts = ids, np.diff(self.word_off)
 
 
-def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts, and of the toxic ones, have each feature; at most SIZE rows a task."""
+    have, have1 = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
     for batch in batches:
         data, off = flat(batch.column("text"))
+        toxic = np.array(batch.column("toxic").to_pylist(), int)
         for a, b in blocks(off):
             f = _Features(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            ids, counts = [], []
             for i in range(b - a):
-                u, c = np.unique(f.ids[f.word_off[i] : f.word_off[i + 1]], return_counts=True)
-                ids.append(u[u < SIZE].astype(np.int32).tobytes())
-                counts.append(c[u < SIZE].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("toxic").slice(a, b - a), pa.array(f.counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "toxic", "n", "ids", "counts"])
+                u = np.unique(f.ids[f.word_off[i] : f.word_off[i + 1]])
+                have[u[u < SIZE]] += 1
+                have1[u[u < SIZE]] += toxic[a + i]
+    at = np.flatnonzero(have)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(have[at]), pa.array(have1[at])], names=["feature", "n", "n1"])
+
+
+def _featurize(live: np.ndarray):
+    """Each text's live features and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = flat(batch.column("text"))
+            for a, b in blocks(off):
+                f = _Features(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                ids, counts = [], []
+                for i in range(b - a):
+                    u, c = np.unique(f.ids[f.word_off[i] : f.word_off[i + 1]], return_counts=True)
+                    own = live[u]
+                    ids.append(u[own].astype(np.int32).tobytes())
+                    counts.append(c[own].astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "toxic", "fold")), pa.array(f.counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "toxic", "fold", "n", "ids", "counts"])
+
+    return run
+
+
+def _sentences(text: str) -> Iterator[list[str]]:
+    for sentence in re.split(r"[.!?\n]+", text.lower()):
+        if tokens := re.findall(r"[^\W\d_]+", sentence):
+            yield tokens
+
+
+def _carriers(identities: Sequence[Sequence[str]], each: int):
+    """Of each text, the ``each`` sentences of least hash that name an identity, and as many of 3 to 40 words that name none."""
+    terms = {t for k in identities for t in k}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                own: tuple[dict, dict] = ({}, {})
+                for tokens in _sentences(text or ""):
+                    names = not terms.isdisjoint(tokens)
+                    if len(tokens) <= 40 and (names or len(tokens) >= 3):
+                        s = " ".join(tokens)
+                        own[names][s] = zlib.crc32(s.encode())
+                for names, found in enumerate(own):
+                    out += [(not names, h, s) for s, h in sorted(found.items(), key=lambda x: (x[1], x[0]))[:each]]
+            cols = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["neutral", "h", "sentence"])
+
+    return run
 
 
 def counterfactuals(text: str, identities: Sequence[Sequence[str]]) -> list[tuple[str, str]]:
-    """Sentences of a text that name an identity, each with the sentences where another one is named instead."""
-    import re
+    """Pairs of sentences that should score alike.
 
+    A sentence that names an identity, with each where another of the kind is named instead. One that
+    names none, and itself with an identity put in; and that with another of the kind in its place.
+    Where and which follow from the sentence's crc32.
+    """
     kinds = {t: k for k in identities for t in k}
     out = []
-    for sentence in re.split(r"[.!?\n]+", text.lower()):
-        tokens = re.findall(r"[^\W\d_]+", sentence)
-        for i, t in enumerate(tokens):
-            for other in kinds.get(t, ()):
-                if other != t:
-                    out.append((" ".join(tokens), " ".join([*tokens[:i], other, *tokens[i + 1 :]])))
+    for tokens in _sentences(text):
+        named = [(i, kinds[t]) for i, t in enumerate(tokens) if t in kinds]
+        for i, kind in named:
+            out += [(" ".join(tokens), " ".join([*tokens[:i], other, *tokens[i + 1 :]])) for other in kind if other != tokens[i]]
+        if not named and identities:
+            h = zlib.crc32(" ".join(tokens).encode())
+            kind = identities[h % len(identities)]
+            i, first = h // 7 % (len(tokens) + 1), h // 11 % len(kind)
+            with_term = [" ".join([*tokens[:i], kind[(first + k) % len(kind)], *tokens[i:]]) for k in (0, 1)]
+            out += [(" ".join(tokens), with_term[0]), (with_term[0], with_term[1])]
+    return out
+
+
+def differences(pairs: Sequence[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and differences in rate of the features that the two sentences of each pair do not share."""
+    out = []
+    made = rows_of([s for p in pairs for s in p])
+    for (ia, ra), (ib, rb) in zip(made[::2], made[1::2], strict=True):
+        u, inv = np.unique(np.concatenate([ia, ib]), return_inverse=True)
+        d = np.bincount(inv, np.concatenate([ra, -rb]), minlength=len(u))
+        out.append((u[d != 0], d[d != 0]))
     return out
 
 
@@ -93,8 +167,8 @@ class ToxicityModel:
 
     CUT_SCORE = 0.7
 
-    def __init__(self, weights: np.ndarray, scale: float = 1.0, cut: float = 1.0):
-        self.weights, self.scale, self.cut = weights.astype(np.float32), scale, cut
+    def __init__(self, weights: np.ndarray, scale: float = 1.0, cut: float = 1.0, n_pairs: int = 0):
+        self.weights, self.scale, self.cut, self.n_pairs = weights.astype(np.float32), scale, cut, n_pairs
 
     def margins(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         f = _Features(data, off)
@@ -106,17 +180,17 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(ids: list[np.ndarray], rates: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]] = (), *, penalty: float = 10.0, ridge: float = 1e-4, rounds: int = 200, evidence: float = 10.0) -> ToxicityModel:
-    """Logistic regression by Adam over all rows at once, then a cut of best F1 on the fifth of rows kept out.
+def fit(ids: list[np.ndarray], rates: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]] = (), *, kept_out: np.ndarray | None = None, penalty: float = 10.0, ridge: float = 1e-4, rounds: int = 200, evidence: float = 10.0) -> ToxicityModel:
+    """Logistic regression by Adam over all rows at once, then a cut of best F1 on the rows kept out (by default each fifth).
 
     ``pairs``: ids and differences in rate between a sentence and its counterfactual.
     """
-    kept_out = np.arange(len(toxic)) % 5 == 4
+    kept_out = np.arange(len(toxic)) % 5 == 4 if kept_out is None else kept_out
     train = np.flatnonzero(~kept_out) if (~kept_out & toxic).any() and (~kept_out & ~toxic).any() else np.arange(len(toxic))
     col = np.concatenate([ids[i] for i in train])
     row = np.repeat(np.arange(len(train)), [len(ids[i]) for i in train])
     x = np.concatenate([rates[i] for i in train]).astype(np.float32)
-    live = (association(col, toxic[train][row], toxic[train]) >= evidence)[col]
+    live = (association(np.bincount(col, minlength=SIZE), np.bincount(col, toxic[train][row], minlength=SIZE), len(train), int(toxic[train].sum())) >= evidence)[col]
     names, col = np.unique(col[live], return_inverse=True)
     row, x, y = row[live], x[live], toxic[train].astype(float)
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
@@ -143,14 +217,12 @@ def fit(ids: list[np.ndarray], rates: list[np.ndarray], toxic: np.ndarray, pairs
     weights[names] = w
     margins = np.array([(weights[i] * r).sum() for i, r in zip(ids, rates, strict=True)])
     check = kept_out if (kept_out & toxic).sum() >= 5 else np.ones(len(toxic), bool)
-    return ToxicityModel(weights, 1.0, best_cut(margins[check], toxic[check]))
+    return ToxicityModel(weights, 1.0, best_cut(margins[check], toxic[check]), len(pairs))
 
 
-def association(col: np.ndarray, of_toxic: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """For each feature the likelihood-ratio statistic of its presence against the label."""
-    n, n1 = len(toxic), int(toxic.sum())
-    have, have1 = np.bincount(col, minlength=SIZE).astype(float), np.bincount(col, of_toxic, minlength=SIZE)
-    out = np.zeros(SIZE)
+def association(have: np.ndarray, have1: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """For each feature, which so many texts and so many toxic ones have, the likelihood-ratio statistic of its presence against the label."""
+    have, out = have.astype(float), np.zeros(SIZE)
     for seen, total in ((have1, n1), (have - have1, n - n1)):
         for k, all_k in ((seen, have), (total - seen, n - have)):
             expected = all_k * total / n
@@ -167,32 +239,36 @@ def best_cut(margins: np.ndarray, toxic: np.ndarray) -> float:
     return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, identities: Sequence[Sequence[str]] = IDENTITIES, penalty: float = 10.0) -> ToxicityModel | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, carriers: int = 2000, identities: Sequence[Sequence[str]] = IDENTITIES, penalty: float = 10.0, evidence: float = 10.0) -> ToxicityModel | None:
     """A model from at most ``per_class`` labelled documents of each label, those of least hash.
 
-    Null labels and null ids are left out; None if one of the labels has no document.
+    Counterfactuals are made of at most ``carriers`` of their sentences, those that name an identity
+    before others. Null labels and null ids are left out, null texts are empty, a document with several
+    labels or rows counts with each; None if one of the labels has no document.
     """
     marked = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").distinct()
     ids = least_hashed(marked.where("toxic = 1"), per_class, "doc_id").unionByName(least_hashed(marked.where("toxic = 0"), per_class, "doc_id"))
-    sample = durable(docs.select("doc_id", "text").join(F.broadcast(durable(ids, "toxicity-ids")), "doc_id"), "toxicity-sample")  # at most 2 * per_class ids
+    sample = docs.select("doc_id", "text").join(F.broadcast(durable(ids, "toxicity-ids")), "doc_id")  # at most 2 * per_class ids
+    sample = durable(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).cast("int")), "toxicity-sample")
     types = dict(sample.dtypes)
-    got = sample.mapInArrow(_featurize, f"doc_id {types['doc_id']}, toxic {types['toxic']}, n long, ids binary, counts binary").toArrow()
-    order = np.argsort(mix(np.arange(len(got)).astype(U64)), kind="stable")
-    got = got.sort_by("doc_id").take(pa.array(order))
+    learned = sample.where("fold <> 4")
+    n, n1 = learned.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    seen = learned.mapInArrow(_presence, "feature long, n long, n1 long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toArrow()  # at most SIZE rows
+    have, have1, live = np.zeros(SIZE), np.zeros(SIZE), np.zeros(SIZE + 1, bool)
+    have[seen.column("feature").to_numpy()], have1[seen.column("feature").to_numpy()] = seen.column("n").to_numpy(), seen.column("n1").to_numpy()
+    strength = association(have, have1, n, n1) if n1 and n1 < n else np.zeros(SIZE)
+    best = np.argsort(-strength, kind="stable")[:MOST_FEATURES]
+    live[best[strength[best] >= evidence]] = True
+    got = sample.mapInArrow(_featurize(live), f"doc_id {types['doc_id']}, toxic {types['toxic']}, fold int, n long, ids binary, counts binary").orderBy("doc_id", "toxic", "n", "ids", "counts").toArrow()
     toxic = np.array(got.column("toxic").to_pylist(), int) == 1
     if not toxic.any() or toxic.all():
         return None
     found = [np.frombuffer(x.as_py(), np.int32) for x in got.column("ids")]
     rates = [np.frombuffer(x.as_py(), np.float32) * (100.0 / max(n.as_py(), LEAST_WORDS)) for x, n in zip(got.column("counts"), got.column("n"), strict=True)]
-    terms = "|".join(t for k in identities for t in k)
-    pairs = []
-    if terms:
-        for r in sample.where(F.lower("text").rlike(rf"\b({terms})\b")).select("text").toLocalIterator():
-            for a, b in counterfactuals(r["text"], identities):
-                (ia, ra), (ib, rb) = rows_of([a, b])
-                u, inv = np.unique(np.concatenate([ia, ib]), return_inverse=True)
-                pairs.append((u, np.bincount(inv, np.concatenate([ra, -rb]))))
-    return fit(found, rates, toxic, pairs, penalty=penalty)
+    sentences = sample.select("text").mapInArrow(_carriers(identities, 4), "neutral boolean, h long, sentence string").distinct()
+    chosen = [r["sentence"] for r in sentences.orderBy("neutral", "h", "sentence").limit(carriers).collect()]  # from at most 8 a sampled row
+    pairs = differences([p for s in chosen for p in counterfactuals(s, identities)])
+    return fit(found, rates, toxic, pairs, kept_out=got.column("fold").to_numpy() == 4, penalty=penalty, evidence=evidence)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
@@ -232,6 +308,7 @@ def held_out_fold():
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``score_toxicity``: null and empty texts have the score of no evidence, repeated rows score alike, a null doc_id is not held out."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = train_toxicity(docs, labels.where(~held_out_fold()))
     return score_toxicity(docs, model).select("doc_id", held_out_fold().alias("held_out"), "score", "predicted")
