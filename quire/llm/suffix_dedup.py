@@ -314,8 +314,10 @@ def deduplicate_substrings(docs: DataFrame) -> DataFrame:
     Texts are UTF-8 bytes; nulls are empty. Strings are judged on the input, overlaps count, and matches
     do not cross documents. Rows of one doc_id do not count against each other; a null doc_id is later
     than all others. Other columns are dropped. Returns doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs) and kept (the remaining bytes).
+    removed runs) and kept (the remaining bytes). doc_id is of a whole-number type, as its order decides.
     """
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be of a whole-number type")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks, buckets = parts_of(total)
     parts = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chunks)
@@ -328,5 +330,6 @@ def deduplicate_substrings(docs: DataFrame) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``deduplicate_substrings``: null and empty texts have no bytes, rows of one doc_id leave each other alone, a null doc_id is last."""
     out = deduplicate_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
