@@ -57,7 +57,7 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 def pack(values: np.ndarray) -> bytes:
     """Small numbers, byte planes apart, squeezed; the first byte is the width."""
-    return bytes([values.dtype.itemsize]) + zlib.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+    return bytes([values.dtype.itemsize]) + zlib.compress(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes(), 1)
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:

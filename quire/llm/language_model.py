@@ -1,14 +1,19 @@
 """Language-model scores: a count baseline over tokens, and logistic mixing of hashed-context bit predictors.
 
-A text is a row of units: the white space before a word, the word, and a mark of its end; the last
-unit is the white space and the end of the text. A unit is coded as the bits of a Huffman code of its
-bytes. Each bit is predicted from counts after the text's last 1, 2 and 3 bytes and marks, after all of
-the unit so far, and after that and the unit before, hashed with the place in the code; the predictions
-are mixed in the logistic domain by weights that a gate chooses, and refined by a table of what came of
-such predictions. A unit's predictions depend on it and the unit before, so that a block of texts
-counts and scores each distinct pair of units once. The counts are those of all training documents; the
-weights and the refinement learn online, a few bits at a time, on a bounded sample of them, whose own
-occurrences are taken out of the counts that predict them.
+A text is a row of units: white space and the word after it; the last unit is the white space and the
+end of the text. A unit is coded as bits: its form (usual white space, case), then its word by a Huffman
+code of the frequent training words; a unit that has no such form or word is spelled by a Huffman code
+of its bytes. Each bit is predicted from counts after several contexts, hashed with the place in the code.
+Those of forms and words are nothing, the last byte and the last three of the unit before, and its whole
+word; those of bytes the last two, the last three, all of the unit so far, and that with the word
+before. The predictions are mixed in the logistic domain by weights that a gate chooses, and refined by a
+table of what came of such predictions. A unit's predictions depend on it and the unit before, so that a
+block of texts counts, learns and scores each distinct pair of units once, as often as it occurs.
+
+Counts are those of all training documents. Weights and refinement are learned online, some thousand
+bits at a time, over all training documents, too, chunk by chunk, and merged; an occurrence is taken out
+of the counts that predict it. Scoring changes nothing, so that a text's score depends on no other
+text scored.
 """
 
 from __future__ import annotations
@@ -23,33 +28,43 @@ from pyspark.sql import functions as F
 
 from quire.llm.exchange import bucket_slices, chunked, pack, pack_keys, parts_of, unpack, unpack_keys
 from quire.llm.kernels import LOWER, NONSPACE, U64, blocks, flat, mix, owners, prefix_sums, span_hash, words
-from quire.llm.sampling import least_hashed, remainder
+from quire.llm.sampling import remainder
 from quire.plans.storage import durable
 
-#: Bytes that UTF-8 never has: the end of a word and the end of a text. Before a text's first byte stands ``NONE``.
+#: Bytes that UTF-8 never has: the end of a spelled word and the end of a text. Before a unit's first byte stands ``NONE``.
 WORD_END, TEXT_END, NONE = 0xFE, 0xFF, 256
-#: Contexts, and slots of a table of counts: a bounded number whatever the corpus.
-ORDERS, SLOT_BITS = 5, 22
-SLOTS = 1 << SLOT_BITS
+#: Contexts; bits of the number of a table's slots, which follows the size of the corpus: one byte a slot and table when scoring, eight when counting.
+ORDERS, LEAST_BITS, MOST_BITS = 4, 18, 23
 #: Slots of a count table that travel together.
 BLOCK = 1 << 15
-#: Bytes of texts whose pairs of units are put together, and the token of a text's end.
-TOGETHER = 1 << 20
+#: Words that have a code of their own: the most frequent ones of the training texts.
+VOCABULARY = 1 << 16
+#: Bytes of texts whose pairs of units are put together, symbols that are coded together, and the token of a text's end.
+TOGETHER, STEP = 4 << 20, 1 << 14
 END_TOKEN = mix(np.array([0xE0F], U64))[0]
-DEPTHS, CLASSES = 8, 4
-CLASS = np.zeros(257, np.int64)
-CLASS[[9, 10, 32]] = 1
-CLASS[33:48] = CLASS[58:65] = 2
-CLASS[128:256] = CLASS[NONE] = 3
+#: A slot's state is a level of its zeros and one of its ones: 16 times 16.
+LEVELS = np.array([0, 1, 2, 3, 4, 6, 9, 14, 21, 32, 50, 80, 140, 300, 1000, 5000])
+#: Forms: white space (none, a space, a newline, two) times case (lower, first letter upper, all upper) times a mark that follows a known word; the end of a text; spelled.
+WHITE, CASES, MARKS = (4, 512, 16, 8), (32, 8, 1), {0: 32, ord(","): 8, ord("."): 8, ord(";"): 1, ord(":"): 1, ord("!"): 1, ord("?"): 1}
+END = len(WHITE) * len(CASES) * len(MARKS)
+SPELLED = END + 1
+FORM_COUNTS = np.array([*(w * c * m for w in WHITE for c in CASES for m in MARKS.values()), 4096, 32768])
+#: Gates: depth in the code times kind, where kinds are those of the byte before, of forms, and of words.
+DEPTHS, KINDS, FORM_KIND, WORD_KIND = 8, 6, 4, 5
+KIND = np.zeros(257, np.int64)
+KIND[[9, 10, 32]] = 1
+KIND[33:48] = KIND[58:65] = 2
+KIND[128:256] = KIND[NONE] = 3
 
 
 class Code:
-    """A Huffman code of bytes."""
+    """A Huffman code of as many symbols as ``counts``."""
 
     def __init__(self, counts: np.ndarray):
+        size = len(counts)
         heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
         heapq.heapify(heap)
-        children, n = {}, 256
+        children, n = {}, size
         while len(heap) > 1:
             (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
             children[n] = (x, y)
@@ -58,16 +73,25 @@ class Code:
         paths, todo = {}, [(heap[0][2], ())]
         while todo:
             node, path = todo.pop()
-            if node < 256:
+            if node < size:
                 paths[node] = path
             else:
-                todo += [(child, (*path, (node - 256, bit))) for bit, child in enumerate(children[node])]
-        self.length = np.array([len(paths[s]) for s in range(256)])
-        self.node = np.zeros((256, self.length.max()), np.uint32)
-        self.bit = np.zeros((256, self.length.max()), np.uint8)
+                todo += [(child, (*path, (node - size, bit))) for bit, child in enumerate(children[node])]
+        self.length = np.array([len(paths[s]) for s in range(size)])
+        self.depth_rank = (self.length.max() - self.length).astype(np.uint8)
+        self.node = np.zeros((size, self.length.max()), np.uint32)
+        self.bit = np.zeros((self.length.max(), size), np.uint8)
         for s, path in paths.items():
             for d, (node, bit) in enumerate(path):
-                self.node[s, d], self.bit[s, d] = node, bit
+                self.node[s, d], self.bit[d, s] = node, bit
+        self._places: dict[int, np.ndarray] = {}
+
+    def places(self, bits: int) -> np.ndarray:
+        """For each depth and symbol, what turns a context's slot into that of the place in the code."""
+        if bits not in self._places:
+            x = (self.node.T + np.uint32(1)) * np.uint32(0x9E3779B1)
+            self._places[bits] = ((x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)).astype(np.intp)
+        return self._places[bits]
 
 
 def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,81 +112,162 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out, begins, starts, ends, np.searchsorted(starts, own)
 
 
-def marked(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Units with the mark of a word's end, where they are no text's end."""
-    n = len(off) - 1
-    word = data[off[1:] - 1] != TEXT_END
-    new = off + np.concatenate([np.zeros(1, np.int64), np.cumsum(word)])
-    out = np.full(new[-1], WORD_END, np.uint8)
-    out[np.arange(len(data)) + np.repeat(new[:-1] - off[:-1], np.diff(off))] = data
-    return out.astype(np.int64), new if n else off
-
+def _hash(x: np.ndarray, salt: int) -> np.ndarray:
+    """The upper half of a product, which spreads small numbers and keeps hashes spread."""
+    return (((x ^ (x >> U64(32))) + U64(salt << 40)) * U64(0x9E3779B97F4A7C15) >> U64(32)).astype(np.uint32)
 
-class Stream:
-    """Units of texts with their marks: symbols, the n+1 offsets of units in them and of texts in units, and the hash of the unit before each one (0 at a text's start)."""
 
-    def __init__(self, sym: np.ndarray, off: np.ndarray, own: np.ndarray, prev: np.ndarray, h: np.ndarray):
-        self.sym, self.off, self.own, self.prev, self.h = sym, off, own, prev, h
+class Units:
+    """The units of a block of texts: ``own`` are the n+1 offsets of the texts in them."""
 
-    @classmethod
-    def of(cls, data: np.ndarray, off: np.ndarray) -> Stream:
-        out, begins, _, ends, own = units(data, off)
-        h = span_hash(prefix_sums(out), begins, ends)
-        prev = np.zeros_like(h)
-        prev[1:] = h[:-1]
-        prev[own[:-1]] = 0
-        return cls(*marked(out, np.concatenate([np.zeros(1, np.int64), ends])), own, prev, h)
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data, self.begins, self.starts, self.ends, self.own = units(data, off)
+        self.whole = span_hash(prefix_sums(self.data), self.begins, self.ends)
+        self.low = prefix_sums(LOWER[self.data])
+        self.word = span_hash(self.low, self.starts, self.ends)
+        self.first = np.zeros(len(self.starts), bool)
+        self.first[self.own[:-1]] = True
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First places of the distinct pairs of a unit and the one before, and each unit's pair."""
-        _, first, pair = np.unique(mix(self.h ^ mix(self.prev + U64(1))), return_index=True, return_inverse=True)
-        return first, pair
-
-    def symbols_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the symbols of units, put together, and their offsets."""
-        off = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.off[at + 1] - self.off[at])])
-        return np.arange(off[-1]) + np.repeat(self.off[at] - off[:-1], np.diff(off)), off
-
-    def kinds(self, at: np.ndarray) -> np.ndarray:
-        before = np.full(len(self.sym), NONE)
-        before[1:] = self.sym[:-1]
-        before[self.off[self.own[:-1]]] = NONE
-        return CLASS[before[at]]
-
-    def contexts(self, at: np.ndarray) -> list[np.ndarray]:
-        """32-bit hashes of what stands before symbols: the last 1, 2 and 3 of the text, the unit so far, and that with the unit before."""
-        sym, n = self.sym, len(self.sym)
-        text = self.off[self.own]
-        place = np.arange(n) - np.repeat(text[:-1], np.diff(text))
-        out, h = [], np.zeros(n, np.uint32)
+        """The distinct pairs of a unit and the one before, as first places in order, and each unit's pair."""
+        before = np.zeros_like(self.whole)
+        before[1:] = self.whole[:-1]
+        before[self.first] = 0
+        _, first, pair = np.unique(mix(self.whole ^ mix(before + U64(1))), return_index=True, return_inverse=True)
+        order = np.argsort(first, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return first[order], rank[pair]
+
+    def forms(self, at: np.ndarray) -> np.ndarray:
+        begins, starts, ends = self.begins[at], self.starts[at], self.ends[at]
+        white = starts - begins
+        one, two = self.data[np.maximum(starts - 1, 0)], self.data[np.maximum(starts - 2, 0)]
+        space = np.select([white == 0, (white == 1) & (one == 32), (white == 1) & (one == 10), (white == 2) & (one == 10) & (two == 10)], [0, 1, 2, 3], -1)
+        upper = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum((self.data >= 65) & (self.data <= 90), out=upper[1:])
+        n_upper, initial = upper[ends] - upper[starts], upper[starts + 1] - upper[starts]
+        case = np.select([n_upper == 0, (n_upper == 1) & (initial == 1), n_upper == ends - starts], [0, 1, 2], -1)
+        form = np.where((space < 0) | (case < 0), SPELLED, (space * len(CASES) + case) * len(MARKS))
+        last = self.data[starts] == TEXT_END
+        return np.where(last, np.where(white == 0, END, SPELLED), form)
+
+    def before(self, at: np.ndarray) -> list[np.ndarray]:
+        """What stands before units: nothing, a byte, three bytes, a word."""
+        i, none = np.maximum(at - 1, 0), self.first[at]
+        ends, size = self.ends[i], self.ends[i] - self.begins[i]
+        b = [np.where(none | (size < k), 0, self.data[ends - np.minimum(k, size)].astype(np.int64) + 1).astype(U64) for k in (1, 2, 3)]
+        return [np.zeros(len(at), U64), b[0], b[0] | b[1] << U64(9) | b[2] << U64(18), np.where(none, U64(0), self.word[i] | U64(1))]
+
+
+class Coded:
+    """Some symbols with long codes first, so that those that go on to a depth are the first ones: a depth is a slice."""
+
+    def __init__(self, code: Code, bits: int, sym: np.ndarray, ctx: list[np.ndarray], kind: np.ndarray | int):
+        self.code, self.order = code, np.argsort(code.depth_rank[sym], kind="stable")
+        self.sym, self.kind = sym[self.order], kind if isinstance(kind, int) else kind[self.order]
+        self.ctx = [(c[self.order] >> np.uint32(32 - bits)).astype(np.intp) for c in ctx]
+        self.bits = bits
+        self.going = np.cumsum(np.bincount(code.length[sym], minlength=len(code.bit) + 1)[::-1])[::-1]
+
+    def depths(self) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
+        """(depth, symbols that have it, their bits, their slots of all orders)"""
+        for d in range(len(self.code.bit)):
+            m = int(self.going[d + 1])
+            if not m:
+                return
+            s = self.sym[:m]
+            place = self.code.places(self.bits)[d].take(s)
+            yield d, m, self.code.bit[d].take(s), [c[:m] ^ place for c in self.ctx]
+
+
+class Coder:
+    """Turns units into symbols of three codes: of forms, of frequent words (sorted hashes ``known``), and of bytes."""
+
+    def __init__(self, byte_counts: np.ndarray, known: np.ndarray, known_counts: np.ndarray, bits: int):
+        self.form, self.byte, self.bits = Code(FORM_COUNTS), Code(byte_counts), bits
+        self.known, self.word = known, Code(known_counts) if len(known) > 1 else None
+
+    def symbols(self, u: Units, at: np.ndarray) -> Iterator[tuple[np.ndarray, Code, np.ndarray, list[np.ndarray], np.ndarray | int]]:
+        """(place in ``at``, code, symbols, contexts, kinds or the one kind) of the units ``at``."""
+        form, before = u.forms(at), u.before(at)
+        if self.word is None:
+            form = np.where(form < END, SPELLED, form)
+        else:
+            word, found = self._known(u.word[at])
+            ends, mark = u.ends[at], np.zeros(len(at), np.int64)
+            for i, m in enumerate(MARKS):
+                mark[(u.data[ends - 1] == m) & (ends - u.starts[at] > 1)] = i
+            rest = np.flatnonzero(~found & (mark > 0))
+            word[rest], found[rest] = self._known(span_hash(u.low, u.starts[at[rest]], ends[rest] - 1))
+            mark[np.setdiff1d(np.arange(len(at)), rest)] = 0
+            form = np.where((form < END) & ~found, SPELLED, np.where(form < END, form + mark, form))
+        every = np.arange(len(at))
+        yield every, self.form, form, [_hash(x, 8 + k) for k, x in enumerate(before)], FORM_KIND
+        coded = np.flatnonzero(form < END)
+        if len(coded):
+            yield coded, self.word, word[coded], [_hash(x[coded], 16 + k) for k, x in enumerate(before)], WORD_KIND
+        spelled = np.flatnonzero(form == SPELLED)
+        if len(spelled):
+            own, sym, begins = self._spell(u, at[spelled])
+            yield spelled[own], self.byte, sym, *self._byte_contexts(sym, begins, mix(before[3][spelled])[own])
+
+    def _known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return word, self.known[word] == h
+
+    @staticmethod
+    def _spell(u: Units, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of units, with the mark of an end after words: their unit, themselves, and where their unit begins."""
+        marked = u.data[u.starts[at]] != TEXT_END
+        size = u.ends[at] - u.begins[at] + marked
+        off = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        own = np.repeat(np.arange(len(at)), size)
+        place = np.arange(off[-1]) - off[own]
+        sym = u.data[np.minimum(u.begins[at][own] + place, len(u.data) - 1)].astype(np.int64)
+        sym[off[1:][marked] - 1] = WORD_END
+        return own, sym, off[:-1][own]
+
+    @staticmethod
+    def _byte_contexts(sym: np.ndarray, begins: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        n, place, last = len(sym), np.arange(len(sym)) - begins, []
         for k in range(1, 4):
-            last = np.full(n, NONE, np.uint32)
-            last[k:] = sym[:-k] if k < n else sym[:0]
-            last[place < k] = NONE
-            h = (h + last + np.uint32(1)) * np.uint32(0x2C1B3C6D)
-            h = h ^ (h >> np.uint32(15))
-            out.append(h[at])
-        begins = np.repeat(self.off[:-1], np.diff(self.off))[at]
-        so_far = span_hash(prefix_sums(sym), begins, at)
-        after = mix(so_far ^ np.repeat(self.prev, np.diff(self.off))[at])
-        return [*out, (so_far >> U64(32)).astype(np.uint32), (after >> U64(32)).astype(np.uint32)]
-
-
-def slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    x = (context ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
-    return (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - SLOT_BITS)
-
-
-def decisions(code: Code, sym: np.ndarray, ctx: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """For each depth of the code: the positions that have it, their bits, and the slots of all orders."""
-    at, length = np.arange(len(sym)), code.length[sym]
-    for d in range(code.node.shape[1]):
-        at = at[length[at] > d]
-        if not len(at):
-            return
-        s = sym[at]
-        node = code.node[s, d]
-        yield d, at, code.bit[s, d], [slot(c[at], node) for c in ctx]
+            x = np.full(n, NONE, np.int64)
+            x[k:] = sym[:-k] if k < n else sym[:0]
+            x[place < k] = NONE
+            last.append(x.astype(U64))
+        out = [_hash(last[0] | last[1] << U64(9), 24), _hash(last[0] | last[1] << U64(9) | last[2] << U64(18), 25)]
+        so_far = span_hash(prefix_sums(sym), begins, np.arange(n))
+        return [*out, _hash(so_far, 26), _hash(so_far ^ before, 27)], KIND[last[0].astype(np.intp)]
+
+    def steps(self, u: Units, at: np.ndarray) -> Iterator[tuple[np.ndarray, Coded]]:
+        """The symbols of the units ``at``, ``STEP`` at a time, with their place in ``at``."""
+        for own, code, sym, ctx, kind in self.symbols(u, at):
+            for i in range(0, len(sym), STEP):
+                s = slice(i, i + STEP)
+                c = Coded(code, self.bits, sym[s], [x[s] for x in ctx], kind if isinstance(kind, int) else kind[s])
+                yield own[s][c.order], c
+
+
+def slot_bits(n_bytes: int) -> int:
+    """A slot for about 64 bytes of training texts, within bounds that memory sets."""
+    return min(MOST_BITS, max(LEAST_BITS, (n_bytes // 64).bit_length()))
+
+
+def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The nearest levels of counts, by ratio, as one byte."""
+    edges = np.sqrt((LEVELS[1:] + 0.4) * (LEVELS[:-1] + 0.4)) - 0.4
+    return (np.searchsorted(edges, zeros) * 16 + np.searchsorted(edges, ones)).astype(np.uint8)
+
+
+def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones + 0.4) / (zeros + 0.4))
+
+
+_ZEROS, _ONES = LEVELS[np.arange(256) // 16], LEVELS[np.arange(256) % 16]
+#: The log odds of a state, and those without one zero and without one one.
+STATE_ODDS = _odds(_ZEROS, _ONES).astype(np.float32)
+WITHOUT = np.stack([_odds(np.maximum(_ZEROS - 1, 0), _ONES), _odds(_ZEROS, np.maximum(_ONES - 1, 0))]).astype(np.float32)
 
 
 def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,126 +284,156 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(257), pa.int32()), pa.array(total)], names=["symbol", "n"])
 
 
-def _context_counts(code: Code):
+def _context_counts(coder: Coder):
     """Counts of zeros and ones in all slots over a task's training texts, in packed blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 * SLOTS, np.uint32) for _ in range(ORDERS)]
+        counts = [np.zeros(2 << coder.bits, np.uint32) for _ in range(ORDERS)]
         for batch in batches:
             data, off = flat(batch.column("text"))
             for a, b in blocks(off, TOGETHER):
-                s = Stream.of(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                first, pair = s.pairs()
-                places, o = s.symbols_of(first)
-                each = np.repeat(np.bincount(pair).astype(np.uint32), np.diff(o))
-                for _, at, bit, slots in decisions(code, s.sym[places], s.contexts(places)):
-                    many = each[at]
-                    for k in range(ORDERS):
-                        np.add.at(counts[k], slots[k].astype(np.intp) * 2 + bit, many)
+                u = Units(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                first, pair = u.pairs()
+                each = np.bincount(pair).astype(np.uint32)
+                for own, c in coder.steps(u, first):
+                    many = each[own]
+                    for _, m, bit, slots in c.depths():
+                        for k in range(len(slots)):
+                            np.add.at(counts[k], slots[k] * 2 + bit, many[:m])
         for k in range(ORDERS):
-            for i in range(SLOTS // BLOCK):
-                part = counts[k][2 * i * BLOCK : 2 * (i + 1) * BLOCK]
+            for i in range(0, 1 << coder.bits, BLOCK):
+                part = counts[k][2 * i : 2 * (i + BLOCK)]
                 used = np.flatnonzero(part)
                 if len(used):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([pack(used.astype(np.uint16))], pa.binary()), pa.array([pack(part[used])], pa.binary())], names=["k", "block", "used", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i // BLOCK], pa.int32()), pa.array([pack(used.astype(np.uint16))], pa.binary()), pa.array([pack(part[used])], pa.binary())], names=["k", "block", "used", "n"])
 
     return run
 
 
 def _merge_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block's counts of all tasks, added up one by one."""
+    """The states of one block's slots, from the counts of all tasks, added up one by one."""
     total = np.zeros(2 * BLOCK, np.int64)
     for batch in batches:
         for used, n in zip(batch.column("used"), batch.column("n"), strict=True):
             total[unpack(used.as_py(), np.uint16)] += unpack(n.as_py(), np.uint32)
-    used = np.flatnonzero(total)
-    small = np.minimum(total[used], np.iinfo(np.int32).max).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([pack(used.astype(np.uint16))], pa.binary()), pa.array([pack(small)], pa.binary())], names=["k", "block", "used", "n"])
-
-
-def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log odds in sixteenths."""
-    return np.clip(np.round(np.log((ones + 0.4) / (zeros + 0.4)) * 16), -127, 127).astype(np.int8)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([pack(states(total[::2], total[1::2]))], pa.binary())], names=["k", "block", "states"])
 
 
 class MixingModel:
-    """Tables of log odds, mixing weights by gate, and the refinement."""
+    """Tables of states, mixing weights by gate, and the refinement of log odds."""
 
     BINS = 33
 
-    def __init__(self, code: Code, odds: list[np.ndarray]):
-        self.code, self.odds = code, odds
-        self.weights = np.full((DEPTHS * CLASSES, ORDERS), 0.35 / 16, np.float32)
-        self.refined = np.tile(np.linspace(-8, 8, self.BINS), (CLASSES * 4, 1)).ravel().astype(np.float32)
-
-    def _predict(self, d: int, kind: np.ndarray, inputs: np.ndarray):
-        inputs = inputs.astype(np.float32)
-        gate = min(d, DEPTHS - 1) * CLASSES + kind
-        z = np.einsum("ij,ij->i", inputs, self.weights[gate])
-        return inputs, gate, z, self._cell(d, kind, z)
-
-    def _cell(self, d: int, kind: np.ndarray, z: np.ndarray) -> np.ndarray:
-        return (kind * 4 + min(d, 3)) * self.BINS + np.rint((np.clip(z, -8, 8) + 8) * 2).astype(np.int64)
-
-    def learn(self, counts: list[np.ndarray], stream: Stream, step: int = 512, rate: float = 0.01, refine: float = 0.02) -> None:
-        """Online: each few bits are predicted with what was learned of those before them, and without their own counts."""
-        sym, every = stream.sym, np.arange(len(stream.sym))
-        kind, ctx = stream.kinds(every), stream.contexts(every)
-        for i in range(0, len(sym), step):
-            s = slice(i, i + step)
-            for d, at, bit, slots in decisions(self.code, sym[s], [c[s] for c in ctx]):
-                pairs = [counts[k].reshape(-1, 2)[slots[k]] for k in range(ORDERS)]
-                odds = np.stack([_odds(np.maximum(p[:, 0] - (bit == 0), 0), np.maximum(p[:, 1] - (bit == 1), 0)) for p in pairs], 1)
-                inputs, gate, z, cell = self._predict(d, kind[s][at], odds)
-                error = bit - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                np.add.at(self.weights, gate, (rate / 256 * error[:, None] * inputs / 16).astype(np.float32))
-                miss = bit - 1 / (1 + np.exp(-self.refined[cell]))
-                np.add.at(self.refined, cell, (refine * miss * 4).astype(np.float32))
-
-    def log10(self, sym: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The log10 probability of each unit as a text's first."""
-        n = len(off) - 1
-        return self.log10_of(Stream(sym, off, np.arange(n + 1), np.zeros(n, U64), np.zeros(n, U64)), np.arange(n))
-
-    def log10_of(self, stream: Stream, chosen: np.ndarray) -> np.ndarray:
-        """The log10 probability of each chosen unit after what stands before it."""
-        if not len(chosen):
-            return np.zeros(0)
-        places, off = stream.symbols_of(chosen)
-        kind, total = stream.kinds(places), np.zeros(len(places))
-        for d, at, bit, slots in decisions(self.code, stream.sym[places], stream.contexts(places)):
-            own, z = kind[at], np.zeros(len(at), np.float32)
-            weights = self.weights[min(d, DEPTHS - 1) * CLASSES :][:CLASSES]
-            for k in range(ORDERS):
-                z += weights[own, k] * self.odds[k][slots[k]]
-            z = (z + self.refined[self._cell(d, own, z)]) * np.float32(0.5)
-            z = np.where(bit == 1, z, -z)
-            total[at] += np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
-        return np.add.reduceat(total, off[:-1]) / np.log(10)
+    def __init__(self, coder: Coder, tables: list[np.ndarray]):
+        self.coder, self.tables = coder, tables
+        self.weights = np.full((DEPTHS * KINDS, ORDERS), 0.4)
+        self.refined = np.tile(np.linspace(-8, 8, self.BINS), KINDS * 4)
+
+    def _cell(self, d: int, kind: np.ndarray | int, z: np.ndarray) -> np.ndarray:
+        return np.rint(np.minimum(np.maximum(z, -8), 8) * 2 + 16).astype(np.intp) + (kind * 4 + min(d, 3)) * self.BINS
+
+    def learn(self, blocks_of_units: Iterator[Units], rate: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Online: each few thousand bits are predicted with the weights learned of those before them, and without their own counts.
+
+        Returns the weights, the bits that each gate has seen, and zeros and ones in the cells of the refinement.
+        """
+        w, power = self.weights.copy(), np.full(self.weights.shape, 1e-6)
+        seen, cells, flat_without = np.zeros(len(w)), np.zeros(2 * len(self.refined)), WITHOUT.ravel()
+        for u in blocks_of_units:
+            first, pair = u.pairs()
+            each = np.bincount(pair).astype(np.float32)
+            for own, c in self.coder.steps(u, first):
+                every = each[own]
+                for d, m, bit, slots in c.depths():
+                    many, kind, low = every[:m], c.kind if isinstance(c.kind, int) else c.kind[:m], min(d, DEPTHS - 1) * KINDS
+                    without = bit.astype(np.intp) * 256
+                    x = [flat_without.take(self.tables[k].take(slots[k]) + without) for k in range(len(slots))]
+                    z = sum((w[low + kind, k].astype(np.float32) if isinstance(kind, int) else w[low : low + KINDS, k].astype(np.float32).take(kind)) * x[k] for k in range(len(x)))
+                    error = (bit - 1 / (1 + np.exp(-np.minimum(np.maximum(z, -30), 30)))) * many
+                    if isinstance(kind, int):
+                        gates, n, g = slice(low + kind, low + kind + 1), np.array([many.sum()]), np.array([[error @ y for y in x]])
+                    else:
+                        gates, n = slice(low, low + KINDS), np.bincount(kind, many, minlength=KINDS)
+                        g = np.stack([np.bincount(kind, error * y, minlength=KINDS) for y in x], 1)
+                    g = g / np.maximum(n, 1)[:, None]
+                    own = gates, slice(0, len(x))
+                    power[own] = np.where(n[:, None] > 0, 0.95 * power[own] + 0.05 * g**2, power[own])
+                    w[own] += rate * g / (np.sqrt(power[own]) + 1e-3)
+                    seen[gates] += n
+                    cells += np.bincount(self._cell(d, kind, z) * 2 + bit, many, minlength=cells.size)
+        return w, seen, cells.reshape(-1, 2).T
+
+    def adopt(self, weights: np.ndarray, seen: np.ndarray, cells: np.ndarray) -> None:
+        """``weights``: sums over chunks of weights by bits seen. Gates and cells without evidence stay as they are."""
+        self.weights = np.where(seen[:, None] > 0, weights / np.maximum(seen, 1)[:, None], self.weights)
+        start = 1 / (1 + np.exp(-self.refined))  # counts as two bits
+        self.refined = _odds(cells[0] + 2 * (1 - start) - 0.4, cells[1] + 2 * start - 0.4)
+
+    def mixed(self) -> np.ndarray:
+        """What each state adds to the mix: (depth, order, kind * 256 + state)."""
+        return (self.weights.reshape(DEPTHS, KINDS, ORDERS).transpose(0, 2, 1)[:, :, :, None] * STATE_ODDS).reshape(DEPTHS, ORDERS, KINDS * 256).astype(np.float32)
+
+    def log10_of(self, u: Units, chosen: np.ndarray) -> np.ndarray:
+        """The log10 probability of each chosen unit after the one before it."""
+        total, refined, mixed = np.zeros(len(chosen)), self.refined.astype(np.float32), self.mixed()
+        for own, c in self.coder.steps(u, chosen):
+            total += np.bincount(own, self._logs(c, mixed, refined), minlength=len(chosen))
+        return total / np.log(10)
+
+    def _logs(self, c: Coded, mixed: np.ndarray, refined: np.ndarray) -> np.ndarray:
+        one = isinstance(c.kind, int)
+        sums, kind256 = np.zeros(len(c.sym)), c.kind * 256
+        for d, m, bit, slots in c.depths():
+            z, kind = np.zeros(m, np.float32), c.kind if one else c.kind[:m]
+            for k in range(len(slots)):
+                adds, state = mixed[min(d, DEPTHS - 1), k], self.tables[k].take(slots[k])
+                z += adds[kind256 : kind256 + 256].take(state) if one else adds.take(kind256[:m] + state)
+            z += refined.take(self._cell(d, kind, z))
+            z *= np.float32(0.5) - bit  # half the sum, of the sign against the bit
+            sums[:m] -= np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+        return sums
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The log10 probability of each text with its end."""
         out = np.zeros(len(off) - 1)
         for a, b in blocks(off, TOGETHER):
-            s = Stream.of(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            first, pair = s.pairs()
-            out[a:b] = np.bincount(owners(s.own), self.log10_of(s, first)[pair], minlength=b - a)
+            u = Units(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            first, pair = u.pairs()
+            out[a:b] = np.bincount(owners(u.own), self.log10_of(u, first)[pair], minlength=b - a)
         return out
 
 
-def train_model(texts: DataFrame, code: Code, *, sample: int = 300) -> MixingModel:
-    """Counts of all training ``texts``; at most ``sample`` of them, of least hash, set the weights."""
-    counted = texts.select("text").mapInArrow(_context_counts(code), "k int, block int, used binary, n binary")
-    merged = counted.groupBy("k", "block").applyInArrow(_merge_counts, "k int, block int, used binary, n binary").toArrow()  # at most ORDERS * 2 * SLOTS counts
-    counts = [np.zeros(2 * SLOTS, np.int32) for _ in range(ORDERS)]
-    for k, i, used, n in zip(*(merged.column(c).to_pylist() for c in ("k", "block", "used", "n")), strict=True):
-        counts[k][2 * i * BLOCK + unpack(used, np.uint16).astype(np.int64)] = unpack(n, np.int32)
-    model = MixingModel(code, [_odds(c[::2], c[1::2]) for c in counts])
-    ids = durable(least_hashed(texts.select("doc_id").where("doc_id is not null").distinct(), sample, "doc_id"), "lm-ids")
-    text = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text").orderBy("doc_id", "text").toArrow()
-    data, off = flat(text.column("text"))
-    for a, b in blocks(off, 1 << 17):
-        model.learn(counts, Stream.of(data[off[a] : off[b]], off[a : b + 1] - off[a]))
+#: Sums of weights and bits travel as whole numbers of this part, so that their order does not matter.
+PART = 2.0**-16
+
+
+def _learn(model: MixingModel):
+    """What a chunk's training texts teach: (name, place, sum) rows."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        data, off = flat(table.column("text"))
+        w, seen, cells = model.learn(Units(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in blocks(off, TOGETHER))
+        sums = np.concatenate([(w * seen[:, None]).ravel(), seen, cells.ravel()])
+        at = np.flatnonzero(sums)
+        return pa.table({"place": pa.array(at, pa.int32()), "sum": pa.array(np.rint(sums[at] / PART).astype(np.int64))})
+
+    return run
+
+
+def train_model(parts: DataFrame, coder: Coder) -> MixingModel:
+    """Counts, weights and refinement from all texts of the chunks ``parts``."""
+    counted = parts.select("text").mapInArrow(_context_counts(coder), "k int, block int, used binary, n binary")
+    merged = counted.groupBy("k", "block").applyInArrow(_merge_counts, "k int, block int, states binary").toArrow()  # at most ORDERS << MOST_BITS bytes
+    tables = [np.zeros(1 << coder.bits, np.uint8) for _ in range(ORDERS)]
+    for k, i, x in zip(*(merged.column(c).to_pylist() for c in ("k", "block", "states")), strict=True):
+        tables[k][i * BLOCK : (i + 1) * BLOCK] = unpack(x, np.uint8)
+    model = MixingModel(coder, tables)
+    learned = parts.groupBy("chunk").applyInArrow(_learn(model), "place int, sum long").groupBy("place").agg(F.sum("sum").alias("sum")).toArrow()  # under 2,000 rows
+    sums = np.zeros(model.weights.size + len(model.weights) + 2 * len(model.refined))
+    sums[learned.column("place").to_numpy()] = learned.column("sum").to_numpy() * PART
+    w, seen, cells = np.split(sums, [model.weights.size, model.weights.size + len(model.weights)])
+    model.adopt(w.reshape(model.weights.shape), seen, cells.reshape(2, -1))
     return model
 
 
@@ -336,16 +471,25 @@ def _count_tokens(buckets: int):
     return run
 
 
-def _sum_tokens(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Answers each run with the counts over all; one more row, of no chunk, has the bucket's totals."""
+def _sum_tokens(frequent: int):
+    """Answers each run with the counts over all; one more row, of no chunk, has the bucket's totals and its tokens of so many occurrences."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _bucket_sums(key, table, frequent)
+
+    return run
+
+
+def _bucket_sums(key: tuple[pa.Scalar, ...], table: pa.Table, frequent: int) -> pa.Table:
     runs = [unpack_keys(x.as_py()) for x in table.column("keys")]
     counts = [unpack(x.as_py(), np.uint32) for x in table.column("counts")]
     every, at = np.unique(np.concatenate(runs), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts)).astype(np.uint64)
     cuts = np.cumsum([len(r) for r in runs])[:-1]
     answers = [pack(total[x]) for x in np.split(at, cuts)]
-    n = len(runs)
+    n, many = len(runs), total >= frequent
     return pa.table({
+        "keys": pa.array([None] * n + [pack_keys(every[many])], pa.binary()), "many": pa.array([None] * n + [pack(total[many])], pa.binary()),
         "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int64()), "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), "counts": pa.array([*answers, None], pa.binary()),
         "tokens": pa.array([0] * n + [int(total.sum())], pa.int64()), "distinct": pa.array([0] * n + [int((total > 0).sum())], pa.int64()),
     })
@@ -361,43 +505,58 @@ def _score(model: MixingModel):
         c = np.concatenate([unpack(x.as_py(), np.uint64) for x in got]) if len(got) else np.zeros(len(keys), np.uint64)
         n = len(off) - 1
         own, mine = owners(word_off), c[np.searchsorted(keys, h)]
-        end = int(c[np.searchsorted(keys, END_TOKEN)])
+        end, score = int(c[np.searchsorted(keys, END_TOKEN)]), model.score(data, off)
         return pa.table({
             "doc_id": docs.column("doc_id"), "learn": docs.column("learn"), "n_tokens": pa.array(np.diff(word_off) + 1), "n_known": pa.array(np.bincount(own, mine > 0, minlength=n).astype(np.int64) + (end > 0)),
-            "logs": pa.array(np.bincount(own, np.log10(mine + 0.5), minlength=n) + np.log10(end + 0.5)), "score": pa.array(model.score(data, off)),
+            "logs": pa.array(np.bincount(own, np.log10(mine + 0.5), minlength=n) + np.log10(end + 0.5)), "score": pa.array(score), "bits_per_byte": pa.array(-score / np.log10(2) / (np.diff(off) + 1)),
         })
 
     return run
 
 
-def score_texts(docs: DataFrame, learn, *, sample: int = 300) -> DataFrame:
+def _vocabulary(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words: sorted hashes and counts."""
+    got = sums.where("chunk is null").select("bucket", "keys", "many").orderBy("bucket").toArrow()
+    keys = np.concatenate([np.zeros(0, U64), *(unpack_keys(x.as_py()) for x in got.column("keys"))])
+    many = np.concatenate([np.zeros(0, U64), *(unpack(x.as_py(), U64) for x in got.column("many"))])
+    word = keys != END_TOKEN
+    keys, many = keys[word], many[word]
+    best = np.sort(np.lexsort((keys, ~many))[:VOCABULARY])
+    order = best[np.argsort(keys[best])]
+    return keys[order], many[order]
+
+
+def score_texts(docs: DataFrame, learn) -> DataFrame:
     """Scores of all whole texts by what the rows with ``learn`` (a boolean Column, not null) teach.
 
     Tokens are words between white space, A-Z lower-cased, and one end a text. ``base_score`` is the sum
     of log10((c+0.5)/(N+0.5*(V+1))) over a text's tokens; ``score`` is the mixing model's log10
-    probability of the text, end included. Null texts are empty: one token, the end. Repeated rows are
-    learned and scored as often as they occur; other columns are dropped; without training rows N and V
-    are 0. Returns doc_id, learn, n_tokens, n_known, train_tokens, base_score, score.
+    probability of the text, end included, and ``bits_per_byte`` the same by the bytes of the text and its
+    end. Null texts are empty: one token, the end. Repeated rows are learned and scored as often as they
+    occur; other columns are dropped; without training rows N and V are 0, and the model says what it
+    started with. Returns doc_id, learn, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
     """
     rows = docs.select("doc_id", "text", learn.alias("learn"))
     seen = {r["symbol"]: r["n"] for r in rows.select("text", "learn").mapInArrow(_byte_counts, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()}
-    code = Code(np.array([seen.get(s, 0) for s in range(256)]))
+    n_bytes = sum(n for s, n in seen.items() if s < 256)
     chunks, buckets = parts_of(seen.get(256, 0))
     parts = chunked(rows, chunks, "learn")
-    model = train_model(rows.where("learn"), code, sample=sample)
     runs = parts.groupBy("chunk").applyInArrow(_count_tokens(buckets), "bucket long, chunk long, keys binary, counts binary")
-    sums = durable(runs.groupBy("bucket").applyInArrow(_sum_tokens, "bucket long, chunk long, counts binary, tokens long, distinct long"), "lm-counts")
+    frequent = max(2, n_bytes >> 22)  # so at most 2**21 tokens reach the driver
+    sums = durable(runs.groupBy("bucket").applyInArrow(_sum_tokens(frequent), "keys binary, many binary, bucket long, chunk long, counts binary, tokens long, distinct long"), "lm-counts")
     n, v = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    model = train_model(parts.where("learn"), Coder(np.array([seen.get(s, 0) for s in range(256)]), *_vocabulary(sums), slot_bits(n_bytes)))
     kind = dict(docs.dtypes)["doc_id"]
     scored = parts.groupBy("chunk").cogroup(sums.where("chunk is not null").select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(
-        _score(model), f"doc_id {kind}, learn boolean, n_tokens long, n_known long, logs double, score double"
+        _score(model), f"doc_id {kind}, learn boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double"
     )
     each = float(np.log10(n + 0.5 * (v + 1)))
-    return scored.select("doc_id", "learn", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * each).alias("base_score"), "score")
+    return scored.select("doc_id", "learn", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * each).alias("base_score"), "score", "bits_per_byte")
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``score_texts``: null and empty texts are one token, the end; repeated rows score alike; rows of null doc_id are learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
     out = score_texts(docs, ~held_out)
-    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
