@@ -7,6 +7,11 @@ level on average, so that a pair stays together in a run with a fixed probabilit
 many as the target recall needs. In a bucket, pairs are compared by short sketches, which no pair of
 the threshold fails but with a chance far below the recall's; the linked parts of buckets are joined
 into groups, and in each group all pairs are compared exactly.
+
+A bucket too large for one task is dealt into parts that share some leaders. A set that resembles a
+leader closely is linked to all that resembles it by way of the leader. The others are split again, on
+places of their sketches, which are sampled grams too, so often that a pair at the threshold stays
+together with the target recall; buckets that are still too large are compared part by part.
 """
 
 from __future__ import annotations
@@ -26,14 +31,16 @@ from quire.plans.storage import durable
 WORDS = 5
 #: Places of a sketch, and the share of them that candidates must have in common: five deviations below 0.8.
 SKETCH, ALIKE = 64, 0.55
-#: The share that makes a member of a large bucket a near copy of its leader, which stands for it.
-NEAR = 0.95
+#: Sets of a bucket that are all compared; and the share that makes a member of a larger one a near copy of its leader, which stands for it.
+FEW, NEAR = 64, 0.95
 #: A part of a bucket that one task compares; larger buckets are dealt into parts that share their least members.
 PART, SHARED = 4096, 16
+#: Places of a sketch that split a bucket together, and how many such splits there are: a pair at the threshold fails all with a chance of (1 - 0.8 ** 3) ** 14 < 0.0001.
+PLACES, SPLITS = 3, 14
 #: Sets of a group that are compared at once; larger groups are compared block by block.
-BLOCK = 512
-#: Bits of the filter of sets that are in a group: 2 MiB, whatever their number.
-FILTER_BITS = 1 << 24
+BLOCK = 2048
+#: Bits of the filter of sets that are in a group: 16 a set, from 128 KiB to 16 MiB. Fuller ones let more sets pass, which the join removes.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -123,17 +130,23 @@ def _local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _link(threshold: float):
-    """Members of buckets whose sketches agree, as (a, b) with the least member that links of the pack connect: at most an edge a member."""
+    """Members of buckets whose sketches agree, as (a, b) with the least member that links of the pack connect: at most an edge a member.
+
+    Rows of columns path and digest are members of a dealt bucket that no shared leader stands for.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        path, part, ids, sizes = (table.column(c).to_numpy() for c in ("path", "part", "digest", "n"))
+        path, part, ids, sizes, shared, dealt = (table.column(c).to_numpy() for c in ("path", "part", "digest", "n", "shared", "dealt"))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        order = np.lexsort((ids, part, path))
-        path, part, ids, sizes, sketches = path[order], part[order], ids[order], sizes[order], sketches[order]
+        order = np.lexsort((ids, ~shared, part, path))
+        path, part, ids, sizes, shared, dealt, sketches = (x[order] for x in (path, part, ids, sizes, shared, dealt, sketches))
         bucket = np.cumsum(np.append(True, (path[1:] != path[:-1]) | (part[1:] != part[:-1]))) - 1
         length = np.bincount(bucket)
+        starts = np.cumsum(np.append(0, length))
+        led = (length > FEW) | dealt[starts[:-1]]
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        d, few = 1, np.flatnonzero(length[bucket] <= 64)
+        left = [np.zeros(0, np.int64)]
+        d, few = 1, np.flatnonzero(~led[bucket])
         while len(few):
             i = few[few + d < len(ids)]
             i = i[bucket[i + d] == bucket[i]]
@@ -142,14 +155,17 @@ def _link(threshold: float):
             ok = _links_in(sketches, sizes, threshold, i, i + d)
             found.append((ids[i[ok]], ids[i[ok] + d]))
             d, few = d + 1, i
-        starts = np.cumsum(np.append(0, length))
-        for b in np.flatnonzero(length > 64):
+        for b in np.flatnonzero(led):
             rest, label = np.arange(starts[b], starts[b + 1]), np.arange(length[b])
-            while len(rest) > 1:
+            told = not dealt[starts[b]]
+            while len(rest):
                 lead, others = rest[0], rest[1:]
+                if not told and not shared[lead]:
+                    left.append(rest)
+                    told = True
                 same = (sketches[others] == sketches[lead]).mean(1)
                 near = same >= NEAR
-                if near.any():  # what links a near copy is linked to the leader, whatever its size: their sketches differ in as many places more at most
+                if near.any() or shared[lead]:  # what links a near copy is linked to the leader, whatever its size: their sketches differ in as many places more at most
                     linked = others[same >= ALIKE - (1 - NEAR)]
                 else:
                     linked = others[_links_in(sketches, sizes, threshold, np.full(len(others), lead), others)]
@@ -161,11 +177,59 @@ def _link(threshold: float):
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         z = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
         nodes, roots = _local_roots(a, z)
-        return pa.table({"a": nodes, "b": roots})
+        at = np.concatenate(left)
+        none = lambda n: pa.nulls(n, pa.int64())
+        join = lambda x, y: pa.concat_arrays([x, y])
+        return pa.table({"a": join(pa.array(nodes), none(len(at))), "b": join(pa.array(roots), none(len(at))), "path": join(none(len(nodes)), pa.array(path[at])), "digest": join(none(len(nodes)), pa.array(ids[at]))})
 
     return run
 
 
+def _linked(buckets: DataFrame, sets: DataFrame, threshold: float, n: int, name: str) -> DataFrame:
+    """What ``_link`` says of bucket parts (path, digest, part, shared, dealt); ``n``: about so many rows."""
+    packed = buckets.join(sets.select("digest", "n", "sketch"), "digest").withColumn("pack", F.pmod(F.xxhash64("path", "part"), F.lit(max(1, n // 20_000))))
+    return durable(packed.groupBy("pack").applyInArrow(_link(threshold), "a long, b long, path long, digest long"), name)
+
+
+def _parts(members: DataFrame) -> DataFrame:
+    """Members (path, digest, size) with parts of at most about ``PART``: (path, digest, part, parts)."""
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    return members.select("path", "digest", F.pmod(F.xxhash64("digest"), parts).cast("int").alias("part"), parts.alias("parts"))
+
+
+def _sized(at: DataFrame) -> DataFrame:
+    return at.join(at.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path")
+
+
+def candidate_links(at: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) edges that connect the sets (digest, n, sketch) whose sketches agree in a bucket of ``at`` (path, digest)."""
+    members = durable(_parts(_sized(at)), "similar-members")
+    n_members = members.count()
+    large = members.where("parts > 1")
+    pick = F.when(F.pmod(F.xxhash64("digest"), F.col("parts") * max(1, PART // SHARED)) == 0, F.col("digest"))
+    shared = large.groupBy("path").agg(F.slice(F.array_sort(F.collect_set(pick)), 1, SHARED).alias("d"), F.first("parts").alias("parts"))  # about SHARED of a bucket
+    shared = shared.select("path", F.explode("d").alias("digest"), "parts").select("path", "digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = members.select("path", "digest", "part", F.lit(False).alias("shared"), (F.col("parts") > 1).alias("dealt"))
+    dealt = dealt.unionByName(shared.select("path", "digest", "part", F.lit(True).alias("shared"), F.lit(True).alias("dealt")))
+    dealt = dealt.groupBy("path", "digest", "part").agg(F.max("shared").alias("shared"), F.first("dealt").alias("dealt")) if n_members > PART else dealt
+    said = _linked(dealt, sets, threshold, n_members, "similar-edges")
+    edges, left = said.where("a is not null").select("a", "b"), said.where("a is null").select("path", "digest").distinct()
+    n_left = left.count() if n_members > PART else 0
+    if not n_left:
+        return edges
+
+    # what no shared leader stands for is split again, on places of the sketch
+    splits = [F.xxhash64("path", F.lit(r), *[F.substring("sketch", (r * PLACES + i) % SKETCH + 1, 1) for i in range(PLACES)]) for r in range(SPLITS)]
+    split = left.join(sets.select("digest", "sketch"), "digest").select("digest", F.explode(F.array(*splits)).alias("path"))
+    split = durable(_parts(_sized(split)), "similar-split")
+    whole = split.where("parts = 1").select("path", "digest", "part")
+    # and what is still together in too large a bucket is compared part by part
+    other = split.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = other.select(F.xxhash64("path", F.least("part", "other"), F.greatest("part", "other")).alias("path"), "digest", F.lit(0).alias("part"))
+    again = whole.unionByName(cells).distinct().withColumns({"shared": F.lit(False), "dealt": F.lit(False)})
+    return edges.unionByName(_linked(again, sets, threshold, n_left * SPLITS, "similar-edges").select("a", "b").where("a is not null"))
+
+
 def _grouped(bits: np.ndarray):
     """The sets of texts that may be in a group."""
 
@@ -175,7 +239,7 @@ def _grouped(bits: np.ndarray):
             for a, b in blocks(off):
                 sets = [g for g in sets_of(data[off[a] : off[b]], off[a : b + 1] - off[a]) if len(g)]
                 ids = np.array([digest(g) for g in sets], np.int64)
-                at = ids.view(U64) % U64(FILTER_BITS)
+                at = ids.view(U64) % U64(8 * len(bits))
                 hit = np.flatnonzero((bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1) if len(ids) else []
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["digest", "grams"])
 
@@ -192,9 +256,9 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], numerator: int = 4,
     live = shared[at]
     row, at = row[live], column[at[live]]
     common = np.zeros((len(left), len(right)), np.float32)
-    for c in range(0, int(shared.sum()), 8192):
-        inside = (at >= c) & (at < c + 8192)
-        m = np.zeros((len(sets), 8192), np.float32)
+    for c in range(0, int(shared.sum()), 4096):
+        inside = (at >= c) & (at < c + 4096)
+        m = np.zeros((len(sets), 4096), np.float32)
         m[row[inside], at[inside] - c] = 1
         common += m[: len(left)] @ m[len(left) :].T
     common = np.rint(common).astype(np.int64)
@@ -239,14 +303,29 @@ def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"digest": cat(out_id), "links": cat(out_n).astype(np.int64), "to": cat(out_to)})
 
 
+def _filter(groups: DataFrame) -> np.ndarray:
+    """Packed bits of the grouped sets; at most MOST_BITS / 64 rows reach the driver."""
+    bits, n = LEAST_BITS, groups.count()
+    while bits < 16 * n and bits < MOST_BITS:
+        bits *= 2
+    place = F.pmod(F.col("node"), F.lit(bits))  # a power of two divides 2**64, so the sign does not matter
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = groups.select(F.floor(place / 64).cast("int").alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, "<i8")
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint8)
+
+
 def link_similar(docs: DataFrame, *, recall: float = 0.9999, depth: int = 3, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id and n_links of every document.
 
     Words are runs of ASCII letters and digits and of other non-ASCII characters, A-Z lower-cased; a
     text of one to four words is one gram. ``n_links``: the other documents of a Jaccard similarity of
     at least 0.8, copies included. ``class_id``: the least doc_id of all documents that links connect.
-    A text without words has no links and is a class of its own. Rows of one doc_id count one by one;
-    other columns are dropped. Copies are never expanded into pairs: they count as one set with a number.
+    A text without words (null, empty) has no links and is a class of its own; of rows without doc_id one
+    that is alone in its class has none. Rows of one doc_id count one by one; other columns are dropped;
+    an empty table gives an empty one. A pair at the threshold is missed with a chance of at most
+    1 - ``recall``, and of 0.0001 more where all buckets that it shares are dealt. Copies are never expanded into pairs: they count as one set with a number.
     """
     if threshold != 0.8:
         raise ValueError("exact comparison is at 0.8")
@@ -256,24 +335,9 @@ def link_similar(docs: DataFrame, *, recall: float = 0.9999, depth: int = 3, thr
     signed = durable(docs.select("doc_id", "text").mapInArrow(_sign(seeds, depth, threshold), f"doc_id {kind}, digest long, n int, sketch binary, paths array<long>"), "similar-signed")
     sets = durable(signed.where("digest is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "similar-sets")
 
-    at = sets.select("digest", F.explode("paths").alias("path"))
-    size = at.groupBy("path").agg(F.count("*").alias("size"), F.min("digest").alias("first")).where("size > 1")
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    members = durable(at.join(size, "path").select("path", "digest", parts.alias("parts")), "similar-members")
-    n_members = members.count()
-    large = members.where("parts > 1")
-    shared = large.groupBy("path").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("digest"), F.col("parts") * (PART // SHARED)) == 0, F.col("digest")))), 1, SHARED).alias("d"), F.first("parts").alias("parts"))
-    shared = shared.select("path", F.explode("d").alias("digest"), "parts").select("path", "digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = members.select("path", "digest", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part")).unionByName(shared).distinct()
-    packs = max(1, n_members // 20_000)
-    dealt = dealt.join(sets.select("digest", "n", "sketch"), "digest").withColumn("pack", F.pmod(F.xxhash64("path", "part"), F.lit(packs)))
-    edges = dealt.groupBy("pack").applyInArrow(_link(threshold), "a long, b long")
-
+    edges = candidate_links(sets.select(F.explode("paths").alias("path"), "digest"), sets.select("digest", "n", "sketch"), threshold)
     groups = durable(components(edges), "similar-groups")
-    bits = np.zeros(FILTER_BITS, bool)
-    place = groups.select(F.pmod(F.conv(F.hex("node"), 16, 10).cast("decimal(20,0)"), F.lit(FILTER_BITS)).cast("int").alias("p")).distinct().toArrow()  # at most FILTER_BITS
-    bits[place.column("p").to_numpy()] = True
-    packed = np.packbits(bits, bitorder="little")
+    packed = _filter(groups)
     grams = docs.select("text").mapInArrow(_grouped(packed), "digest long, grams binary").groupBy("digest").agg(F.first("grams").alias("grams"))
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -294,4 +358,5 @@ def link_similar(docs: DataFrame, *, recall: float = 0.9999, depth: int = 3, thr
 
 
 def op2_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``link_similar``: null and empty texts are classes of their own without links, repeated rows are links of each other."""
     return link_similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
