@@ -35,6 +35,7 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no evidence and stay; each of repeated rows is judged alike; without labels of both kinds all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs.select(*COLUMNS), toxicity.train_toxicity(docs, labels))
 
@@ -49,22 +50,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold no window and stay; each of repeated rows is judged by itself, whatever its doc_id."""
     rows = _keyed(docs)
     hits = decontamination.benchmark_hits(_as_ids(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(rows, hits.where("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; null texts stay null, and ``n_chars`` follows the text."""
     docs = docs.select(*COLUMNS)
     return secrets.redact(docs, secrets.train_scanner(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of equal doc_id, source and size are in the mix alike."""
-    sized = docs.select(*COLUMNS).withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORDS)).cast("long"))
-    taken = mixing.mix_sources(sized, size=F.col("size")).where("taken > 0").distinct().withColumnsRenamed({"doc_id": "d", "source": "s", "size": "n"})
-    same = sized["doc_id"].eqNullSafe(taken["d"]) & sized["source"].eqNullSafe(taken["s"]) & (sized["size"] == taken["n"])
-    return sized.join(taken, same).select(*COLUMNS, "taken", "target")
+    """Rows of equal doc_id, source and size are in the mix alike; a null source is one of its own, and texts without words are not in the mix."""
+    rows = _keyed(docs)
+    taken = mixing.mix_sources(rows, carry=["row"]).where("taken > 0").select("row", "taken", "target")
+    return rows.join(taken, "row").select(*COLUMNS, "taken", "target")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -77,6 +79,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each read back from what the one before has written; an empty table gives an empty one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
