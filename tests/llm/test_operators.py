@@ -52,10 +52,10 @@ def brute_hits(text, items):
     for name, t in items:
         w = words(t)
         n = min(10, len(w))
-        for j in range(len(w) - n + 1 if n and name else 0):
+        for j in range(len(w) - n + 1 if n else 0):
             for i in at[tuple(w[j : j + n])]:
                 hit.update(range(i, i + n))
-                found.add(name)
+                found |= {name} - {None}
     return len(d), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
@@ -176,9 +176,8 @@ def near_copies():
 @pytest.mark.parametrize("small", [False, True])
 def test_similar_texts(spark, monkeypatch, small):
     if small:
-        monkeypatch.setattr(similar_texts, "PART", 4)
-        monkeypatch.setattr(similar_texts, "SHARED", 2)
-        monkeypatch.setattr(similar_texts, "BLOCK", 3)
+        for name, value in (("PART", 4), ("SHARED", 2), ("BLOCK", 3), ("FEW", 2)):
+            monkeypatch.setattr(similar_texts, name, value)
     rows = near_copies()
     got = similar_texts.link_similar(spark.createDataFrame(rows, "doc_id long, text string"))
     assert rows_of(got, "doc_id", "class_id", "n_links") == brute_links(rows)
@@ -192,11 +191,73 @@ def test_near_copies_of_a_leader_keep_their_links():
     copy[:3] += 1
     short[:16] += 3
     sizes, sketches = [1000] * 66 + [980, 785], [leader] * 66 + [copy, short]
-    table = pa.table({"path": [7] * 68, "part": [0] * 68, "digest": list(range(68)), "n": pa.array(sizes, pa.int32()), "sketch": [s.tobytes() for s in sketches]})
+    table = pa.table({"path": [7] * 68, "part": [0] * 68, "digest": list(range(68)), "n": pa.array(sizes, pa.int32()), "sketch": [s.tobytes() for s in sketches], "shared": [False] * 68, "dealt": [False] * 68})
     found = similar_texts._link(0.8)((), table).to_pydict()
     assert dict(zip(found["a"], found["b"], strict=True)) == {i: 0 for i in range(1, 68)}
 
 
+def cluster(rng, first, copies, n=500):
+    """Near copies of one text, of sizes around the border of 0.8, some of which only resemble some others."""
+    words = [f"c{first}w{i}" for i in range(n)]
+    rows = []
+    for k in range(copies):
+        kind = k % 8
+        w = list(words) if kind else words[: int(n * rng.uniform(0.78, 0.84))]
+        if kind == 1:
+            w = w + [f"x{first}y{i}" for i in range(rng.randrange(int(n * 0.02), int(n * 0.26)))]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+        rows.append((first + k, " ".join(w)))
+    return rows
+
+
+def numpy_links(rows, monkeypatch):
+    """Classes and links by comparing all sets."""
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    names = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    shared = Counter(g for s in sets for g in s)
+    wide = [g for g, c in shared.items() if c > 1]
+    at = {g: i for i, g in enumerate(wide)}
+    m = np.zeros((len(rows), len(wide)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[g] for g in s if g in at]] = 1
+    size = np.array([len(s) for s in sets])
+    common = np.rint(m @ m.T).astype(np.int64)
+    ok = 9 * common >= 4 * (size[:, None] + size[None, :])
+    np.fill_diagonal(ok, False)
+    label = np.array([d for d, _ in rows])
+    while True:
+        new = np.minimum(label, np.where(ok, label[None, :], 1 << 60).min(1))
+        if (new == label).all():
+            return sorted((d, int(c), int(n)) for (d, _), c, n in zip(rows, label, ok.sum(1), strict=True))
+        label = new
+
+
+@pytest.mark.parametrize(("copies", "part"), [(65, 4096), (200, 64), (4200, 4096)])
+def test_large_clusters_lose_no_link(spark, monkeypatch, copies, part):
+    monkeypatch.setattr(similar_texts, "PART", part)
+    rng = random.Random(copies)
+    rows = [r for c in range(3 if copies < 1000 else 1) for r in cluster(rng, 100_000 * (c + 1), copies, 300 if copies < 1000 else 120)]
+    got = similar_texts.link_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert rows_of(got, "doc_id", "class_id", "n_links") == sorted(numpy_links(rows, monkeypatch), key=repr)
+
+
+def test_a_shared_passage_hides_no_pair(spark, monkeypatch):
+    """Buckets that hold only a passage that all texts share are dealt, and yet the small groups in them are found."""
+    monkeypatch.setattr(similar_texts, "PART", 32)
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for g in range(120):
+        own = [f"g{g}w{i}" for i in range(80)]
+        for k in range(2):
+            w = list(own)
+            w[rng.randrange(80)] = f"n{g}{k}"
+            rows.append((10 * g + k, " ".join(passage + w)))
+    got = similar_texts.link_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "class_id", "n_links") == sorted(numpy_links(rows, monkeypatch), key=repr)
+
+
 def test_similar_texts_of_nothing(spark):
     assert similar_texts.link_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert similar_texts.runs_for(0.9999, 3) >= similar_texts.runs_for(0.99, 3) > 1
@@ -217,24 +278,54 @@ def test_language_model(spark, docs, monkeypatch):
     for size in (8 << 20, 50_000):
         monkeypatch.setattr(exchange, "CHUNK", size)
         monkeypatch.setattr(exchange, "BUCKET", size // 3)
-        out = language_model.score_texts(docs, learn, sample=3)
+        out = language_model.score_texts(docs, learn)
         assert rows_of(out.withColumn("base_score", F.round("base_score", 6)), "doc_id", "n_tokens", "n_known", "train_tokens", "base_score") == expected
         assert out.where("score >= 0 or score is null or isnan(score)").count() == 0
 
 
 def test_the_model_is_a_distribution():
-    """The probabilities of all codes that go on from a prefix add up to one, so scores are those of a code."""
-    code = language_model.Code(np.arange(256))
-    assert sum(2.0**-n for n in code.length.tolist()) == pytest.approx(1)
-    model = language_model.MixingModel(code, [np.random.default_rng(k).integers(-60, 60, language_model.SLOTS).astype(np.int8) for k in range(language_model.ORDERS)])
-    first = np.arange(256)
-    assert (10 ** model.log10(first, np.arange(257))).sum() == pytest.approx(1, abs=1e-5)
+    """The probabilities of all symbols of a code add up to one, so scores are those of a code."""
+    rng = np.random.default_rng(3)
+    coder = language_model.Coder(np.arange(256), np.sort(rng.integers(0, 2**63, 700).astype(np.uint64)), np.arange(700), 16)
+    model = language_model.MixingModel(coder, [rng.integers(0, 256, 1 << 16).astype(np.uint8) for _ in range(language_model.ORDERS)])
+    for code, kind in ((coder.form, language_model.FORM_KIND), (coder.word, language_model.WORD_KIND), (coder.byte, np.zeros(256, np.int64))):
+        n = len(code.length)
+        assert sum(2.0**-x for x in code.length.tolist()) == pytest.approx(1)
+        c = language_model.Coded(code, 16, np.arange(n), [np.full(n, 77 << 16, np.uint32)] * 4, kind)
+        assert np.exp(model._logs(c, model.mixed(), model.refined.astype(np.float32))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_units_and_forms():
+    texts = ["The cat,  sat. ON\nthe mat", "", "  ", "cat mAt dog!"]
+    u = language_model.Units(*language_model.flat(pa.array(texts)))
+    assert b"".join(u.data[a:b].tobytes() for a, b in zip(u.begins, u.ends)) == b"".join(t.encode() + b"\xff" for t in texts)
+    known = {w: language_model._tokens(*language_model.flat(pa.array([w])))[0][0] for w in ("the", "cat", "sat", "on")}
+    keys = np.sort(np.array(list(known.values()), np.uint64))
+    coder = language_model.Coder(np.arange(256), keys, np.ones(4), 12)
+    at, _, form, _, _ = next(iter(coder.symbols(u, np.arange(len(u.starts)))))
+    spelled = [u.data[a:b].tobytes() for a, b, f in zip(u.begins, u.ends, form) if f == language_model.SPELLED]
+    assert spelled == [b"  sat.", b" mat", b"  \xff", b" mAt", b" dog!"] and (form == language_model.END).sum() == 3
+
+
+def test_language_model_without_training_rows(spark, docs):
+    out = language_model.score_texts(docs, F.lit(False)).collect()
+    assert len(out) == len(EDGES) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] < 0 for r in out)
+    half = language_model.score_texts(docs, F.coalesce(F.col("doc_id") == 14, F.lit(False))).collect()
+    assert len(half) == len(EDGES) and all(r["train_tokens"] == 7 for r in half)
+    assert language_model.score_texts(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_bits_per_byte_beat_the_counts(spark):
+    """On held-out texts the model, which spells every word, needs fewer bits than the counts of words with unknown words spelled at their mean cost."""
+    got = queries.QUERIES["op7_lm_scores"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "doc_id").where("held_out")
+    bits, n = got.agg(F.sum(-F.col("score") / math.log10(2)), F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()
+    assert bits / n < 2.4
 
 
 def test_it_learns_what_it_reads(spark):
     rows = [(i, "the cat sat on the mat " * 20 if i % 2 else "zq xv jk wq pf " * 20) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(df, F.col("doc_id") % 2 == 1, sample=5).collect()}
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(df, F.col("doc_id") % 2 == 1).collect()}
     assert min(got[i] for i in range(1, 40, 2)) > max(got[i] for i in range(0, 40, 2))
 
 
@@ -243,7 +334,7 @@ def test_the_order_of_words_counts(spark):
     swapped = [words[0], *reversed(words[1:])]
     rows = [(i, " ".join(words * 20) if i else " ".join(swapped * 20)) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(df, F.col("doc_id") >= 2, sample=5).collect()}
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(df, F.col("doc_id") >= 2).collect()}
     assert got[1] > got[0] + 10
 
 
@@ -291,9 +382,7 @@ def test_counterfactuals_lower_the_weight_of_identities():
     pairs = []
     for t in texts:
         for a, b in toxicity.counterfactuals(t, toxicity.IDENTITIES):
-            (ia, ra), (ib, rb) = toxicity.rows_of([a, b])
-            u, inv = np.unique(np.concatenate([ia, ib]), return_inverse=True)
-            pairs.append((u, np.bincount(inv, np.concatenate([ra, -rb]))))
+            pairs += toxicity.differences([(a, b)])
     assert pairs
     plain = toxicity.fit([i for i, _ in found], [r for _, r in found], np.array(y))
     fair = toxicity.fit([i for i, _ in found], [r for _, r in found], np.array(y), pairs)
@@ -302,6 +391,37 @@ def test_counterfactuals_lower_the_weight_of_identities():
     assert gap(fair) < 0.3 * gap(plain)
 
 
+NEUTRAL = ["we met {} today in the garden", "the {} next door cook rice", "a book about {} and old trains", "many {} live by the river"]
+
+
+def test_neutral_mentions_keep_their_score(spark):
+    """Where toxic texts name a group more often than others do, the penalty keeps neutral mentions of it from being rejected."""
+    rng = random.Random(31)
+    rows, marks = [], []
+    for i in range(1200):
+        bad = i % 3 == 0
+        who = "muslims" if rng.random() < (0.8 if bad else 0.02) else rng.choice(["people", "friends"])
+        rows.append((i, f"{rng.choice(TOXIC) if bad and rng.random() < 0.7 else rng.choice(FINE)}. {rng.choice(FINE)} with {who}. {rng.choice(FINE)}."))
+        marks.append((i, int(bad)))
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    gap, rejected = {}, {}
+    for penalty in (0.0, 10.0):
+        model = toxicity.train_toxicity(df, labels, penalty=penalty)
+        assert model.n_pairs > 20
+        margins = {t: model.margins(*toxicity.flat(pa.array([s.format(t) for s in NEUTRAL]))) for t in ("muslims", "christians", "jews")}
+        gap[penalty] = max(np.abs(margins["muslims"] - margins[t]).max() for t in ("christians", "jews"))
+        rejected[penalty] = sum((model.scores(m) >= model.CUT_SCORE).sum() for m in margins.values())
+    assert gap[10.0] < 0.2 * gap[0.0] and rejected[10.0] < rejected[0.0]
+
+
+def test_pairs_on_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train_toxicity(docs, labels)
+    assert model.n_pairs >= 1000
+    got = toxicity.score_toxicity(spark.createDataFrame([(i, s.format(t)) for i, (s, t) in enumerate((s, t) for s in NEUTRAL for k in toxicity.IDENTITIES for t in k)], "doc_id long, text string"), model)
+    assert got.where("predicted = 1").count() == 0
+
+
 def test_toxicity_on_edges(spark, docs, labels):
     model = toxicity.train_toxicity(docs, labels)
     out = toxicity.score_toxicity(docs, model)
@@ -328,6 +448,14 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language.identify(docs, language.train_filters(train.limit(0))).collect()} == {"und"}
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 70 // 26)}{chr(97 + i % 70 % 26)}{chr(97 + i % 70 * 7 % 26)}qu{w}" for w in "abcdef"), f"l{i % 70:02}") for i in range(280)]
+    filters = language.train_filters(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(filters.langs) == 70 and filters.bits.shape[0] == 2
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), filters).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 70:02}" for r in got) > 0.95 * len(rows)
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.QUERIES["op3_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out")
@@ -440,6 +568,37 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0), listed()).count() == 0
 
 
+def test_a_dealt_filter(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_BLOCKS", 1)
+    test_urls(spark)
+
+
+def test_other_sites_are_not_listed(spark):
+    pages = spark.createDataFrame([(1, "http://blog.spam-farm.example.org/x"), (2, "http://www.a.example.org/x"), (3, "http://a.example.org/x"), (4, "http://m.a.example.org/x")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, spark.createDataFrame([("https://a.example.org/x/",), (None,)], "url string")).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "allow"}
+
+
+def test_text_ids(spark):
+    """Ids of any type, where their order does not matter."""
+    df = spark.createDataFrame([("b", PASSAGE, "x"), ("a", f"{PASSAGE} end", "x"), (None, None, None)], "doc_id string, text string, source string")
+    items = spark.createDataFrame([("i", PASSAGE)], "item_id string, text string")
+    assert rows_of(decontamination.benchmark_hits(df, items), "doc_id", "contaminated") == sorted([("b", True), ("a", True), (None, False)], key=repr)
+    assert mixing.mix_sources(df).count() == 3 and language_model.score_texts(df, F.lit(True)).count() == 3
+    assert {r["class_id"] for r in similar_texts.link_similar(df).collect()} == {"a", None}
+    with pytest.raises(TypeError):
+        suffix_dedup.deduplicate_substrings(df)
+
+
+def test_samples_are_the_least_hashed(spark):
+    from quire.llm.sampling import least_hashed
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"))
+    key = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    assert rows_of(least_hashed(rows, 50, "doc_id"), "doc_id") == rows_of(rows.orderBy(key, "doc_id").limit(50), "doc_id")
+    assert least_hashed(rows.limit(20), 50, "doc_id").count() == 20
+
+
 def test_the_filter_has_no_misses(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h/"), "id").alias("key"))
     bloom, blocks = urls.bloom_filter(keys)
