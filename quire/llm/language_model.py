@@ -34,13 +34,13 @@ from quire.plans.storage import durable
 #: Bytes that UTF-8 never has: the end of a spelled word and the end of a text. Before a unit's first byte stands ``NONE``.
 WORD_END, TEXT_END, NONE = 0xFE, 0xFF, 256
 #: Contexts; bits of the number of a table's slots, which follows the size of the corpus: one byte a slot and table when scoring, eight when counting.
-ORDERS, LEAST_BITS, MOST_BITS = 4, 18, 23
+ORDERS, LEAST_BITS, MOST_BITS = 4, 18, 22
 #: Slots of a count table that travel together.
 BLOCK = 1 << 15
 #: Words that have a code of their own: the most frequent ones of the training texts.
 VOCABULARY = 1 << 16
 #: Bytes of texts whose pairs of units are put together, symbols that are coded together, and the token of a text's end.
-TOGETHER, STEP = 4 << 20, 1 << 14
+TOGETHER, STEP = 2 << 20, 1 << 14
 END_TOKEN = mix(np.array([0xE0F], U64))[0]
 #: A slot's state is a level of its zeros and one of its ones: 16 times 16.
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 9, 14, 21, 32, 50, 80, 140, 300, 1000, 5000])
