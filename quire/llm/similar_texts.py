@@ -339,9 +339,9 @@ def link_similar(docs: DataFrame, *, recall: float = 0.9999, depth: int = 3, thr
     groups = durable(components(edges), "similar-groups")
     packed = _filter(groups)
     grams = docs.select("text").mapInArrow(_grouped(packed), "digest long, grams binary").groupBy("digest").agg(F.first("grams").alias("grams"))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = groups.join(sizes, "root").select(F.col("node").alias("digest"), "root", n_blocks.alias("blocks"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("own"))
+    large = groups.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)  # one in BLOCK of the sets at most
+    n_blocks = F.coalesce(F.ceil(F.col("size") / BLOCK).cast("int"), F.lit(1))
+    placed = groups.join(F.broadcast(large), "root", "left").select(F.col("node").alias("digest"), "root", n_blocks.alias("blocks"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("own"))
     cells = placed.join(sets.select("digest", "copies"), "digest").join(grams, "digest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("digest", "copies", "grams", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     packs = max(1, groups.count() // 500)
