@@ -2,12 +2,14 @@
 
 A table written here cuts the lineage of what is read back from it and survives the loss of
 executors, since every executor sees the folder. The folder is the one named by
-``spark.checkpoint.dir``; only where that setting is absent (tests, a laptop) is a temporary
-folder of this process used.
+``spark.checkpoint.dir``; only where that setting is absent and driver and executors are one process
+(tests, a laptop) is a temporary folder of this process used, which goes with it.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -17,15 +19,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 @cache
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="quire-")
+    path = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder for tables; raises on a cluster that names none."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the tables that this process has written, for when no result that reads them is needed any more; their number."""
+    n = len(_written)
+    for path in _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.clear()
+    return n
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read from there."""
     path = f"{shared_folder(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
