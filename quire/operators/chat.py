@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -46,23 +47,58 @@ class EchoModel:
 class HttpChatModel:
     """A client of a text-generation server: POST of a prompt and parameters, the text under ``field``.
 
-    The parameters are those of ``sampling_parameters``. One request a prompt; failures raise, so that
-    Spark tries the task again.
+    The parameters are those of ``sampling_parameters``. One request a prompt, ``at_once`` at a time in
+    each task; failures raise, so that Spark tries the task again.
     """
 
     url: str
     parameters: Mapping = field(default_factory=dict)
     timeout: float = 900
     field_name: str = "generated_text"
+    at_once: int = 4
+
+    def _ask(self, prompt: str) -> str:
+        return post(self.url, {"inputs": prompt, "parameters": dict(self.parameters)}, self.timeout)[self.field_name]
 
     def generate(self, prompts: list[str]) -> list[str]:
-        out = []
-        for prompt in prompts:
-            body = json.dumps({"inputs": prompt, "parameters": dict(self.parameters)}).encode()
-            request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})
-            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-                out.append(json.load(reply)[self.field_name])
-        return out
+        with ThreadPoolExecutor(self.at_once) as pool:
+            return list(pool.map(self._ask, prompts))
+
+
+def post(url: str, body: dict, timeout: float, headers: Mapping[str, str] | None = None) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **(headers or {})})
+    with urllib.request.urlopen(request, timeout=timeout) as reply:
+        return json.load(reply)
+
+
+@dataclass(frozen=True)
+class ChatCompletionsModel:
+    """A client of a server with the widespread chat-completions interface.
+
+    ``generate`` gives texts; ``details`` each text with its tokens and their log probabilities, for
+    ``call_with_details``. ``at_once`` requests at a time in each task.
+    """
+
+    url: str
+    model: str
+    parameters: Mapping = field(default_factory=dict)
+    key: str = ""
+    timeout: float = 900
+    at_once: int = 4
+
+    def _ask(self, prompt: str, logprobs: bool) -> dict:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], **self.parameters, **({"logprobs": True} if logprobs else {})}
+        return post(f"{self.url.rstrip('/')}/chat/completions", body, self.timeout, {"Authorization": f"Bearer {self.key}"} if self.key else None)["choices"][0]
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        with ThreadPoolExecutor(self.at_once) as pool:
+            return [c["message"]["content"] for c in pool.map(lambda p: self._ask(p, False), prompts)]
+
+    def details(self, prompts: list[str]) -> list[tuple[str, list[str], list[float]]]:
+        with ThreadPoolExecutor(self.at_once) as pool:
+            choices = list(pool.map(lambda p: self._ask(p, True), prompts))
+        tokens = [(c.get("logprobs") or {}).get("content") or [] for c in choices]
+        return [(c["message"]["content"], [t["token"] for t in ts], [float(t["logprob"]) for t in ts]) for c, ts in zip(choices, tokens, strict=True)]
 
 
 @dataclass(frozen=True)
@@ -113,6 +149,21 @@ def call_model(model: ChatModel, prompt: Column, stops: Sequence[str] = ()) -> C
     return truncate_at_stops(run.asNondeterministic()(prompt), stops)
 
 
+def call_with_details(model, prompt: Column) -> Column:
+    """struct(text, token_ids, token_logprobs) for each prompt, of a model with ``details``; null for a null prompt."""
+
+    @F.pandas_udf("text string, token_ids array<string>, token_logprobs array<double>")
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        live = prompts.notna()
+        out = pd.DataFrame({c: [None] * len(prompts) for c in ("text", "token_ids", "token_logprobs")}, index=prompts.index, dtype=object)
+        if live.any():
+            for i, row in zip(prompts.index[live], model.details(prompts[live].tolist()), strict=True):
+                out.loc[i] = pd.Series(list(row), index=out.columns, dtype=object)
+        return out
+
+    return run.asNondeterministic()(prompt)
+
+
 def embed(embedder: Embedder, text: Column) -> Column:
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
