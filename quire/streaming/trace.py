@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
+import time
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +22,57 @@ LEVELS = ("debug", "info", "warning", "error", "critical")
 SCHEMA = "event string, run_name string, run_type string, run_id string, parent_ids array<string>, error string, tags array<string>, elapsed string, inputs string, outputs string, timestamp timestamp, level string"
 
 
+class RunLog:
+    """Writes the events of runs to a log of JSON lines that ``read_log`` and ``read_log_stream`` read: one file a process, appended to.
+
+    ``with log.run("name", "chain", inputs={...}) as run:`` writes a start event, and an end event with
+    ``run.outputs`` or an error event with the exception, which goes on. Runs inside others have them as parents.
+    """
+
+    def __init__(self, folder: str):
+        os.makedirs(folder, exist_ok=True)
+        self.path, self._open = os.path.join(folder, f"runs-{uuid.uuid4().hex}.json"), []
+
+    def write(self, event: str, run: Run, level: str = "info", **more) -> None:
+        values = {"event": event, "run_name": run.name, "run_type": run.kind, "run_id": run.id, "parent_ids": run.parents, "tags": list(run.tags), **more}
+        values |= {"timestamp": datetime.now(timezone.utc).isoformat(), "level": level}
+        with open(self.path, "a") as log:
+            log.write(json.dumps({k: json.dumps(v, default=str) if k in ("inputs", "outputs") else v for k, v in values.items() if v is not None}) + "\n")
+
+    @contextmanager
+    def run(self, name: str, kind: str = "chain", inputs=None, tags: Sequence[str] = ()) -> Iterator[Run]:
+        run = Run(name, kind, uuid.uuid4().hex, [r.id for r in self._open], tuple(tags))
+        self._open.append(run)
+        began = time.perf_counter()
+        self.write("start", run, inputs=inputs)
+        try:
+            yield run
+        except BaseException as e:
+            self.write("error", run, "error", error=f"{type(e).__name__}: {e}", elapsed=f"{time.perf_counter() - began:.6f}")
+            raise
+        else:
+            self.write("end", run, outputs=run.outputs, elapsed=f"{time.perf_counter() - began:.6f}")
+        finally:
+            self._open.pop()
+
+
+@dataclass
+class Run:
+    """A run of a chain, a model or a tool."""
+
+    name: str
+    kind: str
+    id: str
+    parents: list[str]
+    tags: tuple[str, ...] = ()
+    outputs: object = None
+
+
+def stamped(events: DataFrame) -> DataFrame:
+    """Adds ``timestamp``, the time in ISO form, as text."""
+    return events.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+
+
 def parent_ids(runs: DataFrame) -> DataFrame:
     """(run_id, parent_ids): the ancestors of rows (run_id, parent_id), root first; a walk stops at an unknown parent.
 
