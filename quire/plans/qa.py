@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import choose, chosen_index, format_responses, parse_questions, whitespace_tokens
+from quire.functions.text import choose, chosen_index, format_responses, parse_questions
 from quire.operators import chat, consistency, etl, retrieval
 from quire.plans.storage import durable
 
@@ -29,14 +29,14 @@ class QaOptions:
 
 
 def build_index(docs: DataFrame, kind: str, embedder: chat.Embedder, *, model: chat.ChatModel | None = None, parent_size: int = 500, parent_overlap: int = 50, child_size: int = 125, child_overlap: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(chunks, vectors): chunks have (chunk_id, text), vectors (id, parent_id, vector).
+    """(chunks, vectors): chunks have (chunk_id, text), vectors (id, parent_id, vector). Texts are split recursively, sizes in words.
 
     parent_document: vectors of child chunks, or of the chunks themselves if ``child_size`` is 0.
     hypothetical_queries: vectors of questions that a model asks about each chunk.
     """
     if kind not in INDEX_TYPES:
         raise ValueError(f"unknown index type {kind}; there are {', '.join(INDEX_TYPES)}")
-    parents = etl.token_chunks(docs.select("doc_id", "text"), whitespace_tokens("text"), parent_size, parent_overlap)
+    parents = etl.recursive_chunks(docs.select("doc_id", "text"), parent_size, parent_overlap, "tokens")
     chunks = parents.select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), F.col("chunk").alias("text"))
     if kind == "hypothetical_queries":
         if model is None:
@@ -44,7 +44,7 @@ def build_index(docs: DataFrame, kind: str, embedder: chat.Embedder, *, model: c
         asked = durable(chunks.withColumn("q", parse_questions(chat.questions_for(model, F.col("text")))), "qa-questions")
         units = asked.select(F.col("chunk_id").alias("parent_id"), F.posexplode("q").alias("n", "text"))
     elif child_size > 0:
-        units = etl.token_chunks(chunks.withColumnRenamed("chunk_id", "parent_id"), whitespace_tokens("text"), child_size, child_overlap).select("parent_id", F.col("chunk_index").alias("n"), F.col("chunk").alias("text"))
+        units = etl.recursive_chunks(chunks.withColumnRenamed("chunk_id", "parent_id"), child_size, child_overlap, "tokens").select("parent_id", F.col("chunk_index").alias("n"), F.col("chunk").alias("text"))
     else:
         units = chunks.select(F.col("chunk_id").alias("parent_id"), F.lit(0).alias("n"), "text")
     return chunks, units.select(F.concat_ws("-", "parent_id", "n").alias("id"), "parent_id", chat.embed(embedder, F.col("text")).alias("vector"))
@@ -55,6 +55,13 @@ def save_index(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
 
 
+def add_documents(path: str, docs: DataFrame, kind: str, embedder: chat.Embedder, **options) -> None:
+    """More documents (of other doc_ids) for a saved index: their chunks and vectors are appended, what is there is not read."""
+    chunks, vectors = build_index(docs, kind, embedder, **options)
+    chunks.write.mode("append").parquet(f"{path}/chunks")
+    vectors.write.mode("append").parquet(f"{path}/vectors")
+
+
 def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors")
 
@@ -88,14 +95,23 @@ def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, model: c
 
 
 def pick(answered: DataFrame, strategy: str, model: chat.ChatModel | None, embedder: chat.Embedder) -> DataFrame:
-    """One answer for each question of rows (question_id, question, sample, cot_response, answer, context)."""
+    """One answer for each question of rows (question_id, question, sample, cot_response, answer, context).
+
+    With columns token_ids and token_logprobs, as a model's details give them, bigram_consistency is over
+    these; else over the words of cot_response, each of log probability 0. Answers of any length count.
+    """
     consistency.check_strategy(strategy, model is not None)
-    named = answered.select(F.col("question_id").alias("group_id"), F.col("sample").alias("resp_id"), "question", "answer", "cot_response", "context")
+    details = [c for c in ("token_ids", "token_logprobs") if c in answered.columns]
+    named = answered.select(F.col("question_id").alias("group_id"), F.col("sample").alias("resp_id"), "question", "answer", "cot_response", "context", *details)
     if strategy == "average_similarity":
         best = consistency.majority_consensus(named.select("group_id", "resp_id", F.col("answer").alias("text"), chat.embed(embedder, F.col("answer")).alias("vector")))
     elif strategy == "bigram_consistency":
-        tokens = consistency.tokenize(named.withColumn("text", F.col("cot_response"))).where(F.size("tokens") >= 4)
-        best = consistency.ranked(consistency.consistency_scores(tokens, 2, True, True)).where("rank = 1")
+        if len(details) == 2:
+            tokens = named.withColumns({"tokens": F.transform("token_ids", lambda x: x.cast("string")), "logprobs": F.col("token_logprobs")})
+        else:
+            tokens = consistency.tokenize(named.withColumn("text", F.col("cot_response")))
+        scores = consistency.consistency_scores(tokens.select("group_id", "resp_id", "tokens", "logprobs"), 2, True, True)
+        best = consistency.ranked(scores.withColumn("score", F.round("score", 9))).where("rank = 1")
     else:
         grouped = named.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("resp_id", "answer"))).alias("r"), F.first("question").alias("question"), F.first("context").alias("context"))
         answers = F.transform("r", lambda x: x["answer"])
