@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 ANSWER_PREFIXES = ("Answer:", "answer:", "> Answer:", "> answer:", "A:", "a:")
 QA_PREFIXES = ("Q:", "A:", "question:", "answer:", "Question:", "Answer:", "- ", "* ")
 #: Where a judge's verdict and a chosen response are named.
-GRADE_PATTERN = r"(?i)GRADE:\s*(CORRECT|INCORRECT)"
+GRADE_PATTERN = r"(?i)GRADE:(?U:\s)*(CORRECT|INCORRECT)"
 CHOICE_PATTERN = r"The most consistent response is Response (\d+)"
-ANY_CHOICE_PATTERN = r"(?i)response\s+(\d+)"
+ANY_CHOICE_PATTERN = r"(?i)response(?U:\s)+(\d+)"
 #: ASCII punctuation, as stripped from a verdict's first and last word.
 PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 
@@ -29,7 +29,7 @@ def strip(c: Column | str) -> Column:
 
 def has_sentence_end(c: Column | str) -> Column:
     """Ends, but for white space, with ``. ? !`` and perhaps a closing parenthesis."""
-    return _col(c).rlike(r"[.?!]\)?\s*\z")
+    return _col(c).rlike(r"(?U)[.?!]\)?\s*\z")
 
 
 def clean_question(c: Column | str) -> Column:
@@ -42,7 +42,7 @@ def parse_questions(c: Column | str) -> Column:
 
     A number must begin the line. A number with nothing behind it is an empty question.
     """
-    number = r"^(Q?[0-9]+[.:]\s+)+"
+    number = r"(?U)^(Q?\d+[.:]\s+)+"
     lines = F.split(_col(c), "\n")
     return F.transform(F.filter(lines, lambda x: x.rlike(number)), lambda x: clean_question(F.regexp_replace(x, number, "")))
 
@@ -119,7 +119,7 @@ def grade(c: Column | str) -> Column:
     text = _col(c)
     tail = F.substring(strip(text), 3, 1 << 30)
     value = F.upper(F.regexp_extract(tail, GRADE_PATTERN, 1))
-    before = F.regexp_extract(tail, r"(?is)^(.*?)GRADE:\s*(?:CORRECT|INCORRECT)", 1)
+    before = F.regexp_extract(tail, r"(?is)^(.*?)GRADE:(?U:\s)*(?:CORRECT|INCORRECT)", 1)
     marked = F.struct(F.when(value == "CORRECT", 1).otherwise(0).alias("score"), value.alias("value"), strip(F.substring(text, F.lit(1), F.length(before) + 2)).alias("reasoning"))
     words = F.split(F.upper(strip(text)), r"(?U)\s+")
     ends = [F.regexp_replace(F.try_element_at(words, F.lit(i)), f"^[{PUNCTUATION}]+|[{PUNCTUATION}]+$", "") for i in (1, -1)]
@@ -133,6 +133,12 @@ def whitespace_tokens(c: Column | str) -> Column:
     return F.filter(F.split(strip(c), r"(?U)\s+"), lambda x: x != "")
 
 
-def stringify_metadata(value: Column, keep: bool) -> Column:
-    """Metadata values that are no plain type become text; a missing one the text ``None``."""
-    return value if keep else F.coalesce(value.cast("string"), F.lit("None"))
+def get_or(values: Column | str, key: str, default: Column) -> Column:
+    """A map's value of a key; the default only where the key is missing, not where its value is null."""
+    return F.when(F.map_contains_key(_col(values), key), F.try_element_at(_col(values), F.lit(key))).otherwise(default)
+
+
+def join_pieces(position: Column | str, piece: Column | str) -> Column:
+    """Streamed pieces of a text, put together in their order: an aggregate over the rows of a text; null pieces count for nothing."""
+    ordered = F.array_sort(F.collect_list(F.struct(_col(position).alias("p"), _col(piece).alias("t"))))
+    return F.array_join(F.transform(ordered, lambda x: x["t"]), "")

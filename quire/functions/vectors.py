@@ -26,10 +26,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, centroid): the mean vector of each group. Sums are partial by place, so a hot group is no hot task."""
     places = rows.select(group, F.posexplode(vector).alias("pos", "x"))

@@ -22,8 +22,8 @@ def tokenize(responses: DataFrame) -> DataFrame:
 
 
 def mean_probability(logprobs: Column) -> Column:
-    """exp of the mean log probability."""
-    return F.exp(F.aggregate(logprobs, F.lit(0.0), lambda s, x: s + x) / F.size(logprobs))
+    """exp of the mean log probability; null for no tokens."""
+    return F.exp(F.aggregate(logprobs, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(logprobs), F.lit(0)))
 
 
 def ngrams(responses: DataFrame, n: int, weighted: bool) -> DataFrame:
@@ -42,14 +42,18 @@ def ngrams(responses: DataFrame, n: int, weighted: bool) -> DataFrame:
     return responses.withColumn("_lp", lp).select(*KEYS, F.explode(every).alias("g")).select(*KEYS, "g.*")
 
 
+def length_factor(length: Column, k: Column) -> Column:
+    return length / F.coalesce(F.nullif(length - k - 1, F.lit(0)), F.lit(1))
+
+
 def ngram_weights(responses: DataFrame, n: int = 1, weighted: bool = False, generation_weighted: bool = False) -> DataFrame:
     """(group_id, resp_id, ngram, w): an n-gram's mean probability, for n > 1 times L/(L-k-1), and the answer's own probability if asked.
 
-    L = k+1 divides by zero and raises, as the definition has it.
+    Where L = k+1, which would divide by zero, the divisor is 1, so that short answers take part, too.
     """
     facts = responses.select(*KEYS, F.size("tokens").alias("L"), (mean_probability(F.col("logprobs")) if generation_weighted else F.lit(1.0)).alias("own"))
     mean = ngrams(responses, n, weighted).groupBy(*KEYS, "k", "ngram").agg(F.avg(F.exp("logprob")).alias("p"))
-    factor = F.col("L") / (F.col("L") - F.col("k") - 1) if n > 1 else F.lit(1.0)
+    factor = length_factor(F.col("L"), F.col("k")) if n > 1 else F.lit(1.0)
     return mean.join(facts, list(KEYS)).select(*KEYS, "ngram", (F.col("p") * factor * F.col("own")).alias("w"))
 
 
@@ -69,6 +73,32 @@ def consistency_scores(responses: DataFrame, n: int = 1, weighted: bool = False,
     return out.select(*KEYS, F.when(F.col("n") == 1, F.lit(float("nan"))).otherwise(F.coalesce("a", F.lit(0.0)) / others).alias("score"))
 
 
+#: The ways of ranking that are compared: name, n-grams, weighted, weighted by the answer's own probability.
+METHODS = (("unigram", 1, False, False), ("weighted_unigram", 1, True, False), ("consensus_unigram", 1, True, True), ("bigram", 2, False, False), ("weighted_bigram", 2, True, False), ("consensus_bigram", 2, True, True))
+
+
+def scores_by_method(responses: DataFrame) -> DataFrame:
+    """(method, group_id, resp_id, score) of all ``METHODS``: ``consistency_scores`` of each, over n-grams that are built once."""
+    facts = responses.select(*KEYS, F.size("tokens").alias("L"), mean_probability(F.col("logprobs")).alias("own"))
+    mean = ngrams(responses, 2, True).groupBy(*KEYS, "k", "ngram").agg(F.avg(F.exp("logprob")).alias("p")).join(facts, list(KEYS))
+
+    def weight(n: int, weighted: bool, own: bool) -> Column:
+        w = (F.col("p") if weighted else F.lit(1.0)) * (F.col("own") if own else F.lit(1.0))
+        return F.when(F.col("k") == 1, w) if n == 1 else w * length_factor(F.col("L"), F.col("k"))
+
+    weights = mean.select(*KEYS, "k", "ngram", *[weight(*how).alias(name) for name, *how in METHODS])
+    same = W.partitionBy("group_id", "k", "ngram")
+    first = F.row_number().over(same.orderBy("resp_id")) == 1
+    products = weights.select(*KEYS, "k", first.alias("first"), *[(F.col(name) * (F.sum(name).over(same) - F.col(name))).alias(name) for name, *_ in METHODS])
+    sums = products.groupBy(*KEYS).agg(F.count_if("first").alias("v2"), F.count_if(F.col("first") & (F.col("k") == 1)).alias("v1"), *[F.sum(name).alias(name) for name, *_ in METHODS])
+    group = W.partitionBy("group_id")
+    rows = responses.select(*KEYS).join(sums, list(KEYS), "left")
+    rows = rows.select("*", F.count("*").over(group).alias("n"), *[F.coalesce(F.nullif(F.sum(f"v{i}").over(group), F.lit(0)), F.lit(1)).alias(f"s{i}") for i in (1, 2)])
+    score = lambda name, n: F.when(F.col("n") == 1, F.lit(float("nan"))).otherwise(F.coalesce(name, F.lit(0.0)) / F.nullif(F.col(f"s{n}") * (F.col("n") - 1), F.lit(0)))
+    scored = F.array(*[F.struct(F.lit(name).alias("method"), score(name, n).alias("score")) for name, n, *_ in METHODS])
+    return rows.select(*KEYS, F.explode(scored).alias("m")).select("m.method", *KEYS, "m.score")
+
+
 def similarity_matrix(responses: DataFrame, n: int = 1, weighted: bool = False, generation_weighted: bool = False, per_pair: bool = False) -> DataFrame:
     """(group_id, i, j, score) where responses share an n-gram; all others are 0. For small groups: the matrix itself grows with their square.
 

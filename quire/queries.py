@@ -37,7 +37,7 @@ def _rounded(c: str | Column, name: str) -> Column:
 
 def _weights_sql(n: int, weighted: bool, own: bool) -> str:
     lp = "list_sum(logprobs[p:p + k - 1])" if weighted else "0.0"
-    factor = "* max(L) / (max(L) - k - 1)" if n > 1 else ""
+    factor = "* max(L) / coalesce(nullif(max(L) - k - 1, 0), 1)" if n > 1 else ""
     scale = "* exp(max(own))" if own else ""
     return f"""WITH {X.RESPONSES},
 grams AS (
@@ -125,18 +125,39 @@ def select_by_marker(spark, sf_dir):
     return rows.withColumn("s", said).select("group_id", T.choose("d", T.chosen_index("s")).alias("answer"), T.format_responses("d").alias("prompt"))
 
 
+@query(f"""{_weights_sql(2, True, True)}, best AS (SELECT group_id, arg_max(resp_id, (round(score, 9), resp_id)) AS resp_id FROM scores GROUP BY group_id)
+SELECT group_id AS question_id, text AS answer FROM best JOIN responses USING (group_id, resp_id)""")
+def bigram_pick(spark, sf_dir):
+    """The answer that agrees most with the others by the bigrams of its tokens; short answers take part."""
+    rows = X.responses(spark, sf_dir).select(F.col("group_id").alias("question_id"), F.col("resp_id").alias("sample"), F.lit("").alias("question"), F.col("text").alias("answer"), F.col("text").alias("cot_response"), F.lit("").alias("context"), F.col("tokens").alias("token_ids"), F.col("logprobs").alias("token_logprobs"))
+    return qa.pick(rows, "bigram_consistency", None, chat.HashingEmbedder()).select("question_id", "answer")
+
+
+@query("""SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, max(turn) AS last FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def join_pieces(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    return rows.groupBy("conv_id").agg(T.join_pieces("turn", "text").alias("text"), F.max("turn").alias("last"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN NULL ELSE 'none' END AS lang FROM documents""")
+def get_or(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    values = F.when(k == 0, F.create_map(F.lit("lang"), "lang")).when(k == 1, F.create_map(F.lit("lang"), F.lit(None).cast("string"))).otherwise(F.create_map(F.lit("source"), "source"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.get_or(values, "lang", F.lit("none")).alias("lang"))
+
+
 # Vectors and retrieval
 
 _UNIT = """unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
 mean AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS x FROM unit, range(1, 65) t(i) GROUP BY label, i) GROUP BY label)"""
 _NEAR = """near AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_sum([(q.embedding[i]::DOUBLE - e.embedding[i]::DOUBLE) ** 2 FOR i IN range(1, len(e.embedding) + 1)]), 6) AS distance
-  FROM embeddings q, embeddings e WHERE q.vec_id < 20),
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
 hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS rank FROM near) WHERE rank <= 10)"""
 
 
 def _hits(spark, sf_dir, k: int = 10) -> DataFrame:
     corpus = X.vectors(spark, sf_dir)
-    return retrieval.nearest(corpus.where("id < 20"), corpus, k)
+    return retrieval.nearest(corpus.where("id % 100 = 0"), corpus, k)
 
 
 @query(f"WITH {_NEAR} SELECT * FROM hits")
@@ -148,7 +169,7 @@ def knn_topk(spark, sf_dir):
 SELECT query_id, parent_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, parent_id) AS INT) AS rank FROM parents""")
 def parent_document_topk(spark, sf_dir):
     corpus = X.vectors(spark, sf_dir).withColumn("parent_id", F.floor(F.col("id") / 4))
-    return retrieval.parent_documents(corpus.where("id < 20"), corpus, 10)
+    return retrieval.parent_documents(corpus.where("id % 100 = 0"), corpus, 10)
 
 
 @query(f"""WITH {_NEAR}, first AS (SELECT query_id, id // 4 AS doc_id, min(rank) AS f FROM hits GROUP BY ALL)
@@ -181,13 +202,13 @@ def cosine_to_centroid(spark, sf_dir):
     return consistency.cosine_to_centroid(X.vectors(spark, sf_dir)).select("group_id", "resp_id", _rounded("score", "score"))
 
 
-_TEXT_VECTORS = f"""WITH {X.RESPONSES}, tv AS (SELECT group_id, resp_id, text, logprobs, embedding AS v FROM responses JOIN embeddings ON vec_id = (group_id * 7 + length(text)) % 400)"""
+_TEXT_VECTORS = f"""WITH {X.RESPONSES}, tv AS (SELECT group_id, resp_id, text, logprobs, embedding AS v FROM responses JOIN embeddings ON vec_id = (group_id * 7 + length(text)) % (SELECT count(*) FROM embeddings))"""
 
 
 def _text_vectors(spark, sf_dir) -> DataFrame:
     """Responses with one of the embeddings each, chosen by their text's length."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return X.responses(spark, sf_dir).withColumn("vec_id", (F.col("group_id") * 7 + F.length("text")) % 400).join(e, "vec_id").drop("vec_id")
+    return X.responses(spark, sf_dir).withColumn("vec_id", (F.col("group_id") * 7 + F.length("text")) % e.count()).join(e, "vec_id").drop("vec_id")
 
 
 @query(_TEXT_VECTORS + """, sc AS (SELECT a.group_id, a.resp_id, any_value(a.text) AS text, round(avg(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[])), 6) AS score FROM tv a JOIN tv b USING (group_id) GROUP BY a.group_id, a.resp_id),
@@ -287,23 +308,32 @@ def parse_qa_pairs(spark, sf_dir):
     return qa_pairs.parse_qa_pairs(X.qa_texts(spark, sf_dir), "doc_id", 2)
 
 
-@query(r"""WITH t AS (SELECT doc_id, string_split_regex(trim(text), '\s+')[1:6] AS w FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, array_to_string(w[1:3], ' ') || '|' || array_to_string(w[4:6], ' ') || '|' AS questions, CAST(3 AS INT) AS n FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, string_split_regex(trim(text), '\s+') AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5('x' || array_to_string(w[1:3], ' ') || '|x' || array_to_string(w[4:], ' ') || '||x' || array_to_string(w, ' ')) AS questions, CAST(4 AS INT) AS n FROM t""")
 def parse_questions(spark, sf_dir):
     w = F.split(F.trim("text"), r"\s+")
-    join = lambda a, n: F.array_join(F.slice(F.slice(w, 1, 6), a, n), "  ")
-    text = F.concat(F.lit("Here they are:\nQ1: "), join(1, 3), F.lit("\n2. 3: "), join(4, 3), F.lit(" \n  4. indented\n5. \nnone"))
+    join = lambda a, n: F.concat(F.lit("x"), F.array_join(F.slice(w, a, n), " \u00a0 "))
+    text = F.concat(F.lit("Here they are:\nQ1: "), join(1, 3), F.lit("\n2. 3: "), join(4, 1 << 30), F.lit(" \n  4. indented\n5. \nnone\n\u0667.\u00a0"), join(1, 1 << 30), F.lit("\u00a0"))
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.parse_questions(text).alias("q"))
-    return rows.select("doc_id", F.array_join("q", "|").alias("questions"), F.size("q").alias("n"))
+    return rows.select("doc_id", F.md5(F.array_join("q", "|")).alias("questions"), F.size("q").alias("n"))
 
 
-@query(r"""SELECT doc_id, trim(substr(text, 1, 20), ' ' || chr(10)) AS plain, CASE doc_id % 4 WHEN 0 THEN '1.' ELSE trim(substr(text, 1, 20), ' ' || chr(10)) END AS stripped FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[A-Za-z]{3,}')""")
+@query(r"""WITH t AS (SELECT doc_id, md5('x' || rtrim(text, ' ' || chr(9) || chr(10) || chr(13))) AS h FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, h AS plain, CASE doc_id % 4 WHEN 0 THEN md5('1.') ELSE h END AS stripped FROM t""")
 def strip_qa_prefix(spark, sf_dir):
-    head = F.substring("text", 1, 20)
+    head = F.concat(F.lit("x"), "text", F.lit("\u00a0"))
     k = F.col("doc_id") % 4
     made = F.when(k == 0, F.lit("1.")).when(k == 1, F.concat(F.lit("Q: 12. "), head)).when(k == 2, F.concat(F.lit("- 3."), head)).otherwise(F.concat(F.lit(" question: answer: "), head))
-    rows = table(spark, sf_dir, "documents").where("text is not null and text rlike '^[A-Za-z]{3,}'")
-    return rows.select("doc_id", T.strip(head).alias("plain"), T.strip_qa_prefix(made).alias("stripped"))
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    return rows.select("doc_id", F.md5(T.strip(head)).alias("plain"), F.md5(T.strip_qa_prefix(made)).alias("stripped"))
+
+
+@query(r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 12 WHEN 1 THEN 3 END::INT AS i, doc_id % 4 < 3 AS ended FROM documents""")
+def any_choice(spark, sf_dir):
+    """The first response that a text names, whatever its case, and whether a text ends a sentence before white space of any kind."""
+    k = F.col("doc_id") % 4
+    said = F.when(k == 0, "None but RESPONSE 12, or response 3.\u00a0").when(k == 1, "The best is Response\u00a03!)\u2003\n").when(k == 2, "Response: none?").otherwise("no response (1) ...:")
+    return table(spark, sf_dir, "documents").select("doc_id", T.chosen_index(said, T.ANY_CHOICE_PATTERN).alias("i"), T.has_sentence_end(said).alias("ended"))
 
 
 @query(r"""SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN trim(text) WHEN 1 THEN trim(text) WHEN 2 THEN 'Answer: ' || trim(text) ELSE text END AS answer FROM conversations WHERE text IS NOT NULL""")
@@ -413,12 +443,8 @@ def average_precision(spark, sf_dir):
     return evaluation.average_precision(ranks, "case").select(F.col("case").alias("case_id"), _rounded("ap", "ap"))
 
 
-#: The ways of ranking that are compared: name, n-grams, weighted, weighted by the answer's own probability.
-METHODS = (("unigram", 1, False, False), ("weighted_unigram", 1, True, False), ("consensus_unigram", 1, True, True), ("bigram", 2, False, False), ("weighted_bigram", 2, True, False), ("consensus_bigram", 2, True, True))
-
-
 def _map_sql() -> str:
-    parts = [f"SELECT '{name}' AS method, group_id, resp_id, round(score, 9) AS score FROM ({_weights_sql(*args)} SELECT * FROM scores)" for name, *args in METHODS]
+    parts = [f"SELECT '{name}' AS method, group_id, resp_id, round(score, 9) AS score FROM ({_weights_sql(*args)} SELECT * FROM scores)" for name, *args in consistency.METHODS]
     parts.append(f"SELECT 'probability' AS method, group_id, resp_id, round(exp(list_avg(logprobs)), 9) AS score FROM (WITH {X.RESPONSES} SELECT * FROM responses)")
     return f"""WITH {X.RESPONSES}, every AS ({' UNION ALL '.join(parts)}),
 ranks AS (SELECT method, e.group_id, row_number() OVER (PARTITION BY method, e.group_id ORDER BY score DESC, e.resp_id DESC) AS rank, length(text) % 3 <> 0 AS hit FROM every e JOIN responses r ON r.group_id = e.group_id AND r.resp_id = e.resp_id),
@@ -431,9 +457,7 @@ SELECT method, round(avg(ap), 2) AS map, round(avg(top), 2) AS top_correct FROM
 def map_by_method(spark, sf_dir):
     rows = X.responses(spark, sf_dir)
     every = rows.select(F.lit("probability").alias("method"), "group_id", "resp_id", F.round(consistency.mean_probability(F.col("logprobs")), 9).alias("score"))
-    for name, *args in METHODS:
-        scores = consistency.consistency_scores(rows, *args)
-        every = every.unionByName(scores.select(F.lit(name).alias("method"), "group_id", "resp_id", F.round("score", 9).alias("score")))
+    every = every.unionByName(consistency.scores_by_method(rows).withColumn("score", F.round("score", 9)))
     rank = F.row_number().over(W.partitionBy("method", "group_id").orderBy(F.desc("score"), F.desc("resp_id")))
     hits = rows.select("group_id", "resp_id", (F.length("text") % 3 != 0).alias("hit"))
     return evaluation.mean_average_precision(every.withColumn("rank", rank).join(hits, ["group_id", "resp_id"]).select("method", F.col("group_id").alias("case"), "rank", "hit"))
@@ -491,12 +515,14 @@ def kmeans_largest_centroid(spark, sf_dir):
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    return consistency.cluster_centroids(X.vectors(spark, sf_dir)).select("cluster", "size")
+    found = consistency.cluster_centroids(X.vectors(spark, sf_dir)).select("cluster", "size", F.posexplode("centroid").alias("pos", "x"))
+    return found.withColumn("x", F.round("x", 6))
 
 
 @query()
 def eliminate_furthest(spark, sf_dir):
-    return consistency.eliminate_furthest(_text_vectors(spark, sf_dir)).select("group_id", F.size("centroid").alias("size"))
+    found = consistency.eliminate_furthest(_text_vectors(spark, sf_dir)).select("group_id", F.posexplode("centroid").alias("pos", "x"))
+    return found.withColumn("x", F.round("x", 6))
 
 
 @query()
@@ -512,5 +538,5 @@ def multi_vector_topk(spark, sf_dir):
 def qa_pipeline(spark, sf_dir):
     docs, embedder, model = table(spark, sf_dir, "documents").where("text is not null"), chat.HashingEmbedder(), chat.EchoModel()
     chunks, index = qa.build_index(docs, "parent_document", embedder)
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' and turn <= 1").groupBy(F.col("conv_id").alias("question_id")).agg(F.min_by("text", "turn").alias("question"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").groupBy(F.col("conv_id").alias("question_id")).agg(F.min_by("text", "turn").alias("question"))
     return qa.answer(asked, chunks, index, model, embedder, qa.QaOptions(samples=3))

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def responses(spark: SparkSession, sf_dir: str, least: int = 2, min_tokens: int = 4) -> DataFrame:
+def responses(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
     """Assistant turns as sampled answers of their conversation, with made log probabilities; groups of at least two."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant' and text is not null")
     out = turns.select(
@@ -22,8 +22,7 @@ def responses(spark: SparkSession, sf_dir: str, least: int = 2, min_tokens: int
     )
     out = out.withColumn("logprobs", F.transform("tokens", lambda t: -(F.length(t) % 5) / F.lit(10.0)))
     sizes = W.partitionBy("group_id")
-    kept = F.min(F.size("tokens")).over(sizes) >= min_tokens
-    return out.withColumns({"_n": F.count("*").over(sizes), "_ok": kept}).where((F.col("_n") >= least) & F.col("_ok")).drop("_n", "_ok")
+    return out.withColumn("_n", F.count("*").over(sizes)).where(F.col("_n") >= least).drop("_n")
 
 
 RESPONSES = r"""
@@ -32,9 +31,8 @@ responses0 AS (
   FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
 responses AS (
   SELECT * FROM (
-    SELECT *, list_transform(tokens, lambda t: -(length(t) % 5) / 10.0::DOUBLE) AS logprobs, count(*) OVER (PARTITION BY group_id) AS n,
-           min(len(tokens)) OVER (PARTITION BY group_id) AS least
-    FROM responses0) WHERE n >= 2 AND least >= 4)"""
+    SELECT *, list_transform(tokens, lambda t: -(length(t) % 5) / 10.0::DOUBLE) AS logprobs, count(*) OVER (PARTITION BY group_id) AS n
+    FROM responses0) WHERE n >= 2)"""
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,17 +99,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question and answer texts made of the first words of documents; every fourth has no answer to its second question."""
-    w = F.slice(F.split(F.trim("text"), r"\s+"), 1, 8)
-    head, tail = F.array_join(F.slice(w, 1, 3), " "), F.array_join(F.slice(w, 4, 3), " ")
+    """Question and answer texts made of documents; every fourth has no answer to its second question."""
+    w = F.split(F.trim(F.translate("text", "?", "")), r"\s+")
+    head, tail = F.concat(F.lit("x"), F.array_join(F.slice(w, 1, 3), " ")), F.concat(F.lit("x"), F.array_join(F.slice(w, 4, 1 << 30), " "))
     second = F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("\n- "), tail))
     text = F.concat(F.lit("Q: 1. "), head, F.lit("?\nA: "), tail, F.lit("\nanswer: "), head, F.lit("\n\nQ2: "), tail, F.lit("?"), second)
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.alias("text"))
 
 
 QA_TEXTS = r"""
-qa_words AS (SELECT doc_id, string_split_regex(trim(text), '\s+')[1:8] AS w FROM documents WHERE text IS NOT NULL),
+qa_words AS (SELECT doc_id, 'x' || array_to_string(w[1:3], ' ') AS head, 'x' || array_to_string(w[4:], ' ') AS tail FROM (SELECT doc_id, string_split_regex(trim(replace(text, '?', '')), '\s+') AS w FROM documents WHERE text IS NOT NULL)),
 qa_texts AS (
-  SELECT doc_id, 'Q: 1. ' || array_to_string(w[1:3], ' ') || '?' || chr(10) || 'A: ' || array_to_string(w[4:6], ' ') || chr(10) || 'answer: ' || array_to_string(w[1:3], ' ')
-         || chr(10) || chr(10) || 'Q2: ' || array_to_string(w[4:6], ' ') || '?' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE chr(10) || '- ' || array_to_string(w[4:6], ' ') END AS text
+  SELECT doc_id, 'Q: 1. ' || head || '?' || chr(10) || 'A: ' || tail || chr(10) || 'answer: ' || head
+         || chr(10) || chr(10) || 'Q2: ' || tail || '?' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE chr(10) || '- ' || tail END AS text
   FROM qa_words)"""
