@@ -222,3 +222,102 @@ def test_multi_vector_queries_are_every_hundredth_document(spark, sf_dir):
     from quire.queries import QUERIES
 
     assert {r["query_id"] for r in QUERIES["multi_vector_topk"](spark, sf_dir).select("query_id").collect()} == {0, 100}
+
+
+def test_short_answers_are_picked_from(spark):
+    rows = [(1, s, "q", a, "r", "c", a.split(), [-0.1] * len(a.split())) for s, a in enumerate(["yes", "yes", "no way at all"])] + [(2, s, "q", a, "r", "c", a.split(), [-0.1] * len(a.split())) for s, a in enumerate(["a b c", "a b d", "a b c e"])]
+    df = spark.createDataFrame(rows, "question_id int, sample int, question string, answer string, cot_response string, context string, token_ids array<string>, token_logprobs array<double>")
+    got = {r["question_id"]: r["answer"] for r in qa.pick(df, "bigram_consistency", None, chat.HashingEmbedder()).collect()}
+    assert set(got) == {1, 2} and got[1] in ("yes", "no way at all")
+    plain = qa.pick(df.drop("token_ids", "token_logprobs"), "bigram_consistency", None, chat.HashingEmbedder())
+    assert plain.count() == 2
+
+
+def test_methods_at_once_are_the_methods(spark):
+    rng = random.Random(3)
+    rows = [(g, i, w := [rng.choice("abcd") for _ in range(rng.randrange(0, 7))], [-rng.random() for _ in w]) for g in range(12) for i in range(rng.randrange(1, 5))]
+    df = spark.createDataFrame(rows, RESPONSE)
+    got = {(r["method"], r["group_id"], r["resp_id"]): r["score"] for r in consistency.scores_by_method(df).collect()}
+    for name, *how in consistency.METHODS:
+        for r in consistency.consistency_scores(df, *how).collect():
+            assert got[name, r["group_id"], r["resp_id"]] == pytest.approx(r["score"], nan_ok=True)
+
+
+def test_pairs_are_created_or_skipped(spark):
+    class Writer:
+        def generate(self, prompts):
+            return ["Q: one?\nA: 1\nQ: two?\nA: 2\nQ: three?\nA: 3" if "good" in p else "nothing" for p in prompts]
+
+    docs = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "doc_id int, text string")
+    got = qa_pairs.create_qa_pairs(docs, "doc_id", Writer()).collect()
+    assert sorted((r["doc_id"], r["question"], r["answer"]) for r in got) == [(1, "one?", "1"), (1, "three?", "3"), (1, "two?", "2")]
+
+
+def test_documents_are_added_to_an_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red green blue " * 300), (2, "one two three " * 100)], "doc_id int, text string")
+    embedder = chat.HashingEmbedder()
+    qa.save_index(*qa.build_index(docs, "parent_document", embedder), str(tmp_path))
+    before = qa.load_index(spark, str(tmp_path))[0].count()
+    qa.add_documents(str(tmp_path), spark.createDataFrame([(3, "four five six")], "doc_id int, text string"), "parent_document", embedder)
+    chunks, vectors = qa.load_index(spark, str(tmp_path))
+    assert chunks.count() == before + 1 and vectors.where("parent_id = '3-0'").count() == 1
+    words = chunks.select(F.size(F.split("text", " ")).alias("n")).agg(F.max("n")).first()[0]
+    assert words <= 500
+
+
+def test_a_chat_completions_server(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = body["messages"][0]["content"].upper()
+            choice = {"message": {"content": text}, "logprobs": {"content": [{"token": t, "logprob": -0.5} for t in text.split()]} if body.get("logprobs") else None}
+            reply = json.dumps({"choices": [choice]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(reply)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = chat.ChatCompletionsModel(f"http://127.0.0.1:{server.server_port}/v1", "m", {"temperature": 0})
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "id int, p string")
+    assert sorted((r["id"], r["t"]) for r in rows.select("id", chat.call_model(model, F.col("p")).alias("t")).collect()) == [(1, "A B"), (2, None), (3, "C")]
+    got = {r["id"]: r["d"] for r in rows.select("id", chat.call_with_details(model, F.col("p")).alias("d")).collect()}
+    assert got[1]["token_ids"] == ["A", "B"] and got[1]["token_logprobs"] == [-0.5, -0.5] and got[3]["text"] == "C"
+    server.shutdown()
+
+
+def test_a_run_log_is_written_and_read(spark, tmp_path):
+    log = trace.RunLog(str(tmp_path))
+    with pytest.raises(ValueError), log.run("outer", inputs={"q": 1}) as outer:
+        with log.run("inner", "llm") as inner:
+            inner.outputs = "text"
+        raise ValueError("no")
+    rows = trace.read_log(spark, str(tmp_path)).orderBy("timestamp").collect()
+    assert [(r["event"], r["run_name"]) for r in rows] == [("start", "outer"), ("start", "inner"), ("end", "inner"), ("error", "outer")]
+    assert rows[1]["parent_ids"] == [outer.id] and rows[3]["error"] == "ValueError: no" and rows[2]["outputs"] == '"text"'
+    got = trace.elapsed(trace.read_log(spark, str(tmp_path)).withColumn("ts", F.col("timestamp")))
+    assert got.count() == 2
+
+
+def test_a_cluster_must_name_its_folder(spark):
+    from quire.plans import storage
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        storage.shared_folder(Session())
+    storage.release(spark)
+    kept = storage.durable(spark.range(3), "kept")
+    assert kept.count() == 3 and storage.release(spark) == 1
