@@ -61,7 +61,8 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     high = _slide(np.concatenate([np.zeros(SHIFTS - 1, U64), low, np.zeros(SHIFTS - 1, U64)]), SHIFTS, np.maximum)
     place = np.flatnonzero((high[: len(h)] == h) & (h != ~U64(0)))
     text = np.searchsorted(off[:-1] + FRAGMENT * (np.arange(n) + 1), place, "right") - 1
-    return text, place, h[place], span_hash(sums, place - LEFT, place + LENGTH), padded
+    # anchors are least hashes, which crowd at the low end: mixed once more, they are dealt evenly
+    return text, place, mix(h[place]), span_hash(sums, place - LEFT, place + LENGTH), padded
 
 
 class _Chunk:
