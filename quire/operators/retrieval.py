@@ -9,28 +9,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries that are compared at once; more are taken block by block, so what a task holds is bounded.
 QUERY_BLOCK = 4096
+#: Rows of the corpus that are compared with a block at once: 32 MiB of distances.
+ROW_BLOCK = 1024
 
 
-def _best(ids: pa.Array, vectors: np.ndarray, k: int):
-    """Each batch's k nearest rows of every query; at most k rows a query leave a batch."""
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k least values of each row, in order; ties by place."""
+    k = min(k, d.shape[1])
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    less, ties = d < edge, d == edge
+    keep = less | ties & (np.cumsum(ties, 1) <= k - less.sum(1, keepdims=True))
+    place = np.nonzero(keep)[1].reshape(len(d), k)
+    order = np.argsort(np.take_along_axis(d, place, 1), axis=1, kind="stable")
+    return np.take_along_axis(place, order, 1)
+
+
+def _best(ids: pa.Array, vectors: np.ndarray, k: int, kind: pa.DataType):
+    """The k nearest rows of every query in a partition; k rows a query leave it, whatever its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        squares = (vectors**2).sum(1)[:, None]
         for batch in batches:
-            if not len(batch):
-                continue
-            column = batch.column("vector")
-            rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            for i in range(0, len(rows), 8192):
-                part = rows[i : i + 8192]
-                d = np.maximum((vectors**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * vectors @ part.T, 0)
-                d = np.round(d, 6)
-                names = batch.column("id").slice(i, len(part))
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")), d.shape), d), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), names.take(pa.array(order.ravel())), pa.array(d[q, order.ravel()])], names=["query_id", "id", "distance"])
+            rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), vectors.shape[1])
+            names = batch.column("id").to_numpy(zero_copy_only=False)
+            for i in range(0, len(rows), ROW_BLOCK):
+                order = np.argsort(names[i : i + ROW_BLOCK], kind="stable")
+                part = rows[i : i + ROW_BLOCK][order]
+                d = np.round(np.maximum(squares + (part**2).sum(1) - 2 * vectors @ part.T, 0), 6)
+                d[np.isnan(d)] = np.inf
+                own = names[i : i + ROW_BLOCK][order]
+                place = _least(d, k)
+                found = np.take_along_axis(d, place, 1), own[place]
+                if best is not None:
+                    dist, name = (np.concatenate(x, 1) for x in zip(best, found, strict=True))
+                    by_name = np.argsort(np.unique(name, return_inverse=True)[1].reshape(name.shape), axis=1, kind="stable")
+                    dist, name = np.take_along_axis(dist, by_name, 1), np.take_along_axis(name, by_name, 1)
+                    place = _least(dist, k)
+                    found = np.take_along_axis(dist, place, 1), np.take_along_axis(name, place, 1)
+                best = found
+        if best is not None:
+            d, names = best
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), d.shape[1]))), pa.array(names.ravel(), kind), pa.array(d.ravel())], names=["query_id", "id", "distance"])
 
     return run
 
@@ -39,18 +63,21 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, distance, rank): the k rows of least squared L2 distance to each query, exactly; ties by id.
 
     ``queries`` and ``corpus`` have columns id and vector. On vectors of length 1 the order is that of
-    the cosine. The corpus is read once for each block of queries and only k rows a batch are shuffled.
+    the cosine. Rows without id or vector are no neighbours, queries without vector
+    have none, and a vector with a missing number is infinitely far. The corpus is read once for each block of
+    queries; k rows a query and partition are shuffled.
     """
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     schema = f"query_id {dict(queries.dtypes)['id']}, id {dict(corpus.dtypes)['id']}, distance double"
+    kind = to_arrow_type(corpus.schema["id"].dataType)
     found = queries.sparkSession.createDataFrame([], schema)
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vector").orderBy("id").toArrow()
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).where("vector is not null").select("id", "vector").orderBy("id").toArrow()
         if not len(part):
             continue
         vectors = np.array(part.column("vector").to_pylist(), np.float64).reshape(len(part), -1)
-        rows = corpus.select("id", "vector").where("vector is not null").mapInArrow(_best(part.column("id").combine_chunks(), vectors, k), schema)
+        rows = corpus.select("id", "vector").where("id is not null and vector is not null").mapInArrow(_best(part.column("id").combine_chunks(), vectors, k, kind), schema)
         found = found.unionByName(rows)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -119,6 +119,22 @@ def test_nearest_by_blocks(spark, monkeypatch):
     assert {(r["query_id"], r["id"]) for r in got.collect()} == expected
 
 
+def test_nearest_of_many_ties(spark):
+    rows = [(f"r{i % 977:04d}-{i:04d}", [float(i * 7 % 5), float(i * 3 % 4)]) for i in range(3000)]
+    gaps = [(None, [0.0, 0.0]), ("none", None), ("part", [None, 1.0])]
+    corpus = spark.createDataFrame(rows + gaps, "id string, vector array<double>").repartition(2)
+    queries = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [2.4, 1.5]), ("c", None)], "id string, vector array<double>")
+    far = lambda v, w: round(sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), 6)
+    for k in (1, 10, 400):
+        expected = {}
+        for q, v in (("a", [0.0, 0.0]), ("b", [2.4, 1.5])):
+            expected[q] = sorted((far(v, w), i) for i, w in rows)[:k]
+        got = retrieval.nearest(queries, corpus, k).orderBy("query_id", "rank").collect()
+        assert {q: [(r["distance"], r["id"]) for r in got if r["query_id"] == q] for q in ("a", "b")} == expected
+        assert {r["query_id"] for r in got} == {"a", "b"}
+    assert len(retrieval.nearest(queries, corpus.where("id = 'part'"), 5).collect()) == 2
+
+
 def test_messages(spark):
     kind = "m array<struct<role:string,text:string>>"
     rows = [([("system", "s"), ("user", "u")],), ([("system", "s")],), ([("user", "u")],)]
