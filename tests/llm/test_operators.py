@@ -118,6 +118,13 @@ def test_suffix_dedup(spark, docs, monkeypatch):
     assert suffix_dedup.deduplicate_substrings(df.limit(0)).count() == 0
 
 
+def test_anchors_are_dealt_evenly():
+    data = np.random.default_rng(5).integers(97, 123, 400_000).astype(np.uint8)
+    h = suffix_dedup.anchors(data, np.array([0, 150_000, 400_000]))[2]
+    n = np.bincount(exchange.bucket_of(h, 25).astype(np.int64), minlength=25)
+    assert len(h) > 20_000 and n.max() < 1.3 * n.mean() and n.min() > 0.7 * n.mean()
+
+
 def test_loser_tree():
     rng = np.random.default_rng(6)
     runs = []
