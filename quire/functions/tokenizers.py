@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable
 from functools import cache
 
@@ -36,6 +38,19 @@ def tokenizer(path: str | None = None) -> Callable[[Column], Column]:
     return run
 
 
+def count_tokens(path: str | None = None) -> Callable[[str], int]:
+    """A function of a text to the number of its tokens, for tasks; ``path`` as for ``tokenizer``."""
+    if path is None:
+        return lambda text: len(text.split())
+    return lambda text: len(_load(path).encode(text, add_special_tokens=False).ids)
+
+
+def served_model(endpoint: str, timeout: float = 30) -> str:
+    """The id of the model that a text-generation server says it serves."""
+    with urllib.request.urlopen(f"{endpoint.rstrip('/')}/info", timeout=timeout) as reply:
+        return json.load(reply)["model_id"]
+
+
 def resolve_tokenizer(path: str | None, endpoint: str | None, known: dict[str, str]) -> str | None:
     """A path wins over an endpoint; an endpoint's model name is looked up by the part of it that is known."""
     if path:

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import has_sentence_end
+from quire.functions.tokenizers import count_tokens
+from quire.plans.storage import durable
 
 
 def _running(flag: Column, *by: str, order: str = "seq") -> Column:
@@ -21,12 +23,12 @@ def _running(flag: Column, *by: str, order: str = "seq") -> Column:
     return F.sum(flag.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
 
 
-def fix_dangling_sentences(elements: DataFrame) -> DataFrame:
+def fix_dangling_sentences(elements: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Elements whose sentence goes on in the next are joined with it by a blank.
 
     An element is appended to the one before if it is narrative or ends a sentence itself, and the one
     before is narrative and does not end a sentence. Only the neighbour matters: what is appended and
-    not narrative has ended a sentence. Category and page are the first element's.
+    not narrative has ended a sentence. Category, page and the columns ``carry`` are the first element's.
     """
     w = W.partitionBy("source").orderBy("seq")
     narrative, ends = F.col("category") == "NarrativeText", has_sentence_end("text")
@@ -37,6 +39,7 @@ def fix_dangling_sentences(elements: DataFrame) -> DataFrame:
     return runs.groupBy("source", "run").agg(
         F.min("seq").alias("seq"), F.min_by("category", "seq").alias("category"), F.min_by("page_number", "seq").alias("page_number"),
         F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"),
+        *[F.min_by(c, "seq").alias(c) for c in carry],
     ).drop("run")
 
 
@@ -57,21 +60,23 @@ def page_runs(sectioned: DataFrame) -> DataFrame:
     return paged.withColumn("page_run", _running(F.coalesce(change, F.lit(True)), "source") - 1).drop("section_page")
 
 
-def page_documents(paged: DataFrame) -> DataFrame:
-    """(source, page_run, page_number, text): elements joined by newlines, sections by blank lines; a missing page is -1."""
+def page_documents(paged: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(source, page_run, page_number, text): elements joined by newlines, sections by blank lines; a missing page is -1. Columns ``carry`` are those of the first element."""
     lines = F.array_sort(F.collect_list(F.struct("seq", "text")))
     by_section = paged.groupBy("source", "page_run", "section").agg(
-        F.array_join(F.transform(lines, lambda p: p["text"]), "\n").alias("text"), F.min("seq").alias("seq"), F.min_by("page_number", "seq").alias("page_number")
+        F.array_join(F.transform(lines, lambda p: p["text"]), "\n").alias("text"), F.min("seq").alias("seq"), F.min_by("page_number", "seq").alias("page_number"),
+        *[F.min_by(c, "seq").alias(c) for c in carry],
     )
     parts = F.array_sort(F.collect_list(F.struct("section", "text")))
     return by_section.groupBy("source", "page_run").agg(
-        F.coalesce(F.min_by("page_number", "seq"), F.lit(-1)).alias("page_number"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text")
+        F.coalesce(F.min_by("page_number", "seq"), F.lit(-1)).alias("page_number"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"),
+        *[F.min_by(c, "seq").alias(c) for c in carry],
     )
 
 
-def elements_to_documents(elements: DataFrame) -> DataFrame:
-    """The whole chain: repair, sections, page runs, documents."""
-    return elements.transform(fix_dangling_sentences).transform(sections).transform(page_runs).transform(page_documents)
+def elements_to_documents(elements: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """The whole chain: repair, sections, page runs, documents; ``carry``: more columns of the first element of a document."""
+    return elements.transform(fix_dangling_sentences, carry).transform(sections).transform(page_runs).transform(page_documents, carry)
 
 
 def file_documents(elements: DataFrame) -> DataFrame:
@@ -90,11 +95,31 @@ def token_chunks(docs: DataFrame, tokens: Column, size: int = 500, overlap: int
 
 
 def chunk_index(chunks: DataFrame, order: str, source: str = "source") -> DataFrame:
-    """Adds ``chunk_index``, which starts anew whenever the source differs from the row before; order is within ``part``, a column that partitions the input."""
-    change = F.coalesce(~F.col(source).eqNullSafe(F.lag(source).over(W.partitionBy("part").orderBy(order))), F.lit(True))
-    first = F.row_number().over(W.partitionBy("part").orderBy(order)) == 1
-    runs = chunks.withColumn("_run", _running(change | first, "part", order=order))
-    return runs.withColumn("chunk_index", F.row_number().over(W.partitionBy("part", "_run").orderBy(order)) - 1).drop("_run")
+    """Adds ``chunk_index``, which starts anew whenever the source differs from the row before; order is within ``part``, a column that partitions the input.
+
+    The rows are written in ranges of (part, order), numbered within each, and a run that began in an
+    earlier range is carried on; so a part may be larger than a task. Null parts and null sources are
+    values as others; rows of equal part and order meet in one range, in no fixed order.
+    """
+    ranged = durable(chunks.repartitionByRange("part", order).withColumn("_range", F.spark_partition_id()), "chunk-ranges")
+    w = W.partitionBy("part", "_range").orderBy(order)
+    starts = (F.row_number().over(w) == 1) | ~F.col(source).eqNullSafe(F.lag(source).over(w))
+    runs = ranged.withColumn("_starts", starts).withColumn("_run", _running(F.col("_starts"), "part", "_range", order=order)).drop("_starts")
+    placed = runs.withColumn("_place", F.row_number().over(W.partitionBy("part", "_range", "_run").orderBy(order)))
+
+    last = F.max(F.struct("_run", "_place")).alias("last")
+    ends = placed.groupBy("part", "_range").agg(F.min_by(source, "_run").alias("first_source"), F.max_by(source, "_run").alias("last_source"), last)
+    by_range = W.partitionBy("part").orderBy("_range")  # a row a range
+    before = F.lag("last_source").over(by_range)
+    joins = (F.row_number().over(by_range) > 1) & F.col("first_source").eqNullSafe(before)
+    chained = ends.withColumn("joins", joins).withColumn("chain", _running(~(F.col("joins") & (F.col("last._run") == 1)), "part", order="_range"))
+    chained = chained.withColumn("length", F.sum("last._place").over(W.partitionBy("part", "chain").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)))
+    carried = chained.withColumn("_before", F.when(F.col("joins"), F.lag("length").over(by_range))).where("_before > 0")
+    # ranges do not overlap, so only the first part of each can go on: at most a row a range is sent
+    carried = F.broadcast(carried.select(F.col("part").alias("_part"), F.col("_range").alias("_of"), "_before"))
+    joined = placed.join(carried, F.col("part").eqNullSafe(F.col("_part")) & (F.col("_range") == F.col("_of")) & (F.col("_run") == 1), "left")
+    index = (F.col("_place") - 1 + F.coalesce("_before", F.lit(0))).cast("int")
+    return joined.withColumn("chunk_index", index).drop("_range", "_run", "_place", "_part", "_of", "_before")
 
 
 def fix_metadata(docs: DataFrame, column: str = "metadata") -> DataFrame:
@@ -144,9 +169,9 @@ def _merged(pieces: Sequence[str], separator: str, size: int, overlap: int, leng
         yield text
 
 
-def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, by: str = "characters") -> DataFrame:
-    """Adds chunk_index and chunk; ``by``: characters or tokens (words between white space)."""
-    length = len if by == "characters" else (lambda s: len(s.split()))
+def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, by: str = "characters", tokenizer: str | None = None) -> DataFrame:
+    """Adds chunk_index and chunk; ``by``: characters or tokens (of a tokenizer file that all executors can read, else words between white space)."""
+    length = len if by == "characters" else count_tokens(tokenizer)
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
