@@ -7,18 +7,30 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.tokenizers import resolve_tokenizer, served_model
 from quire.operators import chat, etl
 from quire.plans import qa
 from quire.sources import files
 
 
-def build(spark: SparkSession, kind: str, source: str, target: str, pattern: str = "*.txt", endpoint: str | None = None, partitioner: files.Partitioner | None = None) -> None:
-    """Files to elements to documents to chunks and vectors, saved as tables. A model is only asked for hypothetical queries."""
+#: Tokenizer files of models, by a part of the model id that a server names; for a deployment to fill.
+KNOWN_TOKENIZERS: dict[str, str] = {}
+
+
+def build(spark: SparkSession, kind: str, source: str, target: str, pattern: str = "*.txt", endpoint: str | None = None, partitioner: files.Partitioner | None = None, tokenizer: str | None = "words") -> None:
+    """Files to elements to documents to chunks and vectors, saved as tables. A model is only asked for hypothetical queries.
+
+    ``tokenizer``: a tokenizer file, or ``words``; without one, that of the model which the endpoint serves.
+    """
+    if not tokenizer:
+        tokenizer = resolve_tokenizer(None, served_model(endpoint) if endpoint else None, KNOWN_TOKENIZERS)
+        if not tokenizer:
+            raise ValueError("no tokenizer is known for the endpoint's model")
     elements = files.read_elements(files.scan_files(spark, source, pattern), partitioner or files.PlainText())
     pages = etl.elements_to_documents(elements)
     docs = pages.select(F.concat_ws("#", "source", "page_run").alias("doc_id"), "text")
     model = chat.HttpChatModel(endpoint) if endpoint else None
-    qa.save_index(*qa.build_index(docs, kind, chat.HashingEmbedder(), model=model), target)
+    qa.save_index(*qa.build_index(docs, kind, chat.HashingEmbedder(), model=model, tokenizer=None if tokenizer == "words" else tokenizer), target)
 
 
 def main(args: list[str] | None = None) -> None:
@@ -28,8 +40,9 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--output", required=True)
     parser.add_argument("--pattern", default="*.txt")
     parser.add_argument("--endpoint")
+    parser.add_argument("--tokenizer", help="a tokenizer file, or words; else that of the endpoint's model")
     given = parser.parse_args(args)
-    build(SparkSession.builder.getOrCreate(), given.type, given.input, given.output, given.pattern, given.endpoint)
+    build(SparkSession.builder.getOrCreate(), given.type, given.input, given.output, given.pattern, given.endpoint, tokenizer=given.tokenizer)
 
 
 if __name__ == "__main__":

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cache
 from typing import Protocol
 
 import numpy as np
@@ -119,6 +120,40 @@ class HashingEmbedder:
         return (out / np.where(length > 0, length, 1)).tolist()
 
 
+@dataclass(frozen=True)
+class EncoderEmbedder:
+    """An encoder of the widespread interface ``encode(texts, **options)`` as an embedder; ``load`` makes it, once a process.
+
+    Newlines are blanks. The options of ``encode`` are bound once, here.
+    """
+
+    load: Callable[[], object]
+    size: int
+    options: Mapping = field(default_factory=dict)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        vectors = loaded(self.load).encode([t.replace("\n", " ") for t in texts], **self.options)
+        return np.asarray(vectors, float).reshape(len(texts), self.size).tolist()
+
+
+@cache
+def loaded(load: Callable[[], object]) -> object:
+    return load()
+
+
+@dataclass(frozen=True)
+class HttpEmbedder:
+    """A client of an embedding server: POST of texts, a vector each in reply; ``batch`` texts a request."""
+
+    url: str
+    size: int
+    batch: int = 32
+    timeout: float = 900
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [v for i in range(0, len(texts), self.batch) for v in post(self.url, {"inputs": texts[i : i + self.batch]}, self.timeout)]
+
+
 #: Sampling keys, any of which turns sampling on.
 SAMPLING = ("top_k", "top_p", "temperature", "n")
 
@@ -164,10 +199,48 @@ def call_with_details(model, prompt: Column) -> Column:
     return run.asNondeterministic()(prompt)
 
 
-def embed(embedder: Embedder, text: Column) -> Column:
+def call_in_batches(model: ChatModel, prompt: Column, batch_size: int = 4, per_prompt: int = 1, keep_errors: bool = False) -> Column:
+    """struct(texts, error) for each prompt, ``batch_size`` prompts a call of a model that gives ``per_prompt`` texts a prompt in one list.
+
+    With ``keep_errors`` the prompts of a failed call are asked one by one, and one that fails again has
+    its error as a value and null texts; else the error is raised, so that Spark tries the task again.
+    Null prompts are not asked.
+    """
+
+    def ask(prompts: list[str]) -> list[tuple[list[str] | None, str | None]]:
+        try:
+            said = model.generate(prompts)
+            if len(said) != per_prompt * len(prompts):
+                raise ValueError(f"{len(said)} texts for {len(prompts)} prompts")
+            return [(said[i * per_prompt : (i + 1) * per_prompt], None) for i in range(len(prompts))]
+        except Exception as e:
+            if not keep_errors:
+                raise
+            return [x for p in prompts for x in ask([p])] if len(prompts) > 1 else [(None, f"{type(e).__name__}: {e}")]
+
+    @F.pandas_udf("texts array<string>, error string")
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        live = prompts[prompts.notna()]
+        said = [x for i in range(0, len(live), batch_size) for x in ask(live.iloc[i : i + batch_size].tolist())]
+        out = pd.DataFrame({"texts": None, "error": None}, index=prompts.index, dtype=object)
+        for i, (texts, error) in zip(live.index, said, strict=True):
+            out.at[i, "texts"], out.at[i, "error"] = texts, error
+        return out
+
+    return run.asNondeterministic()(prompt)
+
+
+def embed(embedder: Embedder, text: Column, unit: bool = False) -> Column:
+    """The embedder's vector of each text, of length 1 with ``unit`` (a zero vector stays); a null text is empty."""
+
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder.embed(texts.fillna("").tolist()), index=texts.index)
+        vectors = embedder.embed(texts.fillna("").tolist())
+        if unit and vectors:
+            rows = np.asarray(vectors, float)
+            length = np.linalg.norm(rows, axis=1, keepdims=True)
+            vectors = (rows / np.where(length > 0, length, 1)).tolist()
+        return pd.Series(vectors, index=texts.index)
 
     return run(text)
 
@@ -267,3 +340,14 @@ def regroup(outputs: Column, per_input: int) -> Column:
 def generated_part(ids: Column, input_length: Column) -> Column:
     """What was generated after a prompt of that many tokens."""
     return F.slice(ids, input_length + 1, F.greatest(F.size(ids) - input_length, F.lit(0)))
+
+
+def scored_tokens(tokens: Column, scores: Column) -> Column:
+    """array of struct(token, score, probability) of generated tokens and their log probabilities; what has no partner is null."""
+    pairs = F.arrays_zip(tokens.alias("token"), scores.alias("score"))
+    return F.transform(pairs, lambda p: F.struct(p["token"].alias("token"), p["score"].alias("score"), F.exp(p["score"]).alias("probability")))
+
+
+def fill_messages(templates: Messages, **columns: Column) -> Column:
+    """(role, template) pairs as an array of messages, their places filled by columns; join such arrays with ``F.concat``."""
+    return F.array(*[F.struct(F.lit(role).alias("role"), fill(template, **columns).alias("text")) for role, template in templates])

@@ -28,15 +28,15 @@ class QaOptions:
     strategy: str = "average_similarity"
 
 
-def build_index(docs: DataFrame, kind: str, embedder: chat.Embedder, *, model: chat.ChatModel | None = None, parent_size: int = 500, parent_overlap: int = 50, child_size: int = 125, child_overlap: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(chunks, vectors): chunks have (chunk_id, text), vectors (id, parent_id, vector). Texts are split recursively, sizes in words.
+def build_index(docs: DataFrame, kind: str, embedder: chat.Embedder, *, model: chat.ChatModel | None = None, parent_size: int = 500, parent_overlap: int = 50, child_size: int = 125, child_overlap: int = 12, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, vectors): chunks have (chunk_id, text), vectors (id, parent_id, vector). Texts are split recursively, sizes in tokens of a tokenizer file, or in words. Vectors have length 1.
 
     parent_document: vectors of child chunks, or of the chunks themselves if ``child_size`` is 0.
     hypothetical_queries: vectors of questions that a model asks about each chunk.
     """
     if kind not in INDEX_TYPES:
         raise ValueError(f"unknown index type {kind}; there are {', '.join(INDEX_TYPES)}")
-    parents = etl.recursive_chunks(docs.select("doc_id", "text"), parent_size, parent_overlap, "tokens")
+    parents = etl.recursive_chunks(docs.select("doc_id", "text"), parent_size, parent_overlap, "tokens", tokenizer)
     chunks = parents.select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), F.col("chunk").alias("text"))
     if kind == "hypothetical_queries":
         if model is None:
@@ -44,10 +44,10 @@ def build_index(docs: DataFrame, kind: str, embedder: chat.Embedder, *, model: c
         asked = durable(chunks.withColumn("q", parse_questions(chat.questions_for(model, F.col("text")))), "qa-questions")
         units = asked.select(F.col("chunk_id").alias("parent_id"), F.posexplode("q").alias("n", "text"))
     elif child_size > 0:
-        units = etl.recursive_chunks(chunks.withColumnRenamed("chunk_id", "parent_id"), child_size, child_overlap, "tokens").select("parent_id", F.col("chunk_index").alias("n"), F.col("chunk").alias("text"))
+        units = etl.recursive_chunks(chunks.withColumnRenamed("chunk_id", "parent_id"), child_size, child_overlap, "tokens", tokenizer).select("parent_id", F.col("chunk_index").alias("n"), F.col("chunk").alias("text"))
     else:
         units = chunks.select(F.col("chunk_id").alias("parent_id"), F.lit(0).alias("n"), "text")
-    return chunks, units.select(F.concat_ws("-", "parent_id", "n").alias("id"), "parent_id", chat.embed(embedder, F.col("text")).alias("vector"))
+    return chunks, units.select(F.concat_ws("-", "parent_id", "n").alias("id"), "parent_id", chat.embed(embedder, F.col("text"), unit=True).alias("vector"))
 
 
 def save_index(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
@@ -69,7 +69,7 @@ def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
 def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, model: chat.ChatModel, embedder: chat.Embedder, options: QaOptions = QaOptions(), k: int = 20, sampling: chat.ChatModel | None = None) -> DataFrame:
     """(question_id, question, answer) for questions (question_id, question)."""
     consistency.check_strategy(options.strategy, model is not None)
-    asked = durable(questions.select(F.col("question_id").alias("id"), chat.embed(embedder, F.col("question")).alias("vector")), "qa-queries")
+    asked = durable(questions.select(F.col("question_id").alias("id"), chat.embed(embedder, F.col("question"), unit=True).alias("vector")), "qa-queries")
     found = retrieval.parent_documents(asked, vectors, k)
     contexts = retrieval.ranked_contexts(found, chunks, "chunk_id", options.limit).withColumnRenamed("query_id", "question_id")
     rows = questions.select("question_id", "question").join(contexts, "question_id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -58,6 +60,21 @@ class PlainText:
         return out
 
 
+@dataclass(frozen=True)
+class OcrPdf:
+    """PDF files by the package ``unstructured``, where the executors have it; ``strategy`` is its own parameter."""
+
+    strategy: str = "ocr_only"
+
+    def elements(self, content: bytes) -> list[tuple[str, int | None, str]]:
+        try:
+            from unstructured.partition.pdf import partition_pdf
+        except ImportError as e:
+            raise ImportError("PDF files need the package unstructured, or a Partitioner of your own") from e
+        found = partition_pdf(file=io.BytesIO(content), strategy=self.strategy)
+        return [(e.category, e.metadata.page_number, e.text) for e in found]
+
+
 def read_elements(files: DataFrame, partitioner: Partitioner) -> DataFrame:
     """(source, seq, category, page_number, text) of files (path, content)."""
 

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.storage import durable
@@ -68,6 +68,18 @@ class Run:
     outputs: object = None
 
 
+@contextmanager
+def described(spark: SparkSession, name: str) -> Iterator[None]:
+    """Jobs within are called ``name`` in Spark's own listings; the description before comes back."""
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.job.description")
+    context.setJobDescription(name)
+    try:
+        yield
+    finally:
+        context.setLocalProperty("spark.job.description", before)
+
+
 def stamped(events: DataFrame) -> DataFrame:
     """Adds ``timestamp``, the time in ISO form, as text."""
     return events.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
@@ -106,12 +118,18 @@ def elapsed_stream(starts: DataFrame, ends: DataFrame, late: str = "10 minutes",
     return s.join(e, on).select("run_id", "start_ts", "end_ts", (F.unix_micros("end_ts") - F.unix_micros("start_ts")).alias("micros"))
 
 
-def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events of each type in tumbling windows, of a stream with ``ts``; rows later than the watermark are dropped."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
+def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Events of each type in windows (tumbling, or sliding by ``slide``), of a stream or table with ``ts``; rows of a stream later than the watermark are dropped."""
+    counted = events.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "event_type").agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(user_id, start, end, n): events of a user without a gap that long, of a stream or table."""
+    grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return grouped.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
 def render(events: DataFrame, level: str = "info") -> DataFrame:
     """JSON lines (column ``value``) of the events of at least that level, keys in their fixed order and others by name; nulls are left out."""
     least = LEVELS.index(level)

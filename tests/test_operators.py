@@ -337,3 +337,205 @@ def test_a_cluster_must_name_its_folder(spark):
     storage.release(spark)
     kept = storage.durable(spark.range(3), "kept")
     assert kept.count() == 3 and storage.release(spark) == 1
+
+
+def indexes(rows):
+    """The chunk index as a loop over (part, order, source)."""
+    out, last = {}, {}
+    for part, order, source in sorted(rows, key=lambda r: (repr(r[0]), r[1])):
+        n = last[part][1] + 1 if part in last and last[part][0] == source else 0
+        out[part, order], last[part] = n, (source, n)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chunk_index_goes_on_across_ranges(spark, seed):
+    rng, rows = random.Random(seed), []
+    for part, change in ((None, 0.3), ("a", 0.02), ("b", 0.0), ("c", 1.0)):
+        source = None
+        for i in range(rng.choice([1, 60, 200])):
+            source = rng.choice([None, "x", "y"]) if rng.random() < change else source
+            rows.append((part, i, source))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = etl.chunk_index(spark.createDataFrame(rows, "part string, o int, source string"), "o").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r["part"], r["o"]): r["chunk_index"] for r in got} == indexes(rows)
+
+
+def test_chunk_index_of_no_rows(spark):
+    assert etl.chunk_index(spark.createDataFrame([], "part string, o int, source string"), "o").count() == 0
+
+
+def test_the_first_elements_metadata_is_carried(spark):
+    rows = [("a", 0, "Title", 1, "T", "en"), ("a", 1, "NarrativeText", 1, "goes", "de"), ("a", 2, "NarrativeText", 1, "on.", None), ("a", 3, "Title", 2, "U", None)]
+    got = etl.elements_to_documents(spark.createDataFrame(rows, ELEMENT + ", lang string"), ["lang"])
+    assert {(r["page_number"], r["text"], r["lang"]) for r in got.collect()} == {(1, "T\ngoes on.", "en"), (2, "U", None)}
+
+
+def test_chunks_in_tokens_of_a_file(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    text = "\n\n".join(" ".join(f"extraordinarily{i}" for i in range(j, j + 30)) for j in range(4))
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    got = etl.recursive_chunks(rows, 40, 5, "tokens", path).orderBy("chunk_index").collect()
+    from quire.functions.tokenizers import count_tokens
+
+    assert len(got) > 4 and {r["doc_id"] for r in got} == {1}
+    assert all(count_tokens(path)(r["chunk"]) <= 44 and r["chunk"] in text for r in got)
+    assert {w for r in got for w in r["chunk"].split()} == set(text.split())
+
+
+def test_recursive_chunks_of_whole_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    words = {}
+    for r in etl.recursive_chunks(docs, 1000, 200).collect():
+        assert len(r["chunk"]) <= 1000 and r["chunk"] in texts[r["doc_id"]]
+        words.setdefault(r["doc_id"], set()).update(r["chunk"].split())
+    assert words == {d: set(t.split()) for d, t in texts.items() if t and t.strip()}
+
+
+class Flaky:
+    def generate(self, prompts):
+        if "bad" in prompts:
+            raise OSError("no reply")
+        return [p + s for p in prompts for s in "12"]
+
+
+def test_calls_in_batches(spark):
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", None, "bad", "c"])], "id int, p string").coalesce(1)
+    got = {r["id"]: r["x"] for r in rows.select("id", chat.call_in_batches(Flaky(), F.col("p"), 2, 2, keep_errors=True).alias("x")).collect()}
+    assert [got[i]["texts"] for i in range(5)] == [["a1", "a2"], ["b1", "b2"], None, None, ["c1", "c2"]]
+    assert got[3]["error"] == "OSError: no reply" and got[2]["error"] is None
+    with pytest.raises(Exception, match="no reply"):
+        rows.select(chat.call_in_batches(Flaky(), F.col("p"), 2, 2)).collect()
+
+
+class Lengths:
+    def encode(self, texts, scale=1):
+        return [[len(t) * scale, t.count(" ")] for t in texts]
+
+
+def test_embedders(spark):
+    rows = spark.createDataFrame([("a\nb",), (None,)], "t string")
+    got = rows.select(chat.embed(chat.EncoderEmbedder(Lengths, 2, {"scale": 2}), F.col("t")).alias("v")).collect()
+    assert [r["v"] for r in got] == [[6.0, 1.0], [0.0, 0.0]]
+
+
+def test_served_models_and_embeddings():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from quire.functions.tokenizers import served_model
+
+    class Handler(BaseHTTPRequestHandler):
+        def reply(self, value):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(value).encode())
+
+        def do_GET(self):
+            self.reply({"model_id": "org/Big-7b"})
+
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["inputs"]
+            self.reply([[float(len(t))] for t in texts])
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert resolve_tokenizer(None, served_model(url), {"Big": "path"}) == "path"
+    assert chat.HttpEmbedder(url, 1, batch=2).embed(["a", "bb", "ccc"]) == [[1.0], [2.0], [3.0]]
+    server.shutdown()
+
+
+def test_the_command_needs_a_tokenizer_or_an_endpoint(spark, tmp_path):
+    with pytest.raises(ValueError, match="tokenizer or an endpoint"):
+        cli.build(spark, "parent_document", str(tmp_path), str(tmp_path / "out"), tokenizer=None)
+
+
+def test_prompts_and_reports(spark):
+    from quire.plans import experiments, reports
+
+    rows = spark.createDataFrame([(1, "why?", "because", ["a", "b"], [-0.5, 0.0])], "case_id int, question string, context string, token_ids array<string>, token_logprobs array<double>")
+    assert experiments.run_task(rows, chat.EchoModel("{}"), "quote").first()["said"] == "Question: why?"
+    with pytest.raises(ValueError):
+        experiments.run_task(rows, chat.EchoModel(), "other")
+    assert [r["value"] for r in reports.token_lines(rows, "case_id").orderBy("pos").collect()] == ["| a | -0.500 | 60.65%", "| b | 0.000 | 100.00%"]
+    graded = spark.createDataFrame([(1, "q\nr", "p", "CORRECT", 1.0), (2, None, "p", None, None)], "case_id int, query string, prediction string, value string, ratio_correct double")
+    assert [r["value"] for r in reports.graded_lines(graded).orderBy("case_id").collect()] == ["  | 1.00 | q r | p", "? | - | - | p"]
+    assert reports.html_table(spark.createDataFrame([("<a>", None)], "x string, y string")) == "<table><tr><th>x</th><th>y</th></tr><tr><td>&lt;a&gt;</td><td></td></tr></table>"
+    messages = F.concat(chat.fill_messages([("system", "Be {how}.")], how=F.lit("brief")), chat.fill_messages([("user", "{question}")], question=F.col("question")))
+    assert rows.select(chat.chat_prompt(messages).alias("p")).first()["p"] == "System: Be brief.\nUser: why?\nAssistant:"
+
+
+def test_descriptions_windows_and_sessions(spark):
+    with trace.described(spark, "outer"):
+        with trace.described(spark, "inner"):
+            assert spark.sparkContext.getLocalProperty("spark.job.description") == "inner"
+        assert spark.sparkContext.getLocalProperty("spark.job.description") == "outer"
+    rows = spark.createDataFrame([(1, "a", "2024-01-01 00:10:00"), (1, "a", "2024-01-01 00:30:00"), (1, "a", "2024-01-01 02:00:00")], "user_id int, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(r["n"] for r in trace.event_sessions(rows).collect()) == [1, 2]
+    assert sorted(r["n"] for r in trace.event_counts(rows, "1 hour", slide="30 minutes").collect()) == [1, 1, 1, 1, 2]
+
+
+def test_pdf_files_need_their_package(tmp_path):
+    with pytest.raises(ImportError, match="unstructured"):
+        files.OcrPdf().elements(b"%PDF")
+
+
+def unit(v):
+    n = math.sqrt(sum(x * x for x in v))
+    return [x / n for x in v] if n else v
+
+
+def test_eliminating_the_furthest_is_the_loop(spark):
+    rng = random.Random(3)
+    groups = {g: [[rng.gauss(1, 1) for _ in range(3)] for _ in range(n)] for g, n in enumerate([1, 2, 3, 6])}
+    rows = [(g, i, v) for g, vs in groups.items() for i, v in enumerate(vs)]
+    got = {r["group_id"]: r["centroid"] for r in consistency.eliminate_furthest(spark.createDataFrame(rows, "group_id int, resp_id int, vector array<double>")).collect()}
+    for g, vs in groups.items():
+        center = vs[0]
+        while len(vs) > 2:
+            center = unit([sum(x) / len(vs) for x in zip(*vs)])
+            worst = min(range(len(vs)), key=lambda i: sum(a * b for a, b in zip(unit(vs[i]), center)))
+            vs = vs[:worst] + vs[worst + 1 :]
+        assert got[g] == pytest.approx(center)
+
+
+def test_clusters_are_means_of_what_is_nearest(spark):
+    rng = random.Random(4)
+    vectors = [[rng.gauss(0, 0.1) + 5 * (i % 3 == 0), rng.gauss(0, 0.1)] for i in range(90)]
+    df = spark.createDataFrame([(i % 4, i, v) for i, v in enumerate(vectors)], "group_id int, resp_id int, vector array<double>")
+    found = consistency.cluster_centroids(df).collect()
+    assert [r["size"] for r in found] == [30, 60]
+    for r, near in zip(found, (True, False), strict=True):
+        own = [v for i, v in enumerate(vectors) if (i % 3 == 0) == near]
+        assert r["centroid"] == pytest.approx([sum(x) / len(own) for x in zip(*own)], abs=1e-6)
+    scores = {r["resp_id"]: r["score"] for r in consistency.largest_cluster_similarity(df).collect()}
+    center = unit(found[1]["centroid"])
+    assert scores == pytest.approx({i: sum(a * b for a, b in zip(unit(v), center)) for i, v in enumerate(vectors)})
+
+
+def test_documents_by_several_vectors_are_those_of_all_distances(spark, sf_dir):
+    from quire.queries import QUERIES
+
+    embedder = chat.HashingEmbedder()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    index = qa.build_index(docs, "hypothetical_queries", embedder, model=chat.EchoModel("Q1: {}"), parent_size=200, parent_overlap=20)[1].collect()
+    want = {}
+    for r in docs.where("doc_id % 100 = 0").collect():
+        query = embedder.embed([r["text"]])[0]
+        near = sorted(((round(max(sum((a - b) ** 2 for a, b in zip(query, x["vector"])), 0), 6), x["id"], x["parent_id"]) for x in index))[:10]
+        want[r["doc_id"]] = list(dict.fromkeys(p for _, _, p in near))
+    got = {}
+    for r in QUERIES["multi_vector_topk"](spark, sf_dir).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["parent_id"])
+    assert got == want
