@@ -40,7 +40,9 @@ BLOCK = 1 << 15
 #: Words that have a code of their own: the most frequent ones of the training texts.
 VOCABULARY = 1 << 16
 #: Bytes of texts whose pairs of units are put together, symbols that are coded together, and the token of a text's end.
-TOGETHER, STEP = 2 << 20, 1 << 14
+TOGETHER, STEP = 2 << 20, 1 << 16
+#: Depths of a code whose slots are neighbours: eight slots, a line of a count table.
+NEAR = 3
 END_TOKEN = mix(np.array([0xE0F], U64))[0]
 #: A slot's state is a level of its zeros and one of its ones: 16 times 16.
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 9, 14, 21, 32, 50, 80, 140, 300, 1000, 5000])
@@ -87,10 +89,20 @@ class Code:
         self._places: dict[int, np.ndarray] = {}
 
     def places(self, bits: int) -> np.ndarray:
-        """For each depth and symbol, what turns a context's slot into that of the place in the code."""
+        """For each depth and symbol, what turns a context's slot into that of the place in the code.
+
+        ``NEAR`` depths from one node on are neighbours, so that the later ones find their slots in the cache.
+        """
         if bits not in self._places:
-            x = (self.node.T + np.uint32(1)) * np.uint32(0x9E3779B1)
-            self._places[bits] = ((x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)).astype(np.intp)
+            out = np.empty(self.bit.shape, np.intp)
+            for top in range(0, len(out), NEAR):
+                x = (self.node[:, top] + np.uint32(1)) * np.uint32(0x9E3779B1)
+                x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits) & ~np.uint32((1 << NEAR) - 1)
+                path = np.ones(len(x), np.uint32)  # a heap's numbers of the nodes below
+                for d in range(top, min(top + NEAR, len(out))):
+                    out[d] = x | path
+                    path = path << np.uint32(1) | self.bit[d]
+            self._places[bits] = out
         return self._places[bits]
 
 
@@ -332,13 +344,13 @@ class MixingModel:
     def _cell(self, d: int, kind: np.ndarray | int, z: np.ndarray) -> np.ndarray:
         return np.rint(np.minimum(np.maximum(z, -8), 8) * 2 + 16).astype(np.intp) + (kind * 4 + min(d, 3)) * self.BINS
 
-    def learn(self, blocks_of_units: Iterator[Units], rate: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def learn(self, blocks_of_units: Iterator[Units], rate: float = 0.005) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Online: each few thousand bits are predicted with the weights learned of those before them, and without their own counts.
 
-        Returns the weights, the bits that each gate has seen, and zeros and ones in the cells of the refinement.
+        Returns the mean of the weights over all bits, the bits that each gate has seen, and zeros and ones in the cells of the refinement.
         """
         w, power = self.weights.copy(), np.full(self.weights.shape, 1e-6)
-        seen, cells, flat_without = np.zeros(len(w)), np.zeros(2 * len(self.refined)), WITHOUT.ravel()
+        total, seen, cells, flat_without = np.zeros(w.shape), np.zeros(len(w)), np.zeros(2 * len(self.refined)), WITHOUT.ravel()
         for u in blocks_of_units:
             first, pair = u.pairs()
             each = np.bincount(pair).astype(np.float32)
@@ -359,9 +371,10 @@ class MixingModel:
                     own = gates, slice(0, len(x))
                     power[own] = np.where(n[:, None] > 0, 0.95 * power[own] + 0.05 * g**2, power[own])
                     w[own] += rate * g / (np.sqrt(power[own]) + 1e-3)
+                    total[own] += w[own] * n[:, None]
                     seen[gates] += n
                     cells += np.bincount(self._cell(d, kind, z) * 2 + bit, many, minlength=cells.size)
-        return w, seen, cells.reshape(-1, 2).T
+        return np.where(seen[:, None] > 0, total / np.maximum(seen, 1)[:, None], w), seen, cells.reshape(-1, 2).T
 
     def adopt(self, weights: np.ndarray, seen: np.ndarray, cells: np.ndarray) -> None:
         """``weights``: sums over chunks of weights by bits seen. Gates and cells without evidence stay as they are."""
