@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,11 @@ from quire.llm.kernels import blocks, flat
 
 #: Words of more symbols than this are merged wherever a pair is least within reach, not pair by pair of the word.
 LONG_WORD = 64
-#: Distinct words whose ids a task remembers; at more it begins anew.
+#: Distinct chunks of text whose ids a task remembers; at more it begins anew.
 KNOWN_WORDS = 1 << 18
 _NONE = np.iinfo(np.int64).max
+#: Marks that stand alone behind a word.
+MARKS = frozenset(".,;:!?")
 #: White space as the tokenizer's own pattern has it.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -134,12 +137,18 @@ def merge_words(data: np.ndarray, off: np.ndarray, v: Vocabulary) -> tuple[np.nd
     ids = v.first[data]
     ids[off[1:] - 1] = v.last[data[off[1:] - 1]]
     word = np.repeat(np.arange(len(off) - 1), np.diff(off))
+
+    def look_up(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and token of the pairs that begin at these places; none across words."""
+        after = np.minimum(at + 1, len(ids) - 1)
+        key = ids[at] * v.size + ids[after]
+        place = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+        there = (v.keys[place] == key) & (word[at] == word[after]) & (after > at)
+        return np.where(there, v.ranks[place], _NONE), v.made[place]
+
+    rank, made = look_up(np.arange(len(ids)))
     done_ids, done_words = [], []
     while len(ids):
-        key = ids[:-1] * v.size + ids[1:]
-        place = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-        rank = np.where((v.keys[place] == key) & (word[:-1] == word[1:]), v.ranks[place], _NONE)
-        rank = np.append(rank, _NONE)
         heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         sizes = np.diff(np.append(heads, len(ids)))
         least = np.minimum.reduceat(rank, heads)
@@ -147,21 +156,25 @@ def merge_words(data: np.ndarray, off: np.ndarray, v: Vocabulary) -> tuple[np.nd
         bound = np.repeat(least, sizes)
         if (long := np.repeat(sizes > LONG_WORD, sizes)).any():
             bound[long] = least_nearby(rank, v.reach)[long]
-        joins = (rank < _NONE) & (rank <= bound)
         # overlapping joins are a run of one rank, as in "aaa": every second of it, from where the run begins; one whose beginning waits waits too
-        at = np.flatnonzero(joins)
+        at = np.flatnonzero((rank < _NONE) & (rank <= bound))
         begins = np.append(True, np.diff(at) > 1)[: len(at)]
         begin = at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
         whole = (begin == 0) | (rank[begin - 1] != rank[begin])
         at = at[whole & ((at - begin) % 2 == 0)]
-        ids[at] = v.made[place[at]]
-        keep = np.ones(len(ids), bool)
+        ids[at] = made[at]
+        keep, changed = np.ones(len(ids), bool), np.zeros(len(ids), bool)
         keep[at + 1] = False
+        changed[at] = True
         done = keep & ~open_word
         done_ids.append(ids[done])
         done_words.append(word[done])
         keep &= open_word
-        ids, word = ids[keep], word[keep]
+        ids, word, rank, made, changed = ids[keep], word[keep], rank[keep], made[keep], changed[keep]
+        changed[:-1] |= changed[1:]
+        stale = np.flatnonzero(changed)
+        if len(stale):
+            rank[stale], made[stale] = look_up(stale)
     if not done_ids:
         return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     ids, word = np.concatenate(done_ids), np.concatenate(done_words)
@@ -176,8 +189,16 @@ def spans(off: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(out[-1]) + np.repeat(off[items] - out[:-1], sizes), out
 
 
+class _Numbered(dict):
+    """Numbers what it is asked for in the order of the first time."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Words that a task has met, with their ids; new ones are merged together, block by block."""
+    """What a task has met between white space, with its ids; new words are merged together, block by block."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -186,11 +207,11 @@ class Encoder:
 
     def _forget(self) -> None:
         # a special token's place is under its text behind a blank, which no word holds
-        self.known = {" " + t: i for i, t in enumerate(self.v.special)}
+        self.known = _Numbered((" " + t, i) for i, t in enumerate(self.v.special))
         self.ids, self.off = np.array(list(self.v.special.values()), np.int32), np.arange(len(self.v.special) + 1)
 
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text as the tokenizer normalises and cuts it; special tokens in it are found before that."""
+    def chunks(self, text: str) -> list[str]:
+        """What lies between white space in a normalised text; special tokens in it are found before that. No word of the pattern holds white space."""
         out: list[str] = []
         parts = self.special.split(text) if self.special and "<" in text else (text,)
         for i, part in enumerate(parts):
@@ -198,23 +219,40 @@ class Encoder:
                 out.append(" " + part)
             elif part:
                 # one lower case for each character: no final form of sigma
-                out += self.v.pattern.findall(SPACE.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower())
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                # these four count as white space for Python alone
+                out += filter(None, SPACE.split(part)) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Cuts new chunks into words, merges each word once, and keeps the ids of the chunks."""
+        words, places, ends = _Numbered(), [], [0]
+        number, cut_up = words.__getitem__, self.v.pattern.findall
+        for chunk in new:
+            # most are letters alone, or with one mark behind, which needs no pattern
+            if chunk.isalpha():
+                places.append(number(chunk))
+            elif chunk[-1] in MARKS and chunk[:-1].isalpha():
+                places += (number(chunk[:-1]), number(chunk[-1]))
+            else:
+                places += map(number, cut_up(chunk))
+            ends.append(len(places))
+        raw = [w.encode() for w in words]
+        ids, off = merge_words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in raw], dtype=np.int64)]), self.v)
+        at, cut = spans(off, np.array(places, np.int64))
+        self.ids = np.concatenate([self.ids, ids[at].astype(np.int32)])
+        self.off = np.concatenate([self.off, self.off[-1] + cut[ends[1:]]])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the n+1 offsets of texts."""
         if len(self.known) > KNOWN_WORDS:
             self._forget()
-        known, before, places, ends = self.known, len(self.known), [], [0]
+        number, before, places, ends = self.known.__getitem__, len(self.known), [], [0]
         for text in texts:
-            places += [known.setdefault(p, len(known)) for p in self.pieces(text)]
+            places += map(number, self.chunks(text))
             ends.append(len(places))
-        if len(known) > before:
-            new = [w.encode() for w in list(known)[before:]]
-            off = np.concatenate([[0], np.cumsum([len(w) for w in new])])
-            ids, ends_of = merge_words(np.frombuffer(b"".join(new), np.uint8), off, self.v)
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            self.off = np.concatenate([self.off, self.off[-1] + ends_of[1:]])
+        if len(self.known) > before:
+            self._learn(list(islice(self.known, before, None)))
         at, cut = spans(self.off, np.array(places, np.int64))
         return self.ids[at], cut[np.array(ends)]
 
