@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, decontamination, language, language_model, mixing, quality, secrets, similar_texts, suffix_dedup, toxicity, urls, whitening
+from quire.llm import bpe, decontamination, erasure, language, language_model, mixing, quality, secrets, similar_texts, suffix_dedup, toxicity, urls, whitening
 
 QUERIES = {
     "op2_similar_texts": similar_texts.op2_similar_texts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_fair_mix": mixing.op5_fair_mix,
     "op8_url_filter": urls.op8_url_filter,
     "op11_whitening": whitening.op11_whitening,
+    "op12_erasure": erasure.op12_erasure,
     "op13_bpe": bpe.op13_bpe,
 }
 ORACLE_SQL = {
