@@ -73,8 +73,31 @@ def consistency_scores(responses: DataFrame, n: int = 1, weighted: bool = False,
     return out.select(*KEYS, F.when(F.col("n") == 1, F.lit(float("nan"))).otherwise(F.coalesce("a", F.lit(0.0)) / others).alias("score"))
 
 
-#: The ways of ranking that are compared: name, n-grams, weighted, weighted by the answer's own probability.
-METHODS = (("unigram", 1, False, False), ("weighted_unigram", 1, True, False), ("consensus_unigram", 1, True, True), ("bigram", 2, False, False), ("weighted_bigram", 2, True, False), ("consensus_bigram", 2, True, True))
+#: The ways of ranking by n-grams that are compared: name, n-grams, weighted, weighted by the answer's own probability.
+METHODS = (("unigram", 1, False, False), ("consensus_unigram", 1, True, True), ("bigram", 2, False, False), ("consensus_bigram", 2, True, True))
+
+
+def embedding_scores(vectors: DataFrame, weighted: bool = False) -> DataFrame:
+    """(group_id, resp_id, score): the mean product of a response's unit vector with the others of its group, each scaled by its answer's probability if weighted.
+
+    The off-diagonal mean of ``embedding_matrix`` over unit vectors, without the matrix: v . (S - v) / (n - 1), S being the sum of the
+    group, kept place by place. A lone response has score NaN. A weighted answer without tokens has no probability and scores null.
+    """
+    scale = mean_probability(F.col("logprobs")) if weighted else F.lit(1.0)
+    rows = vectors.select(*KEYS, F.transform(normalized(F.col("vector")), lambda x: x * scale).alias("vector"))
+    sums = centroids(rows, "group_id", "vector").join(rows.groupBy("group_id").agg(F.count("vector").alias("n")), "group_id")
+    own = F.col("vector")
+    others = F.col("n") * dot(own, F.col("centroid")) - dot(own, own)
+    return rows.join(sums, "group_id").select(*KEYS, F.when(F.col("n") == 1, F.lit(float("nan"))).otherwise(others / F.nullif(F.col("n") - 1, F.lit(0))).alias("score"))
+
+
+def scores_of_all_methods(responses: DataFrame) -> DataFrame:
+    """(method, group_id, resp_id, score) of every way of ranking: the answer's own probability, n-grams (``METHODS``), and embeddings (a column ``vector``), plain and weighted."""
+    named = lambda rows, name: rows.select(F.lit(name).alias("method"), *KEYS, "score")
+    return (
+        scores_by_method(responses).unionByName(named(responses.withColumn("score", mean_probability(F.col("logprobs"))), "probability"))
+        .unionByName(named(embedding_scores(responses), "embeddings")).unionByName(named(embedding_scores(responses, weighted=True), "weighted_embeddings"))
+    )
 
 
 def scores_by_method(responses: DataFrame) -> DataFrame:
@@ -99,12 +122,19 @@ def scores_by_method(responses: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.explode(scored).alias("m")).select("m.method", *KEYS, "m.score")
 
 
-def similarity_matrix(responses: DataFrame, n: int = 1, weighted: bool = False, generation_weighted: bool = False, per_pair: bool = False) -> DataFrame:
-    """(group_id, i, j, score) where responses share an n-gram; all others are 0. For small groups: the matrix itself grows with their square.
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """Raises, when it is read, if a group has more than ``most`` answers: a matrix grows with the square of a group."""
+    size = rows.select(*KEYS).distinct().groupBy("group_id").agg(F.count("*").alias("_size"))
+    too_many = F.raise_error(F.format_string("group %s has %d answers, and a matrix is made of at most %d; use the scores by sums", F.col("group_id").cast("string"), F.col("_size"), F.lit(most)))
+    return rows.join(size, "group_id").where(F.when(F.col("_size") > most, too_many.cast("boolean")).otherwise(True)).drop("_size")
+
+
+def similarity_matrix(responses: DataFrame, n: int = 1, weighted: bool = False, generation_weighted: bool = False, per_pair: bool = False, most: int = 4096) -> DataFrame:
+    """(group_id, i, j, score) where responses share an n-gram; all others are 0. Groups of over ``most`` answers raise: ``consistency_scores`` needs no matrix.
 
     The divisor is the group's vocabulary, or with ``per_pair`` that of the two.
     """
-    w = ngram_weights(responses, n, weighted, generation_weighted)
+    w = ngram_weights(_bounded(responses, most), n, weighted, generation_weighted)
     left, right = w.select("group_id", "ngram", F.col("resp_id").alias("i"), F.col("w").alias("a")), w.select("group_id", "ngram", F.col("resp_id").alias("j"), F.col("w").alias("b"))
     both = left.join(right, ["group_id", "ngram"]).groupBy("group_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"), F.count("*").alias("common"))
     if not per_pair:
@@ -144,16 +174,28 @@ def cosine_to_centroid(vectors: DataFrame) -> DataFrame:
     return joined.select(*KEYS, cosine(F.col("vector"), F.col("centroid")).alias("score"))
 
 
-def embedding_matrix(vectors: DataFrame, weighted: bool = False) -> DataFrame:
-    """(group_id, i, j, score): products of all vectors of a group, each scaled by its answer's probability if weighted. For small groups."""
+def embedding_matrix(vectors: DataFrame, weighted: bool = False, most: int = 4096) -> DataFrame:
+    """(group_id, i, j, score): products of all vectors of a group, each scaled by its answer's probability if weighted. Groups of over ``most`` raise: ``embedding_scores`` needs no matrix."""
     scale = mean_probability(F.col("logprobs")) if weighted else F.lit(1.0)
-    rows = vectors.select("group_id", "resp_id", "vector", scale.alias("w"))
+    rows = _bounded(vectors, most).select("group_id", "resp_id", "vector", scale.alias("w"))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, F.col("a.group_id") == F.col("b.group_id"))
     score = dot(F.col("a.vector"), F.col("b.vector")) * F.col("a.w") * F.col("b.w")
     return pairs.select(F.col("a.group_id").alias("group_id"), F.col("a.resp_id").alias("i"), F.col("b.resp_id").alias("j"), score.alias("score"))
 
 
+def vocabulary_left(ours: DataFrame, theirs: DataFrame, n: int = 1) -> DataFrame:
+    """(group_id, ngram) once for each time that ``ours`` says it more often than ``theirs`` in the group: a multiset difference of n-grams."""
+    said = lambda rows: ngrams(rows, n, False).select("group_id", "ngram")
+    return said(ours).exceptAll(said(theirs))
+
+
+def vocabulary_shared(ours: DataFrame, theirs: DataFrame, n: int = 1) -> DataFrame:
+    """(group_id, ngram) once for each time that both say it in the group."""
+    said = lambda rows: ngrams(rows, n, False).select("group_id", "ngram")
+    return said(ours).intersectAll(said(theirs))
+
+
 def alternate_ordering(docs: Column, sample: Column) -> Column:
     """Documents in the order of sample i: as they are, both halves reversed, or all reversed, by i modulo 3."""
     middle = F.floor(F.size(docs) / 2).cast("int")

@@ -86,12 +86,12 @@ def file_documents(elements: DataFrame) -> DataFrame:
 
 
 def token_chunks(docs: DataFrame, tokens: Column, size: int = 500, overlap: int = 50) -> DataFrame:
-    """Windows of ``size`` tokens, ``overlap`` of them shared with the next: adds chunk_index and chunk."""
+    """Windows of ``size`` tokens, ``overlap`` of them shared with the next: adds chunk_index and chunk. A chunk's row carries its own text, not the tokens of the whole."""
     step = size - overlap
     n = F.size("_tokens")
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - overlap) / F.lit(step)).cast("int") - 1))).otherwise(F.array().cast("array<int>"))
-    exploded = docs.withColumn("_tokens", tokens).select("*", F.explode(starts).alias("chunk_index"))
-    return exploded.withColumn("chunk", F.array_join(F.slice("_tokens", F.col("chunk_index") * step + 1, size), " ")).drop("_tokens")
+    joined = F.transform(starts, lambda i: F.array_join(F.slice("_tokens", i * step + 1, size), " "))
+    return docs.withColumn("_tokens", tokens).select(*docs.columns, F.posexplode(joined).alias("chunk_index", "chunk"))
 
 
 def chunk_index(chunks: DataFrame, order: str, source: str = "source") -> DataFrame:
@@ -127,6 +127,31 @@ def fix_metadata(docs: DataFrame, column: str = "metadata") -> DataFrame:
     return docs.withColumn(column, F.transform_values(column, lambda _, v: F.coalesce(v.cast("string"), F.lit("None"))))
 
 
+def typed_metadata(docs: DataFrame, column: str = "metadata") -> DataFrame:
+    """JSON text as a variant, whose values keep their types; text that is no JSON becomes a variant string of itself, and null stays."""
+    parsed = F.try_parse_json(column)
+    return docs.withColumn(column, F.when(F.col(column).isNotNull(), F.coalesce(parsed, F.parse_json(F.to_json(F.struct(F.col(column).alias("text"))))).cast("variant")))
+
+
+def metadata_value(column: Column | str, path: str, kind: str) -> Column:
+    """The value at a path of a variant (``$.device.os``) as ``kind``; null where there is none or it is of another kind."""
+    return F.try_variant_get(column, path, kind)
+
+
+def metadata_primitives(column: Column | str, keys: Sequence[str]) -> Column:
+    """A variant's values of some keys as an array of struct(key, kind, value): numbers, booleans and text stay as they are, all else, null too, is text; a missing key is left out."""
+    column = F.col(column) if isinstance(column, str) else column
+
+    def one(key: str) -> Column:
+        # null for a missing key, a variant null for one that holds null
+        found = F.try_variant_get(column, f"$.{key}", "variant")
+        kind = F.lower(F.schema_of_variant(found))
+        text = F.when(F.is_variant_null(found), F.lit("None")).when(kind == "string", F.try_variant_get(found, "$", "string")).otherwise(F.to_json(found))
+        return F.when(found.isNotNull(), F.struct(F.lit(key).alias("key"), kind.alias("kind"), text.alias("value")))
+
+    return F.filter(F.array(*map(one, keys)), lambda x: x.isNotNull())
+
+
 def split_recursively(text: str, size: int, overlap: int, length=len, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:
     """Chunks of at most ``size``, cut at the coarsest separator that a text has, finer ones where a piece is too long.
 

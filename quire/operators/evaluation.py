@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the reasoning where no grade could be read.
+NO_CONSENSUS = "No consensus"
+
+
 def consensus(grades: DataFrame, case: str, order: str, grade: str = "grade") -> DataFrame:
     """(case, score, value, reasoning, ratio_correct): the majority of the grades that could be read.
 
@@ -21,7 +25,7 @@ def consensus(grades: DataFrame, case: str, order: str, grade: str = "grade") ->
     best = F.when(F.col("ratio_correct") > 0.5, F.col("right")).otherwise(F.col("wrong"))
     return got.select(
         case, F.coalesce(best["score"], F.lit(0)).alias("score"), F.coalesce(best["value"], F.lit("INCORRECT")).alias("value"),
-        F.coalesce(best["reasoning"], F.lit("No consensus")).alias("reasoning"), "ratio_correct",
+        F.coalesce(best["reasoning"], F.lit(NO_CONSENSUS)).alias("reasoning"), "ratio_correct",
     )
 
 
@@ -36,6 +40,17 @@ def examples_of(given: Column, wrong: Column, correct: Column) -> Column:
     return F.concat(given, overlay(wrong, 0, "INCORRECT"), overlay(correct, 1, "CORRECT"))
 
 
+def labelled_answers(cases: DataFrame, case: str = "group_id") -> DataFrame:
+    """Rows (case, resp_id, hit, and the fields of a response) of cases with arrays ``responses``, ``good`` and ``bad`` (indices from 0).
+
+    Good answers come first, then bad ones, each in the order of their list, and are numbered anew; answers in neither
+    list, and indices without an answer, are left out.
+    """
+    pick = lambda places, hit: F.transform(places, lambda i: F.struct(F.get("responses", i).alias("r"), F.lit(hit).alias("hit")))
+    named = F.filter(F.concat(F.coalesce(pick("good", True), F.array()), F.coalesce(pick("bad", False), F.array())), lambda x: x["r"].isNotNull())
+    return cases.select(case, F.posexplode(named).alias("resp_id", "x")).select(case, "resp_id", "x.hit", "x.r.*")
+
+
 def average_precision(ranks: DataFrame, *case: str) -> DataFrame:
     """(case, ap) of rows (case, rank, hit): the sum of the precisions at hits, divided by all hits; 0 without any."""
     hits = F.sum(F.col("hit").cast("int")).over(W.partitionBy(*case).orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
@@ -66,3 +81,17 @@ def grid_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("parent_chunk_size", "parent_chunk_overlap", "child_chunk_size", "child_chunk_overlap", "number_of_docs").agg(
         F.count("*").alias("runs"), F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score")
     )
+
+
+def grid_marginals(runs: DataFrame, *parameters: str) -> DataFrame:
+    """(parameter, value, runs, mean_score): the mean score at each value of each parameter, and over all runs (parameter ``all``), in one pass over the runs.
+
+    A row is expanded into its grouping sets before one partial aggregation, whatever the number of parameters.
+    """
+    totals = runs.groupingSets([[F.col(p)] for p in parameters] + [[]], *parameters).agg(F.grouping_id().alias("set"), F.count("*").alias("runs"), F.avg("score").alias("mean_score"))
+    # a bit of the set's number is 0 for the parameter that it keeps
+    kept = [(totals["set"].bitwiseAND(F.lit(1 << (len(parameters) - 1 - i))) == 0, p) for i, p in enumerate(parameters)]
+    name, value = F.lit("all"), F.lit(None).cast("string")
+    for is_kept, p in kept:
+        name, value = F.when(is_kept, F.lit(p)).otherwise(name), F.when(is_kept, F.col(p).cast("string")).otherwise(value)
+    return totals.select(name.alias("parameter"), value.alias("value"), "runs", "mean_score")

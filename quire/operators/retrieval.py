@@ -11,10 +11,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries that are compared at once; more are taken block by block, so what a task holds is bounded.
-QUERY_BLOCK = 4096
-#: Rows of the corpus that are compared with a block at once: 32 MiB of distances.
-ROW_BLOCK = 1024
+from quire.plans.storage import durable
+
+#: Queries that are compared at once, and rows of the corpus that meet them at once: 32 MiB of distances.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Rows of the corpus in a range, about; a task of the grid holds a block of queries and streams a range.
+RANGE_ROWS = 1 << 18
+#: Vectors of the corpus that the rest is grouped around, so that far groups can be left out.
+PIVOTS = 64
+#: What rounding can do to a bound, against the vectors' lengths, and to squared distances, which are compared to six places.
+MARGIN, SLACK = 1e-6, 1e-5
 
 
 def _least(d: np.ndarray, k: int) -> np.ndarray:
@@ -28,33 +34,127 @@ def _least(d: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(place, order, 1)
 
 
-def _best(ids: pa.Array, vectors: np.ndarray, k: int, kind: pa.DataType):
-    """The k nearest rows of every query in a partition; k rows a query leave it, whatever its size."""
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    """Vectors as rows of doubles; a missing number is not a number, and a vector of another size has none."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (sizes == d).all():
+        return flat.reshape(len(sizes), d)
+    out = np.full((len(sizes), d), np.nan)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for i in np.flatnonzero(sizes == d):
+        out[i] = flat[at[i] : at[i + 1]]
+    return out
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of two matrices; infinite where a number is missing."""
+    d = np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0)
+    d[np.isnan(d)] = np.inf
+    return d
+
+
+def _pivots(corpus: DataFrame) -> np.ndarray:
+    """At most ``PIVOTS`` vectors of least hash: the only ones that pass the driver."""
+    chosen = corpus.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x.cast("double")))).orderBy(F.xxhash64("id"), "id").select("vector").limit(PIVOTS).toArrow()
+    if not len(chosen):
+        return np.zeros((1, 1))
+    sizes = chosen.column("vector").combine_chunks().value_lengths().to_pylist()
+    d = max(set(sizes), key=sizes.count)
+    m = _matrix(chosen.column("vector"), d)
+    return m[~np.isnan(m).any(1)]
+
+
+def _in_cells(pivots: np.ndarray):
+    """Adds to each vector the nearest pivot and the distance to it; the cell after the last is for vectors with missing numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        squares = (vectors**2).sum(1)[:, None]
         for batch in batches:
-            rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), vectors.shape[1])
-            names = batch.column("id").to_numpy(zero_copy_only=False)
+            d = _squared(_matrix(batch.column("vector"), pivots.shape[1]), pivots)
+            nearest = d.argmin(1)
+            away = np.sqrt(d[np.arange(len(d)), nearest])
+            cell = np.where(np.isinf(away), len(pivots), nearest).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(cell), pa.array(away)], names=["id", "vector", "cell", "away"])
+
+    return run
+
+
+def _cells_of_queries(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, least: np.ndarray, k: int):
+    """A row for each query and each cell that may hold one of its k nearest.
+
+    The k-th neighbour is no further than the far edge of any cell of k rows or more, and by the triangle
+    inequality nothing in a cell is nearer than its pivot less the cell's radius, or than its inner edge less the
+    pivot's distance.
+    """
+    full, some = counts[:-1] >= k, counts > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = _matrix(batch.column("vector"), pivots.shape[1])
+            d = np.sqrt(_squared(asked, pivots))
+            margin = MARGIN * (1 + np.nan_to_num(np.linalg.norm(asked, axis=1))[:, None] + np.linalg.norm(pivots, axis=1))
+            most = np.where(full, d + radius + margin, np.inf).min(1, keepdims=True) if full.any() else np.full((len(d), 1), np.inf)
+            nearest = np.where(np.isinf(d), 0, np.maximum(np.maximum(d - radius, least - d) - margin, 0))
+            may = np.ones((len(d), len(pivots) + 1), bool)
+            may[:, :-1] = nearest**2 <= most**2 + SLACK
+            # vectors with missing numbers are infinitely far: they only matter where the others are too few
+            may[:, -1] = np.isinf(most[:, 0])
+            query, cell = np.nonzero(may & some)
+            at = pa.array(query)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("vector").take(at), pa.array(cell.astype(np.int32))], names=["id", "vector", "cell"])
+
+    return run
+
+
+def _best_of_task(d: int, k: int, query_kind: pa.DataType, kind: pa.DataType):
+    """Over rows in the order of (task, side): a task's queries, then its corpus rows; the k nearest of every query leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, held, vectors, best = None, [], [], None, None
+
+        def told() -> pa.RecordBatch:
+            dist, names = best
+            ids = pa.concat_arrays(asked)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), dist.shape[1]))).cast(query_kind), pa.array(names.ravel(), kind), pa.array(dist.ravel())], names=["query_id", "id", "distance"])
+
+        def compare(rows: np.ndarray, names: np.ndarray):
+            found = best
             for i in range(0, len(rows), ROW_BLOCK):
                 order = np.argsort(names[i : i + ROW_BLOCK], kind="stable")
-                part = rows[i : i + ROW_BLOCK][order]
-                d = np.round(np.maximum(squares + (part**2).sum(1) - 2 * vectors @ part.T, 0), 6)
-                d[np.isnan(d)] = np.inf
-                own = names[i : i + ROW_BLOCK][order]
-                place = _least(d, k)
-                found = np.take_along_axis(d, place, 1), own[place]
-                if best is not None:
-                    dist, name = (np.concatenate(x, 1) for x in zip(best, found, strict=True))
+                own, dist = names[i : i + ROW_BLOCK][order], np.round(_squared(vectors, rows[i : i + ROW_BLOCK][order]), 6)
+                place = _least(dist, k)
+                new = np.take_along_axis(dist, place, 1), own[place]
+                if found is not None:
+                    both, name = (np.concatenate(x, 1) for x in zip(found, new, strict=True))
                     by_name = np.argsort(np.unique(name, return_inverse=True)[1].reshape(name.shape), axis=1, kind="stable")
-                    dist, name = np.take_along_axis(dist, by_name, 1), np.take_along_axis(name, by_name, 1)
-                    place = _least(dist, k)
-                    found = np.take_along_axis(dist, place, 1), np.take_along_axis(name, place, 1)
-                best = found
+                    both, name = np.take_along_axis(both, by_name, 1), np.take_along_axis(name, by_name, 1)
+                    place = _least(both, k)
+                    new = np.take_along_axis(both, place, 1), np.take_along_axis(name, place, 1)
+                found = new
+            return found
+
+        for batch in batches:
+            tasks, sides = batch.column("task").to_numpy(), batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero((tasks[1:] != tasks[:-1]) | (sides[1:] != sides[:-1])) + 1).tolist(), len(tasks)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if tasks[i] != now:
+                    if best is not None:
+                        yield told()
+                    now, asked, held, vectors, best = tasks[i], [], [], None, None
+                part = batch.slice(i, j - i)
+                rows = _matrix(part.column("vector"), d)
+                if sides[i] == 0:
+                    asked.append(part.column("query_id"))
+                    held.append(rows)
+                elif held:
+                    if vectors is None:
+                        vectors = np.concatenate(held)
+                    best = compare(rows, part.column("id").to_numpy(zero_copy_only=False))
         if best is not None:
-            d, names = best
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), d.shape[1]))), pa.array(names.ravel(), kind), pa.array(d.ravel())], names=["query_id", "id", "distance"])
+            yield told()
 
     return run
 
@@ -63,22 +163,39 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, distance, rank): the k rows of least squared L2 distance to each query, exactly; ties by id.
 
     ``queries`` and ``corpus`` have columns id and vector. On vectors of length 1 the order is that of
-    the cosine. Rows without id or vector are no neighbours, queries without vector
-    have none, and a vector with a missing number is infinitely far. The corpus is read once for each block of
-    queries; k rows a query and partition are shuffled.
+    the cosine. Rows without id or vector are no neighbours, queries without vector have none, and a vector with a
+    missing number, or of another size than most, is infinitely far.
+
+    The corpus is grouped around pivots, and a query goes only to the groups that can hold one of its
+    neighbours. Within a group a grid of query blocks and ranges of rows is dealt to tasks by one shuffle:
+    rows once for each block of queries, queries once for each range. So the plan is the same for any number of queries,
+    no group has to fit a task, and only the pivots and counts of cells pass the driver.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
     schema = f"query_id {dict(queries.dtypes)['id']}, id {dict(corpus.dtypes)['id']}, distance double"
-    kind = to_arrow_type(corpus.schema["id"].dataType)
-    found = queries.sparkSession.createDataFrame([], schema)
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).where("vector is not null").select("id", "vector").orderBy("id").toArrow()
-        if not len(part):
-            continue
-        vectors = np.array(part.column("vector").to_pylist(), np.float64).reshape(len(part), -1)
-        rows = corpus.select("id", "vector").where("id is not null and vector is not null").mapInArrow(_best(part.column("id").combine_chunks(), vectors, k, kind), schema)
-        found = found.unionByName(rows)
+    kinds = to_arrow_type(queries.schema["id"].dataType), to_arrow_type(corpus.schema["id"].dataType)
+    rows = corpus.select("id", "vector").where("id is not null and vector is not null")
+    asked = queries.select("id", "vector").where("vector is not null")
+    pivots = _pivots(rows)
+    cells = durable(rows.mapInArrow(_in_cells(pivots), f"id {dict(corpus.dtypes)['id']}, vector {dict(corpus.dtypes)['vector']}, cell int, away double"), "nearest-cells")
+    n = len(pivots) + 1
+    counts, radius, least = np.zeros(n, np.int64), np.zeros(n - 1), np.zeros(n - 1)
+    for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("most"), F.min("away").alias("least")).collect():
+        counts[r["cell"]] = r["n"]
+        if r["cell"] < n - 1:
+            radius[r["cell"]], least[r["cell"]] = r["most"], r["least"]
+    sent = durable(asked.mapInArrow(_cells_of_queries(pivots, counts, radius, least, k), f"id {dict(queries.dtypes)['id']}, vector {dict(queries.dtypes)['vector']}, cell int"), "nearest-queries")
+    wanted = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    numbers_of = [-(-wanted.get(c, 0) // QUERY_BLOCK) for c in range(n)], [max(1, -(-int(x) // RANGE_ROWS)) for x in counts]
+    blocks, ranges = (F.array(*[F.lit(x) for x in m])[F.col("cell")] for m in numbers_of)
+    task = ((F.col("cell").cast("long") * max(numbers_of[1]) + F.col("r")) * max(1, *numbers_of[0]) + F.col("b")).alias("task")
+    every = lambda m: F.explode(F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")))
+    grid = cells.select("id", "vector", "cell", F.pmod(F.xxhash64("id"), ranges).cast("int").alias("r"), every(blocks).alias("b"))
+    grid = grid.select(task, F.lit(1).alias("side"), F.lit(None).cast(dict(queries.dtypes)["id"]).alias("query_id"), "id", "vector")
+    # queries of equal id are told apart by their vector where they are dealt, and ranked together
+    posed = sent.select("id", "vector", "cell", F.pmod(F.xxhash64("id", "vector"), blocks).cast("int").alias("b"), every(ranges).alias("r"))
+    posed = posed.select(task, F.lit(0).alias("side"), F.col("id").alias("query_id"), F.lit(None).cast(dict(corpus.dtypes)["id"]).alias("id"), F.col("vector").cast(dict(corpus.dtypes)["vector"]).alias("vector"))
+    dealt = posed.unionByName(grid).repartition("task").sortWithinPartitions("task", "side")
+    found = dealt.mapInArrow(_best_of_task(pivots.shape[1], k, *kinds), schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

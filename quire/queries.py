@@ -6,27 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire import shop_queries  # noqa: F401  registers its queries
 from quire.functions import text as T
 from quire.functions import vectors as V
 from quire.operators import chat, consistency, etl, evaluation, qa_pairs, retrieval
 from quire.plans import qa
+from quire.registry import ORACLE_SQL, QUERIES, query
 from quire.sources import fixtures as X
 from quire.sources.fixtures import table
 from quire.streaming import trace
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
 
 def _rounded(c: str | Column, name: str) -> Column:
     return F.round(c, 6).alias(name)
@@ -35,11 +24,11 @@ def _rounded(c: str | Column, name: str) -> Column:
 # Self-consistency
 
 
-def _weights_sql(n: int, weighted: bool, own: bool) -> str:
+def _weights_sql(n: int, weighted: bool, own: bool, rows: str = X.RESPONSES) -> str:
     lp = "list_sum(logprobs[p:p + k - 1])" if weighted else "0.0"
     factor = "* max(L) / coalesce(nullif(max(L) - k - 1, 0), 1)" if n > 1 else ""
     scale = "* exp(max(own))" if own else ""
-    return f"""WITH {X.RESPONSES},
+    return f"""WITH {rows},
 grams AS (
   SELECT group_id, resp_id, k, tokens[p:p + k - 1] AS g, {lp}::DOUBLE AS lp, len(tokens)::DOUBLE AS L, list_avg(logprobs) AS own
   FROM (SELECT *, unnest(range(1, len(tokens) - k + 2)) AS p FROM responses, range(1, {n + 1}) t(k) WHERE len(tokens) >= k)),
@@ -202,23 +191,27 @@ def cosine_to_centroid(spark, sf_dir):
     return consistency.cosine_to_centroid(X.vectors(spark, sf_dir)).select("group_id", "resp_id", _rounded("score", "score"))
 
 
-_TEXT_VECTORS = f"""WITH {X.RESPONSES}, tv AS (SELECT group_id, resp_id, text, logprobs, embedding AS v FROM responses JOIN embeddings ON vec_id = (group_id * 7 + length(text)) % (SELECT count(*) FROM embeddings))"""
+_TEXT_VECTORS = f"""WITH {X.RESPONSES}, tv AS (SELECT group_id, resp_id, text, exp(list_avg(logprobs)) AS p, embedding::DOUBLE[] AS v FROM responses, (SELECT count(*) AS m FROM embeddings) c, embeddings WHERE vec_id = (group_id * 7 + length(text)) % c.m)"""
 
 
-def _text_vectors(spark, sf_dir) -> DataFrame:
-    """Responses with one of the embeddings each, chosen by their text's length."""
+def _with_vectors(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    """Rows with one of the embeddings each, chosen by their group and their text's length."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return X.responses(spark, sf_dir).withColumn("vec_id", (F.col("group_id") * 7 + F.length("text")) % e.count()).join(e, "vec_id").drop("vec_id")
+    return rows.withColumn("vec_id", (F.col("group_id") * 7 + F.length("text")) % e.count()).join(e, "vec_id").drop("vec_id")
+
 
+def _text_vectors(spark, sf_dir) -> DataFrame:
+    return _with_vectors(spark, sf_dir, X.responses(spark, sf_dir))
 
-@query(_TEXT_VECTORS + """, sc AS (SELECT a.group_id, a.resp_id, any_value(a.text) AS text, round(avg(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[])), 6) AS score FROM tv a JOIN tv b USING (group_id) GROUP BY a.group_id, a.resp_id),
+
+@query(_TEXT_VECTORS + """, sc AS (SELECT a.group_id, a.resp_id, any_value(a.text) AS text, round(avg(list_cosine_similarity(a.v, b.v)), 6) AS score FROM tv a JOIN tv b USING (group_id) GROUP BY a.group_id, a.resp_id),
 best AS (SELECT group_id, (list(text ORDER BY score DESC, text))[1] AS text FROM sc GROUP BY group_id)
 SELECT group_id, text, min(resp_id) AS resp_id FROM sc JOIN best USING (group_id, text) GROUP BY ALL""")
 def majority_consensus_pick(spark, sf_dir):
     return consistency.majority_consensus(_text_vectors(spark, sf_dir))
 
 
-@query(_TEXT_VECTORS + """ SELECT a.group_id, a.resp_id AS i, b.resp_id AS j, round(list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[]) * exp(list_avg(a.logprobs)) * exp(list_avg(b.logprobs)), 6) AS score FROM tv a JOIN tv b USING (group_id)""")
+@query(_TEXT_VECTORS + """ SELECT a.group_id, a.resp_id AS i, b.resp_id AS j, round(list_dot_product(a.v, b.v) * a.p * b.p, 6) AS score FROM tv a JOIN tv b USING (group_id)""")
 def weighted_embedding_similarity(spark, sf_dir):
     return consistency.embedding_matrix(_text_vectors(spark, sf_dir), weighted=True).select("group_id", "i", "j", _rounded("score", "score"))
 
@@ -443,26 +436,43 @@ def average_precision(spark, sf_dir):
     return evaluation.average_precision(ranks, "case").select(F.col("case").alias("case_id"), _rounded("ap", "ap"))
 
 
+_SCORED = f"""WITH {X.LABELLED},
+tv AS (SELECT r.*, list_transform(e.embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(e.embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM responses r, (SELECT count(*) AS m FROM embeddings) c, embeddings e WHERE e.vec_id = (r.group_id * 7 + length(r.text)) % c.m),
+scaled AS (SELECT group_id, resp_id, n, v, exp(list_avg(logprobs)) AS p FROM tv),
+pairs AS (SELECT a.group_id, a.resp_id, any_value(a.n) AS n, sum(list_dot_product(a.v, b.v)) AS plain, sum(list_dot_product(a.v, b.v) * a.p * b.p) AS weighted FROM scaled a JOIN scaled b ON a.group_id = b.group_id AND a.resp_id <> b.resp_id GROUP BY a.group_id, a.resp_id)"""
+
+
 def _map_sql() -> str:
-    parts = [f"SELECT '{name}' AS method, group_id, resp_id, round(score, 9) AS score FROM ({_weights_sql(*args)} SELECT * FROM scores)" for name, *args in consistency.METHODS]
-    parts.append(f"SELECT 'probability' AS method, group_id, resp_id, round(exp(list_avg(logprobs)), 9) AS score FROM (WITH {X.RESPONSES} SELECT * FROM responses)")
-    return f"""WITH {X.RESPONSES}, every AS ({' UNION ALL '.join(parts)}),
-ranks AS (SELECT method, e.group_id, row_number() OVER (PARTITION BY method, e.group_id ORDER BY score DESC, e.resp_id DESC) AS rank, length(text) % 3 <> 0 AS hit FROM every e JOIN responses r ON r.group_id = e.group_id AND r.resp_id = e.resp_id),
+    parts = [f"SELECT '{name}' AS method, group_id, resp_id, round(score, 9) AS score FROM ({_weights_sql(*args, rows=X.LABELLED)} SELECT * FROM scores)" for name, *args in consistency.METHODS]
+    parts.append("SELECT 'probability' AS method, group_id, resp_id, round(exp(list_avg(logprobs)), 9) AS score FROM responses")
+    parts += [f"SELECT '{name}' AS method, group_id, resp_id, round({column} / (n - 1), 9) AS score FROM pairs" for name, column in (("embeddings", "plain"), ("weighted_embeddings", "weighted"))]
+    return f"""{_SCORED}, every AS ({' UNION ALL '.join(parts)}),
+ranks AS (SELECT method, e.group_id, row_number() OVER (PARTITION BY method, e.group_id ORDER BY score DESC, e.resp_id DESC) AS rank, hit FROM every e JOIN responses r ON r.group_id = e.group_id AND r.resp_id = e.resp_id),
 p AS (SELECT *, sum(hit::INT) OVER (PARTITION BY method, group_id ORDER BY rank) / rank::DOUBLE AS p FROM ranks),
 ap AS (SELECT method, group_id, coalesce(sum(p) FILTER (hit) / nullif(sum(hit::INT), 0), 0.0) AS ap, max(CASE WHEN rank = 1 AND hit THEN 1.0 ELSE 0.0 END)::DOUBLE AS top FROM p GROUP BY ALL)
 SELECT method, round(avg(ap), 2) AS map, round(avg(top), 2) AS top_correct FROM ap GROUP BY method"""
 
 
+def _labelled(spark, sf_dir) -> DataFrame:
+    return _with_vectors(spark, sf_dir, evaluation.labelled_answers(X.cases(spark, sf_dir)))
+
+
 @query(_map_sql())
 def map_by_method(spark, sf_dir):
-    rows = X.responses(spark, sf_dir)
-    every = rows.select(F.lit("probability").alias("method"), "group_id", "resp_id", F.round(consistency.mean_probability(F.col("logprobs")), 9).alias("score"))
-    every = every.unionByName(consistency.scores_by_method(rows).withColumn("score", F.round("score", 9)))
+    """The seven ways of ranking, over cases whose answers are labelled good or bad."""
+    rows = _labelled(spark, sf_dir)
+    every = consistency.scores_of_all_methods(rows).withColumn("score", F.round("score", 9))
     rank = F.row_number().over(W.partitionBy("method", "group_id").orderBy(F.desc("score"), F.desc("resp_id")))
-    hits = rows.select("group_id", "resp_id", (F.length("text") % 3 != 0).alias("hit"))
+    hits = rows.select("group_id", "resp_id", "hit")
     return evaluation.mean_average_precision(every.withColumn("rank", rank).join(hits, ["group_id", "resp_id"]).select("method", F.col("group_id").alias("case"), "rank", "hit"))
 
 
+@query(_SCORED + " SELECT group_id, resp_id, round(plain / (n - 1), 6) AS plain, round(weighted / (n - 1), 6) AS weighted FROM pairs")
+def embedding_consistency(spark, sf_dir):
+    """How well each labelled answer's vector agrees with the others of its case, by sums; the SQL makes all pairs."""
+    rows = _labelled(spark, sf_dir)
+    plain, weighted = (consistency.embedding_scores(rows, w).withColumnRenamed("score", name) for w, name in ((False, "plain"), (True, "weighted")))
+    return plain.join(weighted, ["group_id", "resp_id"]).select("group_id", "resp_id", _rounded("plain", "plain"), _rounded("weighted", "weighted"))
 
 
 @query("""SELECT CAST(doc_id % 3 AS INT) AS parent_chunk_size, CAST(doc_id % 2 AS INT) AS number_of_docs, count(*) AS runs, round(avg((doc_id % 20) / 20.0::DOUBLE), 6) AS mean_score, max((doc_id % 20) / 20.0::DOUBLE) AS max_score FROM documents GROUP BY ALL""")

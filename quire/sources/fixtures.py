@@ -35,6 +35,16 @@ responses AS (
     FROM responses0) WHERE n >= 2)"""
 
 
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with good and bad answers: (group_id, responses, good, bad); every fifth answer has no label, and at least two of a case have one."""
+    rows = responses(spark, sf_dir)
+    place = lambda ok: F.array_sort(F.collect_list(F.when((F.col("resp_id") % 5 != 4) & ok, F.col("resp_id"))))
+    good, said = F.length("text") % 3 != 0, F.struct("text", "tokens", "logprobs")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("resp_id", said.alias("r")))), lambda x: x["r"])
+    got = rows.groupBy("group_id").agg(ordered.alias("responses"), place(good).alias("good"), place(~good).alias("bad"))
+    return got.where(F.size("good") + F.size("bad") >= 2)
+
+
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as page elements: every fifth a title, short ones list items; some lose their full stop."""
     lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
@@ -59,6 +69,13 @@ elements AS (
   FROM lines)"""
 
 
+LABELLED = RESPONSES.replace("responses AS (", "every_response AS (") + r""",
+responses AS (
+  SELECT * FROM (
+    SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY length(text) % 3 = 0, resp_id) - 1 AS INT) AS resp_id, text, tokens, logprobs, length(text) % 3 <> 0 AS hit, count(*) OVER (PARTITION BY group_id) AS n
+    FROM every_response WHERE resp_id % 5 <> 4) WHERE n >= 2)"""
+
+
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five judges' texts on each labelled document, in six shapes."""
     rows = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(4))))

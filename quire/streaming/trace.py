@@ -6,12 +6,13 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.storage import durable
@@ -85,22 +86,43 @@ def stamped(events: DataFrame) -> DataFrame:
     return events.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
 
 
+def _climb(runs: DataFrame, start: Column, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """(run_id, told): walks up all parent links at once, in steps that double; ``join`` puts together what is told of an upper and of a lower part.
+
+    Every round, each walk that is not at its end goes on by what the run that it has reached has walked so far;
+    walks at their end are kept aside. A walk of more steps than there are runs goes in a circle.
+    """
+    known = runs.select(F.col("run_id").alias("known")).distinct()
+    edges = runs.select("run_id", "parent_id").join(known, F.col("parent_id") == F.col("known"), "left")
+    walks = durable(edges.select("run_id", F.col("known").alias("top"), start.alias("told")), "trace")
+    total, steps = runs.count(), 1
+    ended = [walks.where("top is null")]
+    while not (going := walks.where("top is not null")).isEmpty():
+        if steps > total:
+            raise ValueError(f"run {going.first()['run_id']} is among its own ancestors, or below such a run")
+        above = reduce(DataFrame.unionByName, [going, *ended]).select(F.col("run_id").alias("a"), F.col("top").alias("higher"), F.col("told").alias("upper"))
+        joined = going.join(above, F.col("top") == F.col("a"))
+        walks = durable(joined.select("run_id", F.col("higher").alias("top"), join(F.col("upper"), F.col("told")).alias("told")), "trace")
+        ended.append(walks.where("top is null"))
+        steps *= 2
+    return reduce(DataFrame.unionByName, ended).select("run_id", "told")
+
+
 def parent_ids(runs: DataFrame) -> DataFrame:
     """(run_id, parent_ids): the ancestors of rows (run_id, parent_id), root first; a walk stops at an unknown parent.
 
-    Paths double in every round, so a chain of n needs log2(n) joins. A cycle is an error of the log: a
-    walk stops after 2**16 steps.
+    A chain of n takes log2(n) rounds, however long it is. A cycle is an error of the log and raises. ``run_id`` is unique.
     """
-    known = runs.select(F.col("run_id").alias("known"))
-    edges = runs.select("run_id", "parent_id").join(known, F.col("parent_id") == F.col("known"), "left")
-    paths = durable(edges.select("run_id", F.col("known").alias("top"), F.when(F.col("known").isNotNull(), F.array("known")).otherwise(F.array().cast(f"array<{dict(runs.dtypes)['run_id']}>")).alias("path")), "trace")
-    for _ in range(16):
-        if paths.where("top is not null").isEmpty():
-            break
-        above = paths.select(F.col("run_id").alias("a"), F.col("top").alias("above"), F.col("path").alias("front"))
-        joined = paths.join(above, F.col("top") == F.col("a"), "left")
-        paths = durable(joined.select("run_id", F.col("above").alias("top"), F.concat(F.coalesce("front", F.array().cast(dict(paths.dtypes)["path"])), "path").alias("path")), "trace")
-    return paths.select("run_id", F.col("path").alias("parent_ids"))
+    none = F.array().cast(f"array<{dict(runs.dtypes)['run_id']}>")
+    start = F.when(F.col("known").isNotNull(), F.array("known")).otherwise(none)
+    return _climb(runs, start, lambda upper, lower: F.concat(upper, lower)).withColumnRenamed("told", "parent_ids")
+
+
+def depths(runs: DataFrame) -> DataFrame:
+    """(run_id, depth, root): the number of ancestors of each run and the first of them, itself if it has none; for logs whose paths together are too long to write."""
+    start = F.struct(F.col("known").isNotNull().cast("long").alias("depth"), F.coalesce("known", "run_id").alias("root"))
+    told = _climb(runs, start, lambda upper, lower: F.struct((upper["depth"] + lower["depth"]).alias("depth"), upper["root"].alias("root")))
+    return told.select("run_id", "told.depth", "told.root")
 
 
 def elapsed(events: DataFrame) -> DataFrame:
