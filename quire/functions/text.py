@@ -22,9 +22,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Unicode's white space, as ``\s`` of a Unicode pattern has it.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column | str) -> Column:
-    """Without white space (Unicode's) at either end; ``trim`` would only take blanks."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Without white space (Unicode's) at either end. It looks no further than the first other character from each end."""
+    return F.trim(_col(c), F.lit(WHITE_SPACE))
 
 
 def has_sentence_end(c: Column | str) -> Column:
@@ -50,12 +54,17 @@ def parse_questions(c: Column | str) -> Column:
 def strip_qa_prefix(c: Column | str) -> Column:
     """Without the prefixes of questions and answers, in their fixed order, then without ``12.`` if something follows it.
 
-    Each step names its input once: steps that name it twice double the plan.
+    The text runs through the prefixes as the state of a fold, so each is tested at its beginning alone.
     """
-    c = strip(c)
-    for prefix in QA_PREFIXES:
-        c = F.regexp_replace(c, rf"(?U)^\Q{prefix}\E\s*", "")
-    return F.regexp_replace(c, r"(?sU)^[0-9]+\.(?=.)\s*", "")
+    bare = lambda x: F.ltrim(x, F.lit(WHITE_SPACE))
+
+    def without(text: Column, prefix: Column) -> Column:
+        return F.when(F.startswith(text, prefix), bare(F.substring(text, F.length(prefix) + 1, F.length(text)))).otherwise(text)
+
+    def finish(text: Column) -> Column:
+        return F.when(F.substring(text, 1, 1).between("0", "9"), F.regexp_replace(text, r"(?sU)^[0-9]+\.(?=.)\s*", "")).otherwise(text)
+
+    return F.aggregate(F.array(*map(F.lit, QA_PREFIXES)), strip(c), without, finish)
 
 
 def remove_answer_prefix(c: Column | str) -> Column:

@@ -44,6 +44,38 @@ class EchoModel:
         return [self.template.format(p.strip().rsplit("\n", 1)[-1]) for p in prompts]
 
 
+@dataclass(frozen=True)
+class QuotingModel:
+    """A stand-in that speaks from its prompt: each rule is the beginning of a prompt's first line and what is made of the second line.
+
+    A prompt that no rule knows is answered by its first line. So what a chain asks, and in what order, shows in its answers.
+    """
+
+    rules: tuple[tuple[str, Callable[[str], str]], ...] = ()
+
+    def _say(self, prompt: str) -> str:
+        head, _, rest = prompt.partition("\n")
+        line = rest.partition("\n")[0]
+        return next((make(line) for begins, make in self.rules if head.startswith(begins)), head)
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [self._say(p) for p in prompts]
+
+
+@dataclass(frozen=True)
+class LetterEmbedder:
+    """A stand-in whose vectors are counts of characters: plain enough for SQL to follow."""
+
+    letters: str = "abcdefghijklmnopqrstuvwxyz"
+
+    @property
+    def size(self) -> int:
+        return len(self.letters)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.count(c)) for c in self.letters] for t in texts]
+
+
 @dataclass(frozen=True)
 class HttpChatModel:
     """A client of a text-generation server: POST of a prompt and parameters, the text under ``field``.
@@ -264,22 +296,36 @@ def map_rows(rows: DataFrame, model: ChatModel, template: str, out: str, stops:
     return rows.withColumn(out, call_model(model, fill(template, **columns), stops))
 
 
-def map_documents(rows: DataFrame, key: str, documents: str, fn) -> DataFrame:
-    """Each text of an array column through ``fn`` (DataFrame of key, pos, text -> the same with a new text), put back in place.
+def _document_rows(rows: DataFrame, key: Sequence[str], documents: str, carry: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, a row for each document with key, pos, text and ``carry``), both dealt by the key.
+
+    What is dealt once needs no other exchange for grouping the documents again and joining them with their rows.
+    """
+    dealt = rows.repartition(*key)
+    return dealt, dealt.select(*key, *carry, F.posexplode(documents).alias("pos", "text"))
+
+
+def _gathered(done: DataFrame, key: Sequence[str]) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return done.groupBy(*key).agg(F.transform(ordered, lambda d: d["text"]).alias("_docs"))
+
+
+def map_documents(rows: DataFrame, key: str | Sequence[str], documents: str, fn, carry: Sequence[str] = ()) -> DataFrame:
+    """Each text of an array column through ``fn`` (DataFrame of key, ``carry``, pos, text -> with a new text), put back in place.
 
-    A row for each document is what spreads the calls over the cluster. Empty and null arrays stay.
+    A row for each document is what spreads the calls over the cluster. Empty and null arrays stay. ``key`` is unique.
     """
-    exploded = rows.select(key, F.posexplode(documents).alias("pos", "text"))
-    done = fn(exploded).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda d: d["text"]).alias("_docs"))
-    joined = rows.join(done, key, "left")
+    key = [key] if isinstance(key, str) else list(key)
+    dealt, exploded = _document_rows(rows, key, documents, carry)
+    joined = dealt.join(_gathered(fn(exploded), key), key, "left")
     return joined.withColumn(documents, F.coalesce("_docs", documents)).drop("_docs")
 
 
-def filter_documents(rows: DataFrame, key: str, documents: str, keep) -> DataFrame:
-    """The texts of an array column that ``keep`` (DataFrame of key, pos, text -> with boolean ``kept``) accepts, in order."""
-    exploded = rows.select(key, F.posexplode(documents).alias("pos", "text"))
-    done = keep(exploded).where("kept").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda d: d["text"]).alias("_docs"))
-    return rows.join(done, key, "left").withColumn(documents, F.coalesce("_docs", F.array().cast("array<string>"))).drop("_docs")
+def filter_documents(rows: DataFrame, key: str | Sequence[str], documents: str, keep, carry: Sequence[str] = ()) -> DataFrame:
+    """The texts of an array column that ``keep`` (DataFrame of key, ``carry``, pos, text -> with boolean ``kept``) accepts, in order."""
+    key = [key] if isinstance(key, str) else list(key)
+    dealt, exploded = _document_rows(rows, key, documents, carry)
+    return dealt.join(_gathered(keep(exploded).where("kept"), key), key, "left").withColumn(documents, F.coalesce("_docs", F.array().cast("array<string>"))).drop("_docs")
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from contextlib import nullcontext
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 from quire.functions.text import choose, chosen_index, format_responses, parse_questions
 from quire.operators import chat, consistency, etl, retrieval
 from quire.plans.storage import durable
+from quire.streaming.trace import RunLog
 
 INDEX_TYPES = ("parent_document", "hypothetical_queries")
 
 
 @dataclass(frozen=True)
 class QaOptions:
-    """``compress`` only counts with ``reword``; ``limit`` is applied before the filter."""
+    """``compress`` comes after ``reword`` and only counts with it; ``limit`` is applied before the filter."""
 
     reword: bool = True
     self_consistency: bool = True
@@ -50,14 +52,34 @@ def build_index(docs: DataFrame, kind: str, embedder: chat.Embedder, *, model: c
     return chunks, units.select(F.concat_ws("-", "parent_id", "n").alias("id"), "parent_id", chat.embed(embedder, F.col("text"), unit=True).alias("vector"))
 
 
-def save_index(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
+@dataclass(frozen=True)
+class Retriever:
+    """A saved index with what it was built for: its kind and how many chunks a question gets."""
+
+    chunks: DataFrame
+    vectors: DataFrame
+    kind: str
+    k: int
+
+    def find(self, questions: DataFrame, embedder: chat.Embedder, limit: int | None = None) -> DataFrame:
+        """(query_id, documents): the texts found for questions (question_id, question), best first."""
+        asked = questions.select(F.col("question_id").alias("id"), chat.embed(embedder, F.col("question"), unit=True).alias("vector"))
+        return retrieval.ranked_contexts(retrieval.parent_documents(durable(asked, "qa-queries"), self.vectors, self.k), self.chunks, "chunk_id", limit)
+
+
+def save_index(chunks: DataFrame, vectors: DataFrame, path: str, kind: str = "parent_document", k: int = 10) -> None:
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    chunks.sparkSession.createDataFrame([(kind, k)], "kind string, k int").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
 
 
 def add_documents(path: str, docs: DataFrame, kind: str, embedder: chat.Embedder, **options) -> None:
-    """More documents (of other doc_ids) for a saved index: their chunks and vectors are appended, what is there is not read."""
+    """More documents for a saved index: their chunks and vectors are appended. A document that is there already raises, and nothing is written."""
     chunks, vectors = build_index(docs, kind, embedder, **options)
+    chunks = durable(chunks, "qa-added")
+    there = docs.sparkSession.read.parquet(f"{path}/chunks").select("chunk_id")
+    if twice := chunks.join(there, "chunk_id", "left_semi").select("chunk_id").first():
+        raise ValueError(f"chunk {twice['chunk_id']} is in the index already")
     chunks.write.mode("append").parquet(f"{path}/chunks")
     vectors.write.mode("append").parquet(f"{path}/vectors")
 
@@ -66,32 +88,52 @@ def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors")
 
 
-def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, model: chat.ChatModel, embedder: chat.Embedder, options: QaOptions = QaOptions(), k: int = 20, sampling: chat.ChatModel | None = None) -> DataFrame:
-    """(question_id, question, answer) for questions (question_id, question)."""
+def load_retriever(spark, path: str) -> Retriever:
+    told = spark.read.schema("kind string, k int").json(f"{path}/settings").first()
+    return Retriever(*load_index(spark, path), told["kind"], told["k"])
+
+
+#: Prompts for a document: is it kept, said anew, and cut down to the question.
+JUDGE, REWORD, EXTRACT = "Is this of use for {q}? Answer yes or no.\n{t}", "Say this in clear words.\n{t}", "Extract what helps to answer {q}.\n{t}"
+
+
+def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, model: chat.ChatModel, embedder: chat.Embedder, options: QaOptions = QaOptions(), k: int = 20, sampling: chat.ChatModel | None = None, log: RunLog | None = None) -> DataFrame:
+    """(question_id, question, answer) for questions (question_id, question); question_id is unique.
+
+    The k nearest chunks, of these the first ``limit``, of these those that the model keeps. For each sample they are put
+    in another order, said anew, and then, with ``compress``, cut down to what helps; the answer is reasoned out by the
+    sampling model and stated by the model, and one of the samples is picked. With ``log``, each step that asks or
+    retrieves is a run in it, within that of the whole; the pick is planned there and runs when its rows are read.
+    """
     consistency.check_strategy(options.strategy, model is not None)
-    asked = durable(questions.select(F.col("question_id").alias("id"), chat.embed(embedder, F.col("question"), unit=True).alias("vector")), "qa-queries")
-    found = retrieval.parent_documents(asked, vectors, k)
-    contexts = retrieval.ranked_contexts(found, chunks, "chunk_id", options.limit).withColumnRenamed("query_id", "question_id")
-    rows = questions.select("question_id", "question").join(contexts, "question_id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
-    question = questions.select("question_id", "question")
-    if options.llm_filter:
-        judge = lambda d: chat.map_rows(d.join(question, "question_id"), model, "Is this of use for {q}? Answer yes or no.\n{t}", "says", q=F.col("question"), t=F.col("text")).withColumn("kept", ~F.lower("says").startswith("no"))
-        rows = chat.filter_documents(rows, "question_id", "documents", judge)
-    rows = durable(rows, "qa-documents")
-    rows = consistency.repeat(rows, options.samples if options.self_consistency else 1)
-    if options.self_consistency:
-        rows = rows.withColumn("documents", consistency.alternate_ordering(F.col("documents"), F.col("sample")))
-    rows = rows.withColumn("row", F.concat_ws("-", "question_id", "sample"))
-    if options.reword:
-        task = "Extract what helps to answer {q}.\n{t}" if options.compress else "Say this in clear words.\n{t}"
-        by_row = rows.select("row", "question")
-        reword = lambda d: chat.map_rows(d.join(by_row, "row"), model, task, "new", q=F.col("question"), t=F.col("text")).select("row", "pos", F.col("new").alias("text"))
-        rows = chat.map_documents(rows, "row", "documents", reword)
-    prompts = chat.THREAD_OF_THOUGHT if options.thread_of_thought else chat.RagPrompts()
-    answered = durable(chat.answer_questions(rows, model, sampling, prompts), "qa-answers")
-    if not options.self_consistency:
-        return answered.select("question_id", "question", "answer")
-    return pick(answered, options.strategy, model, embedder)
+    step = log.run if log else lambda *_, **__: nullcontext()
+    with step("answer", "chain", inputs=asdict(options)):
+        with step("retrieve", "chain", inputs={"k": k}):
+            asked = durable(questions.select(F.col("question_id").alias("id"), chat.embed(embedder, F.col("question"), unit=True).alias("vector")), "qa-queries")
+            found = retrieval.parent_documents(asked, vectors, k)
+            contexts = retrieval.ranked_contexts(found, chunks, "chunk_id", options.limit).withColumnRenamed("query_id", "question_id")
+            rows = questions.select("question_id", "question").join(contexts, "question_id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
+            rows = durable(rows, "qa-documents")
+        if options.llm_filter:
+            with step("filter", "llm"):
+                judge = lambda d: chat.map_rows(d, model, JUDGE, "says", q=F.col("question"), t=F.col("text")).withColumn("kept", ~F.lower("says").startswith("no"))
+                rows = durable(chat.filter_documents(rows, "question_id", "documents", judge, carry=["question"]), "qa-kept")
+        rows = consistency.repeat(rows, options.samples if options.self_consistency else 1)
+        if options.self_consistency:
+            rows = rows.withColumn("documents", consistency.alternate_ordering(F.col("documents"), F.col("sample")))
+        # samples are meant to differ, so they are worded by the model that samples
+        voice = sampling or model if options.self_consistency else model
+        for name, task in (("reword", REWORD), *((("extract", EXTRACT),) if options.compress else ())) if options.reword else ():
+            with step(name, "llm"):
+                say = lambda d, task=task: chat.map_rows(d, voice, task, "new", q=F.col("question"), t=F.col("text")).select("question_id", "sample", "pos", F.col("new").alias("text"))
+                rows = durable(chat.map_documents(rows, ["question_id", "sample"], "documents", say, carry=["question"]), f"qa-{name}")
+        with step("reason", "llm"):
+            prompts = chat.THREAD_OF_THOUGHT if options.thread_of_thought else chat.RagPrompts()
+            answered = durable(chat.answer_questions(rows, model, sampling, prompts), "qa-answers")
+        if not options.self_consistency:
+            return answered.select("question_id", "question", "answer")
+        with step("pick", "chain", inputs={"strategy": options.strategy}):
+            return pick(answered, options.strategy, model, embedder)
 
 
 def pick(answered: DataFrame, strategy: str, model: chat.ChatModel | None, embedder: chat.Embedder) -> DataFrame:

@@ -544,11 +544,33 @@ def multi_vector_topk(spark, sf_dir):
     return retrieval.parent_documents(queries, index, 10)
 
 
-# the stand-in model says the last line of its prompt, so the last line of the question decides
-@query(r"""WITH asked AS (SELECT conv_id AS question_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id)
-SELECT question_id, question, trim(regexp_extract(rtrim('State only the answer to: ' || question, ' ' || chr(9) || chr(10) || chr(13)), '[^\n]*$'), ' ' || chr(9) || chr(13)) AS answer FROM asked""")
+def _judged(line: str) -> str:
+    return "no" if len(line) % 5 == 0 else "yes"
+
+
+#: A stand-in whose answers show which documents were found, kept and put first, and that they were reworded before they were cut down.
+SPEAKER = chat.QuotingModel((("Is this of use", _judged), ("Say this", "> {}".format), ("Extract", "< {}".format), ("Use the rules", str)))
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_VECTOR = f"[(length(t) - length(replace(t, c, '')))::DOUBLE FOR c IN string_split('{','.join(_LETTERS)}', ',')]"
+_UNIT_OF = "list_transform(v, lambda x: x / coalesce(nullif(sqrt(list_sum(list_transform(v, lambda y: y * y))), 0), 1))"
+
+
+@query(rf"""WITH asked AS (SELECT conv_id AS question_id, arg_min(translate(text, chr(10), ' '), turn) AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id),
+docs AS MATERIALIZED (SELECT doc_id, regexp_extract(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)), '^[^
+]*') AS line, text AS t FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) <> ''),
+corpus AS MATERIALIZED (SELECT doc_id || '-0-0' AS id, line, {_UNIT_OF} AS v FROM (SELECT doc_id, line, {_VECTOR} AS v FROM docs)),
+posed AS MATERIALIZED (SELECT question_id, {_UNIT_OF} AS q FROM (SELECT question_id, {_VECTOR} AS v FROM (SELECT question_id, question AS t FROM asked))),
+near AS (SELECT question_id, id, line, row_number() OVER (PARTITION BY question_id ORDER BY round(list_sum([(q[i] - v[i]) ** 2 FOR i IN range(1, 27)]), 6), id) AS rank FROM posed, corpus),
+kept AS (SELECT question_id, list(line ORDER BY rank) AS d FROM near WHERE rank <= 5 AND length(line) % 5 <> 0 GROUP BY question_id),
+samples AS (SELECT question_id, question, CAST(s AS INT) AS sample, coalesce(d, []) AS d, len(coalesce(d, [])) // 2 AS m FROM asked LEFT JOIN kept USING (question_id), range(3) t(s)),
+ordered AS (SELECT *, CASE WHEN len(d) < 2 OR sample = 0 THEN d WHEN sample = 1 THEN list_concat(list_reverse(d[1:m]), list_reverse(d[m + 1:])) ELSE list_reverse(d) END AS o FROM samples),
+answers AS MATERIALIZED (SELECT question_id, question, sample, coalesce('< > ' || o[1], '') AS t FROM ordered),
+vectors AS MATERIALIZED (SELECT question_id, question, sample, t, {_UNIT_OF} AS v FROM (SELECT *, {_VECTOR} AS v FROM answers)),
+scores AS (SELECT a.question_id, any_value(a.question) AS question, a.t, a.sample, round(avg(list_dot_product(a.v, b.v)), 6) AS score FROM vectors a JOIN vectors b USING (question_id) GROUP BY a.question_id, a.sample, a.t)
+SELECT question_id, any_value(question) AS question, arg_min(t, (-score, t)) AS answer FROM scores GROUP BY question_id""")
 def qa_pipeline(spark, sf_dir):
-    docs, embedder, model = table(spark, sf_dir, "documents").where("text is not null"), chat.HashingEmbedder(), chat.EchoModel()
-    chunks, index = qa.build_index(docs, "parent_document", embedder)
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").groupBy(F.col("conv_id").alias("question_id")).agg(F.min_by("text", "turn").alias("question"))
-    return qa.answer(asked, chunks, index, model, embedder, qa.QaOptions(samples=3))
+    """The whole chain by stand-ins that SQL can follow: retrieval, limit, filter, orders, rewording, then extraction, answers and the pick among them."""
+    docs, embedder = table(spark, sf_dir, "documents").where("text is not null"), chat.LetterEmbedder(_LETTERS)
+    chunks, index = qa.build_index(docs, "parent_document", embedder, parent_size=1 << 30, parent_overlap=0, child_size=0)
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").groupBy(F.col("conv_id").alias("question_id")).agg(F.translate(F.min_by("text", "turn"), "\n", " ").alias("question"))
+    return qa.answer(asked, chunks, index, SPEAKER, embedder, qa.QaOptions(samples=3, compress=True))
