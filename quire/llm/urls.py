@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.plans.storage import durable
+
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict); the longest that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -74,21 +76,28 @@ def bloom_filter(listed: DataFrame) -> tuple[DataFrame, int]:
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """A verdict on every page: the rule's if one fits, else block if the canonical URL is listed, else allow.
 
-    ``listed`` has a column ``url``; nulls and repeats in it count for nothing. Possible hits of the
-    Bloom filter go to an exact join on the canonical URL. A filter of at most ``MAX_BLOCKS`` blocks is
-    sent to all tasks, so that all other pages are settled without a shuffle; a larger one is dealt by
-    block and meets the pages there. Returns page_id, host, path, rule, verdict; a null url has an empty host
-    and path, no rule, and is allowed. Repeated rows stay; other columns are dropped.
+    ``listed`` has a column ``url``; nulls and repeats in it count for nothing. Only pages without a rule and
+    with a host are held against the list: possible hits of the Bloom filter go to an exact join on the
+    canonical URL. A filter of at most ``MAX_BLOCKS`` blocks is sent to all tasks, so that all other
+    pages are settled without a shuffle; a larger one is dealt by block and meets the pages in question there.
+    Pages are read once, and what the filter says is written. Returns page_id, host, path, rule, verdict; a null url has
+    an empty host and path, no rule, and is allowed. Repeated rows stay; other columns are dropped.
     """
-    keys = listed.select(canonical(F.col("url")).alias("key")).where("key is not null").distinct()
+    keys = durable(listed.select(canonical(F.col("url")).alias("key")).where("key is not null").distinct(), "url-list")
     bloom, blocks = bloom_filter(keys)
     url = F.col("url")
     rows = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("key"))
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumns({"block": _block(F.col("key"), blocks), "bits": _bits(F.col("key"))})
-    probed = rows.join(F.broadcast(bloom) if blocks <= MAX_BLOCKS else bloom, "block", "left")
-    possible = F.coalesce(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)) & F.col("key").isNotNull() & F.col("fit").isNull()
-    probed = probed.withColumn("possible", possible)
+    asked = F.col("key").isNotNull() & F.col("fit").isNull()
+    if blocks <= MAX_BLOCKS:
+        # one pass, as no row moves: what is not asked has no block, and finds none
+        probed = rows.withColumn("block", F.when(asked, _block(F.col("key"), blocks))).join(F.broadcast(bloom), "block", "left")
+    else:
+        rows = durable(rows, "url-rows")
+        probed = rows.where(asked).withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block", "left")
+        probed = probed.unionByName(rows.where(~asked).withColumns({"block": F.lit(None).cast("long"), "word": F.lit(None).cast("long")}))
+    bits = _bits(F.col("key"))
+    probed = durable(probed.withColumn("possible", F.coalesce(F.col("word").bitwiseAND(bits) == bits, F.lit(False))).drop("block", "word"), "url-probed")
     hits = probed.where("possible").join(keys.withColumn("listed", F.lit(True)), "key", "left")
     rest = probed.where("not possible").withColumn("listed", F.lit(None).cast("boolean"))
     return hits.unionByName(rest).select(
@@ -97,11 +106,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     )
 
 
+def unwanted_urls(pages: DataFrame, labels: Sequence[str] = LISTED_LABELS) -> DataFrame:
+    """(url): pages of hosts with one of the labels, and one spelling of each address that several pages share, which is a mirror or a trap whatever its host."""
+    rows = pages.select("url", canonical(F.col("url")).alias("key")).where("key is not null")
+    named = rows.where(host(F.col("url")).rlike(r"(^|\.)(" + "|".join(labels) + r")\.")).select("url")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("url").alias("url")).where("n > 1").select("url")
+    return named.unionByName(shared)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: the canonical URLs of pages of hosts with a label of ``LISTED_LABELS``."""
+    """The list is ``unwanted_urls`` of all pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    listed = pages.select("url").where(host(F.col("url")).rlike(r"(^|\.)(" + "|".join(LISTED_LABELS) + r")\."))
-    return filter_urls(pages, listed)
+    return filter_urls(pages, unwanted_urls(pages))
 
 
 OP8_SQL = r"""
@@ -114,7 +130,9 @@ parts AS (
 keyed AS (
   SELECT *, CASE WHEN regexp_replace(host, '^(www)\.', '') <> '' THEN regexp_replace(host, '^(www)\.', '') || regexp_replace(path, '(\.html|/+)$', '') END AS key
   FROM parts),
-listed AS (SELECT DISTINCT key FROM keyed WHERE key IS NOT NULL AND regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.')),
+listed AS (
+  SELECT key FROM keyed WHERE key IS NOT NULL AND regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.')
+  UNION SELECT key FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1),
 rules(rule_host, rule_path, says) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fitted AS (
   SELECT k.*, (SELECT struct_pack(rule := rule_host || rule_path, says := says) FROM rules
