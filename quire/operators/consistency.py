@@ -225,10 +225,11 @@ def largest_cluster_similarity(vectors: DataFrame, k: int = 2, seed: int = 0) ->
     return similarity_to(vectors, F.array(*[F.lit(x) for x in best["centroid"]]))
 
 
-def eliminate_furthest(vectors: DataFrame) -> DataFrame:
+def eliminate_furthest(vectors: DataFrame, most: int = 4096) -> DataFrame:
     """(group_id, centroid): while over two vectors are left, the one least like the normalised centroid goes; the centroid before the last removal.
 
-    Two vectors or fewer: the first. Groups are sets of samples of one answer; a group is one task's.
+    Two vectors or fewer: the first. Groups are sets of samples of one answer; a group is one task's, the work grows with the square
+    of its size, and one of over ``most`` vectors raises.
     """
     import numpy as np
     import pandas as pd
@@ -242,7 +243,7 @@ def eliminate_furthest(vectors: DataFrame) -> DataFrame:
             v = np.delete(v, int((v @ out / np.maximum(np.linalg.norm(v, axis=1), 1e-12)).argmin()), 0)
         return pd.DataFrame({"group_id": [key[0]], "centroid": [out.tolist()]})
 
-    return vectors.select(*KEYS, "vector").groupBy("group_id").applyInPandas(run, f"group_id {dict(vectors.dtypes)['group_id']}, centroid array<double>")
+    return _bounded(vectors.select(*KEYS, "vector"), most).groupBy("group_id").applyInPandas(run, f"group_id {dict(vectors.dtypes)['group_id']}, centroid array<double>")
 
 
 #: Ways to pick one of several sampled answers.
