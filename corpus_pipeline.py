@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontamination, mixing, secrets, similar_texts, toxicity
-from quire.plans.storage import durable
+from quire.plans.storage import discard, durable, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -79,10 +79,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each read back from what the one before has written; an empty table gives an empty one."""
+    """All stages over ``documents``, each read back from what the one before has written; an empty table gives an empty one.
+
+    When a stage is written, its own tables go, and so does what the stage before has written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:
+            kept = keep(durable(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(docs)
+        docs = kept
     return docs
 
 
