@@ -1,7 +1,7 @@
 """Erasure of clients from files: an index made with the layout names the files that hold a key, and only these are opened and written anew.
 
 A table is laid out in files of consecutive rows of one sorted order, each in a folder of its own
-(``file_no=7``) and written by one task. Beside it goes an inverted index: for each key, the runs of
+(``quire_file_no=7``) and written by one task. Beside it goes an inverted index: for each key, the runs of
 file numbers that hold it. An erasure joins its keys with these postings, which gives the files and
 the keys in each, and replaces those files alone.
 """
@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 
 from quire.plans.storage import delete_folder, discard, durable, shared_folder
 
-FILE_NO = "file_no"
+#: The column that names a file's folder, and in results its number. A table may have columns of any other name but those of ``OWN``.
+FOLDER, FILE_NO = "quire_file_no", "file_no"
+OWN = frozenset((FOLDER, "_quire_file", "_quire_place", "_quire_order", "_quire_part", "_quire_start", "_quire_at", "_quire_key", "_quire_client", "_quire_sale", "_metadata"))
 
 
 def _quoted(name: str) -> str:
@@ -31,7 +33,7 @@ def _quoted(name: str) -> str:
 
 @dataclass(frozen=True)
 class Layout:
-    """A table in files: ``folder`` holds ``file_no=N/*.parquet``; ``postings`` are (key, first_file, last_file), runs of files that hold a key, which is an expression of the columns."""
+    """A table in files: ``folder`` holds ``quire_file_no=N/*.parquet``; ``postings`` are (key, first_file, last_file), runs of files that hold a key, which is an expression of the columns."""
 
     name: str
     folder: str
@@ -46,25 +48,25 @@ class Layout:
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All rows that are left, with their file's number."""
-        return spark.read.schema(T.StructType([*self.schema.fields, T.StructField(FILE_NO, T.LongType())])).parquet(self.folder)
+        return spark.read.schema(T.StructType([*self.schema.fields, T.StructField(FOLDER, T.LongType())])).parquet(self.folder)
 
 
 def _one_task_a_file(rows: DataFrame, files: int, order: str) -> DataFrame:
     """Rows dealt so that a file is whole in one task, in order; as many tasks as files."""
-    return rows.repartitionById(files, F.col("_file").cast("int")).sortWithinPartitions("_file", order)
+    return rows.repartitionById(files, F.col("_quire_file").cast("int")).sortWithinPartitions("_quire_file", order)
 
 
 def _write(rows: DataFrame, folder: str, mode: str) -> None:
     """One file for each ``_file`` that has rows; with mode overwrite only the folders of these are replaced."""
-    named = rows.withColumnRenamed("_file", FILE_NO)
-    named.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 0).partitionBy(FILE_NO).parquet(folder)
+    named = rows.withColumnRenamed("_quire_file", FOLDER)
+    named.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 0).partitionBy(FOLDER).parquet(folder)
 
 
 def runs_of_files(rows: DataFrame) -> DataFrame:
     """(key, first_file, last_file) from (key, _file) rows: each key's files in runs of consecutive numbers. Null keys have none."""
     held = rows.where("key is not null").distinct()
-    run = F.col("_file") - F.row_number().over(W.partitionBy("key").orderBy("_file"))
-    return held.withColumn("run", run).groupBy("key", "run").agg(F.min("_file").alias("first_file"), F.max("_file").alias("last_file")).drop("run")
+    run = F.col("_quire_file") - F.row_number().over(W.partitionBy("key").orderBy("_quire_file"))
+    return held.withColumn("run", run).groupBy("key", "run").agg(F.min("_quire_file").alias("first_file"), F.max("_quire_file").alias("last_file")).drop("run")
 
 
 def lay_out(table: DataFrame, name: str, order_key: Column, key: Column, folder: str, files: int = 150, columns: Sequence[str] | None = None) -> Layout:
@@ -72,26 +74,26 @@ def lay_out(table: DataFrame, name: str, order_key: Column, key: Column, folder:
 
     ``columns`` are those that are written, all by default; ``order_key`` may use others. Rows are range-sorted
     on the whole row, so that a hot key is spread over tasks, and equal rows are interchangeable. An empty
-    table has an empty layout. Columns named like the layout's own (``file_no``) are refused.
+    table has an empty layout. Columns may have any names but those of ``OWN``, which are refused.
     """
     spark, columns = table.sparkSession, tuple(table.columns if columns is None else columns)
-    if clash := {FILE_NO, "_file", "_place", "_order", "_part", "_start", "_at", "_key", "_client", "_sale", "_metadata"} & {c.lower() for c in columns}:
+    if clash := OWN & {c.lower() for c in columns}:
         raise ValueError(f"columns of the layout itself: {', '.join(sorted(clash))}")
-    order = [F.asc_nulls_first("_order"), *[F.asc_nulls_first(_quoted(c)) for c in columns]]
+    order = [F.asc_nulls_first("_quire_order"), *[F.asc_nulls_first(_quoted(c)) for c in columns]]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    placed = table.withColumn("_order", order_key).repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*map(_quoted, columns)).withColumn("_place", F.monotonically_increasing_id())
+    placed = table.withColumn("_quire_order", order_key).repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*map(_quoted, columns)).withColumn("_quire_place", F.monotonically_increasing_id())
     ordered = durable(placed, "erasure-sorted")
-    placed = ordered.withColumn("_part", F.shiftright("_place", 33))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    placed = ordered.withColumn("_quire_part", F.shiftright("_quire_place", 33))
+    sizes = placed.groupBy("_quire_part").agg(F.count("*").alias("n"))
     # a row for each task of the sort, so one window over all of them is small
-    starts = durable(sizes.select("_part", "n", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("_start")), "erasure-starts")
+    starts = durable(sizes.select("_quire_part", "n", (F.sum("n").over(W.orderBy("_quire_part")) - F.col("n")).alias("_quire_start")), "erasure-starts")
     total = starts.agg(F.sum("n").alias("n")).first()["n"] or 0
     per_file = 1 + total // files
     count = -(-total // per_file)
-    numbered = placed.join(starts.select("_part", "_start"), "_part").withColumn("_file", F.expr(f"(_start + (_place & {(1 << 33) - 1})) div {per_file}"))
+    numbered = placed.join(starts.select("_quire_part", "_quire_start"), "_quire_part").withColumn("_quire_file", F.expr(f"(_quire_start + (_quire_place & {(1 << 33) - 1})) div {per_file}"))
     if count:
-        _write(_one_task_a_file(numbered.select(*map(_quoted, columns), "_file", "_place"), count, "_place").drop("_place"), folder, "errorifexists")
-    postings = durable(runs_of_files(numbered.select(key.alias("key"), "_file")), f"erasure-index-{name}")
+        _write(_one_task_a_file(numbered.select(*map(_quoted, columns), "_quire_file", "_quire_place"), count, "_quire_place").drop("_quire_place"), folder, "errorifexists")
+    postings = durable(runs_of_files(numbered.select(key.alias("key"), "_quire_file")), f"erasure-index-{name}")
     discard(ordered)
     discard(starts)
     return Layout(name, folder, table.select(*map(_quoted, columns)).schema, key, count, postings)
@@ -110,20 +112,20 @@ def erase(layout: Layout, victims: DataFrame) -> DataFrame:
     found = durable(found.select(F.explode(F.sequence("first_file", "last_file")).alias(FILE_NO), "key"), f"erasure-found-{layout.name}")
     # numbers of files, of which a layout has a bounded count
     numbers = lambda rows: [r[0] for r in rows.select(FILE_NO).distinct().orderBy(FILE_NO).collect()]
-    rows = layout.read(spark).withColumns({"_file": F.col(FILE_NO), "_at": F.col("_metadata.row_index"), "_key": layout.key}) if layout.files else None
-    marked = found.select(F.col(FILE_NO).alias("_file"), F.col("key").alias("_key"))
+    rows = layout.read(spark).withColumns({"_quire_file": F.col(FOLDER), "_quire_at": F.col("_metadata.row_index"), "_quire_key": layout.key}) if layout.files else None
+    marked = found.select(F.col(FILE_NO).alias("_quire_file"), F.col("key").alias("_quire_key"))
     hit = numbers(found)
     if not hit:
         return spark.createDataFrame([], f"{FILE_NO} long, n_erased long")
     # what an earlier erasure has taken is still in the postings: only files that hold a victim now are replaced
-    sizes = rows.where(F.col(FILE_NO).isin(hit)).select("_file", "_key").join(marked.withColumn("_gone", F.lit(1)), ["_file", "_key"], "left").groupBy("_file").agg(F.count("*").alias("n"), F.count("_gone").alias("n_erased"))
-    erased = durable(sizes.where("n_erased > 0").select(F.col("_file").alias(FILE_NO), "n_erased", (F.col("n") == F.col("n_erased")).alias("empty")), f"erasure-counts-{layout.name}")
+    sizes = rows.where(F.col(FOLDER).isin(hit)).select("_quire_file", "_quire_key").join(marked.withColumn("_quire_gone", F.lit(1)), ["_quire_file", "_quire_key"], "left").groupBy("_quire_file").agg(F.count("*").alias("n"), F.count("_quire_gone").alias("n_erased"))
+    erased = durable(sizes.where("n_erased > 0").select(F.col("_quire_file").alias(FILE_NO), "n_erased", (F.col("n") == F.col("n_erased")).alias("empty")), f"erasure-counts-{layout.name}")
     hit, empty = numbers(erased), numbers(erased.where("empty"))
-    kept = rows.where(F.col(FILE_NO).isin(hit)).join(marked, ["_file", "_key"], "left_anti").select(*map(_quoted, layout.columns), "_file", "_at")
+    kept = rows.where(F.col(FOLDER).isin(hit)).join(marked, ["_quire_file", "_quire_key"], "left_anti").select(*map(_quoted, layout.columns), "_quire_file", "_quire_at")
     if len(empty) < len(hit):
-        _write(_one_task_a_file(kept, layout.files, "_at").drop("_at"), layout.folder, "overwrite")
+        _write(_one_task_a_file(kept, layout.files, "_quire_at").drop("_quire_at"), layout.folder, "overwrite")
     for number in empty:
-        delete_folder(spark, f"{layout.folder}/{FILE_NO}={number}")
+        delete_folder(spark, f"{layout.folder}/{FOLDER}={number}")
     discard(found)
     return erased.drop("empty")
 
@@ -140,7 +142,7 @@ def file_digests(layout: Layout, spark: SparkSession, amount: str) -> DataFrame:
     name = layout.folder.rsplit("/", 1)[-1]
     # the folder as it was named, then the file's place in it; Spark's own form of a path is a URI
     at, path = F.col("_metadata.row_index"), F.concat(F.lit(layout.folder), F.substring_index("_metadata.file_path", f"/{name}", -1))
-    rows = layout.read(spark).select(F.col(FILE_NO).alias("_file"), at.alias("_at"), F.coalesce(F.col(_quoted(layout.columns[0])).cast("string"), F.lit("")).alias("id"), cents.alias("cents"), F.when(at == 0, path).alias("path"))
+    rows = layout.read(spark).select(F.col(FOLDER).alias("_quire_file"), at.alias("_quire_at"), F.coalesce(F.col(_quoted(layout.columns[0])).cast("string"), F.lit("")).alias("id"), cents.alias("cents"), F.when(at == 0, path).alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # files follow one another, each whole and in order
@@ -151,7 +153,7 @@ def file_digests(layout: Layout, spark: SparkSession, amount: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({FILE_NO: [number], "n_rows": [n], "cents": [sum_of], "ids_sha256": [digest.hexdigest()], "path": [place]})
 
         for batch in batches:
-            numbers = batch.column("_file").to_numpy()
+            numbers = batch.column("_quire_file").to_numpy()
             cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if i == j:
@@ -166,7 +168,7 @@ def file_digests(layout: Layout, spark: SparkSession, amount: str) -> DataFrame:
         if now is not None:
             yield told()
 
-    return _one_task_a_file(rows, layout.files, "_at").mapInArrow(run, schema)
+    return _one_task_a_file(rows, layout.files, "_quire_at").mapInArrow(run, schema)
 
 
 def victim_masters(clients: DataFrame, clicks: DataFrame) -> DataFrame:
@@ -187,10 +189,10 @@ def erase_clients(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_
     """
     spark = clients.sparkSession
     order = F.crc32(F.coalesce(F.col("client_id").cast("string"), F.lit("")))
-    # a sale that fills a third of the lines: the planner splits its task, as each sale has one row here
-    buyer = sales.where("sale_id is not null").groupBy("sale_id").agg(F.min("client_id").alias("_client")).withColumnRenamed("sale_id", "_sale")
-    lines = sale_lines.join(buyer, F.col("sale_id") == F.col("_sale"), "left").drop("_sale")
-    lines_order = F.crc32(F.coalesce(F.col("_client").cast("string"), F.lit("")))
+    # written, so that the join reads plain shuffles on both sides: then the planner splits the task of a sale that fills a third of the lines
+    buyer = durable(sales.where("sale_id is not null").groupBy("sale_id").agg(F.min("client_id").alias("_quire_client")).withColumnRenamed("sale_id", "_quire_sale"), "erasure-buyers")
+    lines = sale_lines.join(buyer, F.col("sale_id") == F.col("_quire_sale"), "left").drop("_quire_sale")
+    lines_order = F.crc32(F.coalesce(F.col("_quire_client").cast("string"), F.lit("")))
     # a client without id is known by its master
     own_key = F.coalesce(F.col("client_id").cast("string"), F.concat(F.lit("master "), F.col("master_id").cast("string")))
     gone = durable(clients.join(durable(masters, "erasure-masters"), "master_id", "left_semi").select("client_id", own_key.alias("key")).distinct(), "erasure-clients")
@@ -204,7 +206,7 @@ def erase_clients(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_
     ]
     told = None
     for table, name, by, key, amount, victims in plan:
-        layout = lay_out(table, name, by, key, f"{folder}/{name}", files, [c for c in table.columns if c != "_client"])
+        layout = lay_out(table, name, by, key, f"{folder}/{name}", files, [c for c in table.columns if c != "_quire_client"])
         erased = erase(layout, victims)
         rows = file_digests(layout, spark, amount).join(F.broadcast(erased), FILE_NO, "left").select(
             FILE_NO, "n_rows", F.coalesce("n_erased", F.lit(0)).alias("n_erased"), "cents", F.col("n_erased").isNotNull().alias("rewritten"), F.lit(layout.name).alias("table_name"), "ids_sha256",

@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import erasure
@@ -87,13 +88,13 @@ def test_untouched_files_stay_as_they_were(spark, sf_dir, tmp_path):
     erased = erasure.erase(layout, clients.where("client_id in (3, 4)").select(F.col("client_id").alias("key")))
     files = {r.file_no for r in erased.collect()}
     after = stat()
-    assert {p for p in before if before[p] != after.get(p)} == {p for p in before if int(p.split("file_no=")[1].split("/")[0]) in files} and len(before) == len(after)
+    assert {p for p in before if before[p] != after.get(p)} == {p for p in before if int(p.split("quire_file_no=")[1].split("/")[0]) in files} and len(before) == len(after)
     assert erasure.erase(layout, clients.where("client_id in (3, 4)").select(F.col("client_id").alias("key"))).where("n_erased > 0").collect() == []
     assert erasure.erase(layout, clients.where("false").select(F.col("client_id").alias("key"))).collect() == [] and stat() == after
 
 
 SCHEMAS = {
-    "clients": "client_id long, master_id long, h string, balance double", "clicks": "click_id long, client_id long, value double, key string", "sales": "sale_id long, client_id long, total double",
+    "clients": "client_id long, master_id long, h string, balance double", "clicks": "click_id long, client_id long, value double, key string", "sales": "sale_id long, client_id long, total double, file_no int, _file string, n long",
     "sale_lines": "sale_id long, line_no int, amount double, part string, run long",
 }
 
@@ -110,7 +111,7 @@ def test_hot_null_repeated_and_emptied(spark, tmp_path):
     rows = {
         "clients": [(1, 10, "a", 1.005), (2, 10, None, None), (3, 30, "b", -2.5), (None, 10, "c", 1.0), (None, None, None, None), (4, None, "d", 0.125), (3, 30, "b", -2.5)],
         "clicks": [(i, 1, 0.5 * i, None) for i in range(400)] + [(i, 3, None, "x") for i in range(100)] + [(None, None, None, None)] * 3 + [(7, 9, 1.0, "y")],
-        "sales": [(i, 1 if i % 3 else 3, i / 8) for i in range(60)] + [(None, 1, 2.0), (200, None, 1.0)],
+        "sales": [(i, 1 if i % 3 else 3, i / 8, -i, "f", None) for i in range(60)] + [(None, 1, 2.0, None, None, 5), (200, None, 1.0, 3, "g", 1)],
         "sale_lines": [(1, i % 5, 0.25, "p", i) for i in range(300)] + [(i, 1, None, None, None) for i in range(80)] + [(None, None, None, None, None)] * 2,
     }
     masters = spark.createDataFrame([(10,), (None,), (77,)], "master_id long")
@@ -130,6 +131,11 @@ def test_empty_tables(spark, tmp_path):
     assert [(r.table_name, r.n_rows, r.rewritten) for r in erasure.erase_clients(*made(spark, rows), none, f"{tmp_path}/kept", 5).collect()] == [("clients", 1, False)]
 
 
+def test_reserved_names_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="_quire_place"):
+        erasure.lay_out(spark.range(3).withColumn("_quire_place", F.lit(1)), "t", F.col("id"), F.col("id"), f"{tmp_path}/t")
+
+
 def test_runs_of_files(spark):
     rows = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (1, 3), (2, 5), (None, 2)], "key long, _file long")
     assert sorted(map(tuple, erasure.runs_of_files(rows).collect())) == [(1, 0, 1), (1, 3, 3), (2, 5, 5)]
