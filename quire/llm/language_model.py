@@ -22,6 +22,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,11 +146,9 @@ class Units:
         before = np.zeros_like(self.whole)
         before[1:] = self.whole[:-1]
         before[self.first] = 0
-        _, first, pair = np.unique(mix(self.whole ^ mix(before + U64(1))), return_index=True, return_inverse=True)
-        order = np.argsort(first, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        return first[order], rank[pair]
+        pair = pd.factorize(mix(self.whole ^ mix(before + U64(1))))[0]  # numbered as they come
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(pair), prepend=-1) > 0)
+        return first, pair
 
     def forms(self, at: np.ndarray) -> np.ndarray:
         begins, starts, ends = self.begins[at], self.starts[at], self.ends[at]
@@ -282,6 +281,22 @@ STATE_ODDS = _odds(_ZEROS, _ONES).astype(np.float32)
 WITHOUT = np.stack([_odds(np.maximum(_ZEROS - 1, 0), _ONES), _odds(_ZEROS, np.maximum(_ONES - 1, 0))]).astype(np.float32)
 
 
+#: Log odds are looked up in steps of 1 / ``FINE`` from -``FAR`` to ``FAR``: the same step for both bits, so that their probabilities add up to one.
+FINE, FAR = 64, 16
+GRID = np.arange(-FAR * FINE, FAR * FINE + 1) / FINE
+LOGISTIC = (1 / (1 + np.exp(-GRID))).astype(np.float32)
+#: Cells of the refinement, half a unit of log odds each.
+CELL = np.rint(np.clip(GRID, -8, 8) * 2 + 16).astype(np.intp)
+
+
+def _on_grid(z: np.ndarray) -> np.ndarray:
+    """Places of log odds (float32, which is used up) on the grid."""
+    np.clip(z, -FAR, FAR, out=z)
+    z *= FINE
+    z += FAR * FINE + 0.5
+    return z.astype(np.intp)
+
+
 def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of training texts with ends of words and texts (0 to 255), and bytes of all texts (256)."""
     total = np.zeros(257, np.int64)
@@ -341,8 +356,8 @@ class MixingModel:
         self.weights = np.full((DEPTHS * KINDS, ORDERS), 0.4)
         self.refined = np.tile(np.linspace(-8, 8, self.BINS), KINDS * 4)
 
-    def _cell(self, d: int, kind: np.ndarray | int, z: np.ndarray) -> np.ndarray:
-        return np.rint(np.minimum(np.maximum(z, -8), 8) * 2 + 16).astype(np.intp) + (kind * 4 + min(d, 3)) * self.BINS
+    def _cells_of(self, d: int, kind: np.ndarray | int) -> np.ndarray | int:
+        return (kind * 4 + min(d, 3)) * self.BINS
 
     def learn(self, blocks_of_units: Iterator[Units], rate: float = 0.005) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Online: each few thousand bits are predicted with the weights learned of those before them, and without their own counts.
@@ -361,7 +376,8 @@ class MixingModel:
                     without = bit.astype(np.intp) * 256
                     x = [flat_without.take(self.tables[k].take(slots[k]) + without) for k in range(len(slots))]
                     z = sum((w[low + kind, k].astype(np.float32) if isinstance(kind, int) else w[low : low + KINDS, k].astype(np.float32).take(kind)) * x[k] for k in range(len(x)))
-                    error = (bit - 1 / (1 + np.exp(-np.minimum(np.maximum(z, -30), 30)))) * many
+                    at = _on_grid(z)
+                    error = (bit - LOGISTIC.take(at)) * many
                     if isinstance(kind, int):
                         gates, n, g = slice(low + kind, low + kind + 1), np.array([many.sum()]), np.array([[error @ y for y in x]])
                     else:
@@ -373,7 +389,7 @@ class MixingModel:
                     w[own] += rate * g / (np.sqrt(power[own]) + 1e-3)
                     total[own] += w[own] * n[:, None]
                     seen[gates] += n
-                    cells += np.bincount(self._cell(d, kind, z) * 2 + bit, many, minlength=cells.size)
+                    cells += np.bincount((CELL.take(at) + self._cells_of(d, kind)) * 2 + bit, many, minlength=cells.size)
         return np.where(seen[:, None] > 0, total / np.maximum(seen, 1)[:, None], w), seen, cells.reshape(-1, 2).T
 
     def adopt(self, weights: np.ndarray, seen: np.ndarray, cells: np.ndarray) -> None:
@@ -388,22 +404,29 @@ class MixingModel:
 
     def log10_of(self, u: Units, chosen: np.ndarray) -> np.ndarray:
         """The log10 probability of each chosen unit after the one before it."""
-        total, refined, mixed = np.zeros(len(chosen)), self.refined.astype(np.float32), self.mixed()
+        total, mixed, costs = np.zeros(len(chosen)), self.mixed(), self.costs()
         for own, c in self.coder.steps(u, chosen):
-            total += np.bincount(own, self._logs(c, mixed, refined), minlength=len(chosen))
+            total += np.bincount(own, self._logs(c, mixed, costs), minlength=len(chosen))
         return total / np.log(10)
 
-    def _logs(self, c: Coded, mixed: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    def costs(self) -> np.ndarray:
+        """What each bit costs at each place of the grid, refinement included: (kind * 4 + depth up to 3, bit, place), flat."""
+        z = (GRID + self.refined.reshape(KINDS * 4, self.BINS)[:, CELL]) / 2
+        z = np.stack([z, -z], 1)
+        return (np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))).ravel()
+
+    def _logs(self, c: Coded, mixed: np.ndarray, costs: np.ndarray) -> np.ndarray:
         one = isinstance(c.kind, int)
-        sums, kind256 = np.zeros(len(c.sym)), c.kind * 256
+        sums, kind256, size = np.zeros(len(c.sym)), c.kind * 256, len(GRID)
         for d, m, bit, slots in c.depths():
             z, kind = np.zeros(m, np.float32), c.kind if one else c.kind[:m]
             for k in range(len(slots)):
                 adds, state = mixed[min(d, DEPTHS - 1), k], self.tables[k].take(slots[k])
                 z += adds[kind256 : kind256 + 256].take(state) if one else adds.take(kind256[:m] + state)
-            z += refined.take(self._cell(d, kind, z))
-            z *= np.float32(0.5) - bit  # half the sum, of the sign against the bit
-            sums[:m] -= np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+            at = _on_grid(z)
+            at += bit * np.intp(size)
+            at += (kind * 4 + min(d, 3)) * (2 * size)
+            sums[:m] -= costs.take(at)
         return sums
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
