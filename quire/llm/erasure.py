@@ -57,13 +57,13 @@ def _one_task_a_file(rows: DataFrame, files: int, order: str) -> DataFrame:
 
 
 def _write(rows: DataFrame, folder: str, mode: str) -> None:
-    """One file for each ``_file`` that has rows; with mode overwrite only the folders of these are replaced."""
+    """One file for each ``_quire_file`` that has rows; with mode overwrite only the folders of these are replaced."""
     named = rows.withColumnRenamed("_quire_file", FOLDER)
     named.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 0).partitionBy(FOLDER).parquet(folder)
 
 
 def runs_of_files(rows: DataFrame) -> DataFrame:
-    """(key, first_file, last_file) from (key, _file) rows: each key's files in runs of consecutive numbers. Null keys have none."""
+    """(key, first_file, last_file) from (key, _quire_file) rows: each key's files in runs of consecutive numbers. Null keys have none."""
     held = rows.where("key is not null").distinct()
     run = F.col("_quire_file") - F.row_number().over(W.partitionBy("key").orderBy("_quire_file"))
     return held.withColumn("run", run).groupBy("key", "run").agg(F.min("_quire_file").alias("first_file"), F.max("_quire_file").alias("last_file")).drop("run")

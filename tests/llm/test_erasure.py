@@ -137,5 +137,5 @@ def test_reserved_names_are_refused(spark, tmp_path):
 
 
 def test_runs_of_files(spark):
-    rows = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (1, 3), (2, 5), (None, 2)], "key long, _file long")
+    rows = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (1, 3), (2, 5), (None, 2)], "key long, _quire_file long")
     assert sorted(map(tuple, erasure.runs_of_files(rows).collect())) == [(1, 0, 1), (1, 3, 3), (2, 5, 5)]
