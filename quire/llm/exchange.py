@@ -64,3 +64,17 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     width = blob[0]
     planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Unsigned numbers that are mostly small: as ``pack``, without the upper byte planes that are all zero."""
+    planes = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([planes]) + zlib.compress(b"".join((values >> values.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(planes)), 1)
+
+
+def unpack_counts(blob: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = planes[0].astype(dtype)
+    for k in range(1, len(planes)):
+        out |= planes[k].astype(dtype) << dtype(8 * k)
+    return out

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.exchange import bucket_slices, chunked, pack, pack_keys, parts_of, unpack, unpack_keys
+from quire.llm.exchange import bucket_slices, chunked, pack_counts, pack_keys, parts_of, unpack_counts, unpack_keys
 from quire.llm.kernels import LOWER, NONSPACE, U64, blocks, flat, mix, owners, prefix_sums, span_hash, words
 from quire.llm.sampling import remainder
 from quire.plans.storage import durable
@@ -42,6 +42,8 @@ BLOCK = 1 << 15
 VOCABULARY = 1 << 16
 #: Bytes of texts whose pairs of units are put together, symbols that are coded together, and the token of a text's end.
 TOGETHER, STEP = 2 << 20, 1 << 16
+#: Contexts that few symbols follow, so that each distinct symbol after them is looked up once a block.
+NARROW = 2
 #: Depths of a code whose slots are neighbours: eight slots, a line of a count table.
 NEAR = 3
 END_TOKEN = mix(np.array([0xE0F], U64))[0]
@@ -125,11 +127,24 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out, begins, starts, ends, np.searchsorted(starts, own)
 
 
+def _together(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about ``TOGETHER`` bytes, of even sizes."""
+    total = int(off[-1])
+    cuts = np.searchsorted(off, np.linspace(0, total, max(1, round(total / TOGETHER)) + 1)[1:-1])
+    edges = np.unique(np.concatenate([np.zeros(1, np.int64), cuts, np.array([len(off) - 1])]))
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
 def _hash(x: np.ndarray, salt: int) -> np.ndarray:
     """The upper half of a product, which spreads small numbers and keeps hashes spread."""
     return (((x ^ (x >> U64(32))) + U64(salt << 40)) * U64(0x9E3779B97F4A7C15) >> U64(32)).astype(np.uint32)
 
 
+def _firsts(numbers: np.ndarray) -> np.ndarray:
+    """First places of values that are numbered as they come."""
+    return np.flatnonzero(np.diff(np.maximum.accumulate(numbers), prepend=-1) > 0)
+
+
 class Units:
     """The units of a block of texts: ``own`` are the n+1 offsets of the texts in them."""
 
@@ -146,9 +161,8 @@ class Units:
         before = np.zeros_like(self.whole)
         before[1:] = self.whole[:-1]
         before[self.first] = 0
-        pair = pd.factorize(mix(self.whole ^ mix(before + U64(1))))[0]  # numbered as they come
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(pair), prepend=-1) > 0)
-        return first, pair
+        pair = pd.factorize(mix(self.whole ^ mix(before + U64(1))))[0]
+        return _firsts(pair), pair
 
     def forms(self, at: np.ndarray) -> np.ndarray:
         begins, starts, ends = self.begins[at], self.starts[at], self.ends[at]
@@ -192,12 +206,36 @@ class Coded:
             yield d, m, self.code.bit[d].take(s), [c[:m] ^ place for c in self.ctx]
 
 
+class Part:
+    """The symbols of one code in a block of units, ``own`` their places among the units.
+
+    ``narrow`` has each distinct symbol after the first ``NARROW`` contexts once, ``near`` which of these each symbol is.
+    """
+
+    def __init__(self, code: Code, bits: int, own: np.ndarray, sym: np.ndarray, ctx: list[np.ndarray], kind: np.ndarray | int):
+        self.code, self.bits, self.own, self.sym, self.ctx, self.kind = code, bits, own, sym, ctx[NARROW:], kind
+        key = mix(ctx[0].astype(U64) << U64(32) | ctx[1].astype(U64)) + (sym.astype(U64) << U64(8) | (U64(kind) if isinstance(kind, int) else kind.astype(U64)))
+        at = pd.factorize(key)[0]
+        first = _firsts(at)
+        self.narrow = Coded(code, bits, sym[first], [x[first] for x in ctx[:NARROW]], kind if isinstance(kind, int) else kind[first])
+        rank = np.empty(len(first), np.intp)
+        rank[self.narrow.order] = np.arange(len(first))
+        self.near = rank[at]
+
+    def steps(self) -> Iterator[tuple[np.ndarray, np.ndarray, Coded]]:
+        """``STEP`` symbols at a time with their further contexts, after their places among the units and in ``narrow``."""
+        for i in range(0, len(self.sym), STEP):
+            s = slice(i, i + STEP)
+            c = Coded(self.code, self.bits, self.sym[s], [x[s] for x in self.ctx], self.kind if isinstance(self.kind, int) else self.kind[s])
+            yield self.own[s][c.order], self.near[s][c.order], c
+
+
 class Coder:
     """Turns units into symbols of three codes: of forms, of frequent words (sorted hashes ``known``), and of bytes."""
 
     def __init__(self, byte_counts: np.ndarray, known: np.ndarray, known_counts: np.ndarray, bits: int):
         self.form, self.byte, self.bits = Code(FORM_COUNTS), Code(byte_counts), bits
-        self.known, self.word = known, Code(known_counts) if len(known) > 1 else None
+        self.known, self.word = pd.Index(known), Code(known_counts) if len(known) > 1 else None
 
     def symbols(self, u: Units, at: np.ndarray) -> Iterator[tuple[np.ndarray, Code, np.ndarray, list[np.ndarray], np.ndarray | int]]:
         """(place in ``at``, code, symbols, contexts, kinds or the one kind) of the units ``at``."""
@@ -207,11 +245,12 @@ class Coder:
         else:
             word, found = self._known(u.word[at])
             ends, mark = u.ends[at], np.zeros(len(at), np.int64)
+            last, longer = u.data[ends - 1], ends - u.starts[at] > 1
             for i, m in enumerate(MARKS):
-                mark[(u.data[ends - 1] == m) & (ends - u.starts[at] > 1)] = i
-            rest = np.flatnonzero(~found & (mark > 0))
+                mark[(last == m) & longer] = i
+            mark[found] = 0
+            rest = np.flatnonzero(mark)
             word[rest], found[rest] = self._known(span_hash(u.low, u.starts[at[rest]], ends[rest] - 1))
-            mark[np.setdiff1d(np.arange(len(at)), rest)] = 0
             form = np.where((form < END) & ~found, SPELLED, np.where(form < END, form + mark, form))
         every = np.arange(len(at))
         yield every, self.form, form, [_hash(x, 8 + k) for k, x in enumerate(before)], FORM_KIND
@@ -224,8 +263,8 @@ class Coder:
             yield spelled[own], self.byte, sym, *self._byte_contexts(sym, begins, mix(before[3][spelled])[own])
 
     def _known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        word = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return word, self.known[word] == h
+        word = self.known.get_indexer(h)
+        return word, word >= 0
 
     @staticmethod
     def _spell(u: Units, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,13 +290,10 @@ class Coder:
         so_far = span_hash(prefix_sums(sym), begins, np.arange(n))
         return [*out, _hash(so_far, 26), _hash(so_far ^ before, 27)], KIND[last[0].astype(np.intp)]
 
-    def steps(self, u: Units, at: np.ndarray) -> Iterator[tuple[np.ndarray, Coded]]:
-        """The symbols of the units ``at``, ``STEP`` at a time, with their place in ``at``."""
+    def parts(self, u: Units, at: np.ndarray) -> Iterator[Part]:
+        """The symbols of the units ``at``, code by code."""
         for own, code, sym, ctx, kind in self.symbols(u, at):
-            for i in range(0, len(sym), STEP):
-                s = slice(i, i + STEP)
-                c = Coded(code, self.bits, sym[s], [x[s] for x in ctx], kind if isinstance(kind, int) else kind[s])
-                yield own[s][c.order], c
+            yield Part(code, self.bits, own, sym, ctx, kind)
 
 
 def slot_bits(n_bytes: int) -> int:
@@ -314,25 +350,29 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _context_counts(coder: Coder):
     """Counts of zeros and ones in all slots over a task's training texts, in packed blocks."""
 
+    def add(counts: list[np.ndarray], c: Coded, many: np.ndarray) -> None:
+        for _, m, bit, slots in c.depths():
+            for k in range(len(slots)):
+                np.add.at(counts[k], slots[k] * 2 + bit, many[:m])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(2 << coder.bits, np.uint32) for _ in range(ORDERS)]
         for batch in batches:
             data, off = flat(batch.column("text"))
-            for a, b in blocks(off, TOGETHER):
+            for a, b in _together(off):
                 u = Units(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 first, pair = u.pairs()
                 each = np.bincount(pair).astype(np.uint32)
-                for own, c in coder.steps(u, first):
-                    many = each[own]
-                    for _, m, bit, slots in c.depths():
-                        for k in range(len(slots)):
-                            np.add.at(counts[k], slots[k] * 2 + bit, many[:m])
+                for part in coder.parts(u, first):
+                    add(counts[:NARROW], part.narrow, np.bincount(part.near, each[part.own], minlength=len(part.narrow.sym)).astype(np.uint32))
+                    for own, _, c in part.steps():
+                        add(counts[NARROW:], c, each[own])
         for k in range(ORDERS):
             for i in range(0, 1 << coder.bits, BLOCK):
                 part = counts[k][2 * i : 2 * (i + BLOCK)]
-                used = np.flatnonzero(part)
-                if len(used):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i // BLOCK], pa.int32()), pa.array([pack(used.astype(np.uint16))], pa.binary()), pa.array([pack(part[used])], pa.binary())], names=["k", "block", "used", "n"])
+                used = part != 0
+                if used.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i // BLOCK], pa.int32()), pa.array([pack_counts(np.packbits(used))], pa.binary()), pa.array([pack_counts(part[used])], pa.binary())], names=["k", "block", "used", "n"])
 
     return run
 
@@ -342,8 +382,8 @@ def _merge_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     total = np.zeros(2 * BLOCK, np.int64)
     for batch in batches:
         for used, n in zip(batch.column("used"), batch.column("n"), strict=True):
-            total[unpack(used.as_py(), np.uint16)] += unpack(n.as_py(), np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([pack(states(total[::2], total[1::2]))], pa.binary())], names=["k", "block", "states"])
+            total[np.unpackbits(unpack_counts(used.as_py(), np.uint8)).view(bool)] += unpack_counts(n.as_py(), np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([pack_counts(states(total[::2], total[1::2]))], pa.binary())], names=["k", "block", "states"])
 
 
 class MixingModel:
@@ -365,16 +405,15 @@ class MixingModel:
         Returns the mean of the weights over all bits, the bits that each gate has seen, and zeros and ones in the cells of the refinement.
         """
         w, power = self.weights.copy(), np.full(self.weights.shape, 1e-6)
-        total, seen, cells, flat_without = np.zeros(w.shape), np.zeros(len(w)), np.zeros(2 * len(self.refined)), WITHOUT.ravel()
+        total, seen, cells = np.zeros(w.shape), np.zeros(len(w)), np.zeros(2 * len(self.refined))
         for u in blocks_of_units:
             first, pair = u.pairs()
             each = np.bincount(pair).astype(np.float32)
-            for own, c in self.coder.steps(u, first):
+            for narrow, own, near, c in self._learned_from(u, first):
                 every = each[own]
                 for d, m, bit, slots in c.depths():
                     many, kind, low = every[:m], c.kind if isinstance(c.kind, int) else c.kind[:m], min(d, DEPTHS - 1) * KINDS
-                    without = bit.astype(np.intp) * 256
-                    x = [flat_without.take(self.tables[k].take(slots[k]) + without) for k in range(len(slots))]
+                    x = [y.take(near[:m]) for y in narrow[d]] + self._odds_without(bit, slots, NARROW)
                     z = sum((w[low + kind, k].astype(np.float32) if isinstance(kind, int) else w[low : low + KINDS, k].astype(np.float32).take(kind)) * x[k] for k in range(len(x)))
                     at = _on_grid(z)
                     error = (bit - LOGISTIC.take(at)) * many
@@ -392,6 +431,17 @@ class MixingModel:
                     cells += np.bincount((CELL.take(at) + self._cells_of(d, kind)) * 2 + bit, many, minlength=cells.size)
         return np.where(seen[:, None] > 0, total / np.maximum(seen, 1)[:, None], w), seen, cells.reshape(-1, 2).T
 
+    def _learned_from(self, u: Units, first: np.ndarray) -> Iterator[tuple[list[list[np.ndarray]], np.ndarray, np.ndarray, Coded]]:
+        for part in self.coder.parts(u, first):
+            narrow = [self._odds_without(bit, slots, 0) for _, _, bit, slots in part.narrow.depths()]
+            for step in part.steps():
+                yield narrow, *step
+
+    def _odds_without(self, bit: np.ndarray, slots: list[np.ndarray], order: int) -> list[np.ndarray]:
+        """Log odds by the contexts from ``order`` on, without the bits themselves."""
+        without, odds = bit.astype(np.intp) * 256, WITHOUT.ravel()
+        return [odds.take(self.tables[order + k].take(x) + without) for k, x in enumerate(slots)]
+
     def adopt(self, weights: np.ndarray, seen: np.ndarray, cells: np.ndarray) -> None:
         """``weights``: sums over chunks of weights by bits seen. Gates and cells without evidence stay as they are."""
         self.weights = np.where(seen[:, None] > 0, weights / np.maximum(seen, 1)[:, None], self.weights)
@@ -405,8 +455,10 @@ class MixingModel:
     def log10_of(self, u: Units, chosen: np.ndarray) -> np.ndarray:
         """The log10 probability of each chosen unit after the one before it."""
         total, mixed, costs = np.zeros(len(chosen)), self.mixed(), self.costs()
-        for own, c in self.coder.steps(u, chosen):
-            total += np.bincount(own, self._logs(c, mixed, costs), minlength=len(chosen))
+        for part in self.coder.parts(u, chosen):
+            narrow = [self._mix(d, m, part.narrow.kind, slots, mixed, 0) for d, m, _, slots in part.narrow.depths()]
+            for own, near, c in part.steps():
+                total += np.bincount(own, self._logs(c, near, narrow, mixed, costs), minlength=len(chosen))
         return total / np.log(10)
 
     def costs(self) -> np.ndarray:
@@ -415,24 +467,31 @@ class MixingModel:
         z = np.stack([z, -z], 1)
         return (np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))).ravel()
 
-    def _logs(self, c: Coded, mixed: np.ndarray, costs: np.ndarray) -> np.ndarray:
-        one = isinstance(c.kind, int)
-        sums, kind256, size = np.zeros(len(c.sym)), c.kind * 256, len(GRID)
+    def _mix(self, d: int, m: int, kind: np.ndarray | int, slots: list[np.ndarray], mixed: np.ndarray, order: int, z: np.ndarray | None = None) -> np.ndarray:
+        """Adds to ``z`` what the contexts from ``order`` on say."""
+        z = np.zeros(m, np.float32) if z is None else z
+        for k, x in enumerate(slots, order):
+            adds, state = mixed[min(d, DEPTHS - 1), k], self.tables[k].take(x)
+            z += adds[kind * 256 : kind * 256 + 256].take(state) if isinstance(kind, int) else adds.take(kind[:m] * 256 + state)
+        return z
+
+    def _logs(self, c: Coded, near: np.ndarray, narrow: list[np.ndarray], mixed: np.ndarray, costs: np.ndarray) -> np.ndarray:
+        one, sums, size = isinstance(c.kind, int), np.zeros(len(c.sym)), len(GRID)
         for d, m, bit, slots in c.depths():
-            z, kind = np.zeros(m, np.float32), c.kind if one else c.kind[:m]
-            for k in range(len(slots)):
-                adds, state = mixed[min(d, DEPTHS - 1), k], self.tables[k].take(slots[k])
-                z += adds[kind256 : kind256 + 256].take(state) if one else adds.take(kind256[:m] + state)
-            at = _on_grid(z)
+            at = _on_grid(self._mix(d, m, c.kind, slots, mixed, NARROW, narrow[d].take(near[:m])))
             at += bit * np.intp(size)
-            at += (kind * 4 + min(d, 3)) * (2 * size)
-            sums[:m] -= costs.take(at)
+            if one:
+                low = (c.kind * 4 + min(d, 3)) * 2 * size
+                sums[:m] -= costs[low : low + 2 * size].take(at)
+            else:
+                at += (c.kind[:m] * 4 + min(d, 3)) * (2 * size)
+                sums[:m] -= costs.take(at)
         return sums
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The log10 probability of each text with its end."""
         out = np.zeros(len(off) - 1)
-        for a, b in blocks(off, TOGETHER):
+        for a, b in _together(off):
             u = Units(data[off[a] : off[b]], off[a : b + 1] - off[a])
             first, pair = u.pairs()
             out[a:b] = np.bincount(owners(u.own), self.log10_of(u, first)[pair], minlength=b - a)
@@ -449,7 +508,7 @@ def _learn(model: MixingModel):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         data, off = flat(table.column("text"))
-        w, seen, cells = model.learn(Units(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in blocks(off, TOGETHER))
+        w, seen, cells = model.learn(Units(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in _together(off))
         sums = np.concatenate([(w * seen[:, None]).ravel(), seen, cells.ravel()])
         at = np.flatnonzero(sums)
         return pa.table({"place": pa.array(at, pa.int32()), "sum": pa.array(np.rint(sums[at] / PART).astype(np.int64))})
@@ -463,7 +522,7 @@ def train_model(parts: DataFrame, coder: Coder) -> MixingModel:
     merged = counted.groupBy("k", "block").applyInArrow(_merge_counts, "k int, block int, states binary").toArrow()  # at most ORDERS << MOST_BITS bytes
     tables = [np.zeros(1 << coder.bits, np.uint8) for _ in range(ORDERS)]
     for k, i, x in zip(*(merged.column(c).to_pylist() for c in ("k", "block", "states")), strict=True):
-        tables[k][i * BLOCK : (i + 1) * BLOCK] = unpack(x, np.uint8)
+        tables[k][i * BLOCK : (i + 1) * BLOCK] = unpack_counts(x, np.uint8)
     model = MixingModel(coder, tables)
     learned = parts.groupBy("chunk").applyInArrow(_learn(model), "place int, sum long").groupBy("place").agg(F.sum("sum").alias("sum")).toArrow()  # under 2,000 rows
     sums = np.zeros(model.weights.size + len(model.weights) + 2 * len(model.refined))
@@ -490,18 +549,24 @@ def _chunk_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(parts) if parts else np.zeros(0, U64), np.concatenate(offs)
 
 
-def _distinct(h: np.ndarray) -> np.ndarray:
-    return np.unique(np.append(h, END_TOKEN))
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted distinct tokens with the end, each token's place in them, and that of the end."""
+    at, keys = pd.factorize(np.append(h, END_TOKEN))
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.intp)
+    rank[order] = np.arange(len(keys))
+    at = rank[at]
+    return keys[order], at[:-1], int(at[-1])
 
 
 def _count_tokens(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         h, off = _chunk_tokens(*flat(table.column("text")))
         learn = np.array(table.column("learn").to_pylist(), bool)
-        keys = _distinct(h)
-        counts = np.bincount(np.searchsorted(keys, h), np.repeat(learn, np.diff(off)), minlength=len(keys)).astype(np.uint32)
-        counts[np.searchsorted(keys, END_TOKEN)] += np.uint32(learn.sum())
-        rows = [(b, key[0].as_py(), pack_keys(keys[s]), pack(counts[s])) for b, s in bucket_slices(keys, buckets)]
+        keys, at, end = _distinct(h)
+        counts = np.bincount(at, np.repeat(learn, np.diff(off)), minlength=len(keys)).astype(np.uint32)
+        counts[end] += np.uint32(learn.sum())
+        rows = [(b, key[0].as_py(), pack_keys(keys[s]), pack_counts(counts[s])) for b, s in bucket_slices(keys, buckets)]
         return pa.table(dict(zip(("bucket", "chunk", "keys", "counts"), (pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)), strict=True)))
 
     return run
@@ -518,14 +583,14 @@ def _sum_tokens(frequent: int):
 
 def _bucket_sums(key: tuple[pa.Scalar, ...], table: pa.Table, frequent: int) -> pa.Table:
     runs = [unpack_keys(x.as_py()) for x in table.column("keys")]
-    counts = [unpack(x.as_py(), np.uint32) for x in table.column("counts")]
+    counts = [unpack_counts(x.as_py(), np.uint32) for x in table.column("counts")]
     every, at = np.unique(np.concatenate(runs), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts)).astype(np.uint64)
     cuts = np.cumsum([len(r) for r in runs])[:-1]
-    answers = [pack(total[x]) for x in np.split(at, cuts)]
+    answers = [pack_counts(total[x]) for x in np.split(at, cuts)]
     n, many = len(runs), total >= frequent
     return pa.table({
-        "keys": pa.array([None] * n + [pack_keys(every[many])], pa.binary()), "many": pa.array([None] * n + [pack(total[many])], pa.binary()),
+        "keys": pa.array([None] * n + [pack_keys(every[many])], pa.binary()), "many": pa.array([None] * n + [pack_counts(total[many])], pa.binary()),
         "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int64()), "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), "counts": pa.array([*answers, None], pa.binary()),
         "tokens": pa.array([0] * n + [int(total.sum())], pa.int64()), "distinct": pa.array([0] * n + [int((total > 0).sum())], pa.int64()),
     })
@@ -535,13 +600,13 @@ def _score(model: MixingModel):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         data, off = flat(docs.column("text"))
         h, word_off = _chunk_tokens(data, off)
-        keys = _distinct(h)
+        keys, at, end = _distinct(h)
         order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
         got = answers.column("counts").take(pa.array(order))
-        c = np.concatenate([unpack(x.as_py(), np.uint64) for x in got]) if len(got) else np.zeros(len(keys), np.uint64)
+        c = np.concatenate([unpack_counts(x.as_py(), np.uint64) for x in got]) if len(got) else np.zeros(len(keys), np.uint64)
         n = len(off) - 1
-        own, mine = owners(word_off), c[np.searchsorted(keys, h)]
-        end, score = int(c[np.searchsorted(keys, END_TOKEN)]), model.score(data, off)
+        own, mine = owners(word_off), c[at]
+        end, score = int(c[end]), model.score(data, off)
         return pa.table({
             "doc_id": docs.column("doc_id"), "learn": docs.column("learn"), "n_tokens": pa.array(np.diff(word_off) + 1), "n_known": pa.array(np.bincount(own, mine > 0, minlength=n).astype(np.int64) + (end > 0)),
             "logs": pa.array(np.bincount(own, np.log10(mine + 0.5), minlength=n) + np.log10(end + 0.5)), "score": pa.array(score), "bits_per_byte": pa.array(-score / np.log10(2) / (np.diff(off) + 1)),
@@ -554,7 +619,7 @@ def _vocabulary(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent words: sorted hashes and counts."""
     got = sums.where("chunk is null").select("bucket", "keys", "many").orderBy("bucket").toArrow()
     keys = np.concatenate([np.zeros(0, U64), *(unpack_keys(x.as_py()) for x in got.column("keys"))])
-    many = np.concatenate([np.zeros(0, U64), *(unpack(x.as_py(), U64) for x in got.column("many"))])
+    many = np.concatenate([np.zeros(0, U64), *(unpack_counts(x.as_py(), U64) for x in got.column("many"))])
     word = keys != END_TOKEN
     keys, many = keys[word], many[word]
     best = np.sort(np.lexsort((keys, ~many))[:VOCABULARY])

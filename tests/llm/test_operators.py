@@ -656,4 +656,7 @@ def test_packing():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
     assert (exchange.unpack_keys(exchange.pack_keys(keys)) == keys).all()
     assert (exchange.unpack(exchange.pack(keys), np.uint64) == keys).all()
+    for values in (keys, keys >> np.uint64(50), keys[:0], np.array([0, 256, 1], np.uint32), np.zeros(3, np.uint8)):
+        again = exchange.unpack_counts(exchange.pack_counts(values), values.dtype.type)
+        assert again.dtype == values.dtype and (again == values).all()
     assert sum(s.stop - s.start for _, s in exchange.bucket_slices(keys, 7)) == 1000
