@@ -456,9 +456,8 @@ class MixingModel:
         """The log10 probability of each chosen unit after the one before it."""
         total, mixed, costs = np.zeros(len(chosen)), self.mixed(), self.costs()
         for part in self.coder.parts(u, chosen):
-            narrow = [self._mix(d, m, part.narrow.kind, slots, mixed, 0) for d, m, _, slots in part.narrow.depths()]
-            for own, near, c in part.steps():
-                total += np.bincount(own, self._logs(c, near, narrow, mixed, costs), minlength=len(chosen))
+            for own, logs in self._logs_of(part, mixed, costs):
+                total += np.bincount(own, logs, minlength=len(chosen))
         return total / np.log(10)
 
     def costs(self) -> np.ndarray:
@@ -467,6 +466,12 @@ class MixingModel:
         z = np.stack([z, -z], 1)
         return (np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))).ravel()
 
+    def _logs_of(self, part: Part, mixed: np.ndarray, costs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places among the units and log probabilities of the symbols of a part, step by step."""
+        narrow = [self._mix(d, m, part.narrow.kind, slots, mixed, 0) for d, m, _, slots in part.narrow.depths()]
+        for own, near, c in part.steps():
+            yield own, self._logs(c, near, narrow, mixed, costs)
+
     def _mix(self, d: int, m: int, kind: np.ndarray | int, slots: list[np.ndarray], mixed: np.ndarray, order: int, z: np.ndarray | None = None) -> np.ndarray:
         """Adds to ``z`` what the contexts from ``order`` on say."""
         z = np.zeros(m, np.float32) if z is None else z

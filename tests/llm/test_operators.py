@@ -298,8 +298,9 @@ def test_the_model_is_a_distribution():
     for code, kind in ((coder.form, language_model.FORM_KIND), (coder.word, language_model.WORD_KIND), (coder.byte, np.zeros(256, np.int64))):
         n = len(code.length)
         assert sum(2.0**-x for x in code.length.tolist()) == pytest.approx(1)
-        c = language_model.Coded(code, 16, np.arange(n), [np.full(n, 77 << 16, np.uint32)] * 4, kind)
-        assert np.exp(model._logs(c, model.mixed(), model.costs())).sum() == pytest.approx(1, abs=1e-4)
+        part = language_model.Part(code, 16, np.arange(n), np.arange(n), [np.full(n, 77 << 16, np.uint32)] * 4, kind)
+        logs = [x for _, step in model._logs_of(part, model.mixed(), model.costs()) for x in step.tolist()]
+        assert len(logs) == n and np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_units_and_forms():
