@@ -25,6 +25,8 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 #: Characters before a candidate, of it (longer ones are read in pieces), and after it.
 BEFORE, BODY, AFTER = 20, 44, 8
 WIDTH = BEFORE + BODY + AFTER
+#: Candidates have a threshold by length: below the first of these, below the second, from it on (more than one piece).
+SIZES = np.array([24, BODY + 1])
 
 Span = tuple[int, int, str]
 
@@ -62,9 +64,9 @@ _ASCII[[9, 10, 11, 12, 13, 32]] = SPACE
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Rows of character classes around pieces of text[start:end] that cover all of it."""
+    """Rows of character classes around pieces of text[start:end] that cover all of it; the last piece of a longer one is whole, too."""
     rows = []
-    for a in range(start, end, BODY):
+    for a in [*range(start, end - BODY, BODY), max(start, end - BODY)]:
         b = min(end, a + BODY)
         left, right = text[max(0, a - BEFORE) : a], text[b : b + AFTER]
         row = np.full(WIDTH, OUTSIDE)
@@ -82,7 +84,7 @@ class CharacterCnn:
         rng = np.random.default_rng(seed)
         self.width = width
         self.p = {"e": rng.normal(0, 0.3, (CLASSES, embed)), "w": rng.normal(0, 0.2, (width * embed, filters)), "b": np.zeros(filters), "v": rng.normal(0, 0.2, 2 * filters), "c": np.zeros(1)}
-        self.scale, self.shift, self.cut = 1.0, 0.0, 0.5
+        self.scale, self.shift, self.cut, self.cuts = 1.0, 0.0, 0.5, np.full(len(SIZES) + 1, 0.5)
 
     def _forward(self, x: np.ndarray):
         e = self.p["e"][x]
@@ -127,19 +129,41 @@ class CharacterCnn:
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
                     self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling, then the greatest cut that finds the share ``recall`` of the positives."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, own: np.ndarray | None = None, sizes: np.ndarray | None = None) -> None:
+        """Platt scaling of pieces, then the greatest cuts that find the share ``recall`` of the positive findings, of all and of each length.
+
+        ``own``: the finding of each piece (without it each is one), numbered from 0 on, in order; ``sizes``: the lengths of the findings.
+        A finding's score is its greatest; a length without positives has the cut of all.
+        """
         z = self.logits(x)
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40)))
             self.scale = max(0.05, self.scale - 0.5 * ((p - y) * z).mean())
             self.shift -= 0.5 * (p - y).mean()
-        s = np.sort(self.scores(x)[y > 0])
-        self.cut = float(s[int(len(s) * (1 - recall))]) if len(s) else 1.0
-
-
-def made_findings(n: int, seed: int = 7) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) of made findings: keys of well-known shapes, and harmless runs that resemble them."""
+        own = np.arange(len(x)) if own is None else own
+        best, secret = np.zeros(own.max(initial=-1) + 1), np.zeros(own.max(initial=-1) + 1, bool)
+        np.maximum.at(best, own, self.scores(x))
+        secret[own[y > 0]] = True
+        at_least = lambda s: float(np.sort(s)[int(len(s) * (1 - recall))])
+        self.cut = at_least(best[secret]) if secret.any() else 1.0
+        self.cuts = np.full(len(SIZES) + 1, self.cut)
+        if sizes is not None:
+            for c in range(len(self.cuts)):
+                mine = best[secret & (np.searchsorted(SIZES, sizes, "right") == c)]
+                self.cuts[c] = at_least(mine) if len(mine) else self.cut
+
+    def found(self, text: str, spans: list[tuple[int, int]]) -> list[bool]:
+        """Which of some spans of a text are secrets: their greatest scores, held against the cuts of their lengths."""
+        rows = [encode(text, a, b) for a, b in spans]
+        best = np.maximum.reduceat(self.scores(np.concatenate(rows)), np.cumsum([0, *map(len, rows[:-1])]))
+        return (best >= self.cuts[np.searchsorted(SIZES, [b - a for a, b in spans], "right")]).tolist()
+
+
+def made_findings(n: int, seed: int = 7, without: tuple[int, ...] = (), only: tuple[int, ...] = ()) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label) of made findings: keys of well-known shapes, and harmless runs that resemble them.
+
+    Shapes of keys, by number, can be left out, or be the only ones, to see how a network does on shapes that it was not shown.
+    """
     rng = np.random.default_rng(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
@@ -160,6 +184,7 @@ def made_findings(n: int, seed: int = 7) -> list[tuple[str, int, int, int]]:
         lambda: "-".join(word() for _ in range(3)), lambda: f"{word()}/{word()}/{word()}.{word()}", lambda: str(rng.choice(list("-=._+/"))) * int(rng.integers(SHORTEST, 60)),
         lambda: word().capitalize() + word().capitalize() + word().capitalize(),
     ]
+    secret = [shape for i, shape in enumerate(secret) if i not in without and (not only or i in only)]
     out = []
     for i in range(n):
         label = i % 2
@@ -191,25 +216,28 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.int32())], names=["x", "y"])
 
 
-def train_scanner(docs: DataFrame, *, sample: int = 2000, made: int = 4000, recall: float = 0.95) -> CharacterCnn:
-    """A network trained on made findings and on at most 2,000 secret and 2,000 harmless ones in at most ``sample`` documents, of least hash.
+def train_scanner(docs: DataFrame, *, sample: int = 2000, per_label: int = 2000, made: int = 4000, recall: float = 0.98, without: tuple[int, ...] = ()) -> CharacterCnn:
+    """A network trained on ``made`` made findings, whole, and on at most ``per_label`` pieces of secret and as many of harmless ones in at most ``sample`` documents, of least hash.
 
-    Documents without id or text teach nothing; without findings in them the made ones do.
+    A quarter of the findings sets the thresholds, one for each length of candidates, so that the share ``recall`` of the secret ones is found;
+    it is 0.98 because shapes of keys that were not shown are found less often than those that were.
+    Documents without id or text teach nothing; without findings in them the made ones do. ``without``: shapes of made keys that are left out.
     """
     ids = durable(least_hashed(docs.select("doc_id").where("doc_id is not null").distinct(), sample, "doc_id"), "secret-ids")
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_findings, "x binary, y int")
     found = durable(found.distinct(), "secret-findings")
-    found = least_hashed(found.where("y = 1"), 2000, "x", "y").unionByName(least_hashed(found.where("y = 0"), 2000, "x", "y")).orderBy("y", "x").toArrow()
-    made_x = made_findings(made)
-    x = np.array([encode(t, a, b)[0] for t, a, b, _ in made_x])
-    y = np.array([label for *_, label in made_x], float)
-    if len(found):
-        x = np.concatenate([x, np.stack([np.frombuffer(r.as_py(), np.uint8) for r in found.column("x")]).astype(x.dtype)])
-        y = np.concatenate([y, found.column("y").to_numpy()])
-    part = np.random.default_rng(11).random(len(x)) < 0.75
+    found = least_hashed(found.where("y = 1"), per_label, "x", "y").unionByName(least_hashed(found.where("y = 0"), per_label, "x", "y")).orderBy("y", "x").toArrow()
+    rows = [(encode(t, a, b), label, b - a) for t, a, b, label in made_findings(made, without=without)]
+    for x, y in zip(found.column("x").to_pylist(), found.column("y").to_pylist(), strict=True):
+        piece = np.frombuffer(x, np.uint8)
+        rows.append((piece[None].astype(np.int64), y, int((piece[BEFORE : BEFORE + BODY] != OUTSIDE).sum())))
+    x, own = np.concatenate([r for r, _, _ in rows]), np.repeat(np.arange(len(rows)), [len(r) for r, _, _ in rows])
+    y, sizes = np.array([label for _, label, _ in rows], float), np.array([size for *_, size in rows])
+    learn = np.random.default_rng(11).random(len(rows)) < 0.75
     net = CharacterCnn()
-    net.train(x[part], y[part])
-    net.calibrate(x[~part], y[~part], recall)
+    net.train(x[learn[own]], y[own][learn[own]])
+    kept = own[~learn[own]]
+    net.calibrate(x[~learn[own]], y[kept], recall, np.unique(kept, return_inverse=True)[1], sizes[~learn])
     return net
 
 
@@ -217,10 +245,7 @@ def all_spans(text: str, net: CharacterCnn) -> list[Span]:
     base = base_spans(text)
     more = candidates(text, base)
     if more:
-        rows = [encode(text, a, b) for a, b in more]
-        score = net.scores(np.concatenate(rows))
-        best = np.maximum.reduceat(score, np.cumsum([0, *map(len, rows[:-1])]))
-        base = sorted([*base, *((a, b, "model") for (a, b), s in zip(more, best, strict=True) if s >= net.cut)], key=lambda s: (s[0], KINDS.index(s[2])))
+        base = sorted([*base, *((a, b, "model") for (a, b), secret in zip(more, net.found(text, more), strict=True) if secret)], key=lambda s: (s[0], KINDS.index(s[2])))
     return base
 
 

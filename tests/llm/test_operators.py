@@ -514,6 +514,36 @@ def test_network_on_made_findings(net):
     assert (score & y).sum() / y.sum() > 0.9 and (score & ~y).sum() / (~y).sum() < 0.05
 
 
+UNLIKE = pytest.mark.xfail(reason="found less often than 0.9 when not shown: 0.89 of shape 5, 0.4 of shape 10", strict=False)
+
+
+@pytest.mark.parametrize("shape", [0, 3, pytest.param(5, marks=UNLIKE), pytest.param(10, marks=UNLIKE)])
+def test_keys_of_a_shape_that_was_not_shown(docs, shape):
+    net = secrets.train_scanner(docs, without=(shape,))
+    made = secrets.made_findings(600, seed=99, only=(shape,))
+    found = np.array([net.found(t, [(a, b)])[0] for t, a, b, _ in made])
+    y = np.array([label for *_, label in made]) == 1
+    assert found[y].mean() >= 0.9 and found[~y].mean() < 0.05
+
+
+def test_every_length_keeps_its_recall(net):
+    made = secrets.made_findings(3000, seed=98)
+    found = np.array([net.found(t, [(a, b)])[0] for t, a, b, _ in made])
+    kind = np.searchsorted(secrets.SIZES, [b - a for _, a, b, _ in made], "right")
+    y = np.array([label for *_, label in made]) == 1
+    assert all(found[y & (kind == k)].mean() >= 0.9 for k in range(3)) and found[~y].mean() < 0.05
+
+
+def test_pieces_cover_a_run():
+    text = "a" * 10 + "bcdefghij" * 30 + " z"
+    for n in (12, 43, 44, 45, 88, 89, 270):
+        pieces = secrets.encode(text, 10, 10 + n)
+        assert len(pieces) == max(1, -(-n // secrets.BODY))
+        body = pieces[:, secrets.BEFORE : secrets.BEFORE + secrets.BODY]
+        assert (body != secrets.OUTSIDE).sum(1).tolist() == [min(n, secrets.BODY)] * len(pieces)
+        assert body[-1][: min(n, secrets.BODY)].tolist() == secrets.encode(text, 10 + n - min(n, secrets.BODY), 10 + n)[0][secrets.BEFORE : secrets.BEFORE + min(n, secrets.BODY)].tolist()
+
+
 def test_scan_and_redact(spark, docs, net):
     key = "gh" + "p_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bD1fG3hJ5"
     df = spark.createDataFrame([(1, SECRETS), (2, f"use {key} now"), (3, None), (4, "nothing here"), (5, "")], "doc_id long, text string").withColumn("n_chars", F.length("text"))
