@@ -13,8 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.plans.storage import durable
 
-#: Queries that are compared at once, and rows of the corpus that meet them at once: 32 MiB of distances.
-QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Queries of a task of the grid, of these the ones that are compared at once, and rows of the corpus that meet them at once: 32 MiB of distances.
+QUERY_BLOCK, QUERY_PART, ROW_BLOCK = 32768, 4096, 1024
+#: Of a block's pairs, the share up to which they are looked at one by one.
+FEW = 1 / 32
 #: Rows of the corpus in a range, about; a task of the grid holds a block of queries and streams a range.
 RANGE_ROWS = 1 << 18
 #: Vectors of the corpus that the rest is grouped around, so that far groups can be left out.
@@ -107,6 +109,55 @@ def _cells_of_queries(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray
     return run
 
 
+def _first(dist: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least of each row, names in order."""
+    place = _least(dist, k)
+    return np.take_along_axis(dist, place, 1), names[place] if names.ndim == 1 else np.take_along_axis(names, place, 1)
+
+
+def _may_be_nearer(asked: np.ndarray, rows: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(query, row) of all pairs, and a few more, that are no further than the query's edge; None if they are many or numbers are missing or huge.
+
+    Products in single precision, each off by less than the bound on their rounding, leave out the rest.
+    """
+    own, other = (asked**2).sum(1), (rows**2).sum(1)
+    most = np.sqrt(other.max(initial=0))
+    if not (np.isfinite(own).all() and np.isfinite(edge).all() and most < 1e9 and own.max(initial=0) < 1e18):
+        return None
+    off = (asked.shape[1] + 4) * 2.0**-23 * (np.sqrt(own) * most + most**2) + SLACK
+    least = ((own - edge) / 2 - off).astype(np.float32)
+    product = np.column_stack([asked, np.ones(len(asked))]).astype(np.float32) @ np.column_stack([rows, -other / 2]).astype(np.float32).T
+    may = product >= np.nextafter(least, np.float32(-np.inf))[:, None]
+    return np.nonzero(may) if np.count_nonzero(may) <= FEW * may.size else None
+
+
+def _nearer(asked: np.ndarray, rows: np.ndarray, names: np.ndarray, best: tuple[np.ndarray, np.ndarray] | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, names) of the k nearest of each query among those found so far and rows in the order of their names."""
+    pairs = _may_be_nearer(asked, rows, best[0][:, -1]) if best is not None and best[0].shape[1] == k else None
+    if pairs is None:
+        new = _first(np.round(_squared(asked, rows), 6), names, k)
+        if best is None:
+            return new
+        dist, name = (np.concatenate(x, 1) for x in zip(best, new, strict=True))
+        by_name = np.argsort(np.unique(name, return_inverse=True)[1].reshape(name.shape), axis=1, kind="stable")
+        return _first(np.take_along_axis(dist, by_name, 1), np.take_along_axis(name, by_name, 1), k)
+    query, row = pairs
+    dist = np.round(((asked[query] - rows[row]) ** 2).sum(1), 6)
+    near = dist <= best[0][query, -1]
+    if not near.any():
+        return best
+    query, row, dist = query[near], row[near], dist[near]
+    changed = np.unique(query)
+    query = np.concatenate([np.repeat(changed, k), query])
+    dist, name = np.concatenate([best[0][changed].ravel(), dist]), np.concatenate([best[1][changed].ravel(), names[row]])
+    order = np.lexsort((np.unique(name, return_inverse=True)[1], dist, query))
+    starts = np.searchsorted(query[order], changed)
+    kept = order[(starts[:, None] + np.arange(k)).ravel()]
+    out = best[0].copy(), best[1].copy()
+    out[0][changed], out[1][changed] = dist[kept].reshape(-1, k), name[kept].reshape(-1, k)
+    return out
+
+
 def _best_of_task(d: int, k: int, query_kind: pa.DataType, kind: pa.DataType):
     """Over rows in the order of (task, side): a task's queries, then its corpus rows; the k nearest of every query leave it."""
 
@@ -114,24 +165,16 @@ def _best_of_task(d: int, k: int, query_kind: pa.DataType, kind: pa.DataType):
         now, asked, held, vectors, best = None, [], [], None, None
 
         def told() -> pa.RecordBatch:
-            dist, names = best
+            dist, names = (np.concatenate(x) for x in zip(*best, strict=True))
             ids = pa.concat_arrays(asked)
             return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), dist.shape[1]))).cast(query_kind), pa.array(names.ravel(), kind), pa.array(dist.ravel())], names=["query_id", "id", "distance"])
 
         def compare(rows: np.ndarray, names: np.ndarray):
-            found = best
+            found = best or [None] * len(vectors)
             for i in range(0, len(rows), ROW_BLOCK):
                 order = np.argsort(names[i : i + ROW_BLOCK], kind="stable")
-                own, dist = names[i : i + ROW_BLOCK][order], np.round(_squared(vectors, rows[i : i + ROW_BLOCK][order]), 6)
-                place = _least(dist, k)
-                new = np.take_along_axis(dist, place, 1), own[place]
-                if found is not None:
-                    both, name = (np.concatenate(x, 1) for x in zip(found, new, strict=True))
-                    by_name = np.argsort(np.unique(name, return_inverse=True)[1].reshape(name.shape), axis=1, kind="stable")
-                    both, name = np.take_along_axis(both, by_name, 1), np.take_along_axis(name, by_name, 1)
-                    place = _least(both, k)
-                    new = np.take_along_axis(both, place, 1), np.take_along_axis(name, place, 1)
-                found = new
+                own, block = names[i : i + ROW_BLOCK][order], rows[i : i + ROW_BLOCK][order]
+                found = [_nearer(part, block, own, b, k) for part, b in zip(vectors, found, strict=True)]
             return found
 
         for batch in batches:
@@ -151,7 +194,8 @@ def _best_of_task(d: int, k: int, query_kind: pa.DataType, kind: pa.DataType):
                     held.append(rows)
                 elif held:
                     if vectors is None:
-                        vectors = np.concatenate(held)
+                        every = np.concatenate(held)
+                        vectors = [every[i : i + QUERY_PART] for i in range(0, len(every), QUERY_PART)]
                     best = compare(rows, part.column("id").to_numpy(zero_copy_only=False))
         if best is not None:
             yield told()

@@ -33,13 +33,15 @@ class QaOptions:
 def build_index(docs: DataFrame, kind: str, embedder: chat.Embedder, *, model: chat.ChatModel | None = None, parent_size: int = 500, parent_overlap: int = 50, child_size: int = 125, child_overlap: int = 12, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, vectors): chunks have (chunk_id, text), vectors (id, parent_id, vector). Texts are split recursively, sizes in tokens of a tokenizer file, or in words. Vectors have length 1.
 
+    Both are written to the shared folder: each document is split, and each unit embedded, once.
+
     parent_document: vectors of child chunks, or of the chunks themselves if ``child_size`` is 0.
     hypothetical_queries: vectors of questions that a model asks about each chunk.
     """
     if kind not in INDEX_TYPES:
         raise ValueError(f"unknown index type {kind}; there are {', '.join(INDEX_TYPES)}")
     parents = etl.recursive_chunks(docs.select("doc_id", "text"), parent_size, parent_overlap, "tokens", tokenizer)
-    chunks = parents.select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), F.col("chunk").alias("text"))
+    chunks = durable(parents.select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), F.col("chunk").alias("text")), "qa-chunks")
     if kind == "hypothetical_queries":
         if model is None:
             raise ValueError("questions need a chat model")
@@ -49,7 +51,7 @@ def build_index(docs: DataFrame, kind: str, embedder: chat.Embedder, *, model: c
         units = etl.recursive_chunks(chunks.withColumnRenamed("chunk_id", "parent_id"), child_size, child_overlap, "tokens", tokenizer).select("parent_id", F.col("chunk_index").alias("n"), F.col("chunk").alias("text"))
     else:
         units = chunks.select(F.col("chunk_id").alias("parent_id"), F.lit(0).alias("n"), "text")
-    return chunks, units.select(F.concat_ws("-", "parent_id", "n").alias("id"), "parent_id", chat.embed(embedder, F.col("text"), unit=True).alias("vector"))
+    return chunks, durable(units.select(F.concat_ws("-", "parent_id", "n").alias("id"), "parent_id", chat.embed(embedder, F.col("text"), unit=True).alias("vector")), "qa-vectors")
 
 
 @dataclass(frozen=True)

@@ -539,3 +539,31 @@ def test_documents_by_several_vectors_are_those_of_all_distances(spark, sf_dir):
     for r in QUERIES["multi_vector_topk"](spark, sf_dir).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["parent_id"])
     assert got == want
+
+
+def test_an_index_is_made_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").limit(5)
+    for table in qa.build_index(docs, "parent_document", chat.HashingEmbedder()):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-4, 1e8, 1e12])
+def test_pairs_left_out_are_no_neighbours(scale):
+    import numpy as np
+
+    from quire.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    rows, asked, k, best = scale * rng.normal(size=(6000, 8)), scale * rng.normal(size=(50, 8)), 7, None
+    rows[3000:3100], rows[5000] = rows[0], np.nan
+    names = np.array([f"r{i:05}" for i in rng.permutation(len(rows))], object)
+    for i in range(0, len(rows), 500):
+        order = np.argsort(names[i : i + 500])
+        best = retrieval._nearer(asked, rows[i : i + 500][order], names[i : i + 500][order], best, k)
+    for q, dist, found in zip(asked, *best, strict=True):
+        d = np.nan_to_num(np.round(((rows - q) ** 2).sum(1), 6), nan=np.inf)
+        want = sorted(zip(d, names))[:k]
+        if scale <= 1:
+            assert list(found) == [n for _, n in want]
+        assert dist == pytest.approx([x for x, _ in want], rel=1e-9, abs=1e-6)
