@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,20 +12,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is worked out once a row, however often ``fn`` names it, also inside of a lambda."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
 def normalized(a: Column) -> Column:
     """Of length 1; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return once(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """0 if one of them is zero."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+    return once(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))
 
 
 def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.vectors import cosine, dot
+from quire.functions.vectors import cosine, once
 from quire.plans.storage import discard, durable
 
 #: A centroid that moves less than this in every place has come to rest.
@@ -15,13 +15,12 @@ AT_REST = 1e-12
 
 def _distances(vector: Column, centers: Column) -> Column:
     """Squared distances to each center, rounded so that sums in another order do not decide ties."""
-    apart = lambda c: F.zip_with(vector, c, lambda x, y: x - y)
-    return F.transform(centers, lambda c: F.round(dot(apart(c), apart(c)), 9))
+    squares = lambda c: F.zip_with(vector, c, lambda x, y: (x - y) * (x - y))
+    return F.transform(centers, lambda c: F.round(F.aggregate(squares(c), F.lit(0.0), lambda s, x: s + x), 9))
 
 
 def _nearest(vector: Column, centers: Column) -> Column:
-    d = _distances(vector, centers)
-    return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    return once(_distances(vector, centers), lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int"))
 
 
 def _seeds(rows: DataFrame, k: int) -> DataFrame:
@@ -35,6 +34,12 @@ def _seeds(rows: DataFrame, k: int) -> DataFrame:
     return centers
 
 
+def _places(rows: DataFrame, centers: DataFrame) -> DataFrame:
+    """(group_id, cluster, pos, x) of each place of each vector; in two steps, as beside posexplode the distances would be worked out for each place anew."""
+    placed = rows.join(centers, "group_id").select("group_id", "vector", _nearest(F.col("vector"), F.col("centers")).alias("cluster"))
+    return placed.select("group_id", "cluster", F.posexplode("vector").alias("pos", "x"))
+
+
 def group_centers(vectors: DataFrame, k: int = 2, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
     """(rows, centers): vectors as doubles, and (group_id, centers) after at most ``rounds`` of Lloyd's steps within each group.
 
@@ -45,8 +50,7 @@ def group_centers(vectors: DataFrame, k: int = 2, rounds: int = 10) -> tuple[Dat
     rows = vectors.where("vector is not null").select("group_id", "resp_id", F.col("vector").cast("array<double>").alias("vector"))
     centers = durable(_seeds(rows, k), "cluster-centers")
     for _ in range(rounds):
-        placed = rows.join(centers, "group_id").select("group_id", _nearest(F.col("vector"), F.col("centers")).alias("cluster"), F.posexplode("vector").alias("pos", "x"))
-        means = placed.groupBy("group_id", "cluster", "pos").agg(F.avg("x").alias("x"))
+        means = _places(rows, centers).groupBy("group_id", "cluster", "pos").agg(F.avg("x").alias("x"))
         means = means.groupBy("group_id", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
         means = means.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "mean"))).alias("means"))
         moved = centers.join(means, "group_id").select("group_id", F.col("centers").alias("old"), F.transform("centers", lambda c, i: F.coalesce(F.try_element_at("means", i), c)).alias("centers"))

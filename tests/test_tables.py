@@ -333,3 +333,9 @@ def test_runs_of_a_stream(spark, tmp_path):
     finally:
         spark.conf.unset(state.STORE[0]) if before is None else spark.conf.set(state.STORE[0], before)
     assert got == {"a": ("ended", 7_000_000, 3), "b": ("ended", 10_000_000, 2), "c": ("open", None, 1), "d": ("open", None, 1), "e": ("unstarted", None, 1)}
+
+
+def test_distances_are_worked_out_once_a_vector(spark):
+    rows = spark.createDataFrame([(1, i, [float(i), 1.0, 2.0]) for i in range(4)], "group_id int, resp_id int, vector array<double>")
+    plan = clusters._places(rows, rows.groupBy("group_id").agg(F.collect_list("vector").alias("centers")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("array_position")
