@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import whitespace_tokens
 from quire.functions.vectors import centroids, cosine, dot, normalized
+from quire.plans.storage import durable
 
 KEYS = ("group_id", "resp_id")
 
@@ -42,6 +43,75 @@ def ngrams(responses: DataFrame, n: int, weighted: bool) -> DataFrame:
     return responses.withColumn("_lp", lp).select(*KEYS, F.explode(every).alias("g")).select(*KEYS, "g.*")
 
 
+def _own_ngrams(responses: DataFrame, n: int, weighted: bool, *facts: str) -> DataFrame:
+    """(group_id, resp_id, facts, k, ngram, p): each answer's 1- to n-grams once, with their mean probability; 1 if not weighted.
+
+    Here an n-gram is text, each token with its length before it, which takes a third of an array's memory. The answers are dealt by
+    ``dealt``, all n-grams of one to one task, and so need no exchange to be counted.
+    """
+    marked = F.transform("tokens", lambda t: F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")))
+    rows = responses.select(*KEYS, *facts, marked.alias("_t"), *(["logprobs"] if weighted else []))
+    size = F.size("_t")
+
+    def of_length(k: int) -> Column:
+        def at(i: Column) -> Column:
+            gram = F.array_join(F.slice("_t", i, k), "").alias("ngram")
+            part = [F.exp(F.aggregate(F.slice("logprobs", i, k), F.lit(0.0), lambda s, x: s + x)).alias("p")] if weighted else []
+            return F.struct(F.lit(k).alias("k"), gram, *part)
+
+        every = F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), at)
+        return F.when(size >= k, every).otherwise(F.slice(every, 1, 0))
+
+    grams = F.concat(*[of_length(k) for k in range(1, n + 1)])
+    if not weighted:
+        return rows.select(*KEYS, *facts, F.explode(F.array_distinct(grams)).alias("g")).select(*KEYS, *facts, "g.*", F.lit(1.0).alias("p"))
+    said = rows.select(*KEYS, *facts, F.explode(grams).alias("g")).select(*KEYS, *facts, "g.*")
+    return said.groupBy(*KEYS, *facts, "k", "ngram").agg(F.avg("p").alias("p"))
+
+
+#: N-grams that one task handles at once, about.
+TASK_NGRAMS = 1 << 19
+
+
+def _dealt(responses: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Answers, written once, in as many parts as they have n-grams for, and that number: so a task's memory does not grow with the input."""
+    rows = durable(responses.select(*KEYS, "tokens", "logprobs"), "consistency-responses")
+    total = rows.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    parts = max(1, -(-total * n // TASK_NGRAMS))
+    return rows.repartition(parts, *KEYS), parts
+
+
+def vocabulary_sizes(responses: DataFrame, n: int = 1) -> DataFrame:
+    """(group_id, vocabulary): the number of different 1- to n-grams of each group that has one."""
+    rows, parts = _dealt(responses.withColumn("logprobs", F.array().cast("array<double>")), n)
+    return _own_ngrams(rows, n, False).select("group_id", "ngram").repartition(parts, "group_id", "ngram").distinct().groupBy("group_id").agg(F.count("*").alias("vocabulary"))
+
+
+def _scores_of(responses: DataFrame, methods) -> DataFrame:
+    """(group_id, resp_id, a column for each method) of methods (name, n-grams, weighted, weighted by the answer's own probability)."""
+    most = max(n for _, n, *_ in methods)
+    rows, parts = _dealt(responses, most)
+    keyed = rows.withColumns({"L": F.size("tokens"), "own": mean_probability(F.col("logprobs"))})
+    grams = _own_ngrams(keyed, most, any(weighted for _, _, weighted, _ in methods), "L", "own")
+
+    def weight(n: int, weighted: bool, own: bool) -> Column:
+        w = (F.col("p") if weighted else F.lit(1.0)) * (F.col("own") if own else F.lit(1.0))
+        w = w * length_factor(F.col("L"), F.col("k")) if n > 1 else w
+        return w if n == most else F.when(F.col("k") <= n, w)
+
+    weights = grams.select(*KEYS, "k", "ngram", *[weight(*how).alias(name) for name, *how in methods]).repartition(parts, "group_id", "ngram")
+    same = W.partitionBy("group_id", "ngram")
+    first = F.row_number().over(same.orderBy("resp_id")) == 1
+    products = weights.select(*KEYS, "k", first.alias("first"), *[(F.col(name) * (F.sum(name).over(same) - F.col(name))).alias(name) for name, *_ in methods])
+    lengths = sorted({n for _, n, *_ in methods})
+    sums = products.groupBy(*KEYS).agg(*[F.count_if(F.col("first") & (F.col("k") <= n)).alias(f"v{n}") for n in lengths], *[F.sum(name).alias(name) for name, *_ in methods])
+    out = rows.select(*KEYS).join(sums, list(KEYS), "left")
+    group = W.partitionBy("group_id")
+    out = out.select("*", F.count("*").over(group).alias("n"), *[F.coalesce(F.nullif(F.sum(f"v{n}").over(group), F.lit(0)), F.lit(1)).alias(f"s{n}") for n in lengths])
+    score = lambda name, n: F.when(F.col("n") == 1, F.lit(float("nan"))).otherwise(F.coalesce(name, F.lit(0.0)) / F.nullif(F.col(f"s{n}") * (F.col("n") - 1), F.lit(0)))
+    return out.select(*KEYS, *[score(name, n).alias(name) for name, n, *_ in methods])
+
+
 def length_factor(length: Column, k: Column) -> Column:
     return length / F.coalesce(F.nullif(length - k - 1, F.lit(0)), F.lit(1))
 
@@ -63,14 +133,7 @@ def consistency_scores(responses: DataFrame, n: int = 1, weighted: bool = False,
     Each n-gram adds w * (S - w), S being its sum over the group: linear in entries, no pairs. A lone
     response has score NaN, one without tokens 0.
     """
-    weights = ngram_weights(responses, n, weighted, generation_weighted)
-    totals = weights.groupBy("group_id", "ngram").agg(F.sum("w").alias("s"))
-    vocabulary = totals.groupBy("group_id").agg(F.count("*").alias("v"))
-    agreed = weights.join(totals, ["group_id", "ngram"]).groupBy(*KEYS).agg(F.sum(F.col("w") * (F.col("s") - F.col("w"))).alias("a"))
-    sizes = responses.groupBy("group_id").agg(F.count("*").alias("n"))
-    out = responses.select(*KEYS).join(sizes, "group_id").join(vocabulary, "group_id", "left").join(agreed, list(KEYS), "left")
-    others = F.nullif(F.coalesce("v", F.lit(1)) * (F.col("n") - 1), F.lit(0))
-    return out.select(*KEYS, F.when(F.col("n") == 1, F.lit(float("nan"))).otherwise(F.coalesce("a", F.lit(0.0)) / others).alias("score"))
+    return _scores_of(responses, (("score", n, weighted, generation_weighted),))
 
 
 #: The ways of ranking by n-grams that are compared: name, n-grams, weighted, weighted by the answer's own probability.
@@ -83,43 +146,39 @@ def embedding_scores(vectors: DataFrame, weighted: bool = False) -> DataFrame:
     The off-diagonal mean of ``embedding_matrix`` over unit vectors, without the matrix: v . (S - v) / (n - 1), S being the sum of the
     group, kept place by place. A lone response has score NaN. A weighted answer without tokens has no probability and scores null.
     """
-    scale = mean_probability(F.col("logprobs")) if weighted else F.lit(1.0)
-    rows = vectors.select(*KEYS, F.transform(normalized(F.col("vector")), lambda x: x * scale).alias("vector"))
-    sums = centroids(rows, "group_id", "vector").join(rows.groupBy("group_id").agg(F.count("vector").alias("n")), "group_id")
-    own = F.col("vector")
-    others = F.col("n") * dot(own, F.col("centroid")) - dot(own, own)
-    return rows.join(sums, "group_id").select(*KEYS, F.when(F.col("n") == 1, F.lit(float("nan"))).otherwise(others / F.nullif(F.col("n") - 1, F.lit(0))).alias("score"))
+    return embedding_scores_of_both(vectors, weighted).select(*KEYS, F.col("weighted" if weighted else "plain").alias("score"))
+
+
+def embedding_scores_of_both(vectors: DataFrame, has_logprobs: bool = True) -> DataFrame:
+    """(group_id, resp_id, plain, weighted): ``embedding_scores`` of both kinds, over unit vectors that are made once and written."""
+    own = mean_probability(F.col("logprobs")) if has_logprobs else F.lit(1.0)
+    rows = durable(vectors.select(*KEYS, normalized(F.col("vector")).alias("vector"), own.alias("own")), "unit-vectors")
+    places = rows.select("group_id", "own", F.posexplode("vector").alias("pos", "x"))
+    sums = places.groupBy("group_id", "pos").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("own")).alias("y"))
+    sums = sums.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("s"))
+    sums = sums.select("group_id", F.transform("s", lambda p: p["x"]).alias("x"), F.transform("s", lambda p: p["y"]).alias("y"))
+    sums = sums.join(rows.groupBy("group_id").agg(F.count("vector").alias("n")), "group_id")
+    v, w, single = F.col("vector"), F.col("own"), F.when(F.col("n") == 1, F.lit(float("nan")))
+    both = rows.join(sums, "group_id").select(*KEYS, "n", w, dot(v, F.col("x")).alias("x"), dot(v, F.col("y")).alias("y"), dot(v, v).alias("self"))
+    others = F.nullif(F.col("n") - 1, F.lit(0))
+    return both.select(*KEYS, single.otherwise((F.col("x") - F.col("self")) / others).alias("plain"), single.otherwise((F.col("y") * w - F.col("self") * w * w) / others).alias("weighted"))
 
 
 def scores_of_all_methods(responses: DataFrame) -> DataFrame:
     """(method, group_id, resp_id, score) of every way of ranking: the answer's own probability, n-grams (``METHODS``), and embeddings (a column ``vector``), plain and weighted."""
     named = lambda rows, name: rows.select(F.lit(name).alias("method"), *KEYS, "score")
+    rows = durable(responses, "scored-responses")
+    near = durable(embedding_scores_of_both(rows), "embedding-scores")
     return (
-        scores_by_method(responses).unionByName(named(responses.withColumn("score", mean_probability(F.col("logprobs"))), "probability"))
-        .unionByName(named(embedding_scores(responses), "embeddings")).unionByName(named(embedding_scores(responses, weighted=True), "weighted_embeddings"))
+        scores_by_method(rows).unionByName(named(rows.withColumn("score", mean_probability(F.col("logprobs"))), "probability"))
+        .unionByName(named(near.withColumnRenamed("plain", "score"), "embeddings")).unionByName(named(near.withColumnRenamed("weighted", "score"), "weighted_embeddings"))
     )
 
 
 def scores_by_method(responses: DataFrame) -> DataFrame:
     """(method, group_id, resp_id, score) of all ``METHODS``: ``consistency_scores`` of each, over n-grams that are built once."""
-    facts = responses.select(*KEYS, F.size("tokens").alias("L"), mean_probability(F.col("logprobs")).alias("own"))
-    mean = ngrams(responses, 2, True).groupBy(*KEYS, "k", "ngram").agg(F.avg(F.exp("logprob")).alias("p")).join(facts, list(KEYS))
-
-    def weight(n: int, weighted: bool, own: bool) -> Column:
-        w = (F.col("p") if weighted else F.lit(1.0)) * (F.col("own") if own else F.lit(1.0))
-        return F.when(F.col("k") == 1, w) if n == 1 else w * length_factor(F.col("L"), F.col("k"))
-
-    weights = mean.select(*KEYS, "k", "ngram", *[weight(*how).alias(name) for name, *how in METHODS])
-    same = W.partitionBy("group_id", "k", "ngram")
-    first = F.row_number().over(same.orderBy("resp_id")) == 1
-    products = weights.select(*KEYS, "k", first.alias("first"), *[(F.col(name) * (F.sum(name).over(same) - F.col(name))).alias(name) for name, *_ in METHODS])
-    sums = products.groupBy(*KEYS).agg(F.count_if("first").alias("v2"), F.count_if(F.col("first") & (F.col("k") == 1)).alias("v1"), *[F.sum(name).alias(name) for name, *_ in METHODS])
-    group = W.partitionBy("group_id")
-    rows = responses.select(*KEYS).join(sums, list(KEYS), "left")
-    rows = rows.select("*", F.count("*").over(group).alias("n"), *[F.coalesce(F.nullif(F.sum(f"v{i}").over(group), F.lit(0)), F.lit(1)).alias(f"s{i}") for i in (1, 2)])
-    score = lambda name, n: F.when(F.col("n") == 1, F.lit(float("nan"))).otherwise(F.coalesce(name, F.lit(0.0)) / F.nullif(F.col(f"s{n}") * (F.col("n") - 1), F.lit(0)))
-    scored = F.array(*[F.struct(F.lit(name).alias("method"), score(name, n).alias("score")) for name, n, *_ in METHODS])
-    return rows.select(*KEYS, F.explode(scored).alias("m")).select("m.method", *KEYS, "m.score")
+    scored = F.array(*[F.struct(F.lit(name).alias("method"), F.col(name).alias("score")) for name, *_ in METHODS])
+    return _scores_of(responses, METHODS).select(*KEYS, F.explode(scored).alias("m")).select("m.method", *KEYS, "m.score")
 
 
 def _bounded(rows: DataFrame, most: int) -> DataFrame:

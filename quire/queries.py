@@ -72,8 +72,7 @@ def self_consistency_pick(spark, sf_dir):
 
 @query(_weights_sql(2, False, False) + " SELECT group_id, CAST(v AS BIGINT) AS vocabulary FROM vocabulary")
 def ngram_vocab_size(spark, sf_dir):
-    w = consistency.ngram_weights(X.responses(spark, sf_dir), 2)
-    return w.groupBy("group_id").agg(F.count_distinct("ngram").alias("vocabulary"))
+    return consistency.vocabulary_sizes(X.responses(spark, sf_dir), 2)
 
 
 _PAIRS = """, pairs AS (SELECT a.group_id, a.resp_id AS i, b.resp_id AS j, sum(a.w * b.w) AS p, count(*) AS common FROM weights a JOIN weights b USING (group_id, g) GROUP BY ALL),
@@ -471,8 +470,7 @@ def map_by_method(spark, sf_dir):
 def embedding_consistency(spark, sf_dir):
     """How well each labelled answer's vector agrees with the others of its case, by sums; the SQL makes all pairs."""
     rows = _labelled(spark, sf_dir)
-    plain, weighted = (consistency.embedding_scores(rows, w).withColumnRenamed("score", name) for w, name in ((False, "plain"), (True, "weighted")))
-    return plain.join(weighted, ["group_id", "resp_id"]).select("group_id", "resp_id", _rounded("plain", "plain"), _rounded("weighted", "weighted"))
+    return consistency.embedding_scores_of_both(rows).select("group_id", "resp_id", _rounded("plain", "plain"), _rounded("weighted", "weighted"))
 
 
 @query("""SELECT CAST(doc_id % 3 AS INT) AS parent_chunk_size, CAST(doc_id % 2 AS INT) AS number_of_docs, count(*) AS runs, round(avg((doc_id % 20) / 20.0::DOUBLE), 6) AS mean_score, max((doc_id % 20) / 20.0::DOUBLE) AS max_score FROM documents GROUP BY ALL""")

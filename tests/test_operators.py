@@ -567,3 +567,24 @@ def test_pairs_left_out_are_no_neighbours(scale):
         if scale <= 1:
             assert list(found) == [n for _, n in want]
         assert dist == pytest.approx([x for x, _ in want], rel=1e-9, abs=1e-6)
+
+
+def test_the_length_of_a_vector_is_worked_out_once(spark):
+    from quire.functions.vectors import normalized
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(normalized(F.col("v")).alias("u"))
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt(") == 1
+
+
+def test_more_ngrams_are_more_parts(spark, monkeypatch):
+    rows = [(g, i, t, [-0.1 * j for j in range(len(t))]) for g in range(4) for i, t in enumerate([["1:a", "b"], ["1", ":a", "b", "b"], [], ["b", "1:a", "1:a"]])]
+    df = spark.createDataFrame(rows, RESPONSE)
+    want = {(r["group_id"], r["resp_id"]): r["score"] for r in consistency.consistency_scores(df, 2, True, True).collect()}
+    assert consistency._dealt(df, 2)[1] == 1
+    monkeypatch.setattr(consistency, "TASK_NGRAMS", 9)
+    dealt, parts = consistency._dealt(df, 2)
+    assert dealt.rdd.getNumPartitions() == parts == 8
+    assert {(r["group_id"], r["resp_id"]): r["score"] for r in consistency.consistency_scores(df, 2, True, True).collect()} == pytest.approx(want, nan_ok=True)
+    every = [{(*t[j : j + k],) for t in ([x[2] for x in rows if x[0] == 0]) for k in (1, 2) for j in range(len(t) - k + 1)}]
+    assert {r["group_id"]: r["vocabulary"] for r in consistency.vocabulary_sizes(df, 2).collect()} == {g: len(every[0]) for g in range(4)}
