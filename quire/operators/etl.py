@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,12 +196,29 @@ def _merged(pieces: Sequence[str], separator: str, size: int, overlap: int, leng
         yield text
 
 
+#: Bytes of text that are split at once, about; a text of more is alone.
+PART_BYTES = 1 << 20
+
+
+def parts_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a batch with ``PART_BYTES`` of text or less, so that a batch's rows, however many or long, are not all split at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PART_BYTES, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, by: str = "characters", tokenizer: str | None = None) -> DataFrame:
     """Adds chunk_index and chunk; ``by``: characters or tokens (of a tokenizer file that all executors can read, else words between white space)."""
     length = len if by == "characters" else count_tokens(tokenizer)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursively(t, size, overlap, length) if t else [])
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in parts_of(texts):
+                yield pa.array([split_recursively(t, size, overlap, length) if t else [] for t in part.to_pylist()], pa.list_(pa.string()))
 
     return docs.select("*", F.posexplode(split("text")).alias("chunk_index", "chunk"))

@@ -339,3 +339,13 @@ def test_distances_are_worked_out_once_a_vector(spark):
     rows = spark.createDataFrame([(1, i, [float(i), 1.0, 2.0]) for i in range(4)], "group_id int, resp_id int, vector array<double>")
     plan = clusters._places(rows, rows.groupBy("group_id").agg(F.collect_list("vector").alias("centers")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("array_position")
+
+
+def test_texts_are_split_a_part_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(etl, "PART_BYTES", 10)
+    texts = ["aaaa", None, "bbbbb", "c" * 30, "", "dd"]
+    parts = [p.to_pylist() for p in etl.parts_of(pa.array(texts))]
+    assert parts == [["aaaa", None, "bbbbb"], ["c" * 30], ["", "dd"]]
+    assert list(etl.parts_of(pa.array([], pa.string()))) == []
