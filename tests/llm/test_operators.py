@@ -691,3 +691,25 @@ def test_packing():
         again = exchange.unpack_counts(exchange.pack_counts(values), values.dtype.type)
         assert again.dtype == values.dtype and (again == values).all()
     assert sum(s.stop - s.start for _, s in exchange.bucket_slices(keys, 7)) == 1000
+
+
+def test_thresholds_of_quality_count_every_row():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    good, bad = rng.integers(0, 60, 50_000), rng.integers(40, 100, 30_000)
+    got = quality.threshold(np.bincount(good, minlength=100), np.bincount(bad, minlength=100), 0.002, 0.05)
+    low = np.sort(good)[int(np.ceil(len(good) * 0.998)) - 1]
+    over = np.sort(bad[bad > low])
+    assert got == (low + over[len(over) // 10]) / 2
+    assert quality.threshold(np.bincount(good, minlength=100), np.zeros(100, int), 0.002, 0.05) == float("inf")
+
+
+def test_all_labels_set_the_thresholds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "threshold", lambda good, bad, *_: seen.append(int(good.sum() + bad.sum())) or float("inf"))
+    n = 24_000
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), (F.col("id") * 61 + i).cast("string"))))
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 3 != 0).cast("int").alias("quality"))
+    assert quality.quality_rules(rows.select("doc_id", "text"), rows.select("doc_id", "quality")).count() == n
+    assert len(seen) == 3 and set(seen) == {rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) != 0).count()} and seen[0] > 11_500
