@@ -50,41 +50,54 @@ def _own_ngrams(responses: DataFrame, n: int, weighted: bool, *facts: str) -> Da
     ``dealt``, all n-grams of one to one task, and so need no exchange to be counted.
     """
     marked = F.transform("tokens", lambda t: F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")))
-    rows = responses.select(*KEYS, *facts, marked.alias("_t"), *(["logprobs"] if weighted else []))
+    missing = F.array_repeat(F.lit(0.0), F.greatest(F.size("tokens") - F.size("logprobs"), F.lit(0)))
+    rows = responses.select(*KEYS, *facts, marked.alias("_t"), *([F.concat("logprobs", missing).alias("_lp")] if weighted else []))
     size = F.size("_t")
 
     def of_length(k: int) -> Column:
-        def at(i: Column) -> Column:
-            gram = F.array_join(F.slice("_t", i, k), "").alias("ngram")
-            part = [F.exp(F.aggregate(F.slice("logprobs", i, k), F.lit(0.0), lambda s, x: s + x)).alias("p")] if weighted else []
-            return F.struct(F.lit(k).alias("k"), gram, *part)
+        def gram(i: Column) -> Column:
+            return F.concat(*[F.get("_t", i + j) for j in range(k)])
+
+        def with_p(i: Column) -> Column:
+            return F.struct(F.lit(k).alias("k"), gram(i).alias("ngram"), F.exp(sum((F.get("_lp", i + j) for j in range(k)), F.lit(0.0))).alias("p"))
 
-        every = F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), at)
+        places = F.sequence(F.lit(0), F.greatest(size - k, F.lit(0)))
+        # distinct texts are found by a hash set, distinct structs by comparing all with all
+        every = F.transform(places, with_p) if weighted else F.transform(F.array_distinct(F.transform(places, gram)), lambda g: F.struct(F.lit(k).alias("k"), g.alias("ngram")))
         return F.when(size >= k, every).otherwise(F.slice(every, 1, 0))
 
-    grams = F.concat(*[of_length(k) for k in range(1, n + 1)])
-    if not weighted:
-        return rows.select(*KEYS, *facts, F.explode(F.array_distinct(grams)).alias("g")).select(*KEYS, *facts, "g.*", F.lit(1.0).alias("p"))
-    said = rows.select(*KEYS, *facts, F.explode(grams).alias("g")).select(*KEYS, *facts, "g.*")
-    return said.groupBy(*KEYS, *facts, "k", "ngram").agg(F.avg("p").alias("p"))
+    said = rows.select(*KEYS, *facts, F.explode(F.concat(*[of_length(k) for k in range(1, n + 1)])).alias("g")).select(*KEYS, *facts, "g.*")
+    return said.groupBy(*KEYS, *facts, "k", "ngram").agg(F.avg("p").alias("p")) if weighted else said.withColumn("p", F.lit(1.0))
 
 
-#: N-grams that one task handles at once, about.
-TASK_NGRAMS = 1 << 19
+#: N-grams that one task handles at once, about, and those of a group from which it is dealt to several.
+TASK_NGRAMS, GROUP_NGRAMS = 1 << 19, 1 << 16
 
 
 def _dealt(responses: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """Answers, written once, in as many parts as they have n-grams for, and that number: so a task's memory does not grow with the input."""
+    """Answers, written once, in as many parts as they have n-grams for, and that number: so a task's memory does not grow with the input.
+
+    ``shards`` is the number of parts that the n-grams of the group are to be dealt to. The groups of more than one, which are
+    broadcast, are at most one for ``GROUP_NGRAMS`` n-grams.
+    """
     rows = durable(responses.select(*KEYS, "tokens", "logprobs"), "consistency-responses")
     total = rows.agg(F.sum(F.size("tokens"))).first()[0] or 0
     parts = max(1, -(-total * n // TASK_NGRAMS))
-    return rows.repartition(parts, *KEYS), parts
+    large = rows.groupBy(F.col("group_id").alias("_group")).agg(F.ceil(F.sum(F.size("tokens")) * n / GROUP_NGRAMS).alias("_shards")).where("_shards > 1")
+    sharded = rows.join(F.broadcast(large), F.col("group_id").eqNullSafe(F.col("_group")), "left").withColumn("shards", F.coalesce("_shards", F.lit(1)))
+    return sharded.drop("_group", "_shards").repartition(parts, *KEYS), parts
+
+
+def _by_ngram(grams: DataFrame, parts: int) -> DataFrame:
+    """The n-grams dealt by (group_id, shard): a small group to one task, so that its sums are there and few rows go on."""
+    return grams.withColumn("shard", F.pmod(F.xxhash64("ngram"), F.col("shards"))).drop("shards").repartition(parts, "group_id", "shard")
 
 
 def vocabulary_sizes(responses: DataFrame, n: int = 1) -> DataFrame:
     """(group_id, vocabulary): the number of different 1- to n-grams of each group that has one."""
     rows, parts = _dealt(responses.withColumn("logprobs", F.array().cast("array<double>")), n)
-    return _own_ngrams(rows, n, False).select("group_id", "ngram").repartition(parts, "group_id", "ngram").distinct().groupBy("group_id").agg(F.count("*").alias("vocabulary"))
+    grams = _own_ngrams(rows, n, False, "shards").select("group_id", "shards", "ngram")
+    return _by_ngram(grams, parts).distinct().groupBy("group_id").agg(F.count("*").alias("vocabulary"))
 
 
 def _scores_of(responses: DataFrame, methods) -> DataFrame:
@@ -92,20 +105,20 @@ def _scores_of(responses: DataFrame, methods) -> DataFrame:
     most = max(n for _, n, *_ in methods)
     rows, parts = _dealt(responses, most)
     keyed = rows.withColumns({"L": F.size("tokens"), "own": mean_probability(F.col("logprobs"))})
-    grams = _own_ngrams(keyed, most, any(weighted for _, _, weighted, _ in methods), "L", "own")
+    grams = _own_ngrams(keyed, most, any(weighted for _, _, weighted, _ in methods), "L", "own", "shards")
 
     def weight(n: int, weighted: bool, own: bool) -> Column:
         w = (F.col("p") if weighted else F.lit(1.0)) * (F.col("own") if own else F.lit(1.0))
         w = w * length_factor(F.col("L"), F.col("k")) if n > 1 else w
         return w if n == most else F.when(F.col("k") <= n, w)
 
-    weights = grams.select(*KEYS, "k", "ngram", *[weight(*how).alias(name) for name, *how in methods]).repartition(parts, "group_id", "ngram")
-    same = W.partitionBy("group_id", "ngram")
+    weights = _by_ngram(grams.select(*KEYS, "shards", "k", "ngram", *[weight(*how).alias(name) for name, *how in methods]), parts)
+    same = W.partitionBy("group_id", "shard", "ngram")
     first = F.row_number().over(same.orderBy("resp_id")) == 1
     products = weights.select(*KEYS, "k", first.alias("first"), *[(F.col(name) * (F.sum(name).over(same) - F.col(name))).alias(name) for name, *_ in methods])
     lengths = sorted({n for _, n, *_ in methods})
     sums = products.groupBy(*KEYS).agg(*[F.count_if(F.col("first") & (F.col("k") <= n)).alias(f"v{n}") for n in lengths], *[F.sum(name).alias(name) for name, *_ in methods])
-    out = rows.select(*KEYS).join(sums, list(KEYS), "left")
+    out = rows.select(*KEYS).where("group_id is not null").join(sums, list(KEYS), "left")
     group = W.partitionBy("group_id")
     out = out.select("*", F.count("*").over(group).alias("n"), *[F.coalesce(F.nullif(F.sum(f"v{n}").over(group), F.lit(0)), F.lit(1)).alias(f"s{n}") for n in lengths])
     score = lambda name, n: F.when(F.col("n") == 1, F.lit(float("nan"))).otherwise(F.coalesce(name, F.lit(0.0)) / F.nullif(F.col(f"s{n}") * (F.col("n") - 1), F.lit(0)))
@@ -131,7 +144,7 @@ def consistency_scores(responses: DataFrame, n: int = 1, weighted: bool = False,
     """(group_id, resp_id, score): the mean of a response's vector products with the others, over the group's vocabulary.
 
     Each n-gram adds w * (S - w), S being its sum over the group: linear in entries, no pairs. A lone
-    response has score NaN, one without tokens 0.
+    response has score NaN, one without tokens 0, one of no group (null) none.
     """
     return _scores_of(responses, (("score", n, weighted, generation_weighted),))
 

@@ -588,3 +588,30 @@ def test_more_ngrams_are_more_parts(spark, monkeypatch):
     assert {(r["group_id"], r["resp_id"]): r["score"] for r in consistency.consistency_scores(df, 2, True, True).collect()} == pytest.approx(want, nan_ok=True)
     every = [{(*t[j : j + k],) for t in ([x[2] for x in rows if x[0] == 0]) for k in (1, 2) for j in range(len(t) - k + 1)}]
     assert {r["group_id"]: r["vocabulary"] for r in consistency.vocabulary_sizes(df, 2).collect()} == {g: len(every[0]) for g in range(4)}
+
+
+def test_small_groups_are_one_tasks_and_large_ones_are_dealt(spark, monkeypatch):
+    rows = [(g, i, t * (3 if g == 2 else 1), [-0.1 * (j % 4) for j in range(len(t) * (3 if g == 2 else 1))]) for g in (0, 1, 2, 3, None) for i, t in enumerate([["1:a", "b", "c", "d"], ["b", "c", "e", "f"], ["g", "b", "h"]])]
+    df = spark.createDataFrame(rows, RESPONSE)
+    score = lambda: {(r["group_id"], r["resp_id"]): r["score"] for r in consistency.consistency_scores(df, 2, True, True).collect()}
+    want, sizes = score(), {r["group_id"]: r["vocabulary"] for r in consistency.vocabulary_sizes(df, 2).collect()}
+    assert {g for g, _ in want} == {0, 1, 2, 3}  # answers without a group are in none
+    monkeypatch.setattr(consistency, "TASK_NGRAMS", 9)
+    monkeypatch.setattr(consistency, "GROUP_NGRAMS", 30)
+    dealt, parts = consistency._dealt(df, 2)
+    grams = consistency._by_ngram(consistency._own_ngrams(dealt, 2, True, "shards"), parts).withColumn("task", F.spark_partition_id())
+    tasks = {r["group_id"]: r["n"] for r in grams.groupBy("group_id").agg(F.count_distinct("task").alias("n")).collect()}
+    assert parts > 8 and tasks[0] == tasks[1] == tasks[3] == 1 and tasks[2] > 1
+    assert score() == pytest.approx(want)
+    assert {r["group_id"]: r["vocabulary"] for r in consistency.vocabulary_sizes(df, 2).collect()} == sizes
+
+
+def test_ngrams_of_a_long_answer_are_told_apart_in_linear_time(spark):
+    """Comparing all n-grams of this answer with all takes some 10^10 steps."""
+    import time
+
+    words = [f"w{i}" for i in range(100_000)]
+    df = spark.createDataFrame([(0, 0, words, [0.0] * len(words)), (0, 1, words[:10] * 2, [0.0] * 20)], RESPONSE)
+    began = time.perf_counter()
+    assert consistency.vocabulary_sizes(df, 2).first()["vocabulary"] == 200_000
+    assert time.perf_counter() - began < 60
