@@ -178,12 +178,14 @@ def embedding_scores_of_both(vectors: DataFrame, has_logprobs: bool = True) -> D
 
 
 def scores_of_all_methods(responses: DataFrame) -> DataFrame:
-    """(method, group_id, resp_id, score) of every way of ranking: the answer's own probability, n-grams (``METHODS``), and embeddings (a column ``vector``), plain and weighted."""
+    """(method, group_id, resp_id, score) of every way of ranking: the answer's own probability, n-grams (``METHODS``), and embeddings (a column ``vector``), plain and weighted.
+
+    ``responses`` are read several times, so they should be a table and not a plan.
+    """
     named = lambda rows, name: rows.select(F.lit(name).alias("method"), *KEYS, "score")
-    rows = durable(responses, "scored-responses")
-    near = durable(embedding_scores_of_both(rows), "embedding-scores")
+    near = durable(embedding_scores_of_both(responses), "embedding-scores")
     return (
-        scores_by_method(rows).unionByName(named(rows.withColumn("score", mean_probability(F.col("logprobs"))), "probability"))
+        scores_by_method(responses).unionByName(named(responses.withColumn("score", mean_probability(F.col("logprobs"))), "probability"))
         .unionByName(named(near.withColumnRenamed("plain", "score"), "embeddings")).unionByName(named(near.withColumnRenamed("weighted", "score"), "weighted_embeddings"))
     )
 

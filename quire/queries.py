@@ -11,6 +11,7 @@ from quire.functions import text as T
 from quire.functions import vectors as V
 from quire.operators import chat, consistency, etl, evaluation, qa_pairs, retrieval
 from quire.plans import qa
+from quire.plans.storage import durable
 from quire.registry import ORACLE_SQL, QUERIES, query
 from quire.sources import fixtures as X
 from quire.sources.fixtures import table
@@ -459,7 +460,7 @@ def _labelled(spark, sf_dir) -> DataFrame:
 @query(_map_sql())
 def map_by_method(spark, sf_dir):
     """The seven ways of ranking, over cases whose answers are labelled good or bad."""
-    rows = _labelled(spark, sf_dir)
+    rows = durable(_labelled(spark, sf_dir), "scored-responses")
     every = consistency.scores_of_all_methods(rows).withColumn("score", F.round("score", 9))
     rank = F.row_number().over(W.partitionBy("method", "group_id").orderBy(F.desc("score"), F.desc("resp_id")))
     hits = rows.select("group_id", "resp_id", "hit")
