@@ -49,6 +49,8 @@ def blocks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+#: Values that stay in a core's cache over the steps of a sum.
+CACHED = 1 << 14
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -75,8 +77,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums of which two give the polynomial hash of any span."""
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(_BASE, len(data)), out=sums[1:])
+    sums, scale = np.zeros(len(data) + 1, U64), powers(_BASE, len(data))
+    for i in range(0, len(data), CACHED):
+        part = sums[i + 1 : i + 1 + CACHED]
+        np.add(data[i : i + CACHED], 1, out=part, dtype=U64, casting="unsafe")
+        part *= scale[i : i + CACHED]
+        part[:1] += sums[i : i + 1]
+        np.cumsum(part, out=part)
     return sums
 
 

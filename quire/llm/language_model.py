@@ -112,10 +112,12 @@ class Code:
 def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts with an end each, cut into units: (bytes, unit starts, word starts, unit ends, the n+1 offsets of each text's units)."""
     n = len(off) - 1
-    out = np.full(len(data) + n, TEXT_END, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(off))] = data
     own = off + np.arange(n + 1)
     last = own[1:] - 1
+    inside = np.ones(len(data) + n, bool)
+    inside[last] = False
+    out = np.full(len(inside), TEXT_END, np.uint8)
+    out[inside] = data
     table = NONSPACE.copy()
     table[TEXT_END] = False
     starts, ends, _ = words(out, own, table)
@@ -169,8 +171,8 @@ class Units:
         white = starts - begins
         one, two = self.data[np.maximum(starts - 1, 0)], self.data[np.maximum(starts - 2, 0)]
         space = np.select([white == 0, (white == 1) & (one == 32), (white == 1) & (one == 10), (white == 2) & (one == 10) & (two == 10)], [0, 1, 2, 3], -1)
-        upper = np.zeros(len(self.data) + 1, np.int64)
-        np.cumsum((self.data >= 65) & (self.data <= 90), out=upper[1:])
+        upper = np.zeros(len(self.data) + 1, np.int32)
+        np.cumsum((self.data - np.uint8(65)) < 26, dtype=np.int32, out=upper[1:])
         n_upper, initial = upper[ends] - upper[starts], upper[starts + 1] - upper[starts]
         case = np.select([n_upper == 0, (n_upper == 1) & (initial == 1), n_upper == ends - starts], [0, 1, 2], -1)
         form = np.where((space < 0) | (case < 0), SPELLED, (space * len(CASES) + case) * len(MARKS))
@@ -280,13 +282,14 @@ class Coder:
 
     @staticmethod
     def _byte_contexts(sym: np.ndarray, begins: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        n, place, last = len(sym), np.arange(len(sym)) - begins, []
+        n, place, last = len(sym), (np.arange(len(sym)) - begins).astype(np.int32), []
         for k in range(1, 4):
-            x = np.full(n, NONE, np.int64)
+            x = np.full(n, NONE, U64)
             x[k:] = sym[:-k] if k < n else sym[:0]
             x[place < k] = NONE
-            last.append(x.astype(U64))
-        out = [_hash(last[0] | last[1] << U64(9), 24), _hash(last[0] | last[1] << U64(9) | last[2] << U64(18), 25)]
+            last.append(x)
+        two = last[0] | last[1] << U64(9)
+        out = [_hash(two, 24), _hash(two | last[2] << U64(18), 25)]
         so_far = span_hash(prefix_sums(sym), begins, np.arange(n))
         return [*out, _hash(so_far, 26), _hash(so_far ^ before, 27)], KIND[last[0].astype(np.intp)]
 
@@ -495,12 +498,18 @@ class MixingModel:
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The log10 probability of each text with its end."""
-        out = np.zeros(len(off) - 1)
+        return self.score_and_tokens(data, off)[0]
+
+    def score_and_tokens(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The log10 probability of each text with its end; ``_chunk_tokens``, which are the words of the units."""
+        out, tokens, word_off = np.zeros(len(off) - 1), [np.zeros(0, U64)], np.zeros(len(off), np.int64)
         for a, b in _together(off):
             u = Units(data[off[a] : off[b]], off[a : b + 1] - off[a])
             first, pair = u.pairs()
             out[a:b] = np.bincount(owners(u.own), self.log10_of(u, first)[pair], minlength=b - a)
-        return out
+            tokens.append(np.delete(u.word, u.own[1:] - 1))
+            word_off[a + 1 : b + 1] = word_off[a] + u.own[1:] - np.arange(1, b - a + 1)
+        return out, np.concatenate(tokens), word_off
 
 
 #: Sums of weights and bits travel as whole numbers of this part, so that their order does not matter.
@@ -604,14 +613,14 @@ def _bucket_sums(key: tuple[pa.Scalar, ...], table: pa.Table, frequent: int) ->
 def _score(model: MixingModel):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         data, off = flat(docs.column("text"))
-        h, word_off = _chunk_tokens(data, off)
+        score, h, word_off = model.score_and_tokens(data, off)
         keys, at, end = _distinct(h)
         order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
         got = answers.column("counts").take(pa.array(order))
         c = np.concatenate([unpack_counts(x.as_py(), np.uint64) for x in got]) if len(got) else np.zeros(len(keys), np.uint64)
         n = len(off) - 1
         own, mine = owners(word_off), c[at]
-        end, score = int(c[end]), model.score(data, off)
+        end = int(c[end])
         return pa.table({
             "doc_id": docs.column("doc_id"), "learn": docs.column("learn"), "n_tokens": pa.array(np.diff(word_off) + 1), "n_known": pa.array(np.bincount(own, mine > 0, minlength=n).astype(np.int64) + (end > 0)),
             "logs": pa.array(np.bincount(own, np.log10(mine + 0.5), minlength=n) + np.log10(end + 0.5)), "score": pa.array(score), "bits_per_byte": pa.array(-score / np.log10(2) / (np.diff(off) + 1)),

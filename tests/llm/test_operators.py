@@ -713,3 +713,26 @@ def test_all_labels_set_the_thresholds(spark, monkeypatch):
     rows = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 3 != 0).cast("int").alias("quality"))
     assert quality.quality_rules(rows.select("doc_id", "text"), rows.select("doc_id", "quality")).count() == n
     assert len(seen) == 3 and set(seen) == {rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) != 0).count()} and seen[0] > 11_500
+
+
+def test_words_of_scored_units_are_the_tokens():
+    texts = ["The cat  sat\n\non THE mat", "", " ", "x", "naïve Ünit\tend ", None, "a b " * 9_000]
+    data, off = language_model.flat(pa.array(texts))
+    h, word_off = language_model._chunk_tokens(data, off)
+    coder = language_model.Coder(np.ones(256, np.int64), np.sort(np.unique(h)), np.ones(len(np.unique(h)), np.int64), 12)
+    model = language_model.MixingModel(coder, [np.zeros(1 << 12, np.uint8) for _ in range(language_model.ORDERS)])
+    score, words, own = model.score_and_tokens(data, off)
+    assert words.tolist() == h.tolist() and own.tolist() == word_off.tolist()
+    assert score.tolist() == model.score(data, off).tolist() and (score < 0).all()
+
+
+def test_sums_in_slices_are_the_sums(monkeypatch):
+    from quire.llm import kernels
+
+    data = np.random.default_rng(3).integers(0, 256, 1000).astype(np.uint8)
+    want = kernels.prefix_sums(data)
+    for cached in (1, 7, 1000):
+        monkeypatch.setattr(kernels, "CACHED", cached)
+        assert kernels.prefix_sums(data).tolist() == want.tolist()
+    assert int(want[2]) == (int(data[0]) + 1 + (int(data[1]) + 1) * kernels._BASE) % 2**64 and len(kernels.prefix_sums(data[:0])) == 1
+    assert kernels.prefix_sums(data.astype(np.int64)).tolist() == want.tolist()
