@@ -80,7 +80,8 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     sums, scale = np.zeros(len(data) + 1, U64), powers(_BASE, len(data))
     for i in range(0, len(data), CACHED):
         part = sums[i + 1 : i + 1 + CACHED]
-        np.add(data[i : i + CACHED], 1, out=part, dtype=U64, casting="unsafe")
+        part[:] = data[i : i + CACHED]
+        part += U64(1)
         part *= scale[i : i + CACHED]
         part[:1] += sums[i : i + 1]
         np.cumsum(part, out=part)
@@ -88,16 +89,59 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(sums))[starts] + (ends - starts).astype(U64))
+    return _finished(sums[ends] - sums[starts], starts, ends, len(sums))
+
+
+def _finished(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of spans from their sums, ``n`` being one more than all bytes."""
+    sums *= powers(_INVERSE, n)[starts]
+    sums += (ends - starts).astype(U64)
+    return mix(sums)
+
+
+def upper(data: np.ndarray) -> np.ndarray:
+    """Whether bytes are A-Z."""
+    return (data - np.uint8(65)) < np.uint8(26)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """``LOWER[data]`` by arithmetic, which takes a tenth of the time."""
+    return data + upper(data).view(np.uint8) * np.uint8(32)
+
+
+def nonspace(data: np.ndarray) -> np.ndarray:
+    """``NONSPACE[data]`` by arithmetic."""
+    return (data != 0x20) & ((data - np.uint8(9)) > np.uint8(4))
+
+
+class LowerSums:
+    """Hashes of spans in lower case from the ``prefix_sums`` of bytes as they are: only upper-case letters add to these."""
+
+    def __init__(self, data: np.ndarray, sums: np.ndarray):
+        is_upper = upper(data)
+        self.sums, self.n_upper, at = sums, np.zeros(len(data) + 1, np.int32), np.flatnonzero(is_upper)
+        np.cumsum(is_upper, dtype=np.int32, out=self.n_upper[1:])
+        self.more = np.zeros(len(at) + 1, U64)
+        np.cumsum(powers(_BASE, len(data))[at] * U64(32), out=self.more[1:])
+
+    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out, low, high = self.sums[ends] - self.sums[starts], self.n_upper[starts], self.n_upper[ends]
+        some = np.flatnonzero(high > low)
+        out[some] += self.more[high[some]] - self.more[low[some]]
+        return _finished(out, starts, ends, len(self.sums))
 
 
 def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of all words, and the n+1 offsets of each text's words in them."""
-    inside = table[data]
+    return runs(table[data], off)
+
+
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` of bytes that are ``inside`` of one."""
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
-    heads = off[:-1][off[:-1] < len(data)]
+    heads = off[:-1][off[:-1] < len(inside)]
     before[heads] = False
     starts = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)

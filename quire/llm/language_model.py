@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.exchange import bucket_slices, chunked, pack_counts, pack_keys, parts_of, unpack_counts, unpack_keys
-from quire.llm.kernels import LOWER, NONSPACE, U64, blocks, flat, mix, owners, prefix_sums, span_hash, words
+from quire.llm.kernels import U64, LowerSums, blocks, flat, lowered, mix, nonspace, owners, prefix_sums, runs, span_hash
 from quire.llm.sampling import remainder
 from quire.plans.storage import durable
 
@@ -42,7 +42,7 @@ BLOCK = 1 << 15
 VOCABULARY = 1 << 16
 #: Bytes of texts whose pairs of units are put together, symbols that are coded together, and the token of a text's end.
 TOGETHER, STEP = 2 << 20, 1 << 16
-#: Contexts that few symbols follow, so that each distinct symbol after them is looked up once a block.
+#: Contexts that few forms and bytes follow, so that each distinct one after them is looked up once a block. Of words so many follow the second that telling them apart takes longer than the look-ups.
 NARROW = 2
 #: Depths of a code whose slots are neighbours: eight slots, a line of a count table.
 NEAR = 3
@@ -51,6 +51,9 @@ END_TOKEN = mix(np.array([0xE0F], U64))[0]
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 9, 14, 21, 32, 50, 80, 140, 300, 1000, 5000])
 #: Forms: white space (none, a space, a newline, two) times case (lower, first letter upper, all upper) times a mark that follows a known word; the end of a text; spelled.
 WHITE, CASES, MARKS = (4, 512, 16, 8), (32, 8, 1), {0: 32, ord(","): 8, ord("."): 8, ord(";"): 1, ord(":"): 1, ord("!"): 1, ord("?"): 1}
+#: Each mark's number by its byte, and that of white space of one byte.
+MARK, AFTER = np.zeros(256, np.int64), np.full(256, -1)
+MARK[list(MARKS)], AFTER[[32, 10]] = range(len(MARKS)), (1, 2)
 END = len(WHITE) * len(CASES) * len(MARKS)
 SPELLED = END + 1
 FORM_COUNTS = np.array([*(w * c * m for w in WHITE for c in CASES for m in MARKS.values()), 4096, 32768])
@@ -92,7 +95,7 @@ class Code:
         self._places: dict[int, np.ndarray] = {}
 
     def places(self, bits: int) -> np.ndarray:
-        """For each depth and symbol, what turns a context's slot into that of the place in the code.
+        """For each depth and symbol, what turns a context's slot into that of the place in the code, twice, and the bit there.
 
         ``NEAR`` depths from one node on are neighbours, so that the later ones find their slots in the cache.
         """
@@ -103,7 +106,7 @@ class Code:
                 x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits) & ~np.uint32((1 << NEAR) - 1)
                 path = np.ones(len(x), np.uint32)  # a heap's numbers of the nodes below
                 for d in range(top, min(top + NEAR, len(out))):
-                    out[d] = x | path
+                    out[d] = (x | path) << np.uint32(1) | self.bit[d]
                     path = path << np.uint32(1) | self.bit[d]
             self._places[bits] = out
         return self._places[bits]
@@ -118,9 +121,7 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     inside[last] = False
     out = np.full(len(inside), TEXT_END, np.uint8)
     out[inside] = data
-    table = NONSPACE.copy()
-    table[TEXT_END] = False
-    starts, ends, _ = words(out, own, table)
+    starts, ends, _ = runs(nonspace(out) & (out != TEXT_END), own)
     at = np.searchsorted(starts, last)
     starts, ends = np.insert(starts, at, last), np.insert(ends, at, last + 1)
     begins = np.empty_like(starts)
@@ -142,6 +143,11 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
     return (((x ^ (x >> U64(32))) + U64(salt << 40)) * U64(0x9E3779B97F4A7C15) >> U64(32)).astype(np.uint32)
 
 
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    """Numbers of values as they come, by a hash table that need not grow."""
+    return pd.factorize(keys, size_hint=len(keys))[0]
+
+
 def _firsts(numbers: np.ndarray) -> np.ndarray:
     """First places of values that are numbered as they come."""
     return np.flatnonzero(np.diff(np.maximum.accumulate(numbers), prepend=-1) > 0)
@@ -152,9 +158,10 @@ class Units:
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data, self.begins, self.starts, self.ends, self.own = units(data, off)
-        self.whole = span_hash(prefix_sums(self.data), self.begins, self.ends)
-        self.low = prefix_sums(LOWER[self.data])
-        self.word = span_hash(self.low, self.starts, self.ends)
+        sums = prefix_sums(self.data)
+        self.whole = span_hash(sums, self.begins, self.ends)
+        self.low = LowerSums(self.data, sums)
+        self.word = self.low.span_hash(self.starts, self.ends)
         self.first = np.zeros(len(self.starts), bool)
         self.first[self.own[:-1]] = True
 
@@ -163,18 +170,22 @@ class Units:
         before = np.zeros_like(self.whole)
         before[1:] = self.whole[:-1]
         before[self.first] = 0
-        pair = pd.factorize(mix(self.whole ^ mix(before + U64(1))))[0]
+        pair = _numbered(mix(self.whole ^ mix(before + U64(1))))
         return _firsts(pair), pair
 
     def forms(self, at: np.ndarray) -> np.ndarray:
         begins, starts, ends = self.begins[at], self.starts[at], self.ends[at]
         white = starts - begins
-        one, two = self.data[np.maximum(starts - 1, 0)], self.data[np.maximum(starts - 2, 0)]
-        space = np.select([white == 0, (white == 1) & (one == 32), (white == 1) & (one == 10), (white == 2) & (one == 10) & (two == 10)], [0, 1, 2, 3], -1)
-        upper = np.zeros(len(self.data) + 1, np.int32)
-        np.cumsum((self.data - np.uint8(65)) < 26, dtype=np.int32, out=upper[1:])
-        n_upper, initial = upper[ends] - upper[starts], upper[starts + 1] - upper[starts]
-        case = np.select([n_upper == 0, (n_upper == 1) & (initial == 1), n_upper == ends - starts], [0, 1, 2], -1)
+        one = self.data[np.maximum(starts - 1, 0)]
+        space = np.where(white == 1, AFTER[one], np.where(white == 0, 0, -1))
+        two = np.flatnonzero((white == 2) & (one == 10))
+        space[two[self.data[starts[two] - 2] == 10]] = 3
+        upper = self.low.n_upper
+        low = upper[starts]
+        n_upper = upper[ends] - low
+        case, some = np.zeros(len(at), np.int64), np.flatnonzero(n_upper)
+        n, size = n_upper[some], (ends - starts)[some]
+        case[some] = np.where((n == 1) & (upper[starts[some] + 1] > low[some]), 1, np.where(n == size, 2, -1))
         form = np.where((space < 0) | (case < 0), SPELLED, (space * len(CASES) + case) * len(MARKS))
         last = self.data[starts] == TEXT_END
         return np.where(last, np.where(white == 0, END, SPELLED), form)
@@ -193,36 +204,43 @@ class Coded:
     def __init__(self, code: Code, bits: int, sym: np.ndarray, ctx: list[np.ndarray], kind: np.ndarray | int):
         self.code, self.order = code, np.argsort(code.depth_rank[sym], kind="stable")
         self.sym, self.kind = sym[self.order], kind if isinstance(kind, int) else kind[self.order]
-        self.ctx = [(c[self.order] >> np.uint32(32 - bits)).astype(np.intp) for c in ctx]
+        self.ctx = [(c.take(self.order) >> np.uint32(32 - bits) << np.uint32(1)).astype(np.intp) for c in ctx]
         self.bits = bits
         self.going = np.cumsum(np.bincount(code.length[sym], minlength=len(code.bit) + 1)[::-1])[::-1]
 
     def depths(self) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
-        """(depth, symbols that have it, their bits, their slots of all orders)"""
+        """(depth, symbols that have it, their bits, their slots of all orders: twice these, and the bit)"""
         for d in range(len(self.code.bit)):
             m = int(self.going[d + 1])
             if not m:
                 return
-            s = self.sym[:m]
-            place = self.code.places(self.bits)[d].take(s)
-            yield d, m, self.code.bit[d].take(s), [c[:m] ^ place for c in self.ctx]
+            place = self.code.places(self.bits)[d].take(self.sym[:m])
+            yield d, m, place & 1, [c[:m] ^ place for c in self.ctx]
 
 
 class Part:
     """The symbols of one code in a block of units, ``own`` their places among the units.
 
-    ``narrow`` has each distinct symbol after the first ``NARROW`` contexts once, ``near`` which of these each symbol is.
+    ``narrow`` has each distinct symbol after the first ``NARROW`` contexts once, of words after the first context, which
+    is one for all; ``near`` is which of these each symbol is.
     """
 
     def __init__(self, code: Code, bits: int, own: np.ndarray, sym: np.ndarray, ctx: list[np.ndarray], kind: np.ndarray | int):
-        self.code, self.bits, self.own, self.sym, self.ctx, self.kind = code, bits, own, sym, ctx[NARROW:], kind
+        self.code, self.bits, self.own, self.sym, self.kind = code, bits, own, sym, kind
+        if isinstance(kind, int) and kind == WORD_KIND:
+            found = np.flatnonzero(np.bincount(sym))
+            self.narrow = Coded(code, bits, found, [np.full(len(found), ctx[0][0])], kind)
+            rank = np.empty(len(code.length), np.intp)
+            rank[self.narrow.sym] = np.arange(len(found))
+            self.ctx, self.near = ctx[1:], rank[sym]
+            return
         key = mix(ctx[0].astype(U64) << U64(32) | ctx[1].astype(U64)) + (sym.astype(U64) << U64(8) | (U64(kind) if isinstance(kind, int) else kind.astype(U64)))
-        at = pd.factorize(key)[0]
+        at = _numbered(key)
         first = _firsts(at)
         self.narrow = Coded(code, bits, sym[first], [x[first] for x in ctx[:NARROW]], kind if isinstance(kind, int) else kind[first])
         rank = np.empty(len(first), np.intp)
         rank[self.narrow.order] = np.arange(len(first))
-        self.near = rank[at]
+        self.ctx, self.near = ctx[NARROW:], rank[at]
 
     def steps(self) -> Iterator[tuple[np.ndarray, np.ndarray, Coded]]:
         """``STEP`` symbols at a time with their further contexts, after their places among the units and in ``narrow``."""
@@ -246,13 +264,11 @@ class Coder:
             form = np.where(form < END, SPELLED, form)
         else:
             word, found = self._known(u.word[at])
-            ends, mark = u.ends[at], np.zeros(len(at), np.int64)
-            last, longer = u.data[ends - 1], ends - u.starts[at] > 1
-            for i, m in enumerate(MARKS):
-                mark[(last == m) & longer] = i
-            mark[found] = 0
+            ends = u.ends[at]
+            mark = MARK[u.data[ends - 1]]
+            mark[found | (ends - u.starts[at] == 1)] = 0
             rest = np.flatnonzero(mark)
-            word[rest], found[rest] = self._known(span_hash(u.low, u.starts[at[rest]], ends[rest] - 1))
+            word[rest], found[rest] = self._known(u.low.span_hash(u.starts[at[rest]], ends[rest] - 1))
             form = np.where((form < END) & ~found, SPELLED, np.where(form < END, form + mark, form))
         every = np.arange(len(at))
         yield every, self.form, form, [_hash(x, 8 + k) for k, x in enumerate(before)], FORM_KIND
@@ -318,14 +334,19 @@ _ZEROS, _ONES = LEVELS[np.arange(256) // 16], LEVELS[np.arange(256) % 16]
 #: The log odds of a state, and those without one zero and without one one.
 STATE_ODDS = _odds(_ZEROS, _ONES).astype(np.float32)
 WITHOUT = np.stack([_odds(np.maximum(_ZEROS - 1, 0), _ONES), _odds(_ZEROS, np.maximum(_ONES - 1, 0))]).astype(np.float32)
+#: The same of two states at once, as real and imaginary part: a look-up of eight bytes takes no longer than one of four. By bit, second state, first state.
+BOTH_WITHOUT = (WITHOUT[:, None, :] + np.complex64(1j) * WITHOUT[:, :, None]).astype(np.complex64).ravel()
 
 
 #: Log odds are looked up in steps of 1 / ``FINE`` from -``FAR`` to ``FAR``: the same step for both bits, so that their probabilities add up to one.
 FINE, FAR = 64, 16
 GRID = np.arange(-FAR * FINE, FAR * FINE + 1) / FINE
 LOGISTIC = (1 / (1 + np.exp(-GRID))).astype(np.float32)
-#: Cells of the refinement, half a unit of log odds each.
+#: What a bit's probability falls short of the bit: all places for a zero, then for a one.
+ERROR = np.concatenate([-LOGISTIC, 1 - LOGISTIC])
+#: First places of the cells of the refinement, half a unit of log odds each.
 CELL = np.rint(np.clip(GRID, -8, 8) * 2 + 16).astype(np.intp)
+CELL_STARTS = _firsts(CELL)
 
 
 def _on_grid(z: np.ndarray) -> np.ndarray:
@@ -354,9 +375,9 @@ def _context_counts(coder: Coder):
     """Counts of zeros and ones in all slots over a task's training texts, in packed blocks."""
 
     def add(counts: list[np.ndarray], c: Coded, many: np.ndarray) -> None:
-        for _, m, bit, slots in c.depths():
+        for _, m, _, slots in c.depths():
             for k in range(len(slots)):
-                np.add.at(counts[k], slots[k] * 2 + bit, many[:m])
+                np.add.at(counts[k], slots[k], many[:m])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(2 << coder.bits, np.uint32) for _ in range(ORDERS)]
@@ -367,9 +388,9 @@ def _context_counts(coder: Coder):
                 first, pair = u.pairs()
                 each = np.bincount(pair).astype(np.uint32)
                 for part in coder.parts(u, first):
-                    add(counts[:NARROW], part.narrow, np.bincount(part.near, each[part.own], minlength=len(part.narrow.sym)).astype(np.uint32))
+                    add(counts[: len(part.narrow.ctx)], part.narrow, np.bincount(part.near, each[part.own], minlength=len(part.narrow.sym)).astype(np.uint32))
                     for own, _, c in part.steps():
-                        add(counts[NARROW:], c, each[own])
+                        add(counts[-len(c.ctx) :], c, each[own])
         for k in range(ORDERS):
             for i in range(0, 1 << coder.bits, BLOCK):
                 part = counts[k][2 * i : 2 * (i + BLOCK)]
@@ -399,51 +420,72 @@ class MixingModel:
         self.weights = np.full((DEPTHS * KINDS, ORDERS), 0.4)
         self.refined = np.tile(np.linspace(-8, 8, self.BINS), KINDS * 4)
 
-    def _cells_of(self, d: int, kind: np.ndarray | int) -> np.ndarray | int:
-        return (kind * 4 + min(d, 3)) * self.BINS
-
     def learn(self, blocks_of_units: Iterator[Units], rate: float = 0.005) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Online: each few thousand bits are predicted with the weights learned of those before them, and without their own counts.
 
         Returns the mean of the weights over all bits, the bits that each gate has seen, and zeros and ones in the cells of the refinement.
         """
         w, power = self.weights.copy(), np.full(self.weights.shape, 1e-6)
-        total, seen, cells = np.zeros(w.shape), np.zeros(len(w)), np.zeros(2 * len(self.refined))
+        total, seen, size = np.zeros(w.shape), np.zeros(len(w)), len(GRID)
+        places = np.zeros((4, KINDS * 2 * size))
         for u in blocks_of_units:
             first, pair = u.pairs()
             each = np.bincount(pair).astype(np.float32)
             for narrow, own, near, c in self._learned_from(u, first):
-                every = each[own]
+                every, one = each[own], isinstance(c.kind, int)
+                if not one:
+                    kinds = np.unique(c.kind).tolist()
+                    of = [(c.kind == q).astype(np.float32) for q in kinds]
+                    kind_at = c.kind * (2 * size)
                 for d, m, bit, slots in c.depths():
-                    many, kind, low = every[:m], c.kind if isinstance(c.kind, int) else c.kind[:m], min(d, DEPTHS - 1) * KINDS
-                    x = [y.take(near[:m]) for y in narrow[d]] + self._odds_without(bit, slots, NARROW)
-                    z = sum((w[low + kind, k].astype(np.float32) if isinstance(kind, int) else w[low : low + KINDS, k].astype(np.float32).take(kind)) * x[k] for k in range(len(x)))
+                    many, low = every[:m], min(d, DEPTHS - 1) * KINDS
+                    odds = narrow[d].take(near[:m]), *self._odds_without(bit, slots, ORDERS - len(slots))
+                    x = [y for p in odds for y in ((p.real, p.imag) if p.dtype == np.complex64 else (p,))]
+                    if one:
+                        v = w[low + c.kind].astype(np.float32)
+                    else:
+                        v = w[low : low + KINDS].astype(np.float32).view(np.complex128).ravel().take(c.kind[:m]).view(np.float32).reshape(m, ORDERS).T
+                    z = v[0] * x[0]
+                    for k in range(1, ORDERS):
+                        z += v[k] * x[k]
                     at = _on_grid(z)
-                    error = (bit - LOGISTIC.take(at)) * many
-                    if isinstance(kind, int):
-                        gates, n, g = slice(low + kind, low + kind + 1), np.array([many.sum()]), np.array([[error @ y for y in x]])
+                    bit *= size
+                    at += bit
+                    error = ERROR.take(at)
+                    error *= many
+                    if one:
+                        gates, n, g = slice(low + c.kind, low + c.kind + 1), np.array([many.sum()]), np.array([[error @ y for y in x]])
+                        places[min(d, 3), c.kind * 2 * size : (c.kind + 1) * 2 * size] += np.bincount(at, many, minlength=2 * size)
                     else:
-                        gates, n = slice(low, low + KINDS), np.bincount(kind, many, minlength=KINDS)
-                        g = np.stack([np.bincount(kind, error * y, minlength=KINDS) for y in x], 1)
+                        gates, n, g = slice(low, low + KINDS), np.zeros(KINDS), np.zeros((KINDS, ORDERS))
+                        for q, mask in zip(kinds, of, strict=True):
+                            n[q], mine = mask[:m] @ many, mask[:m] * error
+                            g[q] = [mine @ y for y in x]
+                        at += kind_at[:m]
+                        places[min(d, 3)] += np.bincount(at, many, minlength=KINDS * 2 * size)
                     g = g / np.maximum(n, 1)[:, None]
-                    own = gates, slice(0, len(x))
-                    power[own] = np.where(n[:, None] > 0, 0.95 * power[own] + 0.05 * g**2, power[own])
-                    w[own] += rate * g / (np.sqrt(power[own]) + 1e-3)
-                    total[own] += w[own] * n[:, None]
+                    power[gates] = np.where(n[:, None] > 0, 0.95 * power[gates] + 0.05 * g**2, power[gates])
+                    w[gates] += rate * g / (np.sqrt(power[gates]) + 1e-3)
+                    total[gates] += w[gates] * n[:, None]
                     seen[gates] += n
-                    cells += np.bincount((CELL.take(at) + self._cells_of(d, kind)) * 2 + bit, many, minlength=cells.size)
-        return np.where(seen[:, None] > 0, total / np.maximum(seen, 1)[:, None], w), seen, cells.reshape(-1, 2).T
+        cells = np.add.reduceat(places.reshape(4, KINDS, 2, size), CELL_STARTS, 3)
+        return np.where(seen[:, None] > 0, total / np.maximum(seen, 1)[:, None], w), seen, cells.transpose(2, 1, 0, 3).reshape(2, -1)
 
-    def _learned_from(self, u: Units, first: np.ndarray) -> Iterator[tuple[list[list[np.ndarray]], np.ndarray, np.ndarray, Coded]]:
+    def _learned_from(self, u: Units, first: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, Coded]]:
         for part in self.coder.parts(u, first):
-            narrow = [self._odds_without(bit, slots, 0) for _, _, bit, slots in part.narrow.depths()]
+            narrow = [self._odds_without(bit, slots, 0)[0] for _, _, bit, slots in part.narrow.depths()]
             for step in part.steps():
                 yield narrow, *step
 
     def _odds_without(self, bit: np.ndarray, slots: list[np.ndarray], order: int) -> list[np.ndarray]:
-        """Log odds by the contexts from ``order`` on, without the bits themselves."""
-        without, odds = bit.astype(np.intp) * 256, WITHOUT.ravel()
-        return [odds.take(self.tables[order + k].take(x) + without) for k, x in enumerate(slots)]
+        """Log odds by the contexts from ``order`` on, without the bits themselves: of one context, if their number is odd, then of two each as real and imaginary part."""
+        states = [self.tables[order + k].take(x >> 1) for k, x in enumerate(slots)]
+        out = [WITHOUT.ravel().take((bit << 8) + states[0])] if len(states) % 2 else []
+        for one, two in zip(states[len(out) :: 2], states[len(out) + 1 :: 2], strict=True):
+            at = bit << 16
+            at |= two.astype(np.uint16) << np.uint16(8) | one
+            out.append(BOTH_WITHOUT.take(at))
+        return out
 
     def adopt(self, weights: np.ndarray, seen: np.ndarray, cells: np.ndarray) -> None:
         """``weights``: sums over chunks of weights by bits seen. Gates and cells without evidence stay as they are."""
@@ -471,23 +513,24 @@ class MixingModel:
 
     def _logs_of(self, part: Part, mixed: np.ndarray, costs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places among the units and log probabilities of the symbols of a part, step by step."""
-        narrow = [self._mix(d, m, part.narrow.kind, slots, mixed, 0) for d, m, _, slots in part.narrow.depths()]
+        narrow = [self._mix(d, part.narrow.kind, slots, mixed, 0, np.zeros(m, np.float32)) for d, m, _, slots in part.narrow.depths()]
         for own, near, c in part.steps():
             yield own, self._logs(c, near, narrow, mixed, costs)
 
-    def _mix(self, d: int, m: int, kind: np.ndarray | int, slots: list[np.ndarray], mixed: np.ndarray, order: int, z: np.ndarray | None = None) -> np.ndarray:
+    def _mix(self, d: int, kind: np.ndarray | int, slots: list[np.ndarray], mixed: np.ndarray, order: int, z: np.ndarray) -> np.ndarray:
         """Adds to ``z`` what the contexts from ``order`` on say."""
-        z = np.zeros(m, np.float32) if z is None else z
+        low = kind * 256 if isinstance(kind, int) else kind[: len(z)] * 256
         for k, x in enumerate(slots, order):
-            adds, state = mixed[min(d, DEPTHS - 1), k], self.tables[k].take(x)
-            z += adds[kind * 256 : kind * 256 + 256].take(state) if isinstance(kind, int) else adds.take(kind[:m] * 256 + state)
+            adds, state = mixed[min(d, DEPTHS - 1), k], self.tables[k].take(x >> 1)
+            z += adds[low : low + 256].take(state) if isinstance(low, int) else adds.take(low + state)
         return z
 
     def _logs(self, c: Coded, near: np.ndarray, narrow: list[np.ndarray], mixed: np.ndarray, costs: np.ndarray) -> np.ndarray:
         one, sums, size = isinstance(c.kind, int), np.zeros(len(c.sym)), len(GRID)
         for d, m, bit, slots in c.depths():
-            at = _on_grid(self._mix(d, m, c.kind, slots, mixed, NARROW, narrow[d].take(near[:m])))
-            at += bit * np.intp(size)
+            at = _on_grid(self._mix(d, c.kind, slots, mixed, ORDERS - len(slots), narrow[d].take(near[:m])))
+            bit *= size
+            at += bit
             if one:
                 low = (c.kind * 4 + min(d, 3)) * 2 * size
                 sums[:m] -= costs[low : low + 2 * size].take(at)
@@ -548,8 +591,8 @@ def train_model(parts: DataFrame, coder: Coder) -> MixingModel:
 
 def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of texts and their offsets, without the ends."""
-    low = LOWER[data]
-    starts, ends, word_off = words(low, off, NONSPACE)
+    low = lowered(data)
+    starts, ends, word_off = runs(nonspace(low), off)
     return span_hash(prefix_sums(low), starts, ends), word_off
 
 

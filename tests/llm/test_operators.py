@@ -736,3 +736,46 @@ def test_sums_in_slices_are_the_sums(monkeypatch):
         assert kernels.prefix_sums(data).tolist() == want.tolist()
     assert int(want[2]) == (int(data[0]) + 1 + (int(data[1]) + 1) * kernels._BASE) % 2**64 and len(kernels.prefix_sums(data[:0])) == 1
     assert kernels.prefix_sums(data.astype(np.int64)).tolist() == want.tolist()
+
+
+def test_bytes_by_arithmetic_are_those_of_the_tables():
+    from quire.llm import kernels
+
+    data = np.random.default_rng(5).integers(0, 256, 5000).astype(np.uint8)
+    data[:256] = np.arange(256)
+    assert (kernels.lowered(data) == kernels.LOWER[data]).all() and (kernels.nonspace(data) == kernels.NONSPACE[data]).all()
+    starts = np.random.default_rng(6).integers(0, 5000, 400)
+    ends = np.minimum(starts + np.arange(400) % 40, 5000)
+    want = kernels.span_hash(kernels.prefix_sums(kernels.LOWER[data]), starts, ends)
+    assert (kernels.LowerSums(data, kernels.prefix_sums(data)).span_hash(starts, ends) == want).all()
+    assert len(kernels.LowerSums(data[:0], kernels.prefix_sums(data[:0])).span_hash(starts[:0], ends[:0])) == 0
+
+
+def test_shared_look_ups_give_what_each_bit_alone_gives():
+    """A word is looked up once after nothing, whatever the byte before it; symbols cost the same as bit by bit, and learning leaves each bit out."""
+    rng = np.random.default_rng(7)
+    coder = language_model.Coder(np.arange(256), np.sort(rng.integers(0, 2**63, 90).astype(np.uint64)), np.arange(90) ** 2, 12)
+    model = language_model.MixingModel(coder, [rng.integers(0, 256, 1 << 12).astype(np.uint8) for _ in range(language_model.ORDERS)])
+    model.weights = rng.random(model.weights.shape)
+    mixed, costs = model.mixed(), model.costs().reshape(language_model.KINDS * 4, 2, -1)
+    for code, kind in ((coder.form, language_model.FORM_KIND), (coder.word, language_model.WORD_KIND), (coder.byte, rng.integers(0, 4, 300))):
+        sym = rng.integers(0, min(40, len(code.length)), 300)
+        ctx = [np.full(300, 9 << 25, np.uint32), *(rng.integers(0, 2**32, 8).astype(np.uint32)[rng.integers(0, 8, 300)] for _ in range(3))]
+        part = language_model.Part(code, 12, np.arange(300), sym, ctx, kind)
+        if code is coder.word:
+            assert len(part.narrow.sym) == len(set(sym.tolist()))
+        want = np.zeros(300)
+        for i, s in enumerate(sym):
+            q = kind if isinstance(kind, int) else int(kind[i])
+            for d in range(code.length[s]):
+                slot, bit = int(code.places(12)[d][s]) >> 1, int(code.bit[d, s])
+                states = [int(t[int(c[i]) >> 20 ^ slot]) for t, c in zip(model.tables, ctx)]
+                z = sum(mixed[min(d, 7), k, q * 256 + x] for k, x in enumerate(states))
+                want[i] -= costs[q * 4 + min(d, 3), bit, int(np.clip(z, -16, 16) * 64 + 16 * 64 + 0.5)]
+        got = np.zeros(300)
+        for own, logs in model._logs_of(part, mixed, model.costs()):
+            got += np.bincount(own, logs, minlength=300)
+        assert got == pytest.approx(want, abs=0.1) and np.median(abs(got - want)) < 1e-9
+    state, bit = rng.integers(0, 256, (2, 1000)), rng.integers(0, 2, 1000)
+    both = language_model.BOTH_WITHOUT[bit << 16 | state[1] << 8 | state[0]]
+    assert (both.real == language_model.WITHOUT[bit, state[0]]).all() and (both.imag == language_model.WITHOUT[bit, state[1]]).all()
