@@ -73,7 +73,11 @@ class LetterEmbedder:
         return len(self.letters)
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [[float(t.count(c)) for c in self.letters] for t in texts]
+        if not self.letters.isascii():
+            return [[float(t.count(c)) for c in self.letters] for t in texts]
+        # all letters are counted at once: in UTF-8 no other character has their bytes
+        codes = np.frombuffer(self.letters.encode(), np.uint8)
+        return [np.bincount(np.frombuffer(t.encode(errors="surrogatepass"), np.uint8), minlength=256)[codes].astype(float).tolist() for t in texts]
 
 
 @dataclass(frozen=True)
@@ -208,10 +212,12 @@ def call_model(model: ChatModel, prompt: Column, stops: Sequence[str] = ()) -> C
     @F.pandas_udf("string")
     def run(prompts: pd.Series) -> pd.Series:
         live = prompts.notna()
-        out = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
-        if live.any():
-            out[live] = model.generate(prompts[live].tolist())
-        return out
+        said = model.generate(prompts[live].tolist()) if live.any() else []
+        if len(said) != live.sum():
+            raise ValueError(f"{len(said)} texts for {live.sum()} prompts")
+        # put in one by one: numpy would make an array of texts as wide as the longest
+        texts = iter(said)
+        return pd.Series([next(texts) if asked else None for asked in live], index=prompts.index, dtype=object)
 
     return truncate_at_stops(run.asNondeterministic()(prompt), stops)
 
@@ -342,7 +348,9 @@ def answer_questions(rows: DataFrame, model: ChatModel, sampling: ChatModel | No
     """Adds context (documents joined), cot_response (by the sampling model) and answer (by the base model, its prefix removed); keeps all columns."""
     out = rows.withColumn("context", combine("documents"))
     out = out.withColumn("cot_response", call_model(sampling or model, fill(prompts.reason, context=F.col("context"), question=F.col("question"))))
-    return out.withColumn("answer", remove_answer_prefix(call_model(model, fill(prompts.answer, reasoning=F.col("cot_response"), question=F.col("question")))))
+    # a column of its own first, as an expression that names a call several times makes it as often
+    out = out.withColumn("answer", call_model(model, fill(prompts.answer, reasoning=F.col("cot_response"), question=F.col("question"))))
+    return out.withColumn("answer", remove_answer_prefix("answer"))
 
 
 def questions_for(model: ChatModel, text: Column, template: str = "List questions that this text answers, numbered.\n{doc}") -> Column:

@@ -154,7 +154,11 @@ def metadata_primitives(column: Column | str, keys: Sequence[str]) -> Column:
     return F.filter(F.array(*map(one, keys)), lambda x: x.isNotNull())
 
 
-def split_recursively(text: str, size: int, overlap: int, length=len, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:
+#: Where texts are cut, the coarsest first.
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
+def split_recursively(text: str, size: int, overlap: int, length=len, separators: Sequence[str] = SEPARATORS) -> list[str]:
     """Chunks of at most ``size``, cut at the coarsest separator that a text has, finer ones where a piece is too long.
 
     Neighbouring pieces are merged up to ``size``; each chunk begins with pieces of the one before that
@@ -180,6 +184,17 @@ def split_recursively(text: str, size: int, overlap: int, length=len, separators
     return out
 
 
+def _uncut(text: str, size: int) -> list[str] | None:
+    """What ``split_recursively`` makes of a text of at most ``size`` characters, where no piece is longer than its characters; None for others.
+
+    A text with empty pieces is left to it, too, as it drops them.
+    """
+    separator = next((s for s in SEPARATORS if s in text), "")
+    if len(text) > size or separator and separator * 2 in text:
+        return None
+    return [bare] if (bare := text.strip()) else []
+
+
 def _merged(pieces: Sequence[str], separator: str, size: int, overlap: int, length) -> Iterator[str]:
     gap, held, total = length(separator), [], 0
     for piece in pieces:
@@ -214,11 +229,16 @@ def parts_of(texts: pa.Array) -> Iterator[pa.Array]:
 def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, by: str = "characters", tokenizer: str | None = None) -> DataFrame:
     """Adds chunk_index and chunk; ``by``: characters or tokens (of a tokenizer file that all executors can read, else words between white space)."""
     length = len if by == "characters" else count_tokens(tokenizer)
+    few = by == "characters" or tokenizer is None  # words are no more than characters
+
+    def chunks_of(text: str | None) -> list[str]:
+        whole = _uncut(text or "", size) if few or not text else None
+        return split_recursively(text, size, overlap, length) if whole is None else whole
 
     @F.arrow_udf("array<string>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             for part in parts_of(texts):
-                yield pa.array([split_recursively(t, size, overlap, length) if t else [] for t in part.to_pylist()], pa.list_(pa.string()))
+                yield pa.array([chunks_of(t) for t in part.to_pylist()], pa.list_(pa.string()))
 
     return docs.select("*", F.posexplode(split("text")).alias("chunk_index", "chunk"))

@@ -13,14 +13,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.plans.storage import durable
 
-#: Queries of a task of the grid, of these the ones that are compared at once, and rows of the corpus that meet them at once: 32 MiB of distances.
-QUERY_BLOCK, QUERY_PART, ROW_BLOCK = 32768, 4096, 1024
+#: Queries of a task of the grid, and of these the ones that are compared at once.
+QUERY_BLOCK, QUERY_PART = 32768, 8192
+#: Rows of the corpus in a tile, bytes of vectors that are cut into tiles at once, and directions in which a tile is bounded.
+TILE_ROWS, HELD_BYTES, AXES = 512, 1 << 25, 16
 #: Of a block's pairs, the share up to which they are looked at one by one.
 FEW = 1 / 32
 #: Rows of the corpus in a range, about; a task of the grid holds a block of queries and streams a range.
 RANGE_ROWS = 1 << 18
 #: Vectors of the corpus that the rest is grouped around, so that far groups can be left out.
 PIVOTS = 64
+#: Bytes of the corpus's vectors that tell every query how far its neighbours are at most; and pairs that are worth a task.
+SAMPLE_BYTES, TASK_PAIRS = 1 << 22, 1 << 24
 #: What rounding can do to a bound, against the vectors' lengths, and to squared distances, which are compared to six places.
 MARGIN, SLACK = 1e-6, 1e-5
 
@@ -58,7 +62,7 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pivots(corpus: DataFrame) -> np.ndarray:
-    """At most ``PIVOTS`` vectors of least hash: the only ones that pass the driver."""
+    """At most ``PIVOTS`` vectors of least hash."""
     chosen = corpus.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x.cast("double")))).orderBy(F.xxhash64("id"), "id").select("vector").limit(PIVOTS).toArrow()
     if not len(chosen):
         return np.zeros((1, 1))
@@ -68,6 +72,14 @@ def _pivots(corpus: DataFrame) -> np.ndarray:
     return m[~np.isnan(m).any(1)]
 
 
+def _sample(cells: DataFrame, total: int, d: int) -> np.ndarray:
+    """About ``SAMPLE_BYTES`` of the corpus's vectors, chosen by hash; with the pivots the only ones that pass the driver."""
+    most = max(1, SAMPLE_BYTES // (8 * d))
+    one_in = max(1, -(-total // most))
+    chosen = cells.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("vector").limit(2 * most).toArrow()
+    return _matrix(chosen.column("vector"), d) if len(chosen) else np.zeros((0, d))
+
+
 def _in_cells(pivots: np.ndarray):
     """Adds to each vector the nearest pivot and the distance to it; the cell after the last is for vectors with missing numbers."""
 
@@ -82,29 +94,45 @@ def _in_cells(pivots: np.ndarray):
     return run
 
 
-def _cells_of_queries(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, least: np.ndarray, k: int):
-    """A row for each query and each cell that may hold one of its k nearest.
+def _cells_of_queries(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, least: np.ndarray, sample: np.ndarray, k: int):
+    """A row for each query and each cell that may hold one of its k nearest, with a squared distance that these do not exceed.
 
-    The k-th neighbour is no further than the far edge of any cell of k rows or more, and by the triangle
-    inequality nothing in a cell is nearer than its pivot less the cell's radius, or than its inner edge less the
-    pivot's distance.
+    The k-th neighbour is no further than the k-th of a sample, nor than the far edge of any cell of k rows or more. By the
+    triangle inequality nothing in a cell is nearer than its pivot less the cell's radius, or than its inner edge less the
+    pivot's distance; nor is it nearer than the plane between the cell's pivot and the query's.
     """
     full, some = counts[:-1] >= k, counts > 0
+    between = np.sqrt(_squared(pivots, pivots))
+    lengths = np.linalg.norm(pivots, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles = None
         for batch in batches:
+            tiles = tiles or _Tiles(sample, np.arange(len(sample)))
             asked = _matrix(batch.column("vector"), pivots.shape[1])
             d = np.sqrt(_squared(asked, pivots))
-            margin = MARGIN * (1 + np.nan_to_num(np.linalg.norm(asked, axis=1))[:, None] + np.linalg.norm(pivots, axis=1))
+            own = np.nan_to_num(np.linalg.norm(asked, axis=1))[:, None]
+            margin = MARGIN * (1 + own + lengths)
             most = np.where(full, d + radius + margin, np.inf).min(1, keepdims=True) if full.any() else np.full((len(d), 1), np.inf)
+            found = _Best(asked, k, most[:, 0] ** 2 + SLACK)
+            tiles.meet(found)
+            # a k-th of the sample may be a bit off by rounding; without one, the bound is the cells'
+            most = np.minimum(most, np.sqrt(found.edge[:, None] + SLACK) + margin.max(1, keepdims=True))
             nearest = np.where(np.isinf(d), 0, np.maximum(np.maximum(d - radius, least - d) - margin, 0))
+            home = d.argmin(1)
+            apart = between[home]
+            with np.errstate(invalid="ignore"):
+                plane = (d**2 - np.take_along_axis(d, home[:, None], 1) ** 2) / (2 * np.where(apart > 0, apart, np.inf))
+                # what rounding does to squares counts against the pivots' distance from each other
+                plane -= margin + MARGIN**2 * (1 + own + lengths) ** 2 / np.where(apart > 0, apart, np.inf)
+            nearest = np.where(np.isfinite(plane), np.maximum(nearest, plane), nearest)
             may = np.ones((len(d), len(pivots) + 1), bool)
             may[:, :-1] = nearest**2 <= most**2 + SLACK
             # vectors with missing numbers are infinitely far: they only matter where the others are too few
             may[:, -1] = np.isinf(most[:, 0])
             query, cell = np.nonzero(may & some)
             at = pa.array(query)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("vector").take(at), pa.array(cell.astype(np.int32))], names=["id", "vector", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("vector").take(at), pa.array(cell.astype(np.int32)), pa.array(most[query, 0] ** 2 + SLACK)], names=["id", "vector", "cell", "edge"])
 
     return run
 
@@ -158,24 +186,215 @@ def _nearer(asked: np.ndarray, rows: np.ndarray, names: np.ndarray, best: tuple[
     return out
 
 
-def _best_of_task(d: int, k: int, query_kind: pa.DataType, kind: pa.DataType):
-    """Over rows in the order of (task, side): a task's queries, then its corpus rows; the k nearest of every query leave it."""
+class _Best:
+    """The k nearest rows found so far of some queries, by distance, then number; places that are not filled yet have the bound and a number beyond all."""
+
+    NONE = 1 << 62
+
+    def __init__(self, asked: np.ndarray, k: int, edge: np.ndarray):
+        self.asked, self.k = asked, k
+        self.dist, self.name = np.repeat(edge[:, None], k, 1), np.full((len(asked), k), self.NONE)
+        self.own = (asked**2).sum(1)
+        self.length = np.sqrt(self.own)
+        with np.errstate(over="ignore"):
+            self.single = np.column_stack([asked, np.ones(len(asked))]).astype(np.float32)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_held = 0
+
+    @property
+    def edge(self) -> np.ndarray:
+        """The squared distance that no neighbour exceeds."""
+        return self.dist[:, -1]
+
+    def least(self, most: float) -> np.ndarray:
+        """What a product in single precision with a row of length ``most`` or less, less half the row's square, is at least if the row is within the edge."""
+        off = (self.asked.shape[1] + 4) * 2.0**-23 * (self.length * most + most**2) + SLACK
+        return np.nextafter(((self.own - self.edge) / 2 - off).astype(np.float32), np.float32(-np.inf))
+
+    def add(self, query: np.ndarray, dist: np.ndarray, name: np.ndarray) -> None:
+        self.held.append((query, dist, name))
+        self.n_held += len(query)
+
+    def settle(self) -> None:
+        """What was added takes its places."""
+        if not self.n_held:
+            return
+        query, dist, name = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.n_held, k = [], 0, self.k
+        changed = np.unique(query)
+        query = np.concatenate([np.repeat(changed, k), query])
+        dist, name = np.concatenate([self.dist[changed].ravel(), dist]), np.concatenate([self.name[changed].ravel(), name])
+        order = np.lexsort((name, dist, query))
+        kept = order[(np.searchsorted(query[order], changed)[:, None] + np.arange(k)).ravel()]
+        self.dist[changed], self.name[changed] = dist[kept].reshape(-1, k), name[kept].reshape(-1, k)
+
+
+def _axes(rows: np.ndarray) -> np.ndarray:
+    """A few orthonormal directions in which rows vary most, about; any would do."""
+    spread = rows - rows.mean(0)
+    axes = np.eye(rows.shape[1])[:, np.argsort(-spread.var(0), kind="stable")[:AXES]]
+    for _ in range(3):
+        axes = np.linalg.qr(spread.T @ (spread @ axes) + 1e-9 * axes)[0]
+    return axes
+
+
+def _halved(rows: np.ndarray) -> list[np.ndarray]:
+    """Places of rows in tiles of ``TILE_ROWS`` or less, each half of a larger one across the direction in which that varies most, about."""
+    out, left = [], [np.arange(len(rows))]
+    while left:
+        at = left.pop()
+        if len(at) <= TILE_ROWS:
+            out.append(np.sort(at))
+            continue
+        spread = rows[at] - rows[at].mean(0)
+        way = np.ones(rows.shape[1])
+        for _ in range(3):
+            way = spread.T @ (spread @ way)
+            way /= max(np.abs(way).max(), 1e-300)
+        order = np.argpartition(spread @ way, len(at) // 2)
+        left += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asked, held, vectors, best = None, [], [], None, None
 
-        def told() -> pa.RecordBatch:
-            dist, names = (np.concatenate(x) for x in zip(*best, strict=True))
-            ids = pa.concat_arrays(asked)
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), dist.shape[1]))).cast(query_kind), pa.array(names.ravel(), kind), pa.array(dist.ravel())], names=["query_id", "id", "distance"])
+class _Tiles:
+    """Rows in the order of their numbers, in tiles of rows that are near each other, and the box of each tile along a few directions.
+
+    A query meets a tile only if the box can hold a row within the query's edge, first the tile that it is nearest to. Products in
+    single precision, each off by less than the bound on their rounding, leave out most of the rest. Rows with missing or huge
+    numbers are in tiles that all queries meet, and those are compared whole.
+    """
+
+    def __init__(self, rows: np.ndarray, names: np.ndarray):
+        with np.errstate(over="ignore"):
+            plain = np.abs(rows).max(1, initial=0) < 1e9 / max(1, rows.shape[1])  # False where a number is missing
+        self.rows, self.names = rows, names
+        odd = np.flatnonzero(~plain)
+        self.odd = [odd[i : i + TILE_ROWS] for i in range(0, len(odd), TILE_ROWS)]
+        at, self.places = np.flatnonzero(plain), []
+        if not len(at):
+            return
+        self.places = [at[x] for x in _halved(rows[at])]
+        self.axes = _axes(rows[at])
+        self.center = np.stack([rows[x].mean(0) for x in self.places])
+        boxes = [rows[x] @ self.axes for x in self.places]
+        self.low, self.high = (np.stack([getattr(x, f)(0) for x in boxes]).astype(np.float32) for f in ("min", "max"))
+        square = (rows**2).sum(1)
+        self.single = [np.column_stack([rows[x], -square[x] / 2]).astype(np.float32).T.copy() for x in self.places]
+        self.most = np.sqrt(square[at].max())
+
+    def _bounds(self, found: _Best, margin: np.ndarray) -> np.ndarray:
+        """Squared distances under which no row of a tile is, for each query and tile."""
+        at = (found.asked @ self.axes).astype(np.float32)
+        out = np.zeros((len(at), len(self.places)), np.float32)
+        for i in range(0, len(at), 512):
+            part, own, less = out[i : i + 512], at[i : i + 512], margin[i : i + 512, None].astype(np.float32)
+            for j in range(at.shape[1]):
+                x = own[:, j : j + 1]
+                d = np.maximum(self.low[:, j] - x, x - self.high[:, j])
+                d -= less
+                np.maximum(d, 0, out=d)
+                d *= d
+                part += d
+        out *= np.float32(1 - 1e-5)
+        return out
+
+    def _compare(self, found: _Best, query: np.ndarray, tile: int, least: np.ndarray) -> None:
+        place, k = self.places[tile], found.k
+        may = found.single[query] @ self.single[tile] >= least[query, None]
+        pairs = np.flatnonzero(may)
+        if not len(pairs):
+            return
+        if len(pairs) > max(FEW * may.size, k * len(query)):
+            self._whole(found, query, place)
+            return
+        of, row = np.divmod(pairs, len(place))
+        of, row = query[of], place[row]
+        step = max(1, HELD_BYTES // (8 * self.rows.shape[1]))
+        dist = np.concatenate([((found.asked[of[i : i + step]] - self.rows[row[i : i + step]]) ** 2).sum(1) for i in range(0, len(of), step)])
+        dist, name = np.round(dist, 6), self.names[row]
+        near = (dist < found.edge[of]) | (dist == found.edge[of]) & (name < found.name[of, -1])
+        if near.any():
+            found.add(of[near], dist[near], name[near])
+
+    def _whole(self, found: _Best, query: np.ndarray, place: np.ndarray) -> None:
+        found.settle()
+        for i in range(0, len(query), 4096):
+            part = query[i : i + 4096]
+            found.dist[part], found.name[part] = _nearer(found.asked[part], self.rows[place], self.names[place], (found.dist[part], found.name[part]), found.k)
+
+    def meet(self, found: _Best) -> None:
+        """The queries' k nearest among those found before and these rows."""
+        with np.errstate(invalid="ignore", over="ignore"):
+            self._meet(found)
+
+    def _meet(self, found: _Best) -> None:
+        every = np.arange(len(found.asked))
+        for place in self.odd:
+            self._whole(found, every, place)
+        if not self.places:
+            return
+        plain = found.length < 1e9
+        if not plain.all():
+            for place in self.places:
+                self._whole(found, np.flatnonzero(~plain), place)
+        bounds = self._bounds(found, MARGIN * (1 + found.length + self.most))
+        first = _squared(found.asked, self.center).argmin(1)
+        first[~plain | (bounds[every, first] > found.edge + SLACK)] = -1
+        order = np.argsort(first, kind="stable")
+        starts = np.searchsorted(first[order], np.arange(len(self.places) + 1))
+        least = found.least(self.most)
+        for t in np.flatnonzero(np.diff(starts)):
+            self._compare(found, order[starts[t] : starts[t + 1]], t, least)
+        found.settle()
+        # a pair is met once: nothing compares with what is not a number
+        bounds[~plain] = np.nan
+        bounds[first >= 0, first[first >= 0]] = np.nan
+        bounds = bounds.T.copy()
+        edge, least = (found.edge + SLACK).astype(np.float32), found.least(self.most)
+        for t in range(len(self.places)):
+            query = np.flatnonzero(bounds[t] <= edge)
+            if len(query):
+                self._compare(found, query, t, least)
+            if found.n_held > len(every):
+                found.settle()
+                edge, least = (found.edge + SLACK).astype(np.float32), found.least(self.most)
+        found.settle()
+
+
+def _copied(column: pa.Array) -> pa.Array:
+    """The same, without the batch that it came in."""
+    return column.take(pa.array(np.arange(len(column))))
+
 
-        def compare(rows: np.ndarray, names: np.ndarray):
-            found = best or [None] * len(vectors)
-            for i in range(0, len(rows), ROW_BLOCK):
-                order = np.argsort(names[i : i + ROW_BLOCK], kind="stable")
-                own, block = names[i : i + ROW_BLOCK][order], rows[i : i + ROW_BLOCK][order]
-                found = [_nearer(part, block, own, b, k) for part, b in zip(vectors, found, strict=True)]
-            return found
+def _best_of_task(d: int, k: int, query_kind: pa.DataType, kind: pa.DataType):
+    """Over rows in the order of (task, side, id): a task's queries, then its corpus rows; the k nearest of every query, within its edge, leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, held, edges, found = None, [], [], [], None
+        rows, names, n_rows = [], [], 0
+
+        def compare() -> None:
+            nonlocal found, rows
+            if not rows or not held:
+                return
+            if found is None:
+                every, edge = np.concatenate(held), np.concatenate(edges)
+                found = [_Best(every[i : i + QUERY_PART], k, edge[i : i + QUERY_PART]) for i in range(0, len(every), QUERY_PART)]
+            tiles = _Tiles(np.concatenate(rows), np.arange(n_rows - sum(map(len, rows)), n_rows))
+            rows = []
+            for part in found:
+                tiles.meet(part)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            compare()
+            if found is None:
+                return
+            ids, corpus = pa.concat_arrays(asked), pa.concat_arrays(names)
+            place, dist = np.concatenate([x.name for x in found]).ravel(), np.concatenate([x.dist for x in found]).ravel()
+            kept = np.flatnonzero(place != _Best.NONE)
+            for i in range(0, len(kept), 1 << 16):
+                at = kept[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at // k)).cast(query_kind), corpus.take(pa.array(place[at])).cast(kind), pa.array(dist[at])], names=["query_id", "id", "distance"])
 
         for batch in batches:
             tasks, sides = batch.column("task").to_numpy(), batch.column("side").to_numpy()
@@ -184,21 +403,22 @@ def _best_of_task(d: int, k: int, query_kind: pa.DataType, kind: pa.DataType):
                 if i == j:
                     continue
                 if tasks[i] != now:
-                    if best is not None:
-                        yield told()
-                    now, asked, held, vectors, best = tasks[i], [], [], None, None
+                    yield from told()
+                    now, asked, held, edges, found = tasks[i], [], [], [], None
+                    rows, names, n_rows = [], [], 0
                 part = batch.slice(i, j - i)
-                rows = _matrix(part.column("vector"), d)
+                vectors = _matrix(part.column("vector"), d)
                 if sides[i] == 0:
-                    asked.append(part.column("query_id"))
-                    held.append(rows)
+                    asked.append(_copied(part.column("query_id")))
+                    held.append(vectors)
+                    edges.append(part.column("edge").to_numpy(zero_copy_only=False))
                 elif held:
-                    if vectors is None:
-                        every = np.concatenate(held)
-                        vectors = [every[i : i + QUERY_PART] for i in range(0, len(every), QUERY_PART)]
-                    best = compare(rows, part.column("id").to_numpy(zero_copy_only=False))
-        if best is not None:
-            yield told()
+                    rows.append(vectors)
+                    names.append(_copied(part.column("id")))
+                    n_rows += len(vectors)
+                    if sum(x.nbytes for x in rows) >= HELD_BYTES:
+                        compare()
+        yield from told()
 
     return run
 
@@ -211,9 +431,10 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     missing number, or of another size than most, is infinitely far.
 
     The corpus is grouped around pivots, and a query goes only to the groups that can hold one of its
-    neighbours. Within a group a grid of query blocks and ranges of rows is dealt to tasks by one shuffle:
-    rows once for each block of queries, queries once for each range. So the plan is the same for any number of queries,
-    no group has to fit a task, and only the pivots and counts of cells pass the driver.
+    neighbours, no further than those among a sample of the corpus. Within a group a grid of query blocks and ranges of rows is
+    dealt to tasks by one shuffle: rows once for each block of queries, queries once for each range. So the plan is the same for
+    any number of queries, no group has to fit a task, and only the pivots, the sample and counts of cells pass the driver. A task
+    cuts its rows into tiles, and a query meets only those that can hold one of its neighbours.
     """
     schema = f"query_id {dict(queries.dtypes)['id']}, id {dict(corpus.dtypes)['id']}, distance double"
     kinds = to_arrow_type(queries.schema["id"].dataType), to_arrow_type(corpus.schema["id"].dataType)
@@ -227,18 +448,20 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
         counts[r["cell"]] = r["n"]
         if r["cell"] < n - 1:
             radius[r["cell"]], least[r["cell"]] = r["most"], r["least"]
-    sent = durable(asked.mapInArrow(_cells_of_queries(pivots, counts, radius, least, k), f"id {dict(queries.dtypes)['id']}, vector {dict(queries.dtypes)['vector']}, cell int"), "nearest-queries")
+    sample = _sample(cells.where(F.col("cell") < n - 1), int(counts[:-1].sum()), pivots.shape[1])
+    sent = durable(asked.mapInArrow(_cells_of_queries(pivots, counts, radius, least, sample, k), f"id {dict(queries.dtypes)['id']}, vector {dict(queries.dtypes)['vector']}, cell int, edge double"), "nearest-queries")
     wanted = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     numbers_of = [-(-wanted.get(c, 0) // QUERY_BLOCK) for c in range(n)], [max(1, -(-int(x) // RANGE_ROWS)) for x in counts]
     blocks, ranges = (F.array(*[F.lit(x) for x in m])[F.col("cell")] for m in numbers_of)
     task = ((F.col("cell").cast("long") * max(numbers_of[1]) + F.col("r")) * max(1, *numbers_of[0]) + F.col("b")).alias("task")
     every = lambda m: F.explode(F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")))
     grid = cells.select("id", "vector", "cell", F.pmod(F.xxhash64("id"), ranges).cast("int").alias("r"), every(blocks).alias("b"))
-    grid = grid.select(task, F.lit(1).alias("side"), F.lit(None).cast(dict(queries.dtypes)["id"]).alias("query_id"), "id", "vector")
+    grid = grid.select(task, F.lit(1).alias("side"), F.lit(None).cast(dict(queries.dtypes)["id"]).alias("query_id"), "id", "vector", F.lit(None).cast("double").alias("edge"))
     # queries of equal id are told apart by their vector where they are dealt, and ranked together
-    posed = sent.select("id", "vector", "cell", F.pmod(F.xxhash64("id", "vector"), blocks).cast("int").alias("b"), every(ranges).alias("r"))
-    posed = posed.select(task, F.lit(0).alias("side"), F.col("id").alias("query_id"), F.lit(None).cast(dict(corpus.dtypes)["id"]).alias("id"), F.col("vector").cast(dict(corpus.dtypes)["vector"]).alias("vector"))
-    dealt = posed.unionByName(grid).repartition("task").sortWithinPartitions("task", "side")
+    posed = sent.select("id", "vector", "cell", "edge", F.pmod(F.xxhash64("id", "vector"), blocks).cast("int").alias("b"), every(ranges).alias("r"))
+    posed = posed.select(task, F.lit(0).alias("side"), F.col("id").alias("query_id"), F.lit(None).cast(dict(corpus.dtypes)["id"]).alias("id"), F.col("vector").cast(dict(corpus.dtypes)["vector"]).alias("vector"), "edge")
+    pairs, tasks = sum(wanted.get(c, 0) * int(x) for c, x in enumerate(counts)), sum(b * r for b, r in zip(*numbers_of, strict=True))
+    dealt = posed.unionByName(grid).repartition(max(1, min(tasks, -(-pairs // TASK_PAIRS))), "task").sortWithinPartitions("task", "side", "id")
     found = dealt.mapInArrow(_best_of_task(pivots.shape[1], k, *kinds), schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -99,6 +99,14 @@ def load_retriever(spark, path: str) -> Retriever:
 JUDGE, REWORD, EXTRACT = "Is this of use for {q}? Answer yes or no.\n{t}", "Say this in clear words.\n{t}", "Extract what helps to answer {q}.\n{t}"
 
 
+def _children_for(vectors: DataFrame, limit: int | None, k: int) -> int:
+    """As many of the k nearest vectors as tell the first ``limit`` chunks: each chunk before the last can have all its vectors before it."""
+    if limit is None or limit < 1:
+        return k
+    most = vectors.groupBy("parent_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    return min(k, (limit - 1) * most + 1)
+
+
 def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, model: chat.ChatModel, embedder: chat.Embedder, options: QaOptions = QaOptions(), k: int = 20, sampling: chat.ChatModel | None = None, log: RunLog | None = None) -> DataFrame:
     """(question_id, question, answer) for questions (question_id, question); question_id is unique.
 
@@ -112,7 +120,7 @@ def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, model: c
     with step("answer", "chain", inputs=asdict(options)):
         with step("retrieve", "chain", inputs={"k": k}):
             asked = durable(questions.select(F.col("question_id").alias("id"), chat.embed(embedder, F.col("question"), unit=True).alias("vector")), "qa-queries")
-            found = retrieval.parent_documents(asked, vectors, k)
+            found = retrieval.parent_documents(asked, vectors, _children_for(vectors, options.limit, k))
             contexts = retrieval.ranked_contexts(found, chunks, "chunk_id", options.limit).withColumnRenamed("query_id", "question_id")
             rows = questions.select("question_id", "question").join(contexts, "question_id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
             rows = durable(rows, "qa-documents")
@@ -148,7 +156,8 @@ def pick(answered: DataFrame, strategy: str, model: chat.ChatModel | None, embed
     details = [c for c in ("token_ids", "token_logprobs") if c in answered.columns]
     named = answered.select(F.col("question_id").alias("group_id"), F.col("sample").alias("resp_id"), "question", "answer", "cot_response", "context", *details)
     if strategy == "average_similarity":
-        best = consistency.majority_consensus(named.select("group_id", "resp_id", F.col("answer").alias("text"), chat.embed(embedder, F.col("answer")).alias("vector")))
+        # written, as they are read several times
+        best = consistency.majority_consensus(durable(named.select("group_id", "resp_id", F.col("answer").alias("text"), chat.embed(embedder, F.col("answer")).alias("vector")), "qa-answer-vectors"))
     elif strategy == "bigram_consistency":
         if len(details) == 2:
             tokens = named.withColumns({"tokens": F.transform("token_ids", lambda x: x.cast("string")), "logprobs": F.col("token_logprobs")})

@@ -132,3 +132,60 @@ def test_the_command_with_servers(spark, tmp_path, server):
     with pytest.raises(ValueError, match="no tokenizer is known"):
         cli.build(spark, "parent_document", str(tmp_path / "in"), str(tmp_path / "o"), endpoint=server, tokenizer=None)
     assert list(cli.known_tokenizers(str(tmp_path / "t"))) == ["Word_bpe"] and cli.known_tokenizers(None) == {}
+
+
+def test_a_prompt_is_asked_once(spark, tmp_path):
+    """Though an answer's prefix is sought in many ways; and missing prompts are not asked."""
+    folder = str(tmp_path)
+
+    class Counting:
+        def generate(self, prompts):
+            import uuid
+
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("x" * len(prompts))
+            return [f"Answer: {len(p)}" for p in prompts]
+
+    rows = spark.createDataFrame([(i, None if i == 3 else "q" * i, ["d"]) for i in range(5)], "question_id int, question string, documents array<string>")
+    got = {r.question_id: r.answer for r in chat.answer_questions(rows, Counting()).collect()}
+    assert got[3] is None and len({got[0], got[1], got[2], got[4]}) > 1 and all(a.isdigit() for i, a in got.items() if i != 3)
+    assert sum(len(p.read_text()) for p in tmp_path.iterdir()) == 8
+
+
+def test_as_many_vectors_are_sought_as_chunks_need(spark, monkeypatch):
+    """With one vector a chunk the first five chunks are the five nearest; with several, more are needed, and no more than k."""
+    from quire.operators import retrieval
+
+    sought, find = [], retrieval.nearest
+    monkeypatch.setattr(retrieval, "nearest", lambda q, c, k=10: sought.append(k) or find(q, c, k))
+    asked = spark.createDataFrame([(1, "a?")], "question_id long, question string")
+    chunks = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(12)], "chunk_id string, text string")
+    embedder, model, options = chat.LetterEmbedder("ab"), chat.EchoModel("{}"), qa.QaOptions(self_consistency=False, llm_filter=False, reword=False, limit=3)
+    for n, k, want in ((1, 20, 3), (4, 20, 9), (4, 6, 6)):
+        # the nearest chunks have n vectors each, which all come before those of the next chunk
+        vectors = spark.createDataFrame([(f"v{i:02}-{j}", f"c{i}", [1.0, 0.01 * i + 0.001 * j]) for i in range(12) for j in range(n)], "id string, parent_id string, vector array<double>")
+        found = qa.answer(asked, chunks, vectors, model, embedder, options, k=k)
+        assert sought.pop() == want
+        whole = retrieval.ranked_contexts(retrieval.parent_documents(asked.select(F.col("question_id").alias("id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector")), vectors, k), chunks, "chunk_id", 3)
+        assert found.count() == 1 and [r.documents for r in whole.collect()] == [["text 0", "text 1", "text 2"][: 3 if k > 6 or n == 1 else 2]]
+
+
+def test_letters_are_counted():
+    for letters in ("abcz", "a\n", "a\u00e9"):
+        for text in ("", "abba z\n", "a\u00e9\U0001f600b"):
+            assert chat.LetterEmbedder(letters).embed([text]) == [[float(text.count(c)) for c in letters]]
+
+
+def test_a_text_that_fits_is_one_chunk():
+    import random
+
+    from quire.operators import etl
+
+    rnd, whole = random.Random(4), 0
+    for _ in range(5000):
+        text = "".join(rnd.choice("ab \n\n\t\xa0") for _ in range(rnd.randrange(1, 14)))
+        for length in (len, etl.count_tokens(None)):
+            if (got := etl._uncut(text, 12)) is not None:
+                whole += 1
+                assert got == etl.split_recursively(text, 12, 3, length), text
+    assert 5000 < whole < 10000

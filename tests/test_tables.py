@@ -194,6 +194,48 @@ def test_few_rows_and_none(spark):
     assert retrieval.nearest(one, none, 3).collect() == [] and retrieval.nearest(none, one, 3).collect() == []
 
 
+def test_queries_go_where_neighbours_can_be(spark, monkeypatch):
+    """Wide groups, none of which its far edge leaves out: a sample and the planes between pivots do."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centers = 2 * rng.normal(size=(20, 6))
+    rows = [(i, (centers[i % 20] + rng.normal(size=6)).tolist()) for i in range(4000)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    written, keep = {}, retrieval.durable
+    monkeypatch.setattr(retrieval, "durable", lambda df, name: written.setdefault(name, keep(df, name)))
+    queries = corpus.where("id < 300")
+    got = defaultdict(list)
+    for r in retrieval.nearest(queries, corpus, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.id)
+    every = np.array([v for _, v in rows])
+    assert got == {q: np.argsort(((every - every[q]) ** 2).sum(1), kind="stable")[:5].tolist() for q in range(300)}
+    assert written["nearest-queries"].count() < 300 * 64 / 3
+
+
+@pytest.mark.parametrize(("scale", "tile", "size"), [(1.0, 16, 400), (1e-4, 16, 400), (1e8, 16, 400), (1e12, 16, 400), (1.0, 512, 3000)])
+def test_tiles_leave_out_no_neighbour(monkeypatch, scale, tile, size):
+    """Equal rows, equal distances, missing and huge numbers, queries with bounds; rows come in several lots."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "TILE_ROWS", tile)
+    rng, k = np.random.default_rng(3), 7
+    rows = scale * (rng.normal(size=(size, 20)) + 6 * rng.normal(size=(9, 20))[rng.integers(0, 9, size)])
+    rows[size // 2 : size // 2 + 60], rows[7], rows[8], rows[9, 3] = rows[0], np.nan, 1e150, np.nan
+    asked = np.concatenate([rows[:40] + scale * 0.1 * rng.normal(size=(40, 20)), rows[:10]])
+    exact = np.nan_to_num(np.round(((rows[None] - asked[:, None]) ** 2).sum(2), 6), nan=np.inf)
+    want = [sorted(zip(d, range(size), strict=True))[:k] for d in exact]
+    for bound in (np.full(len(asked), np.inf), np.array([w[-1][0] for w in want]) * (1 + 1e-9) + 1e-5):
+        found = retrieval._Best(asked, k, bound)
+        for i in range(0, size, size // 3 + 1):
+            part = slice(i, i + size // 3 + 1)
+            retrieval._Tiles(rows[part], np.arange(size)[part]).meet(found)
+        for w, dist, name in zip(want, found.dist, found.name, strict=True):
+            if scale <= 1:
+                assert list(name) == [i for _, i in w]
+            assert dist == pytest.approx([d for d, _ in w], rel=1e-6, abs=1e-6)
+
+
 # Traces
 
 
